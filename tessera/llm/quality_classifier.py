@@ -38,7 +38,7 @@ _CLASS = np.full(256, 8, np.int64)
 _CLASS[128:] = 9
 for _k, _chars in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t", b"\n", b".,;:!?", b"#*$%&|<>^~=+@\\/_", b"()[]{}\"'`")):
     _CLASS[list(_chars)] = _k
-N_STATS = 24
+N_STATS = 25
 
 
 def statistics(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -79,10 +79,11 @@ def statistics(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         o = np.lexsort((window, at))
         same = (window[o][1:] == window[o][:-1]) & (at[o][1:] == at[o][:-1]) if len(o) else np.zeros(0, bool)
         pair_same = per_row(same, at[o][1:], n) / many
+    twice = np.flatnonzero((code[1:] == code[:-1]) & (row[1:] == row[:-1]))
     lines = share[:, 4] * some + 1
     return np.column_stack([
         np.log1p(size), np.log1p(count), share, mean, spread, short, long, single, odd_end, capital,
-        distinct / np.sqrt(many), top / many, pair_same, np.log1p(size / lines), np.log1p(lines),
+        distinct / np.sqrt(many), top / many, pair_same, np.log1p(size / lines), np.log1p(lines), np.bincount(row[twice], minlength=n) / many,
     ])
 
 
