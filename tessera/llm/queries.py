@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
-from tessera.llm import quality_classifier
+from tessera.llm import hilbert_shards, line_quality, quality_classifier, secret_ledger
 from tessera.llm.common import table
 
 
+def op2_hilbert_shards(spark, sf_dir):
+    return hilbert_shards.hilbert_shards(table(spark, sf_dir, "documents"))
+
+
+def op6_secret_ledger(spark, sf_dir):
+    paths, _ = secret_ledger.update(table(spark, sf_dir, "documents"))
+    return secret_ledger.report(paths)
+
+
+def op7_line_quality(spark, sf_dir):
+    return line_quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rff(spark, sf_dir):
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op10_quality_rff,)}
+QUERIES = {f.__name__: f for f in (op2_hilbert_shards, op6_secret_ledger, op7_line_quality, op10_quality_rff)}
 ORACLE_SQL: dict[str, str] = {}
