@@ -73,13 +73,16 @@ def curve(meta: DataFrame, dims: list[str], bits: int) -> Column:
     values = [_measure(meta, d, len(os.path.commonprefix([(ends[f"a{i}"] or "").encode(), (ends[f"b{i}"] or "").encode()]))) for i, d in enumerate(dims)]
     at = [k / 2**bits for k in range(1, 2**bits)]
     cuts = meta.agg(*[F.percentile_approx(v, at, 1000).alias(str(i)) for i, v in enumerate(values)]).first()
-    cells = [F.coalesce(F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts[i])))), lambda c, v=v: c <= v)), F.lit(0)) if cuts[i] else F.lit(0) for i, v in enumerate(values)]
+
+    def cell(value: Column, at: list[float] | None) -> Column:
+        return F.size(F.filter(F.array(*map(F.lit, sorted(set(at)))), lambda c: c <= value)) if at else F.lit(0)
+
 
     @F.pandas_udf("long")
-    def place(cell: pd.DataFrame) -> pd.Series:
-        return pd.Series(hilbert_index([cell[c].fillna(0).clip(lower=0).to_numpy() for c in cell], bits))
+    def place(cells: pd.DataFrame) -> pd.Series:
+        return pd.Series(hilbert_index([cells[c].fillna(0).clip(lower=0).to_numpy() for c in cells], bits))
 
-    return place(F.struct(*[c.cast("int").alias(f"c{i}") for i, c in enumerate(cells)]))
+    return place(F.struct(*[cell(v, cuts[i]).cast("int").alias(f"c{i}") for i, v in enumerate(values)]))
 
 
 def hilbert_shards(docs: DataFrame, shards: int = 8, dimensions: tuple[str, ...] = DIMENSIONS, bits: int = BITS) -> DataFrame:

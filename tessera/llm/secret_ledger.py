@@ -72,5 +72,8 @@ def report(paths: DataFrame) -> DataFrame:
     """The digest columns of ``update``'s first result; the ledger adds no spans to the base ones."""
     kinds = F.array(*[F.lit(k) for k, *_ in RULES])
     spans = F.array_join(F.transform("findings", lambda f: F.concat_ws(":", F.get(kinds, f["kind_no"]), f["start"], f["end"])), ",")
-    count = [F.size(F.filter("findings", lambda f, k=k: f["kind_no"] == k)).cast("long").alias(f"n_{kind}") for k, (kind, *_) in enumerate(RULES)]
-    return paths.select("doc_id", *count, F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
+
+    def count(k: int) -> Column:
+        return F.size(F.filter("findings", lambda f: f["kind_no"] == k)).cast("long")
+
+    return paths.select("doc_id", *[count(k).alias(f"n_{kind}") for k, (kind, *_) in enumerate(RULES)], F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
