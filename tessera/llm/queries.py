@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import hilbert_shards, line_quality, quality_classifier, secret_ledger
+from tessera.llm import contextual_pii, hilbert_shards, line_quality, quality_classifier, secret_ledger, tier_packing
 from tessera.llm.common import table
 
 
@@ -10,6 +10,14 @@ def op2_hilbert_shards(spark, sf_dir):
     return hilbert_shards.hilbert_shards(table(spark, sf_dir, "documents"))
 
 
+def op3_contextual_pii(spark, sf_dir):
+    return contextual_pii.report(*contextual_pii.find(table(spark, sf_dir, "documents")))
+
+
+def op5_tier_packing(spark, sf_dir):
+    return tier_packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op6_secret_ledger(spark, sf_dir):
     paths, _ = secret_ledger.update(table(spark, sf_dir, "documents"))
     return secret_ledger.report(paths)
@@ -23,5 +31,5 @@ def op10_quality_rff(spark, sf_dir):
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_hilbert_shards, op6_secret_ledger, op7_line_quality, op10_quality_rff)}
+QUERIES = {f.__name__: f for f in (op2_hilbert_shards, op3_contextual_pii, op5_tier_packing, op6_secret_ledger, op7_line_quality, op10_quality_rff)}
 ORACLE_SQL: dict[str, str] = {}
