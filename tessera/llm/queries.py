@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import contextual_pii, hilbert_shards, line_quality, quality_classifier, secret_ledger, tier_packing
-from tessera.llm.common import table
+from tessera.llm import contextual_pii, hilbert_shards, line_quality, quality_classifier, secret_ledger, soft_mixing, tier_packing, vantage_search
+from tessera.llm.common import stored, table
+
+
+def op1_soft_mixing(spark, sf_dir):
+    return soft_mixing.soft_rates(table(spark, sf_dir, "documents"), soft_mixing.domains(table(spark, sf_dir, "labels")))
 
 
 def op2_hilbert_shards(spark, sf_dir):
@@ -27,9 +31,14 @@ def op7_line_quality(spark, sf_dir):
     return line_quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op9_vantage_search(spark, sf_dir):
+    rows = stored(vantage_search.vectors(table(spark, sf_dir, "embeddings")), "op9-vectors")
+    return vantage_search.search(rows, rows.where("id % 20 = 0"))
+
+
 def op10_quality_rff(spark, sf_dir):
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_hilbert_shards, op3_contextual_pii, op5_tier_packing, op6_secret_ledger, op7_line_quality, op10_quality_rff)}
+QUERIES = {f.__name__: f for f in (op1_soft_mixing, op2_hilbert_shards, op3_contextual_pii, op5_tier_packing, op6_secret_ledger, op7_line_quality, op9_vantage_search, op10_quality_rff)}
 ORACLE_SQL: dict[str, str] = {}
