@@ -33,7 +33,7 @@ from tessera.llm.bytetext import slices, words
 from tessera.llm.common import stored
 
 SAMPLE = 20_000
-BUCKETS = 1 << 13
+BUCKETS = 1 << 16
 ROUNDS = 60
 TOLERANCE = 1e-4
 WEIGHTS = {"prime": 0.75, "rough": 0.2, "toxic": 0.05}
@@ -109,7 +109,7 @@ def learn(docs: DataFrame, labelled: DataFrame, names: list[str], sample: int =
                 row, _, _, code = words(data, starts)
                 if len(row):
                     y = part.column("y").to_numpy()
-                    share = 1 / np.sqrt(np.bincount(row, minlength=len(starts) - 1)[row])
+                    share = np.ones(len(row))
                     counts += np.bincount(y[row] * BUCKETS + (code & np.uint64(BUCKETS - 1)).astype(np.int64), share, k * BUCKETS)
         yield pa.RecordBatch.from_pydict({"y": np.arange(k), "counts": [c.tobytes() for c in counts.reshape(k, BUCKETS)]})
 
@@ -120,7 +120,7 @@ def learn(docs: DataFrame, labelled: DataFrame, names: list[str], sample: int =
     counts = np.zeros((k, BUCKETS))
     for r in sums:
         counts[r["y"]] = np.frombuffer(r["counts"])
-    log = np.log(counts + 0.5) - np.log(counts.sum(1, keepdims=True) + 0.5 * BUCKETS)
+    log = np.log(counts + 1.0) - np.log(counts.sum(1, keepdims=True) + BUCKETS)
     model.theta = (log - log.mean(0)).T.copy()
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
