@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import contextual_pii, hilbert_shards, line_quality, quality_classifier, secret_ledger, soft_mixing, tier_packing, vantage_search
+from tessera.llm import bayes_minhash, contextual_pii, hilbert_shards, line_quality, quality_classifier, secret_ledger, soft_mixing, tier_packing, vantage_search
 from tessera.llm.common import stored, table
 
 
@@ -31,6 +31,10 @@ def op7_line_quality(spark, sf_dir):
     return line_quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op8_bayes_minhash(spark, sf_dir):
+    return bayes_minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("row")
+
+
 def op9_vantage_search(spark, sf_dir):
     rows = stored(vantage_search.vectors(table(spark, sf_dir, "embeddings")), "op9-vectors")
     return vantage_search.search(rows, rows.where("id % 20 = 0"))
@@ -40,5 +44,5 @@ def op10_quality_rff(spark, sf_dir):
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_soft_mixing, op2_hilbert_shards, op3_contextual_pii, op5_tier_packing, op6_secret_ledger, op7_line_quality, op9_vantage_search, op10_quality_rff)}
+QUERIES = {f.__name__: f for f in (op1_soft_mixing, op2_hilbert_shards, op3_contextual_pii, op5_tier_packing, op6_secret_ledger, op7_line_quality, op8_bayes_minhash, op9_vantage_search, op10_quality_rff)}
 ORACLE_SQL: dict[str, str] = {}
