@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bayes_minhash, contextual_pii, hilbert_shards, line_quality, quality_classifier, secret_ledger, soft_mixing, tier_packing, vantage_search
+from tessera.llm import bayes_minhash, contextual_pii, hilbert_shards, line_quality, lpf_dedup, quality_classifier, secret_ledger, soft_mixing, tier_packing, vantage_search
 from tessera.llm.common import stored, table
 
 
@@ -18,6 +18,10 @@ def op3_contextual_pii(spark, sf_dir):
     return contextual_pii.report(*contextual_pii.find(table(spark, sf_dir, "documents")))
 
 
+def op4_lpf_dedup(spark, sf_dir):
+    return lpf_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op5_tier_packing(spark, sf_dir):
     return tier_packing.pack(table(spark, sf_dir, "documents"))
 
@@ -44,5 +48,5 @@ def op10_quality_rff(spark, sf_dir):
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_soft_mixing, op2_hilbert_shards, op3_contextual_pii, op5_tier_packing, op6_secret_ledger, op7_line_quality, op8_bayes_minhash, op9_vantage_search, op10_quality_rff)}
+QUERIES = {f.__name__: f for f in (op1_soft_mixing, op2_hilbert_shards, op3_contextual_pii, op4_lpf_dedup, op5_tier_packing, op6_secret_ledger, op7_line_quality, op8_bayes_minhash, op9_vantage_search, op10_quality_rff)}
 ORACLE_SQL: dict[str, str] = {}
