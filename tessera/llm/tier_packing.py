@@ -16,6 +16,7 @@ columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Iterator
 
@@ -33,12 +34,13 @@ STEP_TOKENS = 16 * 4096
 END_ID = 2
 REST_GROUP = 64
 #: Words whose ids a Python worker remembers, and texts that are tokenised together.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
+TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 TEXTS = 256
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_id long"
 
 _cache: dict[str, dict[str, bytes]] = {}
-_tokenizers: dict[str, object] = {}
+_tokenizers: dict[str, tuple] = {}
 
 
 def default_tokenizer() -> str:
@@ -47,19 +49,62 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def token_ids(texts: list[str], path: str) -> list[np.ndarray]:
-    """The ids of each text, with END_ID. The tokenizer drops white space between words, so a word's ids don't depend on its neighbours and are remembered."""
+def _learn(fresh: set[str], path: str) -> None:
+    """Remember the ids of words. A word of letters with marks of TAIL behind is two pieces for the tokenizer, and letters count in lower case, so such words share the ids of their pieces."""
     from tokenizers import Tokenizer
 
     if path not in _tokenizers:
-        _tokenizers[path] = Tokenizer.from_file(path)
+        tokenizer = Tokenizer.from_file(path)
+        ends = np.zeros(tokenizer.get_vocab_size(), bool)
+        ends[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        _tokenizers[path] = tokenizer, ends
+    tokenizer, ends = _tokenizers[path]
+    known = _cache[path]
+
+    def whole(words: list[str]) -> None:
+        for w, e in zip(words, tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+            known[w] = np.array(e.ids, "<u4").tobytes()
+
+    odd, lack, mixed, tails = [], set(), [], set()
+    for w in fresh:
+        body = w.rstrip(TAIL)
+        low = body.lower()
+        if not (low.isalpha() and body.isalpha()) or "Σ" in body:
+            odd.append(w)
+        elif low == w:
+            lack.add(w)
+        else:
+            tail = w[len(body) :]
+            mixed.append((w, low, tail))
+            tails.add(tail)
+            if low not in known:
+                lack.add(low)
+    whole([*odd, *(t for t in tails if t not in known)])
+    rest = list(lack)
+    for at in range(0, len(rest), 2000):
+        part = rest[at : at + 2000]
+        ids = np.array(tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+        last = np.flatnonzero(ends[ids]) + 1
+        if len(last) == len(part) and last[-1] == len(ids):  # each piece ends with one of these ids
+            flat, begin = ids.tobytes(), 0
+            for x, end in zip(part, (last * 4).tolist(), strict=True):
+                known[x] = flat[begin:end]
+                begin = end
+        else:
+            whole(part)
+    for w, low, tail in mixed:
+        known[w] = known[low] + known[tail]
+
+
+def token_ids(texts: list[str], path: str) -> list[np.ndarray]:
+    """The ids of each text, with END_ID. The tokenizer drops white space between words, so a word's ids don't depend on its neighbours and are remembered."""
     known = _cache.setdefault(path, {})
     if len(known) > CACHE_WORDS:
         known.clear()
     split = [t.replace("\n", " ").split(" ") for t in texts]
-    fresh = [w for w in set().union(*split) if w not in known]
-    for w, e in zip(fresh, _tokenizers[path].encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-        known[w] = np.array(e.ids, "<u4").tobytes()
+    gc.disable()  # looking through millions of small objects again and again costs more than all else
+    _learn(set().union(*split).difference(known), path)
+    gc.enable()
     end = np.array([END_ID], "<u4").tobytes()
     return [np.frombuffer(b"".join(map(known.__getitem__, ws)) + end, "<u4") for ws in split]
 
