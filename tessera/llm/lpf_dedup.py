@@ -43,7 +43,7 @@ from tessera.llm.common import shuffle_partitions, stored
 LEAST = 200
 #: Length of anchors.
 K = 20
-HOT = 512
+HOT = 16_384
 _U = np.uint64
 _BASE = _U(0x5851F42D4C957F2D)
 _INVERSE = _U(pow(0x5851F42D4C957F2D, -1, 1 << 64))
