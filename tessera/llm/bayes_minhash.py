@@ -3,8 +3,9 @@
 Rows of equal shingle sets form a class. Bands of the classes' signatures give
 buckets. In each bucket one member, the one that shares most buckets with
 others, is compared with all; then members that this left in another component
-are compared with the rest of the bucket, so no pair within a bucket that could
-join two components goes untested, and no bucket lists all its pairs.
+are compared with the rest of the bucket, block by block within tasks, so no
+pair within a bucket that could join two components goes untested, and only
+pairs that the comparison leaves become rows.
 
 A pair is compared in batches of BATCH hashes. With a flat prior, m of n equal
 hashes give the posterior Beta(m + 1, n - m + 1); the pair is dropped as soon as
@@ -31,23 +32,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bytetext import mix, slices
-from tessera.llm.common import stored
+from tessera.llm.common import shuffle_partitions, stored
 from tessera.llm.shingles import shingle_sets
 
 #: Least similarity in hundredths.
 SIMILAR = 75
-HASHES = 192
-BAND = 6
-#: Times that the hashes are dealt to bands anew.
-DEALS = 2
-BATCH = 32
-MISS = 1e-7
+#: Hashes of a signature; the first BANDS x BAND of them make the bands, all of them the sequential comparison.
+HASHES = 540
+BANDS, BAND = 54, 6
+BATCH = 36
+MISS = 1e-6
 #: Members that one task compares with a pivot.
 MEMBERS = 256
 _U = np.uint64
 _RNG = np.random.default_rng(8)
 _FACTOR = _RNG.integers(1, 2**63, HASHES, dtype=np.uint64) * _U(2) + _U(1)
-_DEAL = np.concatenate([_RNG.permutation(HASHES) for _ in range(DEALS)]).reshape(-1, BAND)
+#: Rows of a block of members that stand apart, and of a block of a bucket's other members.
+APART_BLOCK, OTHER_BLOCK = 256, 2048
 
 
 def signatures(rows: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
@@ -95,20 +96,20 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def bands(classes: DataFrame) -> DataFrame:
-    """key and id: a row for each band of each class."""
+    """key, band and id: a row for each band of each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
                 sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), "<u2").reshape(-1, HASHES)
-                for b, own in enumerate(_DEAL):
+                for b in range(BANDS):
                     key = np.full(len(sig), b + 1, np.uint64)
-                    for k in own:
+                    for k in range(b * BAND, b * BAND + BAND):
                         key = mix(key * _U(0x2545F4914F6CDD1D) + sig[:, k])
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column("id")], ["key", "id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(sig), b, np.int32)), part.column("id")], ["key", "band", "id"])
 
-    return classes.select("id", "sig").mapInArrow(run, "key long, id long")
+    return classes.select("id", "sig").mapInArrow(run, "key long, band int, id long")
 
 
 def pruned(pairs: DataFrame, classes: DataFrame, similar: int, miss: float) -> DataFrame:
@@ -131,6 +132,67 @@ def pruned(pairs: DataFrame, classes: DataFrame, similar: int, miss: float) -> D
     return pairs.join(one, "a").join(two, "b").where(sized).select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
 
 
+def crossing(placed: DataFrame, classes: DataFrame, similar: int, miss: float) -> DataFrame:
+    """Pairs (a, b) of different components within a bucket that the comparison leaves. ``placed`` has key, band, id, pivot and the components of both; a pair is a row in the first band that it shares only."""
+    limits = least_matches(similar, miss)
+    apart = F.col("own") != F.col("its")
+    blocks = placed.groupBy("key").agg(F.ceil(F.count_if(apart) / APART_BLOCK).cast("int").alias("ub"), F.ceil(F.count("*") / OTHER_BLOCK).cast("int").alias("xb")).where("ub > 0")
+    rows = placed.where("id <> pivot").select("key", "band", "id", "own", apart.alias("apart")).join(blocks, "key").join(classes.select("id", "n", "sig"), "id")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    columns = ["id", "own", "apart", "n", "band", "sig"]
+    left = rows.where("apart").select("key", one("ub").alias("u"), every("xb").alias("x"), F.lit(True).alias("left"), *columns)
+    right = rows.select("key", every("ub").alias("u"), one("xb").alias("x"), F.lit(False).alias("left"), *columns)
+
+    def compare(g: pa.Table, out: list) -> None:
+        side = g.column("left").to_numpy()
+        ids, own, away, n = (g.column(c).to_numpy() for c in ("id", "own", "apart", "n"))
+        sig = np.frombuffer(b"".join(g.column("sig").to_pylist()), "<u2").reshape(-1, HASHES)
+        band, rest = g.column("band")[0].as_py(), np.flatnonzero(~side)
+        for k in np.flatnonzero(side):
+            fits = (own[rest] != own[k]) & (~away[rest] | (ids[rest] > ids[k])) & (100 * np.minimum(n[rest], n[k]) >= similar * np.maximum(n[rest], n[k]))
+            live, seen = rest[fits], 0
+            equal = np.zeros(len(live), np.int64)
+            for upto, least in limits:
+                if not len(live):
+                    break
+                equal += (sig[live, seen:upto] == sig[k, seen:upto]).sum(1)
+                on = equal >= least
+                live, equal, seen = live[on], equal[on], upto
+            if len(live):
+                shared = (sig[live, : BANDS * BAND] == sig[k, : BANDS * BAND]).reshape(len(live), -1, BAND).all(2)
+                live = live[shared.argmax(1) == band]
+                out.append((np.full(len(live), ids[k]), ids[live]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            out: list = []
+            compare(pa.Table.from_batches(held).combine_chunks(), out)
+            for a, b in out:
+                yield pa.RecordBatch.from_pydict({"a": a, "b": b})
+
+        for batch in batches:
+            names = list(zip(*(batch.column(c).to_pylist() for c in ("key", "u", "x")), strict=True))
+            begin = 0
+            for at in range(len(names) + 1):
+                if at == len(names) or names[at] != last:
+                    if at > begin:
+                        held.append(batch.slice(begin, at - begin))
+                    begin = at
+                    if at < len(names):
+                        if held:
+                            yield from close()
+                        held, last = [], names[at]
+        if held:
+            yield from close()
+
+    dealt = left.unionByName(right).repartition(shuffle_partitions(placed.sparkSession), "key", "u", "x").sortWithinPartitions("key", "u", "x")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
 def verified(pairs: DataFrame, texts: DataFrame, similar: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar; ``a`` is compared with MEMBERS of its partners or so in each task."""
     spread = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("salts"))
@@ -182,18 +244,16 @@ def near_duplicates(docs: DataFrame, similar: int = SIMILAR, miss: float = MISS)
 
     weight = shared.groupBy("id").agg(F.sum("size").alias("weight"))
     pivots = shared.join(weight, "id").groupBy("key").agg((-F.max(F.struct("weight", -F.col("id"))).getField("col2")).alias("pivot"))
-    dealt = stored(shared.select("key", "id").join(pivots, "key"), "op8-dealt")
+    dealt = stored(shared.select("key", "band", "id").join(pivots, "key"), "op8-dealt")
     stars = dealt.where("pivot <> id").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     links = stored(verified(stored(pruned(stars, classes, similar, miss), "op8-pairs"), texts, similar), "op8-links")
 
     label = components(links)
     of_id, of_pivot = label.select("id", F.col("label").alias("own")), label.select(F.col("id").alias("pivot"), F.col("label").alias("its"))
-    placed = dealt.join(of_id, "id", "left").join(of_pivot, "pivot", "left").select("key", "id", "pivot", F.coalesce("own", "id").alias("own"), F.coalesce("its", "pivot").alias("its"))
+    placed = dealt.join(of_id, "id", "left").join(of_pivot, "pivot", "left").select("key", "band", "id", "pivot", F.coalesce("own", "id").alias("own"), F.coalesce("its", "pivot").alias("its"))
     placed = stored(placed, "op8-placed")
-    apart = placed.where("own <> its").select("key", F.col("id").alias("a"), F.col("own").alias("own_a"))
-    others = placed.where("id <> pivot").select("key", F.col("id").alias("b"), "own", (F.col("own") != F.col("its")).alias("apart"))
-    rest = apart.join(others, "key").where("own <> own_a and (not apart or a < b)").select("a", "b").distinct()
-    more = stored(verified(stored(pruned(rest, classes, similar, miss), "op8-pairs"), texts, similar), "op8-links")
+    rest = stored(crossing(placed, classes, similar, miss), "op8-pairs")
+    more = stored(verified(rest, texts, similar), "op8-links")
     if not more.isEmpty():
         label = components(links.unionByName(more))
 
