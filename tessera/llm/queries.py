@@ -49,4 +49,35 @@ def op10_quality_rff(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_soft_mixing, op2_hilbert_shards, op3_contextual_pii, op4_lpf_dedup, op5_tier_packing, op6_secret_ledger, op7_line_quality, op8_bayes_minhash, op9_vantage_search, op10_quality_rff)}
-ORACLE_SQL: dict[str, str] = {}
+
+_WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')".replace("\\\\", "\\")
+_SPAN = "hits_{k} AS (SELECT doc_id, {n} AS kind_no, '{k}' AS kind, i, string_split_regex(coalesce(text, ''), {p}) AS gaps, regexp_extract_all(coalesce(text, ''), {p}, 0) AS hits, regexp_extract_all(coalesce(text, ''), {p}, {g}) AS own FROM documents, unnest(range(1, 1 + len(regexp_extract_all(coalesce(text, ''), {p}, 0)))) t(i))"
+_ASSIGN = """'((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)'"""
+_SECRETS = ", ".join(_SPAN.format(k=k, n=n, p=p, g=g) for n, (k, p, g) in enumerate((("assign", _ASSIGN.replace("\\\\", "\\"), 2), ("access", "'AKIA[A-Z0-9]+'", 0), ("hex", "'[0-9a-f]+'", 0))))
+_FOUND = " UNION ALL ".join(f"SELECT doc_id, kind_no, kind, length(own[i]) AS n, {least} AS least, list_sum(list_transform(gaps[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[:i-1], lambda x: length(x))), 0) AS s, length(hits[i]) AS size FROM hits_{k}" for k, least in (("assign", 6), ("access", 20), ("hex", 24)))
+
+_OP6 = f"""WITH {_SECRETS}, found AS (SELECT doc_id, kind_no, kind, CAST(s AS BIGINT) AS s, CAST(s AS BIGINT) + size AS e FROM ({_FOUND}) WHERE n >= least),
+told AS (SELECT doc_id, count(*) FILTER (kind_no = 0) AS a, count(*) FILTER (kind_no = 1) AS b, count(*) FILTER (kind_no = 2) AS c, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, kind_no) AS spans FROM found GROUP BY doc_id)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents LEFT JOIN told USING (doc_id)"""
+
+_OP7 = f"""WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text, {_WORDS} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+win AS (SELECT doc_id, i, w[i:i+4] AS g FROM d, unnest(range(1, len(w) - 3)) t(i)), rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, range(0, 5) t(k) GROUP BY doc_id),
+ln AS (SELECT doc_id, host, md5(text) AS h, unnest(l) AS x FROM d), nl AS (SELECT doc_id, host, h, length(x) AS n, regexp_replace(regexp_replace(lower(trim(x)), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g') AS k FROM ln),
+held AS (SELECT host, k, count(DISTINCT h) AS docs FROM nl GROUP BY ALL), alls AS (SELECT host, count(DISTINCT md5(text)) AS n FROM d GROUP BY host),
+common AS (SELECT host, k FROM held JOIN alls USING (host) WHERE docs > {line_quality.LEAST_DOCS} AND docs > {line_quality.SHARE} * n),
+lef AS (SELECT doc_id, 1 - coalesce(sum(n) FILTER (c.k IS NOT NULL), 0) / sum(n) AS r FROM nl LEFT JOIN common c USING (host, k) GROUP BY doc_id),
+b AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, coalesce(r, 1.0) AS left_share FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN lef USING (doc_id)),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND left_share >= {line_quality.LEAST_LEFT} AS kept, left_share FROM f"""
+
+_OP8 = f"""WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, {_WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i+4], ' ') END AS g FROM d, unnest(range(1, greatest(len(w) - 3, 2))) t(i) WHERE len(w) > 0),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n_both FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+e AS MATERIALIZED (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * n_both >= 75 * (na.n + nb.n - n_both)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM documents LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)"""
+
+ORACLE_SQL = {"op6_secret_ledger": _OP6, "op7_line_quality": _OP7, "op8_bayes_minhash": _OP8}
