@@ -62,7 +62,8 @@ def update(docs: DataFrame, ledger: DataFrame | None = None) -> tuple[DataFrame,
     text = text_or_empty()
     versions = docs.select("doc_id", F.unhex(F.sha2(text, 256)).alias("sha"), text.alias("text"))
     seen = ledger.where(F.col("rule_version") == RULE_VERSION).select("sha")
-    unseen = versions.select("sha", "text").join(seen, "sha", "left_anti").groupBy("sha").agg(F.any_value("text").alias("text"))
+    blobs = versions.groupBy("sha").agg(F.any_value("text").alias("text"))  # before the join, so that copies meet in the tasks that read them
+    unseen = blobs.join(seen, "sha", "left_anti")
     after = stored(ledger.unionByName(scan(unseen)), "op6-ledger")
     current = after.where((F.col("rule_version") == RULE_VERSION) & (F.size("findings") > 0)).select("sha", "findings")
     return versions.select("doc_id", "sha").join(current, "sha", "left").select("doc_id", "sha", F.coalesce("findings", F.expr("array()").cast("array<struct<start:int,kind_no:int,end:int>>")).alias("findings")), after
