@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import html
+import html.parser
+import json
+from collections import deque
 
 import pandas as pd
 from pyspark.sql import Column
@@ -68,3 +71,75 @@ def embedded_json(c: Column, script_id: str) -> Column:
 def linkify(c: Column) -> Column:
     """Bare links outside tags become anchors; punctuation behind them stays outside."""
     return F.regexp_replace(c, r'(?<!["\'>=])(https?://[^\s<>"]*[^\s<>".,;:!?)])', '<a href="$1" target="_blank" rel="noopener">$1</a>')
+
+
+_ALLOWED = {"a", "b", "strong", "i", "em", "br", "p", "ul", "ol", "li"}
+
+
+class _Clean(html.parser.HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out: list[str] = []
+        self.hidden = 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("script", "style"):
+            self.hidden += 1
+        elif tag in _ALLOWED:
+            href = dict(attrs).get("href") or ""
+            if tag == "a" and href.lower().startswith(("http://", "https://", "mailto:")):
+                self.out.append(f'<a href="{html.escape(href)}" target="_blank" rel="noopener noreferrer">')
+            elif tag != "a":
+                self.out.append(f"<{tag}>")
+            else:
+                self.out.append("<a>")
+
+    def handle_endtag(self, tag):
+        if tag in ("script", "style"):
+            self.hidden = max(0, self.hidden - 1)
+        elif tag in _ALLOWED and tag != "br":
+            self.out.append(f"</{tag}>")
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.out.append(html.escape(data, quote=False))
+
+
+def _sanitised(text: str) -> str:
+    p = _Clean()
+    p.feed(text)
+    p.close()
+    return "".join(p.out)
+
+
+@F.pandas_udf(StringType())
+def sanitise(texts: pd.Series) -> pd.Series:
+    """Only a few harmless tags, anchors with safe links; a parser's work, so Python it is."""
+    return texts.map(_sanitised, na_action="ignore")
+
+
+def find_in_json(column: Column, key: str, steps: int = 20_000) -> Column:
+    """The first value of a key at any depth of a JSON text, breadth first, as JSON; null if there is none."""
+
+    @F.pandas_udf(StringType())
+    def run(texts: pd.Series) -> pd.Series:
+        def one(text: str) -> str | None:
+            try:
+                queue = deque([json.loads(text)])
+            except ValueError:
+                return None
+            for _ in range(steps):
+                if not queue:
+                    return None
+                node = queue.popleft()
+                if isinstance(node, dict):
+                    if key in node:
+                        return json.dumps(node[key], ensure_ascii=False)
+                    queue.extend(node.values())
+                elif isinstance(node, list):
+                    queue.extend(node)
+            return None
+
+        return texts.map(one, na_action="ignore")
+
+    return run(column)

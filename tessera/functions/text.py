@@ -181,3 +181,35 @@ def add_at(c: Column, link: str) -> Column:
 def round4(c: Column) -> Column:
     """Half up on the product, as binary numbers have it."""
     return F.floor(c * 10000 + 0.5) / 10000
+
+
+def is_generic(c: Column) -> Column:
+    """Boilerplate instead of a description."""
+    return c.rlike(r"(?i)^\s*(?:listen to|stream) .{0,80}(?:for free|on (?:desktop|mobile))") | (F.trim(c) == "")
+
+
+def without_label_lines(c: Column, link: str) -> Column:
+    """Lines without the first link that holds ``link``; lines that are only a label (``Links:``) go."""
+    lines = F.split(F.regexp_replace(c, rf"https?://\S*{link}\S*", ""), "\n")
+    kept = F.filter(lines, lambda x: ~x.rlike(r"(?i)^\s*(?:links?|more|all links)\s*:?\s*$") | (F.trim(x) == ""))
+    return F.trim(F.regexp_replace(F.array_join(kept, "\n"), r"\n{3,}", "\n\n"))
+
+
+def contacts(c: Column) -> Column:
+    """Struct of booking, management and contact lines of a biography: what follows a label on its line, else the lines below it up to a blank one or the next label."""
+    lines = F.split(c, "\n")
+    label = r"(?i)^\s*(booking|bookings|management|mgmt|contact|press|news)\b[^:]{0,20}:\s*(.*)$"
+
+    def step(s, x):
+        name = F.lower(F.regexp_extract(x, label, 1))
+        key = F.when(name.startswith("book"), "booking").when(name.isin("management", "mgmt"), "management").when(name == "contact", "contact").when(name != "", "none")
+        value = F.when(name != "", F.regexp_extract(x, label, 2)).otherwise(F.trim(x))
+        now = F.when(name != "", key).when(F.trim(x) == "", "none").otherwise(s["now"])
+        add = lambda k: F.when((now == k) & (value != ""), F.concat(s[k], F.array(value))).otherwise(s[k]).alias(k)
+        return F.struct(now.alias("now"), add("booking"), add("management"), add("contact"))
+
+    empty = F.array().cast("array<string>")
+    start = F.struct(F.lit("none").alias("now"), empty.alias("booking"), empty.alias("management"), empty.alias("contact"))
+    out = F.aggregate(lines, start, step)
+    said = lambda k: F.when(F.size(out[k]) > 0, F.array_join(out[k], " ")).alias(k)
+    return F.struct(said("booking"), said("management"), said("contact"))

@@ -136,3 +136,37 @@ def issues(c: Column) -> Column:
 def without_size(c: Column) -> Column:
     """Image links without a -WxH suffix."""
     return F.regexp_replace(c, r"-[0-9]+x[0-9]+(?=\.[A-Za-z]+$)", "")
+
+
+def link_keys(url: Column, platform: Column, profile: Column) -> Column:
+    """Keys under which equal profiles meet: platform and URL, platform and handle."""
+    return F.filter(F.array(F.concat_ws("|", platform, F.lit("url"), normal_url(url)), F.when(profile.isNotNull(), F.concat_ws("|", platform, F.lit("handle"), F.lower(profile)))), lambda k: k.isNotNull())
+
+
+def swap_host(c: Column, old: str, new: str) -> Column:
+    """Another host for an old one, on https."""
+    return F.regexp_replace(c, rf"(?i)^https?://(?:www\.)?{old}(?=[/?#]|$)", f"https://{new}")
+
+
+def left_site(before: Column, after: Column) -> Column:
+    """Whether a redirect ended on another domain; true where either is no URL."""
+    return ~F.coalesce(domain(before) == domain(after), F.lit(False))
+
+
+def mismatched(c: Column, platform: Column, domains: dict[str, tuple[str, ...]]) -> Column:
+    """Whether a link's domain is none of its platform's; null for platforms without a list."""
+    out = F.when(F.lit(False), F.lit(False))
+    for name, own in domains.items():
+        out = out.when(platform == name, ~F.coalesce(domain(c).isin(*own), F.lit(False)))
+    return out
+
+
+def profile_link(raw: Column, home: str, kind: str = "path") -> Column:
+    """Struct (url, handle, warning) from what people type: a bare handle, a link of the platform, a search link or a foreign one. ``home`` is the platform's domain."""
+    text = F.trim(raw)
+    bare = text.rlike(r"^@?[A-Za-z0-9._-]+$") & ~text.rlike(rf"(?i){home}")
+    full = F.when(bare, F.concat(F.lit(f"https://{home}/"), F.regexp_replace(text, "^@", ""))).when(text.rlike("(?i)^https?://"), text).otherwise(F.concat(F.lit("https://"), text))
+    warning = F.when(text == "", "empty").when(domain(full) != home, "foreign").when(is_search_page(full), "search")
+    own = handle(full, kind)
+    clean = F.concat(F.lit("https://"), bare_host(full), F.regexp_replace(path(full), "/+$", ""))
+    return F.struct(F.when(warning.isNull(), clean).otherwise(text).alias("url"), F.when(warning.isNull(), own).alias("handle"), warning.alias("warning"))
