@@ -277,6 +277,12 @@ def test_line_quality(docs, rows, none):
     assert line_quality.judge(none).count() == 0
 
 
+def test_repeats_where_hashes_look_alike(docs, monkeypatch):
+    want = sorted(map(tuple, line_quality.judge(docs).collect()))
+    monkeypatch.setattr(line_quality, "PLACE_BITS", 62)  # two bits of each hash are left, so most look alike
+    assert sorted(map(tuple, line_quality.judge(docs).collect())) == want
+
+
 def test_native_plans_hold_no_python(docs):
     for df in (line_quality.judge(docs), secret_ledger.report(secret_ledger.update(docs)[0])):
         plan = df._jdf.queryExecution().executedPlan().toString()
