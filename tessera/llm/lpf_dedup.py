@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bytetext import BYTE_CODE, mix, slices
-from tessera.llm.common import shuffle_partitions, stored
+from tessera.llm.common import release, shuffle_partitions, stored
 
 LEAST = 200
 #: Length of anchors.
@@ -236,6 +236,7 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, keep: str = "none") -> D
     all_runs = stored(runs(docs, least), "op4-runs")
     often = all_runs.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
     live = stored(all_runs.join(often, "a"), "op4-live")
+    release(all_runs)
     first = F.min(F.struct("row", "lo", "hi")).alias("first")
     kinds = stored(live.groupBy("a", "t").agg(F.count("*").alias("n"), first), "op4-kinds")
     several = kinds.groupBy("a").agg(F.count("*").alias("kinds")).where("kinds > 1")
@@ -246,7 +247,9 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, keep: str = "none") -> D
     at = live.join(verdict, ["a", "t"]).select("row", "lo", F.array(F.struct(F.lit(0).alias("s"), (F.col("hi") - F.col("lo") + least).cast("int").alias("e"))).alias("all"), "n", "earlier", "some", ((F.col("first.row") == F.col("row")) & (F.col("first.lo") == F.col("lo"))).alias("is_first"))
     chosen = F.when(F.col("n") > 1, F.col("all")).otherwise(F.col("some")) if keep == "none" else F.when(F.col("is_first"), F.col("earlier")).otherwise(F.col("all"))
     placed = at.select("row", "lo", F.explode(chosen).alias("x")).select("row", F.struct((F.col("lo") + F.col("x.s")).alias("s"), (F.col("lo") + F.col("x.e")).alias("e")).alias("x"))
-    return stored(placed.groupBy("row").agg(F.collect_list("x").alias("spans")), "op4-spans")
+    spans = stored(placed.groupBy("row").agg(F.collect_list("x").alias("spans")), "op4-spans")
+    release(live, kinds, contexts, verdict)
+    return spans
 
 
 def _mask(n: int, spans: list[dict] | None) -> np.ndarray:
