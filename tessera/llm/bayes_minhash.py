@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bytetext import mix, slices
-from tessera.llm.common import shuffle_partitions, stored
+from tessera.llm.common import release, shuffle_partitions, stored
 from tessera.llm.shingles import shingle_sets
 
 #: Least similarity in hundredths.
@@ -223,13 +223,17 @@ def components(links: DataFrame) -> DataFrame:
     both = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "op8-edges")
     label = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "op8-label")
     while True:
+        old = label
         near = both.join(label.select(F.col("id").alias("b"), F.col("label").alias("other")), "b").groupBy(F.col("a").alias("id")).agg(F.min("other").alias("other"))
         lower = label.join(near, "id").select("id", F.col("label").alias("before"), F.least("label", "other").alias("label"))
         jump = label.select(F.col("id").alias("label"), F.col("label").alias("root"))
         after = stored(lower.join(jump, "label", "left").select("id", "before", F.least("label", F.coalesce("root", "label")).alias("label")), "op8-label")
-        if after.where("label <> before").isEmpty():
-            return after.select("id", "label")
-        label = after.select("id", "label")
+        done = after.where("label <> before").isEmpty()
+        release(old)
+        if done:
+            release(both)
+            return after
+        label = after
 
 
 def near_duplicates(docs: DataFrame, similar: int = SIMILAR, miss: float = MISS) -> DataFrame:
@@ -246,7 +250,9 @@ def near_duplicates(docs: DataFrame, similar: int = SIMILAR, miss: float = MISS)
     pivots = shared.join(weight, "id").groupBy("key").agg((-F.max(F.struct("weight", -F.col("id"))).getField("col2")).alias("pivot"))
     dealt = stored(shared.select("key", "band", "id").join(pivots, "key"), "op8-dealt")
     stars = dealt.where("pivot <> id").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    links = stored(verified(stored(pruned(stars, classes, similar, miss), "op8-pairs"), texts, similar), "op8-links")
+    pairs = stored(pruned(stars, classes, similar, miss), "op8-pairs")
+    links = stored(verified(pairs, texts, similar), "op8-links")
+    release(shared, pairs)
 
     label = components(links)
     of_id, of_pivot = label.select("id", F.col("label").alias("own")), label.select(F.col("id").alias("pivot"), F.col("label").alias("its"))
@@ -254,11 +260,14 @@ def near_duplicates(docs: DataFrame, similar: int = SIMILAR, miss: float = MISS)
     placed = stored(placed, "op8-placed")
     rest = stored(crossing(placed, classes, similar, miss), "op8-pairs")
     more = stored(verified(rest, texts, similar), "op8-links")
+    release(dealt, placed, rest, texts)
     if not more.isEmpty():
+        release(label)
         label = components(links.unionByName(more))
+    release(links, more)
 
     known = rows.select("row", "doc_id", "n", "f1", "f2").join(classes.select("n", "f1", "f2", "id"), ["n", "f1", "f2"], "left")
-    found = known.join(label, "id", "left")
+    found = known.join(label.select("id", "label"), "id", "left")
     component = F.coalesce("label", "id", "doc_id")
     return found.select("row", "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
