@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.relational import top_per_key
+from tessera.operators.relational import numbered, top_per_key
 
 
 def _same(a: str, b: str, keys: list[str]) -> Column:
@@ -87,8 +87,6 @@ def survivors(df: DataFrame, group: str, id_: str, rank: list[Column]) -> DataFr
 
 def new_ids(df: DataFrame, start: DataFrame, id_: str, key: str) -> DataFrame:
     """Keys that ``start`` lacks get ids after its greatest, in the order of the keys."""
-    from pyspark.sql import Window as W
-
-    top = start.agg(F.coalesce(F.max(id_), F.lit(0)).alias("_top"))
+    top = start.agg(F.coalesce(F.max(id_), F.lit(0)).alias("top")).first()["top"]
     fresh = df.select(key).distinct().join(start.select(key), key, "left_anti")
-    return fresh.crossJoin(F.broadcast(top)).withColumn(id_, F.col("_top") + F.row_number().over(W.orderBy(key))).drop("_top")
+    return numbered(fresh, [key], "_n").select(key, (F.col("_n") + top).alias(id_))
