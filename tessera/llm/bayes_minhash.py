@@ -42,8 +42,8 @@ HASHES = 540
 BANDS, BAND = 54, 6
 BATCH = 36
 MISS = 1e-6
-#: Members that one task compares with a pivot.
-MEMBERS = 256
+#: Members, and shingles of theirs, that one task compares with a pivot.
+MEMBERS, SHINGLES = 256, 1 << 21
 _U = np.uint64
 _RNG = np.random.default_rng(8)
 _FACTOR = _RNG.integers(1, 2**63, HASHES, dtype=np.uint64) * _U(2) + _U(1)
@@ -113,7 +113,7 @@ def bands(classes: DataFrame) -> DataFrame:
 
 
 def pruned(pairs: DataFrame, classes: DataFrame, similar: int, miss: float) -> DataFrame:
-    """The pairs (a, b) that set sizes and sequential comparison leave."""
+    """The pairs (a, b), with the set size of b, that sizes and sequential comparison leave."""
     limits = least_matches(similar, miss)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,12 +124,12 @@ def pruned(pairs: DataFrame, classes: DataFrame, similar: int, miss: float) -> D
                 for n, least in limits:
                     equal[live] += (left[live, seen:n] == right[live, seen:n]).sum(1)
                     live, seen = live[equal[live] >= least], n
-                yield batch.select(["a", "b"]).take(pa.array(live))
+                yield batch.select(["a", "b", "nb"]).take(pa.array(live))
 
     one = classes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
     two = classes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
     sized = (100 * F.least("na", "nb")) >= similar * F.greatest("na", "nb")
-    return pairs.join(one, "a").join(two, "b").where(sized).select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
+    return pairs.join(one, "a").join(two, "b").where(sized).select("a", "b", "nb", "sa", "sb").mapInArrow(run, "a long, b long, nb long").distinct()
 
 
 def crossing(placed: DataFrame, classes: DataFrame, similar: int, miss: float) -> DataFrame:
@@ -162,7 +162,7 @@ def crossing(placed: DataFrame, classes: DataFrame, similar: int, miss: float) -
             if len(live):
                 shared = (sig[live, : BANDS * BAND] == sig[k, : BANDS * BAND]).reshape(len(live), -1, BAND).all(2)
                 live = live[shared.argmax(1) == band]
-                out.append((np.full(len(live), ids[k]), ids[live]))
+                out.append((np.full(len(live), ids[k]), ids[live], n[live]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -171,8 +171,8 @@ def crossing(placed: DataFrame, classes: DataFrame, similar: int, miss: float) -
         def close() -> Iterator[pa.RecordBatch]:
             out: list = []
             compare(pa.Table.from_batches(held).combine_chunks(), out)
-            for a, b in out:
-                yield pa.RecordBatch.from_pydict({"a": a, "b": b})
+            for a, b, nb in out:
+                yield pa.RecordBatch.from_pydict({"a": a, "b": b, "nb": nb})
 
         for batch in batches:
             names = list(zip(*(batch.column(c).to_pylist() for c in ("key", "u", "x")), strict=True))
@@ -190,12 +190,12 @@ def crossing(placed: DataFrame, classes: DataFrame, similar: int, miss: float) -
             yield from close()
 
     dealt = left.unionByName(right).repartition(shuffle_partitions(placed.sparkSession), "key", "u", "x").sortWithinPartitions("key", "u", "x")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long, nb long").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similar: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar; ``a`` is compared with MEMBERS of its partners or so in each task."""
-    spread = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("salts"))
+    """The pairs (a, b) whose full sets are similar; ``a`` is compared with about MEMBERS of its partners, or SHINGLES of their shingles, in each task."""
+    spread = pairs.groupBy("a").agg(F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum("nb") / SHINGLES)).cast("int").alias("salts"))
     side_b = pairs.join(spread, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.col("b").alias("id"), F.lit(False).alias("pivot"))
     side_a = spread.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("id"), F.lit(True).alias("pivot"))
 

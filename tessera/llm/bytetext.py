@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 
 #: Text bytes that are handled together; a longer document is a slice of its own.
 SLICE_BYTES = 1 << 19
+#: Longer slices (a single long document each) are worked through in blocks of about this size.
+BLOCK_BYTES = 1 << 20
 
 _U = np.uint64
 BYTE_CODE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
@@ -47,7 +49,22 @@ def owner(starts: np.ndarray) -> np.ndarray:
 
 
 def words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first byte, byte after, 64-bit hash) of each word; ASCII white space and document ends part words."""
+    """(row, first byte, byte after, 64-bit hash) of each word; ASCII white space and document ends part words. Blocks end at white space, so memory follows the block and the number of words, not the bytes of a long document."""
+    if len(data) <= 2 * BLOCK_BYTES:
+        return _words(data, starts)
+    parts, at = [], 0
+    while at < len(data):
+        to = min(len(data), at + BLOCK_BYTES)
+        while to < len(data) and not SPACE[data[to]]:
+            gap = np.flatnonzero(SPACE[data[to : to + BLOCK_BYTES]])
+            to = min(len(data), to + (int(gap[0]) if len(gap) else BLOCK_BYTES))
+        row, first, after, code = _words(data[at:to], np.clip(starts, at, to) - at)
+        parts.append((row, first + at, after + at, code))
+        at = to
+    return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+
+
+def _words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     if not len(data):
         z = np.zeros(0, np.int64)
         return z, z, z, z.astype(np.uint64)

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.bytetext import BYTE_CODE, mix, slices
+from tessera.llm.bytetext import BLOCK_BYTES, BYTE_CODE, mix, slices
 from tessera.llm.common import release, shuffle_partitions, stored
 
 LEAST = 200
@@ -99,6 +99,17 @@ def anchor_runs(data: np.ndarray, starts: np.ndarray, least: int, k: int) -> tup
     return of, h[anchor].view(np.int64), context.view(np.int64), anchor - base, lo - base, hi - base
 
 
+def block_runs(data: np.ndarray, starts: np.ndarray, least: int, k: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """``anchor_runs`` of short texts at once, of a long one by blocks. A run that a block's end cuts is two; factors are compared whatever run they are in."""
+    if len(data) <= 2 * BLOCK_BYTES or len(starts) != 2:
+        yield anchor_runs(data, starts, least, k)
+        return
+    for at in range(0, len(data) - least + 1, BLOCK_BYTES):
+        part = data[at : at + BLOCK_BYTES + least - 1]
+        of, a, t, anchor, lo, hi = anchor_runs(part, np.array([0, len(part)]), least, k)
+        yield of, a, t, anchor + at, lo + at, hi + at
+
+
 def previous_factors(contexts: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(context, offset, earlier, later) of each factor of ``contexts`` that has an equal one: whether one comes before it and after it. Contexts are in order of place."""
     data = np.frombuffer(b"".join(contexts), np.uint8)
@@ -147,8 +158,9 @@ def runs(docs: DataFrame, least: int = LEAST) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, starts in slices(batch):
-                of, a, t, _, lo, hi = anchor_runs(data, starts, least, K)
-                if len(of):
+                for of, a, t, _, lo, hi in block_runs(data, starts, least, K):
+                    if len(of) == 0:
+                        continue
                     yield pa.RecordBatch.from_arrays([pa.array(part.column(0).to_numpy()[of]), pa.array(a), pa.array(t), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], ["row", "a", "t", "lo", "hi"])
 
     return _rows(docs).mapInArrow(run, "row long, a long, t long, lo int, hi int")

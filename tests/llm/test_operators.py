@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
-from tessera.llm import bayes_minhash, contextual_pii, hilbert_shards, line_quality, lpf_dedup, quality_classifier, secret_ledger, soft_mixing, tier_packing, vantage_search  # noqa: E402
+from tessera.llm import bayes_minhash, bytetext, contextual_pii, hilbert_shards, line_quality, lpf_dedup, quality_classifier, secret_ledger, soft_mixing, tier_packing, vantage_search  # noqa: E402
 from tessera.llm.bytetext import words  # noqa: E402
 from tessera.llm.shingles import shingle_sets  # noqa: E402
 
@@ -93,6 +93,22 @@ def test_words_and_shingles():
     assert np.bincount(at, minlength=len(texts)).tolist() == [len(brute.shingles(t)) for t in texts]
 
 
+def test_long_texts_by_blocks(monkeypatch):
+    rng = np.random.default_rng(4)
+    data = rng.choice(np.frombuffer(b"abcdefgh \n", np.uint8), 30_000)
+    data[5000:9000] = ord("x")  # a word longer than a block
+    data[20_000:22_000] = data[1000:3000]
+    starts = np.array([0, 700, 700, 29_000, 30_000])
+    whole, one = words(data, starts), np.array([0, len(data)])
+    runs = [np.concatenate(c) for c in zip(*lpf_dedup.block_runs(data, one, 200, 20), strict=True)]
+    for module in (bytetext, lpf_dedup):
+        monkeypatch.setattr(module, "BLOCK_BYTES", 1500)
+    assert all((a == b).all() for a, b in zip(whole, words(data, starts), strict=True))
+    parts = [np.concatenate(c) for c in zip(*lpf_dedup.block_runs(data, one, 200, 20), strict=True)]
+    factors = lambda r: {(int(a), p) for a, lo, hi in zip(r[1], r[4], r[5], strict=True) for p in range(lo, hi + 1)}
+    assert factors(runs) == factors(parts) and len(factors(runs)) == len(data) - 199
+
+
 def test_hilbert_curve_is_a_walk():
     for dims, bits in ((2, 4), (3, 3)):
         axes = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims, indexing="ij")).reshape(dims, -1)
