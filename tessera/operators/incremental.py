@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -42,20 +45,26 @@ def all_written(outcomes: DataFrame, unit: str, ok: str) -> DataFrame:
 
 
 def rate_limit(events: DataFrame, key: str, ts_ms: str, order: str, limit: int, window_ms: int) -> DataFrame:
-    """Each event with its place in its key's window, whether it is allowed and, if not, the seconds to wait. A window opens at the first event after the last one closed; rejected events count. State runs over one key's ordered events."""
-    seq = events.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(ts_ms).alias("t"), F.col(order).alias("o")))).alias("seq"))
-    zero = F.struct(F.lit(None).cast("long").alias("open"), F.lit(0).alias("n"), F.array().cast("array<struct<o:bigint,n:int,open:bigint,t:bigint>>").alias("out"))
-
-    def step(s, e):
-        fresh = s["open"].isNull() | (e["t"] - s["open"] >= window_ms)
-        opened, n = F.when(fresh, e["t"]).otherwise(s["open"]), F.when(fresh, F.lit(1)).otherwise(s["n"] + 1)
-        row = F.struct(e["o"].cast("long").alias("o"), n.alias("n"), opened.alias("open"), e["t"].alias("t"))
-        return F.struct(opened.alias("open"), n.alias("n"), F.concat(s["out"], F.array(row)).alias("out"))
-
-    rows = seq.select(key, F.explode(F.aggregate("seq", zero, step)["out"]).alias("r"))
-    allowed = F.col("r.n") <= limit
-    wait = F.ceil((F.col("r.open") + window_ms - F.col("r.t")) / 1000)
-    return rows.select(key, F.col("r.o").alias(order), F.col("r.n").alias("count"), allowed.alias("allowed"), F.when(~allowed, wait).cast("long").alias("retry_after_s"))
+    """Each event with its place in its key's window, whether it is allowed and, if not, the seconds to wait. A window opens at the first event after the last one closed; rejected events count. A key's events pass one task in order, and its state is two numbers, however many they are."""
+    kind = events.schema[key].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        who, opened, n = object(), 0, 0
+        for frame in frames:
+            counts, opens = [], []
+            for k, t in zip(frame[key], frame[ts_ms], strict=True):
+                if k != who or t - opened >= window_ms:
+                    who, opened, n = k, t, 0
+                n += 1
+                counts.append(n)
+                opens.append(opened)
+            yield pd.DataFrame({key: frame[key], order: frame[order], "count": counts, "opened": opens, "ms": frame[ts_ms]})
+
+    sorted_ = events.where(F.col(key).isNotNull() & F.col(ts_ms).isNotNull()).select(key, F.col(ts_ms).cast("long").alias(ts_ms), F.col(order).cast("long").alias(order)).repartition(key).sortWithinPartitions(key, ts_ms, order)
+    rows = sorted_.mapInPandas(run, f"{key} {kind}, {order} long, count int, opened long, ms long")
+    allowed = F.col("count") <= limit
+    wait = F.ceil((F.col("opened") + window_ms - F.col("ms")) / 1000)
+    return rows.select(key, order, "count", allowed.alias("allowed"), F.when(~allowed, wait).cast("long").alias("retry_after_s"))
 
 
 def failure_runs(events: DataFrame, key: str, order: str, failed: Column, least: int = 8) -> DataFrame:
