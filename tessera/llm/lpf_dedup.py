@@ -246,12 +246,13 @@ def _hot(contexts: DataFrame, least: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, least: int = LEAST, keep: str = "none") -> DataFrame:
     """row and the spans of bytes to remove, of every row that has any; spans may overlap."""
     all_runs = stored(runs(docs, least), "op4-runs")
-    often = all_runs.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+    # the counts are stored so that both sides of the join come from plain shuffles, whose hot keys Spark can split
+    often = stored(all_runs.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"), "op4-often")
     live = stored(all_runs.join(often, "a"), "op4-live")
-    release(all_runs)
+    release(all_runs, often)
     first = F.min(F.struct("row", "lo", "hi")).alias("first")
     kinds = stored(live.groupBy("a", "t").agg(F.count("*").alias("n"), first), "op4-kinds")
-    several = kinds.groupBy("a").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    several = stored(kinds.groupBy("a").agg(F.count("*").alias("kinds")).where("kinds > 1"), "op4-several")
     wanted = kinds.join(several, "a").select("a", "t", "first.row", "first.lo", "first.hi", "kinds")
     contexts = stored(_contexts(docs, wanted, least), "op4-contexts")
     matched = _matched(contexts.where(F.col("kinds") <= HOT), least).unionByName(_hot(contexts.where(F.col("kinds") > HOT), least))
@@ -260,7 +261,7 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, keep: str = "none") -> D
     chosen = F.when(F.col("n") > 1, F.col("all")).otherwise(F.col("some")) if keep == "none" else F.when(F.col("is_first"), F.col("earlier")).otherwise(F.col("all"))
     placed = at.select("row", "lo", F.explode(chosen).alias("x")).select("row", F.struct((F.col("lo") + F.col("x.s")).alias("s"), (F.col("lo") + F.col("x.e")).alias("e")).alias("x"))
     spans = stored(placed.groupBy("row").agg(F.collect_list("x").alias("spans")), "op4-spans")
-    release(live, kinds, contexts, verdict)
+    release(live, kinds, several, contexts, verdict)
     return spans
 
 
