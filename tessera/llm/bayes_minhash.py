@@ -242,17 +242,19 @@ def near_duplicates(docs: DataFrame, similar: int = SIMILAR, miss: float = MISS)
     sets = rows.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2")
     classes = stored(sets.agg(F.min("doc_id").alias("id"), F.min("sig").alias("sig")), "op8-classes")
     keys = bands(classes)
-    shared = stored(keys.join(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key"), "op8-shared")
+    # grouped sides are stored before they are joined, so that both sides come from plain shuffles, whose hot keys Spark can split
+    sizes = stored(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "op8-sizes")
+    shared = stored(keys.join(sizes, "key"), "op8-shared")
     wanted = shared.select("id").distinct()
     texts = stored(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(wanted, "id", "left_semi"), "op8-texts")
 
     weight = shared.groupBy("id").agg(F.sum("size").alias("weight"))
-    pivots = shared.join(weight, "id").groupBy("key").agg((-F.max(F.struct("weight", -F.col("id"))).getField("col2")).alias("pivot"))
+    pivots = stored(shared.join(weight, "id").groupBy("key").agg((-F.max(F.struct("weight", -F.col("id"))).getField("col2")).alias("pivot")), "op8-pivots")
     dealt = stored(shared.select("key", "band", "id").join(pivots, "key"), "op8-dealt")
     stars = dealt.where("pivot <> id").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     pairs = stored(pruned(stars, classes, similar, miss), "op8-pairs")
     links = stored(verified(pairs, texts, similar), "op8-links")
-    release(shared, pairs)
+    release(sizes, shared, pivots, pairs)
 
     label = components(links)
     of_id, of_pivot = label.select("id", F.col("label").alias("own")), label.select(F.col("id").alias("pivot"), F.col("label").alias("its"))
