@@ -88,7 +88,7 @@ def judge(docs: DataFrame, host: str = "source", least_docs: int = LEAST_DOCS, s
     lines = own.select("row", "host", "text_hash", F.explode("lines").alias("l")).select("row", "host", "text_hash", F.col("l.h").alias("h"), F.col("l.n").alias("n"))
     held = lines.groupBy("host", "h").agg(F.countDistinct("text_hash").alias("docs")).where(F.col("docs") > least_docs)
     of_host = own.groupBy("host").agg(F.countDistinct("text_hash").alias("all"))
-    common = held.join(of_host, "host").where(F.col("docs") > share * F.col("all")).select("host", "h")
+    common = stored(held.join(of_host, "host").where(F.col("docs") > share * F.col("all")).select("host", "h"), "op7-common")  # stored, so that Spark can split a hot line in the next join
     taken = lines.join(common, ["host", "h"]).groupBy("row").agg(F.sum("n").alias("taken"))
     whole = F.aggregate("lines", F.lit(0).cast("long"), lambda s, x: s + x["n"])
     left = F.when(whole > 0, 1 - F.coalesce("taken", F.lit(0)) / whole).otherwise(1.0)
