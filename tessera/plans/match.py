@@ -10,6 +10,7 @@ from tessera.operators.graph import components
 from tessera.operators.relational import top_per_key
 from tessera.operators.similarity import jaccard_pairs
 from tessera.plans.registry import query, table
+from tessera.storage import stored
 
 _R4 = "floor(({}) * 10000 + 0.5) / 10000"
 # The fold of names, said in SQL: accents off, then the letters that have none.
@@ -28,14 +29,18 @@ c AS (SELECT DISTINCT x.id AS a, y.id AS b FROM t x JOIN p USING (item) JOIN t y
 s AS (SELECT a, b, count(*) AS shared FROM c JOIN t x ON x.id = a JOIN t y ON y.id = b AND x.item = y.item GROUP BY 1, 2)
 SELECT a, b, shared, {_R4.format("shared / (na.n + nb.n - shared)")} AS jaccard FROM s JOIN n na ON na.id = a JOIN n nb ON nb.id = b WHERE shared / (na.n + nb.n - shared) >= 0.5""")
 def token_jaccard_blocked(spark, d):
-    docs = table(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"), X.tokens(F.col("text"), 3).alias("items"))
-    t = docs.select("id", F.explode("items").alias("item"))
-    rare = t.groupBy("item").agg(F.count("*").alias("n")).where("n between 2 and 8").select("item")
+    words = X.tokens(F.col("text"), 3)
+    docs = stored(table(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"), F.transform(words, lambda w: F.xxhash64(w)).alias("items")), "tokens")
+    t = docs.select("id", F.size("items").alias("n"), F.explode("items").alias("item"))
+    rare = t.groupBy("item").agg(F.count("*").alias("ids")).where("ids between 2 and 8").select("item")
     block = t.join(rare, "item")
-    pairs = block.select("item", F.col("id").alias("a")).join(block.select("item", F.col("id").alias("b")), "item").where("a < b").select("a", "b").distinct()
+    side = lambda x: block.select("item", F.col("id").alias(x), F.col("n").alias(f"n{x}"))
+    # at least half in common means that the smaller set has at least half the size of the larger one
+    pairs = side("a").join(side("b"), "item").where("a < b and 2 * least(na, nb) >= greatest(na, nb)").select("a", "b").distinct()
     both = pairs.join(docs.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(docs.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
-    j = X.jaccard(F.col("x"), F.col("y"))
-    return both.where(j >= 0.5).select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("shared"), X.round4(j).alias("jaccard"))
+    counted = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("shared"), F.size("x").alias("na"), F.size("y").alias("nb"))
+    j = F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
+    return counted.where(j >= 0.5).select("a", "b", "shared", X.round4(j).alias("jaccard"))
 
 
 def _name_pairs(spark, d):
