@@ -41,7 +41,7 @@ SIMILAR = 75
 HASHES = 540
 BANDS, BAND = 54, 6
 BATCH = 36
-MISS = 1e-6
+MISS = 1e-7
 #: Members, and shingles of theirs, that one task compares with a pivot.
 MEMBERS, SHINGLES = 256, 1 << 21
 _U = np.uint64
