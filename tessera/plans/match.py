@@ -8,7 +8,7 @@ from tessera.functions import text as X
 from tessera.operators import matching as M
 from tessera.operators.graph import components
 from tessera.operators.relational import top_per_key
-from tessera.operators.similarity import jaccard_pairs
+from tessera.operators.similarity import half_alike, jaccard_pairs
 from tessera.plans.registry import query, table
 from tessera.storage import stored
 
@@ -43,6 +43,15 @@ def token_jaccard_blocked(spark, d):
     return counted.where(j >= 0.5).select("a", "b", "shared", X.round4(j).alias("jaccard"))
 
 
+@query(f"""WITH t AS (SELECT DISTINCT doc_id AS id, unnest(regexp_extract_all({_FOLD.format('text')}, '([a-z0-9]{{3,}})', 1)) AS item FROM documents), n AS (SELECT id, count(*) AS n FROM t GROUP BY id),
+s AS (SELECT x.id AS a, y.id AS b, count(*) AS shared FROM t x JOIN t y ON x.item = y.item AND x.id < y.id GROUP BY 1, 2)
+SELECT a, b, shared, {_R4.format("shared / (na.n + nb.n - shared)")} AS jaccard FROM s JOIN n na ON na.id = a JOIN n nb ON nb.id = b WHERE shared / (na.n + nb.n - shared) >= 0.5""")
+def token_jaccard_all(spark, d):
+    """All pairs of all languages; ``token_jaccard_blocked`` is bound to its SQL's cap."""
+    words = F.transform(X.tokens(F.col("text"), 3), lambda w: F.xxhash64(w))
+    return half_alike(table(spark, d, "documents").select(F.col("doc_id").alias("id"), words.alias("items"))).withColumn("jaccard", X.round4(F.col("jaccard")))
+
+
 def _name_pairs(spark, d):
     names = table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
     blocks = names.withColumn("keys", M.block_keys(F.col("name"), 1, 3))
