@@ -10,7 +10,7 @@ from tessera.functions import times as T
 from tessera.functions import urls as U
 from tessera.operators import curation as C
 from tessera.operators.relational import orphans
-from tessera.plans.registry import query, table
+from tessera.plans.registry import ORACLE_SQL, query, table
 
 _R4 = "floor(({}) * 10000 + 0.5) / 10000"
 _STAGED = "staged AS (SELECT event_id AS id, user_id AS owner, event_type AS platform, 'u' || CAST(floor(value / 4) AS BIGINT) AS url, ts AS seen FROM events WHERE event_id % 3 > 0)"
@@ -41,8 +41,16 @@ CASE WHEN event_id % 4 = 0 THEN 'v' || event_id ELSE 'u' || event_id END AS new_
 j AS (SELECT r.*, held_url, held_by, r.new_platform <> r.platform OR r.new_url <> r.url AS moves, coalesce(held_by <> id, false) AS taken, row_number() OVER (PARTITION BY owner, r.new_platform ORDER BY CASE WHEN r.new_platform <> r.platform OR r.new_url <> r.url THEN 1 ELSE 0 END, id) AS claim FROM r LEFT JOIN h USING (owner, new_platform))
 SELECT id, CASE WHEN NOT moves THEN 'unchanged' WHEN new_platform = 'odd' THEN 'unknown-platform' WHEN taken AND held_url = new_url THEN 'duplicate' WHEN taken OR claim > 1 THEN 'collision' ELSE 'updated' END AS decision FROM j""")
 def link_decisions(spark, d):
+    return _decisions(spark, table(spark, d, "events").where("event_id < 600"))
+
+
+@query(ORACLE_SQL["link_decisions"].replace(" WHERE event_id < 600", ""))
+def link_decisions_all(spark, d):
+    return _decisions(spark, table(spark, d, "events"))
+
+
+def _decisions(spark, e):
     i = F.col("event_id")
-    e = table(spark, d, "events").where("event_id < 600")
     own = F.concat(F.lit("u"), i.cast("string"))
     place = F.when(i % 5 == 0, "error").when(i % 7 == 0, "new").when(i % 11 == 0, "odd").otherwise(F.col("event_type"))
     rows = e.select(i.alias("id"), F.col("user_id").alias("owner"), F.col("event_type").alias("platform"), own.alias("url"), place.alias("new_platform"), F.when(i % 4 == 0, F.concat(F.lit("v"), i.cast("string"))).otherwise(own).alias("new_url"))
@@ -147,7 +155,15 @@ _STOP = "('the', 'and', 'for', 'with', 'from', 'that', 'this', 'of', 'a', 'an',
 @query(f"""WITH w AS (SELECT doc_id, list_filter(list_distinct(regexp_extract_all(replace(replace(strip_accents(lower(text)), 'ß', 'ss'), 'ø', 'o'), '([a-z0-9]{{4,}})', 1)), lambda x: x NOT IN {_STOP}) AS w FROM documents WHERE lang = 'en' AND doc_id < 400)
 SELECT a.doc_id, {_R4.format("len(list_intersect(a.w, b.w)) / len(a.w)")} AS coverage FROM w a JOIN w b ON b.doc_id = a.doc_id + 1 WHERE len(a.w) > 0""")
 def bio_coverage(spark, d):
-    docs = table(spark, d, "documents").where("lang = 'en' and doc_id < 400").select("doc_id", "text")
+    return _coverage(table(spark, d, "documents").where("lang = 'en' and doc_id < 400").select("doc_id", "text"))
+
+
+@query(ORACLE_SQL["bio_coverage"].replace(" WHERE lang = 'en' AND doc_id < 400", "").replace("'ø', 'o')", "'ø', 'o'), 'æ', 'ae'), 'œ', 'oe'), 'ł', 'l')").replace("replace(replace(strip", "replace(replace(replace(replace(replace(strip"))
+def bio_coverage_all(spark, d):
+    return _coverage(table(spark, d, "documents").select("doc_id", "text"))
+
+
+def _coverage(docs):
     nxt = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other"))
     out = docs.join(nxt, "doc_id").select("doc_id", X.round4(S.text_coverage(F.col("text"), F.col("other"))).alias("coverage"))
     return out.where("coverage is not null")
@@ -173,8 +189,17 @@ def nested_top_three(spark, d):
 
 @query("SELECT event_id, ts AS at, ts - INTERVAL 7 DAYS AS rewound, ts + INTERVAL 48 HOURS AS expires FROM (SELECT event_id, date_trunc('second', ts) AS ts FROM events WHERE event_id < 500)")
 def naive_timestamps(spark, d):
+    return _naive(table(spark, d, "events").where("event_id < 500"))
+
+
+@query(ORACLE_SQL["naive_timestamps"].replace(" WHERE event_id < 500", ""))
+def naive_timestamps_all(spark, d):
+    return _naive(table(spark, d, "events"))
+
+
+def _naive(events):
     said = F.date_format(F.col("ts"), "yyyy-MM-dd'T'HH:mm:ss")
-    e = table(spark, d, "events").where("event_id < 500").select("event_id", T.naive(said).alias("at"))
+    e = events.select("event_id", T.naive(said).alias("at"))
     return e.select("event_id", "at", T.rewind(F.col("at"), 7).alias("rewound"), T.expires(F.col("at")).alias("expires"))
 
 

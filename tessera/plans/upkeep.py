@@ -10,7 +10,7 @@ from tessera.operators import incremental as I
 from tessera.operators import reconcile as C
 from tessera.operators.graph import closure
 from tessera.operators.relational import priority_union, top_per_key
-from tessera.plans.registry import query, table
+from tessera.plans.registry import ORACLE_SQL, query, table
 
 _COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]
 _OLD = "old AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 3 <> 0)"
@@ -157,7 +157,16 @@ def fixed_window_rate_limit(spark, d):
 @query("""WITH s AS (SELECT o_orderkey, l_suppkey, p_brand FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE o_orderkey % 10 = 0 AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_suppkey IN (1, 2, 3)))
 SELECT DISTINCT x.l_suppkey AS supplier, y.p_brand AS brand FROM s x JOIN s y USING (o_orderkey)""")
 def array_overlap_fanout(spark, d):
-    lines = table(spark, d, "lineitem").where("l_orderkey % 10 = 0").join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
+    return _fanout(spark, d, table(spark, d, "lineitem").where("l_orderkey % 10 = 0"))
+
+
+@query(ORACLE_SQL["array_overlap_fanout"].replace("o_orderkey % 10 = 0 AND ", ""))
+def array_overlap_all(spark, d):
+    return _fanout(spark, d, table(spark, d, "lineitem"))
+
+
+def _fanout(spark, d, lines):
+    lines = lines.join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
     sets = lines.groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("suppliers"), F.collect_set("p_brand").alias("brands"))
     wanted = sets.where(F.arrays_overlap("suppliers", F.array(*[F.lit(x).cast("long") for x in (1, 2, 3)])))
     known = wanted.join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")

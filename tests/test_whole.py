@@ -44,3 +44,17 @@ def test_copies_beyond_the_cap_are_paired(spark, tmp_path):
     found, want = both(spark, tmp_path, "token_jaccard_all", documents=spark.createDataFrame(texts, "doc_id long, text string, lang string"))
     assert found == want and len(found) == 12 * 11 / 2 + 12
     assert catalog.QUERIES["token_jaccard_blocked"](spark, str(tmp_path)).count() == 0
+
+
+def test_no_rows_are_left_by_their_ids(spark, tmp_path):
+    at = [(i, 1 + i // 4, ("click", "view")[i % 2], f"2024-01-01 00:00:{i % 60:02}") for i in range(590, 640)]
+    events = spark.createDataFrame(at, "event_id long, user_id long, event_type string, ts string").selectExpr("event_id", "user_id", "event_type", "cast(ts as timestamp_ntz) as ts")
+    for name in ("link_decisions_all", "naive_timestamps_all"):
+        found, want = both(spark, tmp_path / name, name, events=events)
+        assert found == want and len(found) == 50
+    docs = spark.createDataFrame([(i, f"œuvre {'gamma ' * (i % 2)}delta epsilon {i}", "fr") for i in range(500, 510)], "doc_id long, text string, lang string")
+    found, want = both(spark, tmp_path / "docs", "bio_coverage_all", documents=docs)
+    assert found == want and len(found) == 9
+    lines = spark.createDataFrame([(k, s, 7) for k in (1, 11, 20) for s in (1, 8 + k)], "l_orderkey long, l_suppkey long, l_partkey long")
+    found, want = both(spark, tmp_path / "lines", "array_overlap_all", lineitem=lines, orders=lines.selectExpr("l_orderkey as o_orderkey").distinct(), part=spark.createDataFrame([(7, "b")], "p_partkey long, p_brand string"))
+    assert found == want == [(1, "b"), (19, "b"), (28, "b"), (9, "b")]
