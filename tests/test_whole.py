@@ -58,3 +58,9 @@ def test_no_rows_are_left_by_their_ids(spark, tmp_path):
     lines = spark.createDataFrame([(k, s, 7) for k in (1, 11, 20) for s in (1, 8 + k)], "l_orderkey long, l_suppkey long, l_partkey long")
     found, want = both(spark, tmp_path / "lines", "array_overlap_all", lineitem=lines, orders=lines.selectExpr("l_orderkey as o_orderkey").distinct(), part=spark.createDataFrame([(7, "b")], "p_partkey long, p_brand string"))
     assert found == want == [(1, "b"), (19, "b"), (28, "b"), (9, "b")]
+
+
+def test_queries_meet_smaller_ids(spark, tmp_path):
+    e = spark.createDataFrame([(i, i // 100, [1.0, float(i)]) for i in (3, 20, 40, 45, 140)], "vec_id long, label long, embedding array<float>")
+    found, want = both(spark, tmp_path, "embedding_cosine_all", embeddings=e)
+    assert found == want and [r[:2] for r in found] == [(20, 3), (20, 40), (20, 45), (40, 3), (40, 45)]
