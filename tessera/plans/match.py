@@ -23,6 +23,14 @@ def search_key_fold(spark, d):
     return table(spark, d, "documents").select("doc_id", F.left(X.search_key(F.col("text")), F.lit(200)).alias("search_key"))
 
 
+_KEY = f"nullif(regexp_replace({_FOLD.format('text')}, '[^a-z0-9]', '', 'g'), '')"
+
+
+@query(f"SELECT doc_id, {_KEY} AS search_key FROM documents")
+def search_key_all(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.search_key(F.col("text")).alias("search_key"))
+
+
 @query(f"""WITH t AS (SELECT DISTINCT doc_id AS id, unnest(regexp_extract_all({_FOLD.format('text')}, '([a-z0-9]{{3,}})', 1)) AS item FROM documents WHERE lang = 'en'),
 p AS (SELECT item FROM t GROUP BY item HAVING count(*) BETWEEN 2 AND 8), n AS (SELECT id, count(*) AS n FROM t GROUP BY id),
 c AS (SELECT DISTINCT x.id AS a, y.id AS b FROM t x JOIN p USING (item) JOIN t y USING (item) WHERE x.id < y.id),
@@ -119,6 +127,17 @@ def cascade_match(spark, d):
     return M.cascade(keys(table(spark, d, "benchmark"), "item_id", "item_id"), keys(table(spark, d, "documents"), "doc_id", "id"), "item_id", [("digest", "digest"), ("start", "start")])
 
 
+@query(f"""WITH pool AS (SELECT doc_id AS id, md5(text) AS digest, md5({_KEY}) AS folded FROM documents), req AS (SELECT item_id, md5(text) AS digest, md5({_KEY}) AS folded FROM benchmark),
+d AS (SELECT item_id, count(DISTINCT id) AS n, min(id) AS m FROM req JOIN pool USING (digest) GROUP BY 1),
+s AS (SELECT item_id, count(DISTINCT id) AS n, min(id) AS m FROM req r JOIN pool USING (folded) WHERE item_id NOT IN (SELECT item_id FROM d) GROUP BY 1)
+SELECT item_id, CASE WHEN d.n = 1 THEN 'digest' WHEN d.n > 1 THEN 'digest_ambiguous' WHEN s.n = 1 THEN 'folded' WHEN s.n > 1 THEN 'folded_ambiguous' ELSE 'unmatched' END AS method,
+CASE WHEN d.n = 1 THEN d.m WHEN d.n IS NULL AND s.n = 1 THEN s.m END AS matched_id, coalesce(d.n, s.n, 0) AS candidates FROM req LEFT JOIN d USING (item_id) LEFT JOIN s USING (item_id)""")
+def cascade_match_all(spark, d):
+    """The second key is of the whole folded text."""
+    keys = lambda f, i, n: f.select(F.col(i).alias(n), F.md5("text").alias("digest"), F.md5(X.search_key(F.col("text"))).alias("folded"))
+    return M.cascade(keys(table(spark, d, "benchmark"), "item_id", "item_id"), keys(table(spark, d, "documents"), "doc_id", "id"), "item_id", [("digest", "digest"), ("folded", "folded")])
+
+
 @query("""WITH q(q, ours) AS (VALUES (1, 'red bolt'), (2, 'blue gear'), (3, 'small zzz'), (4, 'hot rod')), n AS (SELECT p_name AS name, min(p_partkey) AS id FROM part GROUP BY 1),
 c AS (SELECT q, ours, name, id, CASE WHEN split_part(name, ' ', 1) = split_part(ours, ' ', 1) THEN 0.96 ELSE 0.5 END AS score FROM q, n WHERE split_part(name, ' ', 1) = split_part(ours, ' ', 1) OR split_part(name, ' ', 2) = split_part(ours, ' ', 2)),
 t AS (SELECT *, name = ours AS exact, length(name) AS len FROM c QUALIFY score = max(score) OVER (PARTITION BY q)),

@@ -64,3 +64,14 @@ def test_queries_meet_smaller_ids(spark, tmp_path):
     e = spark.createDataFrame([(i, i // 100, [1.0, float(i)]) for i in (3, 20, 40, 45, 140)], "vec_id long, label long, embedding array<float>")
     found, want = both(spark, tmp_path, "embedding_cosine_all", embeddings=e)
     assert found == want and [r[:2] for r in found] == [(20, 3), (20, 40), (20, 45), (40, 3), (40, 45)]
+
+
+def test_keys_are_of_whole_texts(spark, tmp_path):
+    start = "the very same opening " * 20
+    texts = [(1, start + "One"), (2, start + "Two!"), (3, "Another text"), (4, "?!"), (5, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    found, want = both(spark, tmp_path / "keys", "search_key_all", documents=docs)
+    assert found == want and len({k for _, k in found if k}) == 3
+    asked = spark.createDataFrame([(1, start + "two"), (2, start + "Three"), (3, "Another text"), (4, "!?")], "item_id long, text string")
+    found, want = both(spark, tmp_path / "match", "cascade_match_all", documents=docs, benchmark=asked)
+    assert found == want == [(1, "folded", 2, 1), (2, "unmatched", None, 0), (3, "digest", 3, 1), (4, "unmatched", None, 0)]
