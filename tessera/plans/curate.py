@@ -115,6 +115,16 @@ def related_to_edges(spark, d):
     return C.related_edges(lines.join(own, "l_orderkey").select("owner", "members", "groups"), ids)
 
 
+@query(ORACLE_SQL["related_to_edges"].replace(" WHERE l_linenumber <= 2", "").replace(" WHERE s_suppkey < 97", ""))
+def related_edges_all(spark, d):
+    """All lines, those of odd number as members, and all suppliers."""
+    odd = F.col("l_linenumber") % 2 == 1
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.when(odd, F.col("l_suppkey"))).alias("members"), F.collect_list(F.when(~odd, F.col("l_suppkey"))).alias("groups"))
+    own = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_orderkey") % 97).alias("owner"))
+    ids = table(spark, d, "supplier").select(F.col("s_suppkey").alias("external"), F.col("s_suppkey").alias("id"))
+    return C.related_edges(lines.join(own, "l_orderkey").select("owner", "members", "groups"), ids)
+
+
 @query("""WITH f AS (SELECT p_brand AS owner, CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE p_name END AS name, replace(p_name, ' ', '') AS key FROM part), k AS (SELECT DISTINCT p_brand AS owner, replace(p_name, ' ', '') AS key FROM part WHERE p_size = 7)
 SELECT owner, min(name) AS name FROM f WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.owner = f.owner AND k.key = f.key) GROUP BY owner, key""")
 def alias_picker(spark, d):

@@ -9,7 +9,7 @@ from tessera.operators import matching as M
 from tessera.operators.graph import components
 from tessera.operators.relational import top_per_key
 from tessera.operators.similarity import half_alike, jaccard_pairs
-from tessera.plans.registry import query, table
+from tessera.plans.registry import ORACLE_SQL, query, table
 from tessera.storage import stored
 
 _R4 = "floor(({}) * 10000 + 0.5) / 10000"
@@ -184,8 +184,17 @@ def fixpoint_components(spark, d):
 n AS (SELECT id, count(*) AS n FROM c GROUP BY 1), s AS (SELECT x.id AS a, y.id AS b, count(*) AS shared FROM c x JOIN c y ON x.item = y.item AND x.id < y.id GROUP BY 1, 2)
 SELECT a, b FROM s JOIN n na ON na.id = a JOIN n nb ON nb.id = b WHERE shared >= 2 AND shared / (na.n + nb.n - shared) >= 0.4""")
 def internal_duplicates(spark, d):
+    return _internal(spark, d, table(spark, d, "orders").where("o_totalprice > 490000"))
+
+
+@query(ORACLE_SQL["internal_duplicates"].replace(" WHERE o_totalprice > 490000", ""))
+def internal_duplicates_all(spark, d):
+    return _internal(spark, d, table(spark, d, "orders"))
+
+
+def _internal(spark, d, orders):
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.concat_ws("/", "c_mktsegment", F.col("c_nationkey").cast("string")).alias("item"))
-    o = table(spark, d, "orders").where("o_totalprice > 490000").select(F.col("o_custkey").alias("id"), F.concat_ws("/", "o_orderpriority", F.year("o_orderdate").cast("string")).alias("item"))
+    o = orders.select(F.col("o_custkey").alias("id"), F.concat_ws("/", "o_orderpriority", F.year("o_orderdate").cast("string")).alias("item"))
     return jaccard_pairs(c.union(o), "id", "item").where("shared >= 2 and jaccard >= 0.4").select("a", "b")
 
 

@@ -6,6 +6,7 @@ import random
 from itertools import combinations
 
 import duckdb
+from pyspark.sql import functions as F
 
 from tessera.operators import similarity
 from tessera.plans import catalog
@@ -75,3 +76,16 @@ def test_keys_are_of_whole_texts(spark, tmp_path):
     asked = spark.createDataFrame([(1, start + "two"), (2, start + "Three"), (3, "Another text"), (4, "!?")], "item_id long, text string")
     found, want = both(spark, tmp_path / "match", "cascade_match_all", documents=docs, benchmark=asked)
     assert found == want == [(1, "folded", 2, 1), (2, "unmatched", None, 0), (3, "digest", 3, 1), (4, "unmatched", None, 0)]
+
+
+def test_no_rows_are_left_by_their_values(spark, tmp_path):
+    orders = spark.createDataFrame([(k, c, "1-URGENT", "O", f"199{y}-01-01", 100.0) for k, (c, y) in enumerate([(1, 5), (2, 5), (1, 6), (2, 6), (3, 7)])], "o_orderkey long, o_custkey long, o_orderpriority string, o_orderstatus string, o_orderdate string, o_totalprice double").withColumn("o_orderdate", F.col("o_orderdate").cast("date"))
+    customer = spark.createDataFrame([(1, "A", 1), (2, "A", 2), (3, "A", 3)], "c_custkey long, c_mktsegment string, c_nationkey int")
+    supplier = spark.createDataFrame([(98, 1), (99, 2)], "s_suppkey long, s_nationkey int")
+    lines = spark.createDataFrame([(0, 98, 1), (0, 99, 3), (4, 98, 4)], "l_orderkey long, l_suppkey long, l_linenumber int")
+    found, want = both(spark, tmp_path / "dup", "internal_duplicates_all", orders=orders, customer=customer)
+    assert found == want == [(1, 2)]
+    found, want = both(spark, tmp_path / "edges", "related_edges_all", orders=orders, lineitem=lines, supplier=supplier)
+    assert found == want == [(0, 98, 1), (0, 99, 1), (4, 98, 1)]
+    found, want = both(spark, tmp_path / "wide", "sim_signals_all", orders=orders, customer=customer, lineitem=lines, supplier=supplier)
+    assert found == want and {r[:2] for r in found if r[2] > 0} == {(1, 2), (1, 3), (2, 3)}
