@@ -3,8 +3,11 @@
 A classifier learnt from a labelled table gives each document posteriors over
 domains. Nonnegative document rates are then fitted by accelerated projected
 gradient descent, so that the expected tokens of each domain, the sum of
-rate x tokens x posterior, meet their targets in the least-squares sense. Each
-round is one distributed sum of as many numbers as there are domains; a
+rate x tokens x posterior, meet their targets in the least-squares sense. Slopes
+are taken in the inverse of the domains' Gram matrix, so that a rare domain moves
+as fast as a common one; where that misses a target, plain slopes are tried too,
+the smaller sum of squares counts, and a warning tells what is missed. Each round
+is one distributed sum of as many numbers as there are domains; a
 document's rate follows from its posteriors and the rounds so far, so no rates
 are kept between rounds.
 
@@ -21,6 +24,7 @@ result; extra columns are carried by ``mix`` and else ignored.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -157,6 +161,7 @@ class Descent:
     step: float
     cap: float
     slopes: list[np.ndarray] = field(default_factory=list)
+    missed: np.ndarray | None = None  # expected tokens less targets, as shares of the budget
 
     def replay(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rates, the point ahead of them where the next slope is taken)."""
@@ -188,24 +193,39 @@ def fit_rates(table: DataFrame, names: list[str], weights: dict[str, float], bud
         return Descent(0.0, cap)
     own, all_ = first[:k], first[:k].sum()
     budget = budget or (own[names.index(anchor)] / w[names.index(anchor)] if anchor else all_)
-    descent = Descent(1 / np.linalg.eigvalsh(first[k:].reshape(k, k) / all_)[-1], cap)
-
-    def expected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 * k)
-        for b in batches:
-            p, n = np.column_stack([b.column(f"p_{x}").to_numpy() for x in names]), b.column("n_tokens").to_numpy().astype(float)
-            r, y = descent.replay(p)
-            total += np.concatenate([(n * y) @ p, (n * r) @ p])
-        yield pa.RecordBatch.from_pydict({"i": np.arange(2 * k), "v": total})
-
-    ahead, now = own, own
-    for _ in range(rounds):
-        descent.slopes.append((ahead - w * budget) / all_)
-        before = now
-        ahead, now = np.split(summed(expected), 2)
-        if max(np.abs(now - w * budget).max(), 0) < tolerance * budget or (len(descent.slopes) > 5 and np.abs(now - before).max() < 0.02 * tolerance * budget):
-            break
-    return descent
+    gram = first[k:].reshape(k, k) / all_
+    size = np.sqrt(np.maximum(np.diag(gram), np.finfo(float).tiny))
+    inverse = np.linalg.pinv(gram / np.outer(size, size), rcond=1e-10, hermitian=True) / np.outer(size, size)
+
+    def descend(descent: Descent, metric: np.ndarray) -> Descent:
+        def expected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(2 * k + 1)
+            for b in batches:
+                p, n = np.column_stack([b.column(f"p_{x}").to_numpy() for x in names]), b.column("n_tokens").to_numpy().astype(float)
+                r, y = descent.replay(p)
+                total += np.concatenate([(n * y) @ p, (n * r) @ p, [n @ np.maximum(-(p @ descent.slopes[-1]), 0)]])
+            yield pa.RecordBatch.from_pydict({"i": np.arange(len(total)), "v": total})
+
+        ahead, now = own, own
+        for _ in range(rounds):
+            descent.slopes.append(metric @ ((ahead - w * budget) / all_))
+            before = now
+            ahead, now, (most,) = np.split(summed(expected), [k, 2 * k])
+            if np.abs(now - w * budget).max() < tolerance * budget or (len(descent.slopes) > 5 and np.abs(now - before).max() < 0.02 * tolerance * budget):
+                break
+            # no rates up to the cap give more along the slope than ``most`` x cap: beyond it the targets can't be met, and plain slopes fit them
+            if metric is inverse and most > 0 and -descent.slopes[-1] @ (w * budget) > most * cap + 1e-9 * budget * np.abs(descent.slopes[-1]).max():
+                break
+        descent.missed = (now - w * budget) / budget
+        return descent
+
+    met = lambda d: np.abs(d.missed).max() < tolerance
+    found = descend(Descent(1.0, cap), inverse)
+    if not met(found):
+        found = min(found, descend(Descent(1 / np.linalg.eigvalsh(gram)[-1], cap), np.eye(k)), key=lambda d: (not met(d), float(d.missed @ d.missed)))
+    if not met(found):
+        warnings.warn(f"rates miss the targets after {len(found.slopes)} rounds, in shares of the budget by " + ", ".join(f"{n} {m:+.5f}" for n, m in zip(names, found.missed, strict=True)), stacklevel=2)
+    return found
 
 
 def rates(table: DataFrame, names: list[str], descent: Descent) -> DataFrame:

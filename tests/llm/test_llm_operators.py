@@ -413,3 +413,23 @@ def test_mixing_draws_by_rate(docs, labels):
     assert out.groupBy("doc_id").count().where("count > 2").isEmpty()
     more = soft_mixing.mix(docs, soft_mixing.domains(labels), budget=1e6)
     assert more.count() > docs.count()
+
+
+def test_rare_domains_meet_their_targets(spark):
+    import pandas as pd
+
+    rng = np.random.default_rng(0)
+    names, w = ["prime", "rough", "toxic"], np.array([0.75, 0.2, 0.05])
+    for share in (1e-2, 1e-3, 1e-4):
+        y = rng.choice(3, 20_000, p=[0.6, 0.4 - share, share])
+        z = rng.normal(0, 1, (len(y), 3))
+        z[np.arange(len(y)), y] += 5
+        p = np.exp(z) / np.exp(z).sum(1, keepdims=True)
+        n = np.round(rng.lognormal(5, 1, len(y))) + 1
+        table = spark.createDataFrame(pd.DataFrame({"doc_id": np.arange(len(y)), "n_tokens": n.astype(int)} | {f"p_{x}": c for x, c in zip(names, p.T, strict=True)}))
+        descent = soft_mixing.fit_rates(table, names, dict(zip(names, w, strict=True)))
+        r, _ = descent.replay(p)
+        assert np.abs((n * r) @ p / n.sum() - w).max() < soft_mixing.TOLERANCE and (r >= 0).all()
+    with pytest.warns(UserWarning, match="miss the targets"):
+        capped = soft_mixing.fit_rates(table, names, dict(zip(names, w, strict=True)), cap=1.0)
+    assert capped.missed[2] < -0.01
