@@ -3,9 +3,10 @@
 Rows of equal shingle sets form a class. Bands of the classes' signatures give
 buckets. In each bucket one member, the one that shares most buckets with
 others, is compared with all; then members that this left in another component
-are compared with the rest of the bucket, block by block within tasks, so no
-pair within a bucket that could join two components goes untested, and only
-pairs that the comparison leaves become rows.
+are compared with the rest of the bucket, block by block within tasks, where
+pairs that the comparison leaves are verified at once and only links that join
+two components become rows. So no pair within a bucket that could join two
+components goes untested.
 
 A pair is compared in batches of BATCH hashes. With a flat prior, m of n equal
 hashes give the posterior Beta(m + 1, n - m + 1); the pair is dropped as soon as
@@ -42,7 +43,7 @@ HASHES = 540
 BANDS, BAND = 54, 6
 BATCH = 36
 MISS = 1e-7
-#: Members, and shingles of theirs, that one task compares with a pivot.
+#: Members that one task compares with a pivot, and shingles of members that it holds at most (more only for a single longer set).
 MEMBERS, SHINGLES = 256, 1 << 21
 _U = np.uint64
 _RNG = np.random.default_rng(8)
@@ -132,25 +133,41 @@ def pruned(pairs: DataFrame, classes: DataFrame, similar: int, miss: float) -> D
     return pairs.join(one, "a").join(two, "b").where(sized).select("a", "b", "nb", "sa", "sb").mapInArrow(run, "a long, b long, nb long").distinct()
 
 
-def crossing(placed: DataFrame, classes: DataFrame, similar: int, miss: float) -> DataFrame:
-    """Pairs (a, b) of different components within a bucket that the comparison leaves. ``placed`` has key, band, id, pivot and the components of both; a pair is a row in the first band that it shares only."""
+def crossing(placed: DataFrame, classes: DataFrame, texts: DataFrame, similar: int, miss: float) -> DataFrame:
+    """Links (a, b) that join components within buckets. ``placed`` has key, band, id, its set size n, pivot and the components of both.
+
+    Buckets of equal members count once. A block of members that stand apart meets a block of the bucket's others in one task, which
+    compares them, confirms what is left on full sets and joins components as it goes; a pair is taken in the first band that it shares
+    only, and a block gives fewer links than it has members."""
     limits = least_matches(similar, miss)
     apart = F.col("own") != F.col("its")
-    blocks = placed.groupBy("key").agg(F.ceil(F.count_if(apart) / APART_BLOCK).cast("int").alias("ub"), F.ceil(F.count("*") / OTHER_BLOCK).cast("int").alias("xb")).where("ub > 0")
-    rows = placed.where("id <> pivot").select("key", "band", "id", "own", apart.alias("apart")).join(blocks, "key").join(classes.select("id", "n", "sig"), "id")
+    blocks = lambda rows, n: F.ceil(F.greatest(F.count_if(rows) / n, F.sum(F.when(rows, F.col("n"))) / SHINGLES)).cast("int")
+    print_ = lambda salt: F.sum(F.xxhash64("id", F.lit(salt)).cast("decimal(20,0)"))
+    others = placed.where("id <> pivot")
+    buckets = others.groupBy("key", "band").agg(blocks(apart, APART_BLOCK).alias("ub"), blocks(F.lit(True), OTHER_BLOCK).alias("xb"), F.count("*").alias("members"), print_(0).alias("m1"), print_(1).alias("m2"), (F.min("own") < F.max("own")).alias("several"))
+    once = buckets.where("ub > 0 and several").groupBy("members", "m1", "m2").agg(F.min(F.struct("band", "key", "ub", "xb")).alias("least")).select("least.key", "least.ub", "least.xb")
+    # stored, so that both sides of the join come from plain shuffles, whose hot keys Spark can split
+    once = stored(once, "op8-buckets")
+    chosen = stored(others.select("key", "band", "id", "own", apart.alias("apart")).join(once, "key"), "op8-chosen")
+    wanted = chosen.select("id").distinct()
+    sets = stored(classes.select("id", "n", "sig").join(wanted, "id", "left_semi").join(texts, "id"), "op8-sets")
+    rows = chosen.join(sets, "id")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     one = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    columns = ["id", "own", "apart", "n", "band", "sig"]
+    columns = ["id", "own", "apart", "n", "band", "sig", "text"]
     left = rows.where("apart").select("key", one("ub").alias("u"), every("xb").alias("x"), F.lit(True).alias("left"), *columns)
     right = rows.select("key", every("ub").alias("u"), one("xb").alias("x"), F.lit(False).alias("left"), *columns)
 
-    def compare(g: pa.Table, out: list) -> None:
-        side = g.column("left").to_numpy()
-        ids, own, away, n = (g.column(c).to_numpy() for c in ("id", "own", "apart", "n"))
+    def compare(g: pa.Table) -> list[tuple[int, int]]:
+        side, away = g.column("left").to_numpy(), g.column("apart").to_numpy()
+        ids, n = g.column("id").to_numpy(), g.column("n").to_numpy()
+        _, label = np.unique(g.column("own").to_numpy(), return_inverse=True)
+        if label.max() == 0:
+            return []
         sig = np.frombuffer(b"".join(g.column("sig").to_pylist()), "<u2").reshape(-1, HASHES)
-        band, rest = g.column("band")[0].as_py(), np.flatnonzero(~side)
+        band, rest, full, links = g.column("band")[0].as_py(), np.flatnonzero(~side), FullSets(g.column("text")), []
         for k in np.flatnonzero(side):
-            fits = (own[rest] != own[k]) & (~away[rest] | (ids[rest] > ids[k])) & (100 * np.minimum(n[rest], n[k]) >= similar * np.maximum(n[rest], n[k]))
+            fits = (label[rest] != label[k]) & (~away[rest] | (ids[rest] > ids[k])) & (100 * np.minimum(n[rest], n[k]) >= similar * np.maximum(n[rest], n[k]))
             live, seen = rest[fits], 0
             equal = np.zeros(len(live), np.int64)
             for upto, least in limits:
@@ -162,17 +179,22 @@ def crossing(placed: DataFrame, classes: DataFrame, similar: int, miss: float) -
             if len(live):
                 shared = (sig[live, : BANDS * BAND] == sig[k, : BANDS * BAND]).reshape(len(live), -1, BAND).all(2)
                 live = live[shared.argmax(1) == band]
-                out.append((np.full(len(live), ids[k]), ids[live], n[live]))
+            while len(live):
+                some, live = live[:64], live[64:]
+                for b in some[full.similar(k, some, similar)]:
+                    if label[b] != label[k]:
+                        links.append((ids[k], ids[b]))
+                        label[label == label[b]] = label[k]
+                live = live[label[live] != label[k]]
+        return links
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         last = None
 
-        def close() -> Iterator[pa.RecordBatch]:
-            out: list = []
-            compare(pa.Table.from_batches(held).combine_chunks(), out)
-            for a, b, nb in out:
-                yield pa.RecordBatch.from_pydict({"a": a, "b": b, "nb": nb})
+        def close() -> pa.RecordBatch:
+            links = compare(pa.Table.from_batches(held).combine_chunks())
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
 
         for batch in batches:
             names = list(zip(*(batch.column(c).to_pylist() for c in ("key", "u", "x")), strict=True))
@@ -184,13 +206,38 @@ def crossing(placed: DataFrame, classes: DataFrame, similar: int, miss: float) -
                     begin = at
                     if at < len(names):
                         if held:
-                            yield from close()
+                            yield close()
                         held, last = [], names[at]
         if held:
-            yield from close()
+            yield close()
 
     dealt = left.unionByName(right).repartition(shuffle_partitions(placed.sparkSession), "key", "u", "x").sortWithinPartitions("key", "u", "x")
-    return dealt.mapInArrow(run, "a long, b long, nb long").distinct()
+    links = stored(dealt.mapInArrow(run, "a long, b long").distinct(), "op8-links")
+    release(once, chosen, sets)
+    return links
+
+
+class FullSets:
+    """Shingle sets of the texts of a block, made when first asked for."""
+
+    def __init__(self, texts: pa.ChunkedArray):
+        self.texts, self.sets = texts, {}
+
+    def similar(self, k: int, others: np.ndarray, similar: int) -> np.ndarray:
+        """Which of ``others`` are similar to k on their full sets."""
+        new = [int(i) for i in (k, *others) if int(i) not in self.sets]
+        if new:
+            at = 0
+            for part, data, starts in slices(pa.RecordBatch.from_arrays([self.texts.take(pa.array(new)).combine_chunks()], ["text"])):
+                row, h = shingle_sets(data, starts)
+                self.sets.update(zip(new[at : at + part.num_rows], np.split(h, np.searchsorted(row, np.arange(1, part.num_rows))), strict=True))
+                at += part.num_rows
+        own, theirs = self.sets[int(k)], [self.sets[int(i)] for i in others]
+        size = np.array([len(s) for s in theirs])
+        joined = np.concatenate(theirs)
+        place = np.minimum(np.searchsorted(own, joined), len(own) - 1)
+        both = np.add.reduceat((own[place] == joined).astype(np.int64), np.cumsum(size) - size)
+        return 100 * both >= similar * (len(own) + size - both)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similar: int) -> DataFrame:
@@ -258,11 +305,10 @@ def near_duplicates(docs: DataFrame, similar: int = SIMILAR, miss: float = MISS)
 
     label = components(links)
     of_id, of_pivot = label.select("id", F.col("label").alias("own")), label.select(F.col("id").alias("pivot"), F.col("label").alias("its"))
-    placed = dealt.join(of_id, "id", "left").join(of_pivot, "pivot", "left").select("key", "band", "id", "pivot", F.coalesce("own", "id").alias("own"), F.coalesce("its", "pivot").alias("its"))
-    placed = stored(placed, "op8-placed")
-    rest = stored(crossing(placed, classes, similar, miss), "op8-pairs")
-    more = stored(verified(rest, texts, similar), "op8-links")
-    release(dealt, placed, rest, texts)
+    sized = dealt.join(classes.select("id", "n"), "id").join(of_id, "id", "left").join(of_pivot, "pivot", "left")
+    placed = stored(sized.select("key", "band", "id", "n", "pivot", F.coalesce("own", "id").alias("own"), F.coalesce("its", "pivot").alias("its")), "op8-placed")
+    more = crossing(placed, classes, texts, similar, miss)
+    release(dealt, placed, texts)
     if not more.isEmpty():
         release(label)
         label = components(links.unionByName(more))
