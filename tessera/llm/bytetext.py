@@ -31,7 +31,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, bytes, starts) for runs of rows with about SLICE_BYTES of text; starts has one entry more than rows. Null texts are empty."""
-    whole = pc.fill_null(batch.column(column).cast(pa.large_string()), "")
+    whole = pc.fill_null(batch.column(column).cast(pa.large_binary()), b"")
     if len(whole) == 0:
         return
     offsets = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset : whole.offset + len(whole) + 1]

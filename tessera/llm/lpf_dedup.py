@@ -6,19 +6,19 @@ strings in a factor the one with the least hash is its anchor, so equal factors
 have equal anchors at equal offsets. Factors that follow each other and share an
 anchor form a run, whose context is all bytes they cover.
 
-Anchors that occur once are dropped. Where all contexts of an anchor are equal,
-all their factors repeat. The distinct contexts of the others are laid side by
-side and their suffixes are ordered: by the fingerprint of their first LEAST
-bytes, equal ones by position (the order need only bring equal prefixes
-together, and equality is verified on the bytes). A suffix whose predecessor in
-this order shares LEAST bytes has that one as its previous smaller position, and
-the next smaller one lies beyond the run of equal prefixes; so its longest
-previous factor reaches LEAST if and only if its predecessor is equal. The same
-order read backwards gives later matches.
+Anchors that occur once are dropped. Where all contexts of an anchor are equal (by
+128 bits of hashes), all their factors repeat. The distinct contexts of the others
+are laid side by side in order of place and the suffixes at their factors are put
+in alphabetical order by prefix doubling. In that order the nearest entries of
+smaller position on either side, with the common prefixes towards them, give each
+suffix's longest previous factor; the nearest entries of greater position give its
+longest next one. A factor has an earlier copy if and only if the former reaches
+LEAST, and a later one if and only if the latter does.
 
 ``keep="first"`` removes all copies of a factor but the earliest, ``keep="none"``
-removes the earliest too. Anchors with more than HOT distinct contexts are split:
-each factor is a key of its own and is counted by a grouped aggregate.
+removes the earliest too. An anchor with more than HOT distinct contexts is split:
+its contexts become texts of their own, cut by longer anchors (LEVELS), of which
+the last is the whole factor, so that only factors which share ever more bytes meet.
 
 Defined cases: null texts are empty; texts below LEAST bytes lose nothing; each
 of several equal rows is a place of its own; rows with a null doc_id take part;
@@ -41,9 +41,10 @@ from tessera.llm.bytetext import BLOCK_BYTES, BYTE_CODE, mix, slices
 from tessera.llm.common import release, shuffle_partitions, stored
 
 LEAST = 200
-#: Length of anchors.
-K = 20
-HOT = 16_384
+#: Lengths of anchors: of the first cut, of the next ones where an anchor is hot, and at last whole factors.
+LEVELS = (20, 160, 200)
+#: Distinct contexts of an anchor (381 bytes each at most) that one task orders.
+HOT = 4096
 _U = np.uint64
 _BASE = _U(0x5851F42D4C957F2D)
 _INVERSE = _U(pow(0x5851F42D4C957F2D, -1, 1 << 64))
@@ -110,31 +111,67 @@ def block_runs(data: np.ndarray, starts: np.ndarray, least: int, k: int) -> Iter
         yield of, a, t, anchor + at, lo + at, hi + at
 
 
-def previous_factors(contexts: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def suffix_order(data: np.ndarray, places: np.ndarray, cap: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """(order, common): the places in alphabetical order of the up to ``cap`` bytes from them (a power of two; equal ones by place), and the common prefix of each entry with the one before it. Bytes beyond the end count as zeros."""
+    n = len(data)
+    padded = np.concatenate([data, np.zeros(2 * cap, np.uint8)])
+    word = np.lib.stride_tricks.sliding_window_view(padded, 8)[: n + cap].copy().view(">u8").ravel().astype(np.uint64)
+    ranks, size = [np.unique(word, return_inverse=True)[1].astype(np.uint64)], 8
+    while size < cap:
+        rank = ranks[-1]
+        ahead = np.concatenate([rank[size:], np.zeros(size, np.uint64)])
+        ranks.append(np.unique(rank << _U(32) | ahead, return_inverse=True)[1].astype(np.uint64))
+        size *= 2
+    places = np.sort(places)
+    order = places[np.argsort(ranks[-1][places], kind="stable")]
+    p, q = order[:-1], order[1:]
+    same = np.zeros(len(p), np.int64)
+    whole = ranks[-1][p] == ranks[-1][q]
+    for rank in ranks[-2::-1]:
+        size //= 2
+        same += size * (rank[p + same] == rank[q + same])
+    for _ in range(7):
+        same += padded[p + same] == padded[q + same]
+    common = np.zeros(len(order), np.int64)
+    common[1:] = np.where(whole, cap, same)
+    return order, common
+
+
+def common_with_nearest(value: np.ndarray, common: np.ndarray, floor: int = 1) -> np.ndarray:
+    """For each entry of an order the common prefix with the nearest entry before it of a smaller value: all entries jump at once to where the one that they stand on points. Answers below ``floor`` are only known to be below it."""
+    at, low = np.arange(-1, len(value) - 1), common.copy()
+    going = np.arange(1, len(value))
+    while True:
+        going = going[low[going] >= floor]
+        going = going[value[at[going]] > value[going]]
+        if not len(going):
+            return low
+        on = at[going]
+        low[going], at[going] = np.minimum(low[going], low[on]), at[on]
+
+
+def longest_factors(data: np.ndarray, places: np.ndarray, floor: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places in order, longest previous factor, longest next factor) of the suffixes at ``places``, up to 256 bytes: the longest prefix that one shares with a suffix at an earlier, and at a later, of the places."""
+    order, common = suffix_order(data, places)
+    back = np.concatenate([common[:1], common[:0:-1]])
+    nearest = lambda v: np.maximum(common_with_nearest(v, common, floor), common_with_nearest(v[::-1], back, floor)[::-1])
+    previous, following = nearest(order), nearest(-order)
+    by_place = np.argsort(order)
+    return order[by_place], previous[by_place], following[by_place]
+
+
+def repeated_factors(contexts: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(context, offset, earlier, later) of each factor of ``contexts`` that has an equal one: whether one comes before it and after it. Contexts are in order of place."""
     data = np.frombuffer(b"".join(contexts), np.uint8)
-    size = np.array([len(c) for c in contexts])
+    size = np.array([len(c) for c in contexts], np.int64)
     begin = np.cumsum(size) - size
     count = np.maximum(size - least + 1, 0)
     which = np.repeat(np.arange(len(contexts)), count)
     place = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + begin[which]
-    h = Prints(data).windows(least)[place]
-    order = np.argsort(h, kind="stable")
-    same = h[order][1:] == h[order][:-1]
-    twin = np.zeros(len(h), bool)
-    twin[1:] |= same
-    twin[:-1] |= same
-    order = order[twin]
-    words = np.lib.stride_tricks.sliding_window_view(data, 8) if len(data) >= 8 else np.zeros((0, 8), np.uint8)
-    equal = h[order][1:] == h[order][:-1]
-    for at in [*range(0, least - 7, 8), least - 8]:  # fingerprints may lie; bytes don't
-        w = words[place[order] + at].copy().view(np.uint64).ravel()
-        equal &= w[1:] == w[:-1]
-    before, after = np.zeros(len(order), bool), np.zeros(len(order), bool)
-    before[1:], after[:-1] = equal, equal
-    found = before | after
-    order = order[found]
-    return which[order], place[order] - begin[which[order]], before[found], after[found]
+    _, previous, following = longest_factors(data, place, least)
+    earlier, later = previous >= least, following >= least
+    found = earlier | later
+    return which[found], (place - begin[which])[found], earlier[found], later[found]
 
 
 def _spans(which: np.ndarray, offset: np.ndarray, least: int, n: int) -> list[list[dict]]:
@@ -152,49 +189,57 @@ def _spans(which: np.ndarray, offset: np.ndarray, least: int, n: int) -> list[li
     return out
 
 
-def runs(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """A row for each anchor run: row, a and t (hashes of anchor and context), lo and hi (first and last factor)."""
+def runs(texts: DataFrame, least: int = LEAST, k: int = LEVELS[0]) -> DataFrame:
+    """A row for each anchor run of ``texts`` (row, text): row, a and t (hashes of anchor and context), lo and hi (first and last factor)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, starts in slices(batch):
-                for of, a, t, _, lo, hi in block_runs(data, starts, least, K):
+                for of, a, t, _, lo, hi in block_runs(data, starts, least, k):
                     if len(of) == 0:
                         continue
-                    yield pa.RecordBatch.from_arrays([pa.array(part.column(0).to_numpy()[of]), pa.array(a), pa.array(t), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], ["row", "a", "t", "lo", "hi"])
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of)), pa.array(a), pa.array(t), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], ["row", "a", "t", "lo", "hi"])
 
-    return _rows(docs).mapInArrow(run, "row long, a long, t long, lo int, hi int")
+    return texts.mapInArrow(run, f"row {_kind(texts)}, a long, t long, lo int, hi int")
+
+
+def _kind(texts: DataFrame) -> str:
+    return texts.schema["row"].dataType.simpleString()
 
 
 def _rows(docs: DataFrame, *more: Column) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"), *more)
 
 
-def _contexts(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
+def _contexts(texts: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
     """The bytes of wanted contexts (row, lo, hi, a, t, kinds), cut from the texts."""
     lists = wanted.groupBy("row").agg(F.collect_list(F.struct("a", "t", "lo", "hi", "kinds")).alias("cuts"))
+    columns = ["a", "t", "lo", "kinds"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, starts in slices(batch):
-                out = []
-                for row, cuts, base in zip(part.column("row").to_pylist(), part.column("cuts").to_pylist(), starts.tolist(), strict=False):
-                    out += [(c["a"], c["t"], row, c["lo"], c["kinds"], data[base + c["lo"] : base + c["hi"] + least].tobytes()) for c in cuts]
+                of, out = [], []
+                for i, (cuts, base) in enumerate(zip(part.column("cuts").to_pylist(), starts.tolist(), strict=False)):
+                    of += [i] * len(cuts)
+                    out += [(c["a"], c["t"], c["lo"], c["kinds"], data[base + c["lo"] : base + c["hi"] + least].tobytes()) for c in cuts]
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["a", "t", "row", "lo", "kinds", "bytes"])
+                    made = [pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)]
+                    yield pa.RecordBatch.from_arrays([part.column("row").take(pa.array(of)), *made], ["row", *columns, "bytes"])
 
-    return _rows(docs).join(lists, "row").mapInArrow(run, "a long, t long, row long, lo int, kinds long, bytes binary")
+    return texts.join(lists, "row").mapInArrow(run, f"row {_kind(texts)}, a long, t long, lo int, kinds long, bytes binary")
 
 
-def _matched(contexts: DataFrame, least: int) -> DataFrame:
-    """a, t and the spans of factors with an earlier equal one, and with any equal one, of anchors with few contexts."""
+def _matched(contexts: DataFrame, least: int, keep: str) -> DataFrame:
+    """a, t and the spans of the factors to remove, of anchors with few contexts."""
 
     def answer(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(held).sort_by([("row", "ascending"), ("lo", "ascending")])
-        which, offset, before, _ = previous_factors(rows.column("bytes").to_pylist(), least)
-        n = rows.num_rows
+        which, offset, earlier, _ = repeated_factors(rows.column("bytes").to_pylist(), least)
+        if keep == "first":
+            which, offset = which[earlier], offset[earlier]
         kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
-        return pa.RecordBatch.from_arrays([rows.column("a").combine_chunks(), rows.column("t").combine_chunks(), pa.array(_spans(which[before], offset[before], least, n), kind), pa.array(_spans(which, offset, least, n), kind)], ["a", "t", "earlier", "some"])
+        return pa.RecordBatch.from_arrays([rows.column("a").combine_chunks(), rows.column("t").combine_chunks(), pa.array(_spans(which, offset, least, rows.num_rows), kind)], ["a", "t", "gone"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -214,38 +259,23 @@ def _matched(contexts: DataFrame, least: int) -> DataFrame:
             yield answer(held)
 
     dealt = contexts.select("a", "t", "row", "lo", "bytes").repartition(shuffle_partitions(contexts.sparkSession), "a").sortWithinPartitions("a")
-    return dealt.mapInArrow(run, f"a long, t long, earlier {SPAN}, some {SPAN}")
+    return dealt.mapInArrow(run, f"a long, t long, gone {SPAN}")
 
 
-def _hot(contexts: DataFrame, least: int) -> DataFrame:
-    """The same for anchors with many contexts, a key for each factor."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                data = part.column("bytes").to_pylist()
-                size = np.array([len(b) - least + 1 for b in data])
-                which = np.repeat(np.arange(len(data)), size)
-                offset = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
-                whole = np.frombuffer(b"".join(data), np.uint8)
-                place = np.cumsum(size + least - 1)[which] - (size + least - 1)[which] + offset
-                one = Prints(whole).windows(least)[place]
-                two = Prints(whole ^ np.uint8(0x5A)).windows(least)[place]
-                pick = pa.array(which)
-                yield pa.RecordBatch.from_arrays([*[part.column(c).take(pick) for c in ("a", "t", "row", "lo")], pa.array(offset.astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["a", "t", "row", "lo", "offset", "h1", "h2"])
-
-    each = contexts.select("a", "t", "row", "lo", "bytes").mapInArrow(run, "a long, t long, row long, lo int, offset int, h1 long, h2 long")
-    each = each.withColumn("place", F.struct("row", (F.col("lo") + F.col("offset")).alias("at")))
-    held = each.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("place").alias("least")).where("n > 1")
-    twins = each.join(held, ["h1", "h2"]).select("a", "t", "offset", (F.col("place") != F.col("least")).alias("before"))
-    span = F.struct(F.col("offset").alias("s"), (F.col("offset") + least).cast("int").alias("e"))
-    return twins.groupBy("a", "t").agg(F.collect_list(F.when(F.col("before"), span)).alias("earlier"), F.collect_list(span).alias("some"))
+def _hot(contexts: DataFrame, least: int, keep: str, levels: tuple[int, ...]) -> DataFrame:
+    """The same for anchors with many contexts, whose contexts are texts with longer anchors. Row ids are bytes in order of place."""
+    padded = lambda c, n: F.unhex(F.lpad(F.hex(c), n, "0"))
+    row = F.col("row") if _kind(contexts) == "binary" else padded("row", 16)
+    texts = stored(contexts.select(F.concat(row, padded("lo", 8)).alias("row"), "a", "t", F.col("bytes").alias("text")), "op4-hot")
+    gone = _repeated(texts.select("row", "text"), least, keep, levels)
+    found = stored(texts.select("row", "a", "t").join(gone, "row").select("a", "t", F.col("spans").alias("gone")), "op4-hot-spans")
+    release(texts, gone)
+    return found
 
 
-def repeated_spans(docs: DataFrame, least: int = LEAST, keep: str = "none") -> DataFrame:
-    """row and the spans of bytes to remove, of every row that has any; spans may overlap."""
-    all_runs = stored(runs(docs, least), "op4-runs")
+def _repeated(texts: DataFrame, least: int, keep: str, levels: tuple[int, ...]) -> DataFrame:
+    """row and the spans of bytes to remove of each of ``texts`` (row, text) that has any."""
+    all_runs = stored(runs(texts, least, min(levels[0], least)), "op4-runs")
     # the counts are stored so that both sides of the join come from plain shuffles, whose hot keys Spark can split
     often = stored(all_runs.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"), "op4-often")
     live = stored(all_runs.join(often, "a"), "op4-live")
@@ -254,17 +284,25 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, keep: str = "none") -> D
     kinds = stored(live.groupBy("a", "t").agg(F.count("*").alias("n"), first), "op4-kinds")
     several = stored(kinds.groupBy("a").agg(F.count("*").alias("kinds")).where("kinds > 1"), "op4-several")
     wanted = kinds.join(several, "a").select("a", "t", "first.row", "first.lo", "first.hi", "kinds")
-    contexts = stored(_contexts(docs, wanted, least), "op4-contexts")
-    matched = _matched(contexts.where(F.col("kinds") <= HOT), least).unionByName(_hot(contexts.where(F.col("kinds") > HOT), least))
-    verdict = stored(kinds.join(matched, ["a", "t"], "left").where("n > 1 or size(some) > 0"), "op4-verdict")
-    at = live.join(verdict, ["a", "t"]).select("row", "lo", F.array(F.struct(F.lit(0).alias("s"), (F.col("hi") - F.col("lo") + least).cast("int").alias("e"))).alias("all"), "n", "earlier", "some", ((F.col("first.row") == F.col("row")) & (F.col("first.lo") == F.col("lo"))).alias("is_first"))
-    chosen = F.when(F.col("n") > 1, F.col("all")).otherwise(F.col("some")) if keep == "none" else F.when(F.col("is_first"), F.col("earlier")).otherwise(F.col("all"))
-    placed = at.select("row", "lo", F.explode(chosen).alias("x")).select("row", F.struct((F.col("lo") + F.col("x.s")).alias("s"), (F.col("lo") + F.col("x.e")).alias("e")).alias("x"))
+    contexts = stored(_contexts(texts, wanted, least), "op4-contexts")
+    few, many = contexts.where(F.col("kinds") <= HOT), contexts.where(F.col("kinds") > HOT)
+    split = _hot(many, least, keep, levels[1:]) if levels[1:] and not many.isEmpty() else None
+    matched = _matched(contexts if split is None else few, least, keep)
+    verdict = stored(kinds.join(matched if split is None else matched.unionByName(split), ["a", "t"], "left").where("n > 1 or size(gone) > 0"), "op4-verdict")
+    every = F.array(F.struct(F.lit(0).alias("s"), (F.col("hi") - F.col("lo") + least).cast("int").alias("e")))
+    is_first = (F.col("first.row") == F.col("row")) & (F.col("first.lo") == F.col("lo"))
+    chosen = F.when(F.col("n") > 1, every).otherwise(F.col("gone")) if keep == "none" else F.when(is_first, F.col("gone")).otherwise(every)
+    placed = live.join(verdict, ["a", "t"]).select("row", "lo", F.explode(chosen).alias("x")).select("row", F.struct((F.col("lo") + F.col("x.s")).alias("s"), (F.col("lo") + F.col("x.e")).alias("e")).alias("x"))
     spans = stored(placed.groupBy("row").agg(F.collect_list("x").alias("spans")), "op4-spans")
-    release(live, kinds, several, contexts, verdict)
+    release(live, kinds, several, contexts, verdict, *([] if split is None else [split]))
     return spans
 
 
+def repeated_spans(docs: DataFrame, least: int = LEAST, keep: str = "none") -> DataFrame:
+    """row and the spans of bytes to remove, of every row of ``docs`` that has any; spans may overlap."""
+    return _repeated(_rows(docs), least, keep, LEVELS)
+
+
 def _mask(n: int, spans: list[dict] | None) -> np.ndarray:
     edge = np.zeros(n + 1, np.int64)
     for x in spans or ():

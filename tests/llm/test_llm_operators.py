@@ -191,7 +191,7 @@ def test_hot_anchors_give_the_same(docs, monkeypatch):
     assert sorted(map(tuple, lpf_dedup.report(docs).collect())) == want
 
 
-@pytest.mark.parametrize("hot", [1, 16_384])
+@pytest.mark.parametrize("hot", [1, 4096])
 def test_first_copy_stays(spark, tmp_path, monkeypatch, hot):
     monkeypatch.setattr(lpf_dedup, "HOT", hot)
     rng = random.Random(5)
@@ -205,11 +205,32 @@ def test_first_copy_stays(spark, tmp_path, monkeypatch, hot):
     assert len(left[3].encode()) <= len(texts[3].encode()) - len(shared[100:].encode()) + 8
 
 
-def test_previous_factors_like_search():
+def naive_lpf(data, places):
+    """Longest previous and next factors by comparing every pair of places."""
+    def common(i, j):
+        n = 0
+        while n < 256 and max(i, j) + n < len(data) and data[i + n] == data[j + n]:
+            n += 1
+        return n
+    return [max((common(i, j) for j in places if j < i), default=0) for i in places], [max((common(i, j) for j in places if j > i), default=0) for i in places]
+
+
+@pytest.mark.parametrize("text", [b"abracadabra" * 3, b"a" * 90, b"ab" * 60 + b"c" + b"ab" * 60, b"x", bytes(random.Random(3).choices(b"ab", k=300)), bytes(random.Random(4).choices(range(1, 255), k=200)), b"\xff\xfe" + b"mississippi" * 40])
+def test_longest_factors_like_naive(text):
+    data = np.frombuffer(text, np.uint8)
+    for places in (np.arange(len(data)), np.arange(0, len(data), 3)):
+        at, previous, following = lpf_dedup.longest_factors(data, places)
+        assert at.tolist() == places.tolist()
+        assert (previous.tolist(), following.tolist()) == naive_lpf(text, places.tolist())
+        order, _ = lpf_dedup.suffix_order(data, places)
+        assert order.tolist() == sorted(places.tolist(), key=lambda i: (text[i : i + 256].ljust(256, b"\0"), i))
+
+
+def test_repeated_factors_like_search():
     rng = random.Random(7)
     base = bytes(rng.choice(b"abc") for _ in range(120))
     contexts = [bytes(rng.choice(b"xyz") for _ in range(k)) + base[k : k + 60 + k] for k in range(12)]
-    which, offset, before, after = lpf_dedup.previous_factors(contexts, 40)
+    which, offset, before, after = lpf_dedup.repeated_factors(contexts, 40)
     found = {(w, o): (b, a) for w, o, b, a in zip(which.tolist(), offset.tolist(), before.tolist(), after.tolist(), strict=True)}
     places = defaultdict(list)
     for w, c in enumerate(contexts):
