@@ -27,8 +27,7 @@ def op5_tier_packing(spark, sf_dir):
 
 
 def op6_secret_ledger(spark, sf_dir):
-    paths, _ = secret_ledger.update(table(spark, sf_dir, "documents"))
-    return secret_ledger.report(paths)
+    return secret_ledger.report(secret_ledger.update(table(spark, sf_dir, "documents")))
 
 
 def op7_line_quality(spark, sf_dir):
@@ -51,13 +50,13 @@ def op10_quality_rff(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (op1_soft_mixing, op2_hilbert_shards, op3_contextual_pii, op4_lpf_dedup, op5_tier_packing, op6_secret_ledger, op7_line_quality, op8_bayes_minhash, op9_vantage_search, op10_quality_rff)}
 
 _WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')".replace("\\\\", "\\")
-_SPAN = "hits_{k} AS (SELECT doc_id, {n} AS kind_no, '{k}' AS kind, i, string_split_regex(coalesce(text, ''), {p}) AS gaps, regexp_extract_all(coalesce(text, ''), {p}, 0) AS hits, regexp_extract_all(coalesce(text, ''), {p}, {g}) AS own FROM documents, unnest(range(1, 1 + len(regexp_extract_all(coalesce(text, ''), {p}, 0)))) t(i))"
-_ASSIGN = """'((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)'"""
-_SECRETS = ", ".join(_SPAN.format(k=k, n=n, p=p, g=g) for n, (k, p, g) in enumerate((("assign", _ASSIGN.replace("\\\\", "\\"), 2), ("access", "'AKIA[A-Z0-9]+'", 0), ("hex", "'[0-9a-f]+'", 0))))
-_FOUND = " UNION ALL ".join(f"SELECT doc_id, kind_no, kind, length(own[i]) AS n, {least} AS least, list_sum(list_transform(gaps[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[:i-1], lambda x: length(x))), 0) AS s, length(hits[i]) AS size FROM hits_{k}" for k, least in (("assign", 6), ("access", 20), ("hex", 24)))
+_SPAN = "SELECT doc_id, {n} AS kind_no, '{k}' AS kind, {least} AS least, unnest(list_zip(range(1, 1 + len(h)), g[:len(h)], h, o)) AS m FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), {p}) AS g, regexp_extract_all(coalesce(text, ''), {p}, 0) AS h, regexp_extract_all(coalesce(text, ''), {p}, {g}) AS o FROM documents)"
+_ASSIGN = """'((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'"""
+_HITS = " UNION ALL ".join(_SPAN.format(k=k, n=n, p=p, g=g, least=least) for n, (k, p, g, least) in enumerate((("assign", _ASSIGN.replace("\\\\", "\\"), 2, 6), ("access", "'AKIA[A-Z0-9]+'", 0, 20), ("hex", "'[0-9a-f]+'", 0, 24))))
 
-_OP6 = f"""WITH {_SECRETS}, found AS (SELECT doc_id, kind_no, kind, CAST(s AS BIGINT) AS s, CAST(s AS BIGINT) + size AS e FROM ({_FOUND}) WHERE n >= least),
-told AS (SELECT doc_id, count(*) FILTER (kind_no = 0) AS a, count(*) FILTER (kind_no = 1) AS b, count(*) FILTER (kind_no = 2) AS c, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, kind_no) AS spans FROM found GROUP BY doc_id)
+_OP6 = f"""WITH hits AS ({_HITS}),
+placed AS (SELECT doc_id, kind_no, kind, least, length(m[4]) AS n, length(m[3]) AS size, sum(length(m[2]) + length(m[3])) OVER (PARTITION BY doc_id, kind_no ORDER BY m[1]) AS e FROM hits),
+told AS (SELECT doc_id, count(*) FILTER (kind_no = 0) AS a, count(*) FILTER (kind_no = 1) AS b, count(*) FILTER (kind_no = 2) AS c, string_agg(kind || ':' || CAST(e - size AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY e - size, kind_no) AS spans FROM placed WHERE n >= least GROUP BY doc_id)
 SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents LEFT JOIN told USING (doc_id)"""
 
 _OP7 = f"""WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text, {_WORDS} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),

@@ -1,26 +1,30 @@
 """Operator 6: secret scans with an incremental blob ledger (DataFrame functions only).
 
-Every version of a document is named by the SHA-256 of its text. Only pairs of
-blob and rule version that the ledger lacks are scanned, each distinct blob
-once; findings are then joined back to all rows (paths) that hold the blob.
+Every version of a document is named by the SHA-256 of its text. The ledger is a
+table of findings by blob, partitioned by rule version, to which runs append.
+Digests alone are compared with it; only blobs that it lacks for the current rules
+are scanned, each in one of the rows that hold it, where that row is read. Findings
+are then joined back to all rows (paths) that hold the blob.
 
 A rule's matches split a text into gaps and hits, and a running sum of their
 lengths in code points gives the spans, so texts never leave the JVM.
 
 Defined cases: null texts are empty blobs; repeated rows get their blob's
 findings each; rows with a null doc_id are reported; extra columns are ignored;
-an empty table gives an empty result and no ledger rows.
+an empty table gives an empty result and no ledger rows. ``docs`` must read the same
+rows in the same order each time, as a stored table does.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessera.llm.common import stored, text_or_empty
+from tessera.llm.common import release, scratch, stored, text_or_empty
 
 #: Kind, pattern, group whose length counts, least length. Fixed values.
 RULES = (
@@ -29,7 +33,8 @@ RULES = (
     ("hex", r"[0-9a-f]{24,}+", 0, 24),
 )
 RULE_VERSION = hashlib.sha256(repr(RULES).encode()).hexdigest()[:16]
-LEDGER = "sha binary, rule_version string, findings array<struct<start:int,kind_no:int,end:int>>"
+FINDINGS = "array<struct<start:int,kind_no:int,end:int>>"
+LEDGER = f"sha binary, findings {FINDINGS}, rule_version string"
 
 
 def _lengths(texts: Column) -> Column:
@@ -52,25 +57,43 @@ def scan(blobs: DataFrame) -> DataFrame:
     upto = F.sum(F.col("m.gap") + F.coalesce("m.hit", F.lit(0))).over(W.partitionBy("sha", "kind_no").orderBy("i"))
     spans = rows.withColumn("end", upto.cast("int")).where("m.n >= least").select("sha", F.struct((F.col("end") - F.col("m.hit")).alias("start"), "kind_no", "end").alias("f"))
     found = spans.groupBy("sha").agg(F.sort_array(F.collect_list("f")).alias("findings"))
-    return raw.select("sha").join(found, "sha", "left").select("sha", F.lit(RULE_VERSION).alias("rule_version"), F.coalesce("findings", F.expr("array()").cast("array<struct<start:int,kind_no:int,end:int>>")).alias("findings"))
+    return raw.select("sha").join(found, "sha", "left").select("sha", F.coalesce("findings", F.expr("array()").cast(FINDINGS)).alias("findings"), F.lit(RULE_VERSION).alias("rule_version"))
 
 
-def update(docs: DataFrame, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(paths, ledger): findings of every row of ``docs``, and the ledger with the blobs that it lacked."""
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger's pairs of the current rules; none where there is no ledger yet."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], LEDGER)
+    return spark.read.schema(LEDGER).parquet(path).where(F.col("rule_version") == RULE_VERSION)
+
+
+def unseen_rows(docs: DataFrame, ledger: str) -> tuple[DataFrame, DataFrame]:
+    """(row, doc_id and sha of every row; row and sha of one row for each blob that the ledger lacks), both stored."""
+    keys = stored(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.unhex(F.sha2(text_or_empty(), 256)).alias("sha")), "op6-keys")
+    once = keys.groupBy("sha").agg(F.min("row").alias("row"))
+    return keys, stored(once.join(read_ledger(docs.sparkSession, ledger).select("sha"), "sha", "left_anti").select("row", "sha"), "op6-unseen")
+
+
+def texts_of(docs: DataFrame, unseen: DataFrame) -> DataFrame:
+    """sha and text of the unseen blobs. Spark sends their row numbers to the texts while they are below its broadcast threshold, and shuffles both sides above it."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), text_or_empty().alias("text"))
+    return rows.join(unseen, "row").select("sha", "text")
+
+
+def update(docs: DataFrame, ledger: str | None = None) -> DataFrame:
+    """doc_id, sha and findings of every row of ``docs``; the blobs that the table at the path ``ledger`` lacked are appended to it (a table of this run's own by default)."""
     spark = docs.sparkSession
-    ledger = spark.createDataFrame([], LEDGER) if ledger is None else ledger
-    text = text_or_empty()
-    versions = docs.select("doc_id", F.unhex(F.sha2(text, 256)).alias("sha"), text.alias("text"))
-    seen = ledger.where(F.col("rule_version") == RULE_VERSION).select("sha")
-    blobs = versions.groupBy("sha").agg(F.any_value("text").alias("text"))  # before the join, so that copies meet in the tasks that read them
-    unseen = blobs.join(seen, "sha", "left_anti")
-    after = stored(ledger.unionByName(scan(unseen)), "op6-ledger")
-    current = after.where((F.col("rule_version") == RULE_VERSION) & (F.size("findings") > 0)).select("sha", "findings")
-    return versions.select("doc_id", "sha").join(current, "sha", "left").select("doc_id", "sha", F.coalesce("findings", F.expr("array()").cast("array<struct<start:int,kind_no:int,end:int>>")).alias("findings")), after
+    ledger = ledger or f"{scratch(spark)}/op6-ledger-{uuid.uuid4().hex}"
+    keys, unseen = unseen_rows(docs, ledger)
+    scan(texts_of(docs, unseen)).write.mode("append").partitionBy("rule_version").parquet(ledger)
+    current = read_ledger(spark, ledger).where(F.size("findings") > 0).select("sha", "findings")
+    release(unseen)
+    return keys.join(current, "sha", "left").select("doc_id", "sha", F.coalesce("findings", F.expr("array()").cast(FINDINGS)).alias("findings"))
 
 
 def report(paths: DataFrame) -> DataFrame:
-    """The digest columns of ``update``'s first result; the ledger adds no spans to the base ones."""
+    """The digest columns of ``update``'s result; the ledger adds no spans to the base ones."""
     kinds = F.array(*[F.lit(k) for k, *_ in RULES])
     spans = F.array_join(F.transform("findings", lambda f: F.concat_ws(":", F.get(kinds, f["kind_no"]), f["start"], f["end"])), ",")
 
