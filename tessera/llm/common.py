@@ -10,15 +10,18 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables; one of our own only where none is set."""
+    """The shared folder for intermediate tables; one of our own only where none is set and all executors are on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
-#: Rows that pass to Python at once while a table is stored: whole texts and signatures are long rows.
+#: Rows that pass to Python at once while a table is stored: whole texts and signatures are long rows. Whoever runs a frame,
+#: Spark ends an Arrow batch at 64 MB as well (spark.sql.execution.arrow.maxBytesPerBatch), or after a single longer row.
 BATCH_ROWS = 1024
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -46,6 +49,17 @@ def release(*frames: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Each of ``names``, lengthened until no column of ``df`` is called so."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

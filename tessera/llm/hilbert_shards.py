@@ -11,8 +11,10 @@ texts are read once for their size and checksum.
 Defined cases: null texts count as empty (size 1, checksum 0); nulls of a
 dimension take its lowest cell; a dimension that the table lacks is left out;
 ties on the curve are ordered by checksum, size, doc_id and row, so repeated
-rows take slots of their own; an empty table gives an empty result. Extra
-columns are ignored by ``hilbert_shards``.
+rows take slots of their own, and equal texts (the groups) of equal metadata lie
+side by side, parted by a cut at most; an empty table gives an empty result. Extra
+columns are ignored by ``hilbert_shards`` and carried by ``write_shards``, for which
+``docs`` must read the same rows in the same order each time, as a stored table does.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import shuffle_partitions, stored, text_or_empty
+from tessera.llm.common import free_names, shuffle_partitions, stored, text_or_empty
 
 DIMENSIONS = ("lang", "source", "n_chars")
 BITS = 5
@@ -77,7 +79,6 @@ def curve(meta: DataFrame, dims: list[str], bits: int) -> Column:
     def cell(value: Column, at: list[float] | None) -> Column:
         return F.size(F.filter(F.array(*map(F.lit, sorted(set(at)))), lambda c: c <= value)) if at else F.lit(0)
 
-
     @F.pandas_udf("long")
     def place(cells: pd.DataFrame) -> pd.Series:
         return pd.Series(hilbert_index([cells[c].fillna(0).clip(lower=0).to_numpy() for c in cells], bits))
@@ -85,12 +86,13 @@ def curve(meta: DataFrame, dims: list[str], bits: int) -> Column:
     return place(F.struct(*[cell(v, cuts[i]).cast("int").alias(f"c{i}") for i, v in enumerate(values)]))
 
 
-def hilbert_shards(docs: DataFrame, shards: int = 8, dimensions: tuple[str, ...] = DIMENSIONS, bits: int = BITS) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard (null) and hilbert of every row."""
+def _ranked(docs: DataFrame, shards: int, dimensions: tuple[str, ...], bits: int) -> DataFrame:
+    """doc_id, size, text_crc32, row, hilbert, shard and slot of every row."""
     spark = docs.sparkSession
     dims = [d for d in dimensions if d in docs.columns]
     text = text_or_empty()
-    meta = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), *[F.col(d).alias(f"dim{i}") for i, d in enumerate(dims)], F.monotonically_increasing_id().alias("row")), "op2-meta")
+    doc_id = F.col("doc_id") if "doc_id" in docs.columns else F.lit(None)
+    meta = stored(docs.select(doc_id.cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), *[F.col(d).alias(f"dim{i}") for i, d in enumerate(dims)], F.monotonically_increasing_id().alias("row")), "op2-meta")
     keys = ["hilbert", "text_crc32", "size", "doc_id", "row"]
     placed = meta.select(curve(meta, [f"dim{i}" for i in range(len(dims))], bits).alias("hilbert"), "doc_id", "size", "text_crc32", "row")
     runs = stored(placed.repartitionByRange(shuffle_partitions(spark), *keys).sortWithinPartitions(*keys).select("*", F.spark_partition_id().alias("part"), (F.monotonically_increasing_id() % F.lit(1 << 33)).alias("at")), "op2-runs")
@@ -101,18 +103,23 @@ def hilbert_shards(docs: DataFrame, shards: int = 8, dimensions: tuple[str, ...]
         offsets.append((part, before))
         before += n
     base = spark.createDataFrame(offsets, "part int, base long")
-    rank = F.col("base") + F.col("at")
     shard = F.expr(f"(base + at) * {shards} div {max(total, 1)}").cast("int")
-    ranked = runs.join(F.broadcast(base), "part").withColumn("shard", shard).withColumn("rank", rank)
-    return ranked.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.expr(f"rank - (cast(shard as long) * {total} + {shards - 1}) div {shards}").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "hilbert")
+    ranked = runs.join(F.broadcast(base), "part").withColumn("shard", shard).withColumn("rank", F.col("base") + F.col("at"))
+    return ranked.withColumn("slot", F.expr(f"rank - (cast(shard as long) * {total} + {shards - 1}) div {shards}"))
+
+
+def hilbert_shards(docs: DataFrame, shards: int = 8, dimensions: tuple[str, ...] = DIMENSIONS, bits: int = BITS) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard (null) and hilbert of every row."""
+    return _ranked(docs, shards, dimensions, bits).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8, dimensions: tuple[str, ...] = DIMENSIONS, bits: int = BITS) -> DataFrame:
-    """Write ``docs`` (doc_id unique) as one folder of files for each shard, rows in curve order; return each shard's row count and range of every dimension."""
-    layout = hilbert_shards(docs, shards, dimensions, bits).select(F.col("doc_id").alias("_id"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
-    joined = docs.join(layout, docs["doc_id"].eqNullSafe(layout["_id"])).drop("_id")
+    """Write ``docs`` as one folder of files for each shard, named by a column that the table lacks, rows in curve order; return each shard's number, row count and range of every dimension."""
+    row, shard, slot = free_names(docs, "row", "shard", "slot")
+    layout = _ranked(docs, shards, dimensions, bits).select(F.col("row").alias(row), F.col("shard").alias(shard), F.col("slot").alias(slot))
+    joined = docs.select(*docs.columns, F.monotonically_increasing_id().alias(row)).join(layout, row).drop(row)
     n = shuffle_partitions(docs.sparkSession)
-    joined.repartitionByRange(max(n, shards), "_shard", "_slot").sortWithinPartitions("_shard", "_slot").drop("_slot").withColumnRenamed("_shard", "shard_").write.partitionBy("shard_").parquet(path)
+    joined.repartitionByRange(max(n, shards), shard, slot).sortWithinPartitions(shard, slot).drop(slot).write.partitionBy(shard).parquet(path)
     back = docs.sparkSession.read.parquet(path)
     dims = [d for d in dimensions if d in docs.columns]
-    return back.groupBy("shard_").agg(F.count("*").alias("rows"), *[f(d).alias(f"{n}_{d}") for d in dims for n, f in (("min", F.min), ("max", F.max))])
+    return back.groupBy(F.col(shard).alias("shard")).agg(F.count("*").alias("rows"), *[f(d).alias(f"{n}_{d}") for d in dims for n, f in (("min", F.min), ("max", F.max))])
