@@ -1,9 +1,11 @@
 """Operator 10: a kernel quality classifier by random Fourier features.
 
 Statistics of each whole text are standardised and mapped to random Fourier
-features, which approximate a Gaussian kernel. Each task sums its part of the
-normal equations; their sum gives ridge weights; isotonic regression over score
-bins turns ridge scores into probabilities.
+features, which approximate a Gaussian kernel; the standardised statistics stand
+beside them as linear terms. Each task sums its part of the normal equations of
+each fold; their sum gives ridge weights. Isotonic regression over score bins turns
+ridge scores into probabilities; it is fitted on scores that each fold gets from the
+weights of the other folds.
 
 Defined cases: null texts count as empty, and empty texts get a score; a null
 doc_id belongs to fold -1, is scored and never learnt from; repeated rows are
@@ -15,16 +17,16 @@ ignored, whatever their names. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.bytetext import per_row, slices, words
-from tessera.llm.common import stored
+from tessera.llm.common import free_names, stored
 
 FEATURES = 256
 RIDGE = 1.0
@@ -87,18 +89,19 @@ def statistics(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     ])
 
 
-def stats_table(docs: DataFrame) -> DataFrame:
-    """doc_id, fold (crc32 of doc_id as text, mod 5; -1 for null) and stats (N_STATS float32 as binary) of every row."""
+@F.arrow_udf(T.BinaryType())
+def stats_of(text: pa.Array) -> pa.Array:
+    """N_STATS float32 as binary of each text; only texts pass to Python."""
+    out = []
+    for _, data, starts in slices(pa.RecordBatch.from_arrays([text], ["text"])):
+        out += [r.tobytes() for r in np.nan_to_num(statistics(data, starts)).astype("<f4")]
+    return pa.array(out, pa.binary())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, data, starts in slices(batch):
-                x = np.nan_to_num(statistics(data, starts)).astype("<f4")
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "fold", "stats"])
 
-    fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5, F.lit(-1)).cast("int")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", fold.alias("fold"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fold int, stats binary")
+def with_stats(docs: DataFrame, fold: str = "fold", stats: str = "stats") -> DataFrame:
+    """``docs`` with the fold (crc32 of doc_id as text, mod 5; -1 for null) and the statistics of every row."""
+    number = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5, F.lit(-1)).cast("int")
+    return docs.select(*docs.columns, number.alias(fold), stats_of(F.col("text").cast("string")).alias(stats))
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -142,20 +145,18 @@ def isotonic(at: np.ndarray, weight: np.ndarray, total: np.ndarray) -> tuple[np.
 
 
 def fit(stats: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
-    """Learn from the labelled rows whose fold is 1 to 4: weights from folds 1 to 3, calibration from fold 4 (from all of them when one of the classes has fewer than 20 rows there)."""
-    marks = labels.select("doc_id", F.col(label).cast("double").alias("_y")).where("doc_id is not null and _y is not null").groupBy("doc_id").agg((F.avg("_y") >= 0.5).cast("double").alias("_y"))
-    train = stored(stats.where("fold > 0").join(marks, "doc_id").select("fold", "stats", F.col("_y").alias("y")), "op10-train")
-    tally = {(r["f"], r["y"]): r["n"] for r in train.groupBy((F.col("fold") == 4).alias("f"), "y").agg(F.count("*").alias("n")).collect()}
+    """Learn from the labelled rows of ``stats`` (doc_id, fold, stats) whose fold is 1 to 4."""
+    marks = labels.select("doc_id", F.col(label).cast("double").alias("y")).where("doc_id is not null and y is not null").groupBy("doc_id").agg((F.avg("y") >= 0.5).cast("double").alias("y"))
+    train = stored(stats.where("fold > 0").join(marks, "doc_id").select("fold", "stats", "y"), "op10-train")
+    tally = {r["y"]: r["n"] for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
     rng = np.random.default_rng(SEED)
     w = rng.standard_normal((N_STATS, FEATURES)) / np.sqrt(N_STATS)
     phase = rng.uniform(0, 2 * np.pi, FEATURES)
     model = Model(np.zeros(N_STATS), np.ones(N_STATS), w, phase, np.zeros(FEATURES + N_STATS + 1), np.zeros(1), np.zeros(1))
-    ones, all_ = sum(n for (_, y), n in tally.items() if y == 1), sum(tally.values())
+    ones, all_ = tally.get(1.0, 0), sum(tally.values())
     model.values = np.array([(ones + 0.5) / (all_ + 1)])
     if ones in (0, all_):
         return model
-    split = min(tally.get((f, y), 0) for f in (True, False) for y in (0.0, 1.0)) >= 20
-    learn, calibrate = (train.where("fold < 4"), train.where("fold = 4")) if split else (train, train)
 
     def moments(batches):
         for b in batches:
@@ -163,69 +164,66 @@ def fit(stats: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
                 x = matrix(b.column("stats"))
                 yield pa.RecordBatch.from_pydict({"i": np.arange(N_STATS), "n": np.full(N_STATS, float(len(x))), "s": x.sum(0), "q": (x**2).sum(0)})
 
-    m = learn.select("stats").mapInArrow(moments, "i long, n double, s double, q double").groupBy("i").agg(F.sum("n"), F.sum("s"), F.sum("q")).orderBy("i").collect()
+    m = train.select("stats").mapInArrow(moments, "i long, n double, s double, q double").groupBy("i").agg(F.sum("n"), F.sum("s"), F.sum("q")).orderBy("i").collect()
     n, s, q = (np.array([r[k] for r in m]) for k in (1, 2, 3))
     model.mean, model.scale = s / n, np.sqrt(np.maximum(q / n - (s / n) ** 2, 1e-6))
 
     def normal(batches):
-        a = None
+        sums: dict[int, np.ndarray] = {}
         for b in batches:
-            if b.num_rows:
-                z = model.fourier(matrix(b.column("stats")))
-                part = z.T @ np.column_stack([z, b.column("y").to_numpy()])
-                a = part if a is None else a + part
-        if a is not None:
-            yield pa.RecordBatch.from_pydict({"i": np.arange(len(a)), "row": [r.tobytes() for r in a]})
+            fold, x, y = b.column("fold").to_numpy(), matrix(b.column("stats")), b.column("y").to_numpy()
+            for f in np.unique(fold):
+                z = model.fourier(x[fold == f])
+                sums[int(f)] = sums.get(int(f), 0) + z.T @ np.column_stack([z, y[fold == f]])
+        for f, a in sums.items():
+            yield pa.RecordBatch.from_pydict({"fold": np.full(len(a), f, np.int32), "i": np.arange(len(a)), "row": [r.tobytes() for r in a]})
 
     def total(key, part):
         rows = np.frombuffer(b"".join(part.column("row").to_pylist()), float).reshape(part.num_rows, -1)
-        return pa.table({"i": [key[0].as_py()], "row": [rows.sum(0).tobytes()]})
+        return pa.table({"fold": pa.array([key[0].as_py()], pa.int32()), "i": [key[1].as_py()], "row": [rows.sum(0).tobytes()]})
 
-    sums = learn.select("stats", "y").mapInArrow(normal, "i long, row binary").groupBy("i").applyInArrow(total, "i long, row binary").collect()
-    a = np.array([np.frombuffer(r["row"], float) for r in sorted(sums, key=lambda r: r["i"])])
-    ridge = np.full(len(a), RIDGE)
+    # at most four folds of one row for each weight
+    sums = train.select("fold", "stats", "y").mapInArrow(normal, "fold int, i long, row binary").groupBy("fold", "i").applyInArrow(total, "fold int, i long, row binary").collect()
+    of_fold = {f: np.array([np.frombuffer(r["row"], float) for r in sorted(sums, key=lambda r: r["i"]) if r["fold"] == f]) for f in {r["fold"] for r in sums}}
+    ridge = np.full(len(model.beta), RIDGE)
     ridge[-1] = 1e-9
-    model.beta = np.linalg.solve(a[:, :-1] + np.diag(ridge), a[:, -1])
+    solve = lambda a: np.linalg.solve(a[:, :-1] + np.diag(ridge), a[:, -1])
+    every = sum(of_fold.values())
+    model.beta = solve(every)
+    without = {f: solve(every - a) for f, a in of_fold.items()}
 
     def binned(batches):
         for b in batches:
             if b.num_rows:
-                raw = np.clip(model.raw(matrix(b.column("stats"))), -1, 2)
+                beta = np.array([without[f] for f in b.column("fold").to_pylist()])
+                raw = np.clip((model.fourier(matrix(b.column("stats"))) * beta).sum(1), -1, 2)
                 yield pa.RecordBatch.from_pydict({"bin": np.floor((raw + 1) / 3 * BINS).astype(np.int64), "raw": raw, "y": b.column("y").to_numpy()})
 
-    bins = calibrate.select("stats", "y").mapInArrow(binned, "bin long, raw double, y double").groupBy("bin").agg(F.avg("raw").alias("at"), F.count("*").alias("n"), F.sum("y").alias("y")).orderBy("bin").collect()
+    bins = train.select("fold", "stats", "y").mapInArrow(binned, "bin long, raw double, y double").groupBy("bin").agg(F.avg("raw").alias("at"), F.count("*").alias("n"), F.sum("y").alias("y")).orderBy("bin").collect()
     model.knots, model.values = isotonic(*(np.array([float(r[k]) for r in bins]) for k in ("at", "n", "y")))
     return model
 
 
-def scores(stats: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out (fold 0), score and predicted of every row of a stats table."""
+def score_of(model: Model):
+    """An Arrow function from statistics to scores."""
 
-    def run(batches):
-        for b in batches:
-            if b.num_rows:
-                y = model.score(matrix(b.column("stats")))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(b.column("fold").to_numpy() == 0), pa.array(y), pa.array((y >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+    @F.arrow_udf("double")
+    def score(stats: pa.Array) -> pa.Array:
+        return pa.array(model.score(matrix(stats)) if len(stats) else [], pa.float64())
 
-    kind = stats.schema["doc_id"].dataType.simpleString()
-    return stats.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return score
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Fit on ``labels`` and score every row of ``docs``."""
-    stats = stored(stats_table(docs), "op10-stats")
-    return scores(stats, fit(stats, labels), threshold)
+    """doc_id, held_out (fold 0), score and predicted of every row of ``docs``, by a model fitted on ``labels``."""
+    stats = stored(with_stats(docs.select("doc_id", "text")).drop("text"), "op10-stats")
+    scored = stats.select("doc_id", (F.col("fold") == 0).alias("held_out"), score_of(fit(stats, labels))("stats").alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, with all their columns."""
-    stats = stored(stats_table(docs), "op10-stats")
-    model = fit(stats, labels)
-
-    def run(batches):
-        for batch in batches:
-            for rows, data, starts in slices(batch):
-                x = np.nan_to_num(statistics(data, starts)).astype("<f4").astype(float)
-                yield rows.filter(pa.array(model.score(x) >= threshold))
-
-    return docs.mapInArrow(run, docs.schema)
+    """The rows of ``docs`` that the classifier accepts, with all their columns. The rows are stored with their statistics, so that no text is read by Python twice or shuffled."""
+    fold, stats = free_names(docs, "fold", "stats")
+    kept = stored(with_stats(docs, fold, stats), "op10-rows")
+    model = fit(kept.select("doc_id", F.col(fold).alias("fold"), F.col(stats).alias("stats")), labels)
+    return kept.where(score_of(model)(stats) >= threshold).select(*docs.columns)
