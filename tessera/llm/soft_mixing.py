@@ -12,8 +12,9 @@ document's rate follows from its posteriors and the rounds so far, so no rates
 are kept between rounds.
 
 The classifier is naive Bayes on hashed words with a softmax calibration, fitted
-on at most SAMPLE labelled documents (those with the least hashes of their
-doc_id): one half for the words, the other for the calibration.
+on at most SAMPLE labelled documents (those with the least hashes of their doc_id;
+of rows that share a doc_id, that of the least hash of its text): one half for the
+words, the other for the calibration.
 
 Tokens are words (ASCII white space parts them). Defined cases: null texts are
 empty and have no tokens; null doc_ids take part as documents; repeated rows
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bytetext import slices, words
-from tessera.llm.common import stored
+from tessera.llm.common import free_names, stored
 
 SAMPLE = 20_000
 BUCKETS = 1 << 16
@@ -104,7 +105,8 @@ def learn(docs: DataFrame, labelled: DataFrame, names: list[str], sample: int =
         return model
     kind = labelled.schema["doc_id"].dataType.simpleString()
     chosen = spark.createDataFrame([(r["doc_id"], r["y"], i % 2) for i, r in enumerate(rows)], f"doc_id {kind}, y int, half int")
-    train = stored(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("y", "half", "text"), "op1-sample")
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    train = stored(found.groupBy("doc_id").agg(F.first("y").alias("y"), F.first("half").alias("half"), F.min(F.struct(F.xxhash64("text"), "text")).alias("m")).select("y", "half", "m.text"), "op1-sample")
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(k * BUCKETS)
@@ -140,18 +142,53 @@ def learn(docs: DataFrame, labelled: DataFrame, names: list[str], sample: int =
     return model
 
 
+def membership_of(model: Membership):
+    """An Arrow function from texts to tokens and posteriors."""
+    kind = pa.struct([("n", pa.int64()), ("p", pa.list_(pa.float64()))])
+
+    @F.arrow_udf("struct<n:long,p:array<double>>")
+    def membership(text: pa.Array) -> pa.Array:
+        out = []
+        for _, data, starts in slices(pa.RecordBatch.from_arrays([text], ["text"])):
+            count, x = model.features(data, starts)
+            out += [{"n": int(c), "p": p} for c, p in zip(count, model.posteriors(x).tolist(), strict=True)]
+        return pa.array(out, kind)
+
+    return membership
+
+
 def members(docs: DataFrame, model: Membership) -> DataFrame:
     """doc_id, tokens and posteriors of every row."""
+    found = docs.select("doc_id", membership_of(model)(F.col("text").cast("string")).alias("m"))
+    return found.select("doc_id", F.col("m.n").alias("n_tokens"), *[F.get("m.p", F.lit(i)).alias(f"p_{n}") for i, n in enumerate(model.names)])
+
+
+#: Documents that one row of the packed table holds, and rounds read, at most.
+PACK = 1 << 16
+
+
+def packed(table: DataFrame, names: list[str]) -> DataFrame:
+    """n and p, as bytes: tokens and posteriors of up to PACK documents a row, so that a round converts few rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, data, starts in slices(batch):
-                count, x = model.features(data, starts)
-                p = model.posteriors(x)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(count.astype(np.int64)), *map(pa.array, p.T.copy())], ["doc_id", "n_tokens", *[f"p_{n}" for n in model.names]])
+        n, p, size = [], [], 0
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, " + ", ".join(f"p_{n} double" for n in model.names))
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"n": [np.concatenate(n).tobytes()], "p": [np.concatenate(p).tobytes()]})
+
+        for b in batches:
+            for at in range(0, b.num_rows, PACK):
+                part = b.slice(at, PACK)
+                if size + part.num_rows > PACK:
+                    yield row()
+                    n, p, size = [], [], 0
+                n.append(part.column("n_tokens").to_numpy().astype(float))
+                p.append(np.column_stack([part.column(f"p_{x}").to_numpy() for x in names]))
+                size += part.num_rows
+        if size:
+            yield row()
+
+    return table.select("n_tokens", *[f"p_{x}" for x in names]).mapInArrow(run, "n binary, p binary")
 
 
 @dataclass
@@ -177,16 +214,21 @@ def fit_rates(table: DataFrame, names: list[str], weights: dict[str, float], bud
     k = len(names)
     w = np.array([weights[n] for n in names], float)
     w /= w.sum()
+    rows = stored(packed(table, names), "op1-packed")
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for b in batches:
+            for n, p in zip(b.column("n").to_pylist(), b.column("p").to_pylist(), strict=True):
+                yield np.frombuffer(n), np.frombuffer(p).reshape(-1, k)
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(k + k * k)
-        for b in batches:
-            p, n = np.column_stack([b.column(f"p_{x}").to_numpy() for x in names]), b.column("n_tokens").to_numpy().astype(float)
+        for n, p in pairs(batches):
             total += np.concatenate([n @ p, ((p * n[:, None]).T @ p).ravel()])
         yield pa.RecordBatch.from_pydict({"i": np.arange(len(total)), "v": total})
 
     def summed(run) -> np.ndarray:
-        return np.array([r["v"] for r in table.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()])
+        return np.array([r["v"] for r in rows.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()])
 
     first = summed(moments)
     if not len(first) or first[:k].sum() == 0:
@@ -200,8 +242,7 @@ def fit_rates(table: DataFrame, names: list[str], weights: dict[str, float], bud
     def descend(descent: Descent, metric: np.ndarray) -> Descent:
         def expected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(2 * k + 1)
-            for b in batches:
-                p, n = np.column_stack([b.column(f"p_{x}").to_numpy() for x in names]), b.column("n_tokens").to_numpy().astype(float)
+            for n, p in pairs(batches):
                 r, y = descent.replay(p)
                 total += np.concatenate([(n * y) @ p, (n * r) @ p, [n @ np.maximum(-(p @ descent.slopes[-1]), 0)]])
             yield pa.RecordBatch.from_pydict({"i": np.arange(len(total)), "v": total})
@@ -247,19 +288,19 @@ def soft_rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] =
 
 
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] = WEIGHTS, seed: int = 1, **options) -> DataFrame:
-    """``docs`` with each row repeated by its rate: the whole part surely, one more with the chance of the rest, drawn from a hash of doc_id and seed."""
+    """``docs`` with each row repeated by its rate: the whole part surely, one more with the chance of the rest, drawn from a hash of doc_id and seed. The rows are stored with their posteriors, so that no text is read by Python twice or shuffled."""
     names = sorted(weights)
+    (m,) = free_names(docs, "membership")
     model = learn(docs, labelled, names)
-    table = stored(members(docs, model), "op1-members")
+    kept = stored(docs.select(*docs.columns, membership_of(model)(F.col("text").cast("string")).alias(m)), "op1-rows")
+    table = kept.select(F.col(f"{m}.n").alias("n_tokens"), *[F.get(f"{m}.p", F.lit(i)).alias(f"p_{n}") for i, n in enumerate(names)])
     descent = fit_rates(table, names, weights, **options)
-    columns = docs.columns
-    drawn = docs.select(*columns, (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)).alias("__draw"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, data, starts in slices(batch):
-                r, _ = descent.replay(model.posteriors(model.features(data, starts)[1]))
-                copies = np.floor(r).astype(np.int64) + (part.column(len(columns)).to_numpy() < r % 1)
-                yield part.select(columns).take(pa.array(np.repeat(np.arange(len(r)), copies)))
+    @F.arrow_udf("double")
+    def rate(p: pa.Array) -> pa.Array:
+        return pa.array(descent.replay(np.array(p.flatten()).reshape(len(p), -1))[0] if len(p) else [], pa.float64())
 
-    return drawn.mapInArrow(run, docs.schema)
+    (r,) = free_names(kept, "rate")
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    copies = F.floor(r) + (draw < F.col(r) % 1).cast("int")
+    return kept.withColumn(r, rate(F.col(f"{m}.p"))).withColumn(m, F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select(*docs.columns)
