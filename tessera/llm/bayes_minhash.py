@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bytetext import mix, slices
-from tessera.llm.common import release, shuffle_partitions, stored
+from tessera.llm.common import free_names, release, shuffle_partitions, stored
 from tessera.llm.shingles import shingle_sets
 
 #: Least similarity in hundredths.
@@ -324,5 +324,6 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
     """One row of each component, that of its least doc_id, and every row without words or doc_id; all columns stay. ``docs`` must read the same rows in the same order each time, as a stored table does."""
     found = near_duplicates(docs, **options).where("kept")
     alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
-    kept = found.groupBy("component_id", F.when(alone, F.col("row")).alias("alone")).agg(F.min("row").alias("__row")).select("__row")
-    return docs.select(*docs.columns, F.monotonically_increasing_id().alias("__row")).join(kept, "__row", "left_semi").select(*docs.columns)
+    (row,) = free_names(docs, "row")
+    kept = found.groupBy("component_id", F.when(alone, F.col("row")).alias("alone")).agg(F.min("row").alias(row)).select(row)
+    return docs.select(*docs.columns, F.monotonically_increasing_id().alias(row)).join(kept, row, "left_semi").select(*docs.columns)

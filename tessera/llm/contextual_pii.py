@@ -1,12 +1,15 @@
 """Operator 3: personal data by rules and by bootstrapped contextual patterns.
 
-Rules find the base spans. Each base span is a seed entity and the one or two
-words before it are lexical patterns. Spark scores the bipartite graph of
-patterns and instances round by round: a pattern's confidence in a kind is the
-mean confidence of the distinct values that follow it (smoothed by one value of
-no kind), and an unknown value's confidence is that of the noisy or of its
-patterns. Identifier-like strings that no rule takes and that follow a pattern
-of high confidence become spans of that pattern's kind.
+Rules find the base spans. Their distinct values are seed entities of weight one,
+and the one or two words before a span, back to the span before it at most, are
+lexical patterns. Spark scores the bipartite graph of patterns and values round by
+round. A pattern's confidence in a kind is the weight of the distinct values of that
+kind that follow it, over the weight of all known values, half the rest, and one. A
+pattern is trusted from CONFIDENCE and SEEDS distinct known values on. Identifier-like
+strings that no rule takes and that follow a trusted pattern are discovered, and are
+seeds of the following rounds, lighter by DECAY a round, so that what is far from the
+rules soon convinces no pattern. Rounds end when nothing new is found, after ROUNDS at
+most. Unknown identifiers after trusted patterns become spans of the pattern's kind.
 
 Offsets are code points, ends exclusive. Defined cases: null texts are empty and
 stay null in ``redact``; repeated rows get equal results each; spans of two
@@ -18,21 +21,21 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored, text_or_empty
+from tessera.llm.common import free_names, release, stored, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 3
-#: A pattern is trusted from this confidence and this many distinct seeds on.
-CONFIDENCE = 0.8
+ROUNDS = 6
+#: A pattern is trusted from this confidence and this many distinct known values on.
+CONFIDENCE = 0.6
 SEEDS = 5
-#: Context words are looked for in so many characters before a span.
-REACH = 48
+DECAY = 0.8
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -40,7 +43,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NUMBER = re.compile(r"(?<![0-9A-Za-z])\+?[0-9][0-9A-Za-z._/()-]*+(?:[\x20-][0-9(][0-9().-]*+)*+")
-_SPOKEN = re.compile(r"[A-Za-z0-9._%+-]{1,64}\x20?[(\[]at[)\]]\x20?[A-Za-z0-9-]{1,64}(?:\x20?(?:[(\[]dot[)\]]|\.)\x20?[A-Za-z0-9-]{1,64}){1,8}", re.I)
+_SPOKEN_AT = re.compile(r"\x20?[(\[]at[)\]]\x20?", re.I)
+_SPOKEN_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\x20?(?:[(\[]dot[)\]]|\.)\x20?[A-Za-z0-9-]++)++", re.I)
 _NOT_DIGIT = re.compile("[^0-9]+")
 
 
@@ -78,11 +82,23 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def spoken(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses with a bracketed "at", looked for from it in both directions."""
+    free = 0
+    for m in _SPOKEN_AT.finditer(text):
+        start = m.start()
+        while start > free and _LOCAL.match(text[start - 1]):
+            start -= 1
+        domain = _SPOKEN_DOMAIN.match(text, m.end()) if free <= start < m.start() else None
+        if domain:
+            yield start, domain.end()
+            free = domain.end()
+
+
 def unknown_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     """Identifier-like strings of seven digits or more, and spoken addresses, that overlap no base span."""
     found = [m.span() for m in _NUMBER.finditer(text) if m.end() - m.start() >= 7 and len(_NOT_DIGIT.sub("", m[0])) >= 7]
-    if "(at)" in text or "[at]" in text:
-        found += [m.span() for m in _SPOKEN.finditer(text)]
+    found += spoken(text)
     taken = sorted((a, b) for _, a, b in base)
     out, k = [], 0
     for a, b in sorted(found):
@@ -93,10 +109,15 @@ def unknown_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int
     return out
 
 
-def context(text: str, start: int) -> list[str]:
-    """The patterns before a span: one word, and two words."""
-    before = text[max(0, start - REACH) : start].lower().split()[-2:]
-    return [" ".join(before[-n:]) for n in (1, 2) if len(before) >= n]
+def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[list[str]]:
+    """The patterns before each span: one word, and two words, that no other span lies behind. Each character is looked at once, however long words are."""
+    ends = sorted(b for _, _, b in spans)
+    out = []
+    for _, start, _ in spans:
+        k = bisect_right(ends, start)
+        before = text[ends[k - 1] if k else 0 : start].lower().rsplit(None, 2)[-2:]
+        out.append([" ".join(before[-n:]) for n in (1, 2) if len(before) >= n])
+    return out
 
 
 _MENTION = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("patterns", pa.list_(pa.string()))]))
@@ -113,7 +134,7 @@ def mentions(docs: DataFrame) -> DataFrame:
                 for text in part.column(3).to_pylist():
                     base = base_spans(text)
                     both = base + [(-1, a, b) for a, b in unknown_spans(text, base)]
-                    found.append([{"kind": k, "start": a, "end": b, "value": text[a:b].lower(), "patterns": context(text, a)} for k, a, b in both])
+                    found.append([{"kind": k, "start": a, "end": b, "value": text[a:b].lower(), "patterns": p} for (k, a, b), p in zip(both, contexts(text, both), strict=True)])
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(found, _MENTION)], ["doc_id", "h1", "h2", "found"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -122,21 +143,26 @@ def mentions(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, h1 long, h2 long, found array<struct<kind:int,start:int,end:int,value:string,patterns:array<string>>>")
 
 
-def trusted_patterns(found: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, seeds: int = SEEDS) -> DataFrame:
-    """pattern, kind and confidence of the patterns that pass, scored over the pattern-instance graph of a mentions table."""
+def trusted_patterns(found: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, seeds: int = SEEDS, decay: float = DECAY) -> DataFrame:
+    """pattern, kind and confidence of the patterns that are trusted at last, scored over the pattern-instance graph of a mentions table."""
     each = found.select(F.explode("found").alias("m")).select(F.col("m.kind").alias("kind"), F.xxhash64("m.value").alias("value"), F.explode("m.patterns").alias("pattern"))
     edges = stored(each.groupBy("pattern", "value").agg(F.max("kind").alias("kind")), "op3-edges")
-    seed = edges.where("kind >= 0").select("pattern", "value", "kind", F.lit(1.0).alias("belief"))
-    size = edges.groupBy("pattern").agg(F.count("*").alias("n"))
-    belief, patterns = seed, None
-    for _ in range(rounds):
-        tallied = belief.groupBy("pattern", "kind").agg(F.sum("belief").alias("b"), F.sum((F.col("belief") >= 1).cast("int")).alias("seeds"))
-        patterns = stored(tallied.join(size, "pattern").select("pattern", "kind", "seeds", (F.col("b") / (F.col("n") + 1)).alias("confidence")), "op3-patterns")
-        strong = patterns.where(F.col("confidence") >= 0.05)
-        unknown = edges.where("kind < 0").select("pattern", "value").join(strong, "pattern")
-        values = unknown.groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(0.999)))))).alias("belief"))
-        belief = seed.unionByName(edges.where("kind < 0").select("pattern", "value").join(values, "value").select("pattern", "value", "kind", F.least("belief", F.lit(0.99)).alias("belief")))
-    return patterns.where((F.col("confidence") >= confidence) & (F.col("seeds") >= seeds)).select("pattern", "kind", "confidence")
+    known = stored(edges.where("kind >= 0").groupBy("value").agg(F.max("kind").alias("kind")).withColumn("weight", F.lit(1.0)), "op3-known")
+    size = stored(edges.groupBy("pattern").agg(F.count("*").alias("n")), "op3-sizes")
+    patterns, pairs = None, edges.select("pattern", "value")
+    for round_ in range(1, rounds + 1):
+        own = pairs.join(known, "value").groupBy("pattern", "kind").agg(F.sum("weight").alias("own"), F.count("*").alias("seeds"))
+        tallied = stored(own, "op3-tallied")
+        every = tallied.groupBy("pattern").agg(F.sum("own").alias("every"))
+        scored = tallied.join(every, "pattern").join(size, "pattern").withColumn("confidence", 2 * F.col("own") / (F.col("every") + F.col("n") + 2))
+        patterns = stored(scored.where((F.col("confidence") >= confidence) & (F.col("seeds") >= seeds)).select("pattern", "kind", "confidence"), "op3-patterns")
+        best = pairs.join(patterns, "pattern").join(known.select("value"), "value", "left_anti").groupBy("value").agg(F.max(F.struct("confidence", -F.col("kind"))).alias("best"))
+        new = stored(best.select("value", (-F.col("best.col2")).alias("kind"), F.lit(decay**round_).alias("weight")), "op3-new")
+        release(tallied)
+        if new.isEmpty():
+            break
+        known = stored(known.unionByName(new), "op3-known")
+    return patterns
 
 
 def discovered(found: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -174,9 +200,10 @@ def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets; all rows and columns stay."""
     _, added = find(docs)
     text = text_or_empty()
-    keyed = docs.select(*docs.columns, F.xxhash64(text).alias("__h1"), F.xxhash64(F.lit(1), text).alias("__h2"))
-    more = added.select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), F.transform("added", lambda s: F.array(s["kind"], s["start"], s["end"])).alias("__added"))
     at, names = docs.columns.index("text"), docs.columns
+    h1, h2, extra = free_names(docs, "h1", "h2", "added")
+    keyed = docs.select(*names, F.xxhash64(text).alias(h1), F.xxhash64(F.lit(1), text).alias(h2))
+    more = added.select(F.col("h1").alias(h1), F.col("h2").alias(h2), F.transform("added", lambda s: F.array(s["kind"], s["start"], s["end"])).alias(extra))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,7 +212,7 @@ def redact(docs: DataFrame) -> DataFrame:
                 texts = [None if t is None else cut(t, base_spans(t) + [tuple(s) for s in extra or ()]) for t, extra in zip(part.column(at).to_pylist(), part.column(len(names)).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:at], pa.array(texts, part.column(at).type), *part.columns[at + 1 : len(names)]], names)
 
-    joined = keyed.join(more, ["__h1", "__h2"], "left").select(*names, "__added")
+    joined = keyed.join(more, [h1, h2], "left").select(*names, extra)
     return joined.mapInArrow(run, docs.schema)
 
 

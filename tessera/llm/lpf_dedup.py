@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bytetext import BLOCK_BYTES, BYTE_CODE, mix, slices
-from tessera.llm.common import release, shuffle_partitions, stored
+from tessera.llm.common import free_names, release, shuffle_partitions, stored
 
 LEAST = 200
 #: Lengths of anchors: of the first cut, of the next ones where an anchor is hot, and at last whole factors.
@@ -349,5 +349,6 @@ def remove(docs: DataFrame, least: int = LEAST, keep: str = "first") -> DataFram
                 texts.append(text)
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(texts, batch.column(at).type), *batch.columns[at + 1 : len(names)]], names)
 
-    keyed = docs.select(*names, F.monotonically_increasing_id().alias("__row"))
-    return keyed.join(spans.select(F.col("row").alias("__row"), F.col("spans").alias("__spans")), "__row", "left").select(*names, "__spans").mapInArrow(run, docs.schema)
+    row, found = free_names(docs, "row", "spans")
+    keyed = docs.select(*names, F.monotonically_increasing_id().alias(row))
+    return keyed.join(spans.select(F.col("row").alias(row), F.col("spans").alias(found)), row, "left").select(*names, found).mapInArrow(run, docs.schema)
