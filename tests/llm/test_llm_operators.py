@@ -58,7 +58,7 @@ def docs(spark, rows, tmp_path_factory):
     """Stored, with a repeated row and columns whose names the operators use inside."""
     path = str(tmp_path_factory.mktemp("docs") / "d")
     df = spark.createDataFrame([*rows, rows[12]], SCHEMA)
-    for name in ("row", "id", "n", "label", "key", "y", "a", "t", "sig", "stats", "fold", "sha", "h1", "found", "spans", "kept"):
+    for name in ("row", "id", "n", "label", "key", "y", "a", "t", "sig", "stats", "fold", "sha", "h1", "h2", "found", "spans", "kept", "added", "rate", "membership", "shard", "slot", "__row", "__h1", "__added", "__spans", "__draw", "_shard", "_slot", "_id"):
         df = df.withColumn(name, F.lit("clash"))
     df.repartition(3, "doc_id").write.parquet(path)
     return spark.read.parquet(path)
@@ -132,8 +132,18 @@ def test_shards(docs, rows, none, tmp_path):
     order = [r["hilbert"] for r in sorted(found, key=lambda r: (r["shard"], r["slot"]))]
     assert order == sorted(order)
     assert hilbert_shards.hilbert_shards(none).count() == 0
-    stats = hilbert_shards.write_shards(docs.dropDuplicates(["doc_id"]), str(tmp_path / "s")).collect()
-    assert sum(r["rows"] for r in stats) == len(rows)
+    stats = hilbert_shards.write_shards(docs, str(tmp_path / "s")).collect()
+    assert sorted(r["shard"] for r in stats) == list(range(8)) and sum(r["rows"] for r in stats) == len(rows) + 1
+
+
+def test_shard_ranges_prune_files(spark, tmp_path):
+    rng = random.Random(6)
+    data = [(i, "x", rng.choice("abcdefgh"), f"s{rng.randrange(20):02d}", rng.randrange(10_000)) for i in range(4000)]
+    spark.createDataFrame(data, SCHEMA).repartition(4).write.parquet(str(tmp_path / "d"))
+    stats = hilbert_shards.write_shards(spark.read.parquet(str(tmp_path / "d")), str(tmp_path / "s"), shards=64).collect()
+    files = sum(1 for r in stats if r["min_lang"] <= "b" <= r["max_lang"] and r["min_source"] <= "s03" <= r["max_source"])
+    sizes = sum(1 for r in stats if r["min_n_chars"] <= 500 <= r["max_n_chars"])
+    assert files <= 24 and sizes <= 32  # of 64; random shards would all be read
 
 
 def test_private_data(docs, rows, none):
@@ -165,6 +175,27 @@ def test_contexts_discover_what_rules_miss(spark):
     assert cut[100] == "please call my desk: <PHONE> now" and cut[0] == "please call my desk: <PHONE> now" and cut[101] == new[1][1]
 
 
+def test_discovered_values_are_seeds_in_turn(spark):
+    number = lambda i: f"415-555-01{i:02d}"
+    rows = [f"reach the clerk under phone +1 (415) 555-01{i:02d} at noon" for i in range(12)]
+    rows += [f"reach the clerk under phone {number(i)} at noon" for i in range(20, 32)]
+    rows += [f"the office has this line {number(i)} for visitors" for i in range(20, 32)]
+    rows += ["the office has this line 415-555-0199 for visitors"]  # two hops away from the rules
+    rows += [f"the parcel bears code 77{i:02d}1234 on top" for i in range(30)] + [f"the parcel bears code +1 (415) 555-02{i:02d} on top" for i in range(6)]  # mostly no phones
+    found = {r["doc_id"]: r for r in contextual_pii.report(*contextual_pii.find(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))).collect()}
+    for i, text in enumerate(rows):
+        assert found[i]["spans"].startswith("phone:") == (i < 37 or i >= 67), (text, found[i]["spans"])
+
+
+def test_contexts_are_whole_words():
+    text = "x" * 500 + " " + "y" * 300 + ": 1234567, 7654321 (at) z"
+    spans = [(-1, m.start(), m.end()) for m in contextual_pii._NUMBER.finditer(text)]
+    assert contextual_pii.contexts(text, spans) == [["y" * 300 + ":", "x" * 500 + " " + "y" * 300 + ":"], [","]]
+    long = "a." * 200 + "b(at)" + "c" * 90 + "".join(f" [dot] d{i}" for i in range(12)) + " e"
+    assert list(contextual_pii.spoken(long)) == [(0, len(long) - 2)]
+    assert list(contextual_pii.spoken("(at)x.y a (at) b a(at)b.c(at)d.e")) == [(17, 25)]
+
+
 def test_redaction_keeps_rows_and_columns(docs):
     out = contextual_pii.redact(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
@@ -282,24 +313,43 @@ def test_words_tokenise_alone():
         assert got.tolist() == [*tok.encode(t, add_special_tokens=False).ids, 2], t
 
 
-def test_secrets_and_ledger(spark, docs, rows, none):
+def test_secrets_and_ledger(spark, docs, rows, none, tmp_path):
     text = {i: t for i, t, *_ in rows}
-    paths, ledger = secret_ledger.update(docs)
-    found = secret_ledger.report(paths).collect()
+    path = str(tmp_path / "ledger")
+    found = secret_ledger.report(secret_ledger.update(docs, path)).collect()
     assert len(found) == len(rows) + 1 and sum(r["n_assign"] for r in found) >= 2
     for r in found:
         spans = brute.secrets(text[r["doc_id"]])
         n = Counter(k for k, *_ in spans)
         digest, joined = brute.digest(spans)
         assert (r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"], r["spans"]) == (n["assign"], n["access"], n["hex"], digest, joined)
-    assert ledger.count() == len({t or "" for t in text.values()})
+    blobs = len({t or "" for t in text.values()})
+    assert spark.read.parquet(path).count() == blobs
     more = docs.unionByName(docs.limit(1).withColumn("text", F.lit("new password=abcdefgh")))
-    again, after = secret_ledger.update(more, ledger)
-    assert after.count() == ledger.count() + 1 and again.count() == len(rows) + 2
-    changed = ledger.withColumn("findings", F.expr(f"array(named_struct('start', 1, 'kind_no', 0, 'end', 2))")).withColumn("rule_version", F.lit(secret_ledger.RULE_VERSION))
-    seen = secret_ledger.report(secret_ledger.update(docs, changed)[0])
+    more.write.parquet(str(tmp_path / "more"))
+    again = secret_ledger.update(spark.read.parquet(str(tmp_path / "more")), path)
+    assert spark.read.parquet(path).count() == blobs + 1 and again.count() == len(rows) + 2
+    known = str(tmp_path / "known")
+    changed = spark.read.parquet(path).withColumn("findings", F.expr("array(named_struct('start', 1, 'kind_no', 0, 'end', 2))"))
+    changed.write.partitionBy("rule_version").parquet(known)
+    seen = secret_ledger.report(secret_ledger.update(docs, known))
     assert seen.where("spans <> 'assign:1:2'").isEmpty()  # known pairs are not scanned again
-    assert secret_ledger.report(secret_ledger.update(none)[0]).count() == 0
+    other = str(tmp_path / "other")
+    changed.withColumn("rule_version", F.lit("older")).write.partitionBy("rule_version").parquet(other)
+    assert sorted(map(tuple, secret_ledger.report(secret_ledger.update(docs, other)).collect())) == sorted(map(tuple, found))  # new rules scan again
+    assert spark.read.parquet(other).count() == 2 * blobs + 1
+    assert secret_ledger.report(secret_ledger.update(none)).count() == 0
+
+
+def test_an_unchanged_corpus_scans_nothing(spark, docs, tmp_path):
+    path = str(tmp_path / "ledger")
+    secret_ledger.update(docs, path)
+    keys, unseen = secret_ledger.unseen_rows(docs, path)
+    assert unseen.isEmpty() and "text" not in keys.columns
+    plan = unseen._jdf.queryExecution().executedPlan().toString()
+    assert "text" not in plan  # digests alone are shuffled
+    plan = secret_ledger.texts_of(docs, unseen)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" in plan and "Exchange hashpartitioning" not in plan
 
 
 def test_line_quality(docs, rows, none):
@@ -320,8 +370,14 @@ def test_repeats_where_hashes_look_alike(docs, monkeypatch):
     assert sorted(map(tuple, line_quality.judge(docs).collect())) == want
 
 
-def test_native_plans_hold_no_python(docs):
-    for df in (line_quality.judge(docs), secret_ledger.report(secret_ledger.update(docs)[0])):
+def test_native_plans_hold_no_python(docs, monkeypatch):
+    plans = []
+    for module in (line_quality, secret_ledger):
+        own = module.stored
+        monkeypatch.setattr(module, "stored", lambda df, name, own=own: (plans.append(df), own(df, name))[1])
+    plans += [line_quality.judge(docs), secret_ledger.report(secret_ledger.update(docs))]
+    assert len(plans) >= 5
+    for df in plans:
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
 
@@ -398,6 +454,39 @@ def test_quality_on_held_out(spark):
     assert sum(r["quality"] == r["predicted"] for r in both) >= 0.93 * len(both)
 
 
+def test_fit_like_plain_algebra(spark, docs, labels, rows):
+    marks = defaultdict(list)
+    for r in labels.collect():
+        if r["doc_id"] is not None and r["quality"] is not None:
+            marks[r["doc_id"]].append(r["quality"])
+    table = quality_classifier.with_stats(docs.select("doc_id", "text"))
+    model = quality_classifier.fit(table, labels)
+    fold, x, y = [], [], []
+    for r in docs.select("doc_id", "text").collect():
+        data = np.frombuffer((r["text"] or "").encode(), np.uint8)
+        f = zlib.crc32(str(r["doc_id"]).encode()) % 5
+        if f and r["doc_id"] in marks:
+            fold.append(f)
+            x.append(quality_classifier.statistics(data, np.array([0, len(data)]))[0].astype("f4").astype(float))
+            y.append(float(np.mean(marks[r["doc_id"]]) >= 0.5))
+    fold, x, y = np.array(fold), np.array(x), np.array(y)
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.scale, np.sqrt(np.maximum(x.var(0), 1e-6)), rtol=1e-5)
+    z = model.fourier(x)
+    ridge = np.diag([quality_classifier.RIDGE] * (z.shape[1] - 1) + [1e-9])
+    solve = lambda on: np.linalg.solve(z[on].T @ z[on] + ridge, z[on].T @ y[on])
+    assert np.allclose(model.beta, solve(fold > 0), atol=1e-5)
+    raw = np.clip([z[i] @ solve(fold != fold[i]) for i in range(len(y))], -1, 2)
+    bins = defaultdict(list)
+    for i, r in enumerate(raw):
+        bins[int((r + 1) / 3 * quality_classifier.BINS)].append(i)
+    at, n, t = (np.array([f(bins[b]) for b in sorted(bins)]) for f in (lambda i: raw[i].mean(), len, lambda i: y[i].sum()))
+    # the isotonic fit as a greatest of least means
+    want = [max(min(t[a : b + 1].sum() / n[a : b + 1].sum() for b in range(k, len(at))) for a in range(k + 1)) for k in range(len(at))]
+    pools = [np.flatnonzero(np.isclose(want, v)) for v in sorted(set(np.round(want, 12)))]
+    assert np.allclose(model.values, np.maximum.accumulate([(t[p].sum() + 0.5) / (n[p].sum() + 1) for p in pools]), atol=1e-6)
+    assert np.allclose(model.knots, [np.average(at[p], weights=n[p]) for p in pools], atol=1e-6)
+
+
 def test_isotonic_rises():
     at, n, y = np.arange(6.0), np.ones(6) * 10, np.array([1, 3, 2, 8, 7, 10.0])
     knots, values = quality_classifier.isotonic(at, n, y)
@@ -436,6 +525,34 @@ def test_mixing_draws_by_rate(docs, labels):
     assert more.count() > docs.count()
 
 
+def test_rates_are_least_squares(spark):
+    """Against plain projected gradient steps on each document's own rate, many times over."""
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    names = ["prime", "rough", "toxic"]
+    for cap, weights in ((np.inf, (0.7, 0.2, 0.1)), (1.0, (0.2, 0.3, 0.5)), (1.0, (0.88, 0.08, 0.04))):
+        p = rng.dirichlet((2, 0.6, 0.3), 300)
+        n = rng.integers(1, 400, 300)
+        target = np.array(weights) * n.sum()
+        with np.testing.suppress_warnings() as quiet:
+            quiet.filter(UserWarning)
+            descent = soft_mixing.fit_rates(spark.createDataFrame(pd.DataFrame({"n_tokens": n} | {f"p_{x}": c for x, c in zip(names, p.T, strict=True)})), names, dict(zip(names, weights, strict=True)), cap=cap)
+        miss = lambda r: float((((n * r) @ p - target) ** 2).sum() / n.sum() ** 2)
+        a = p * n[:, None]
+        r = np.ones(300)
+        for _ in range(20_000):
+            r = np.clip(r - (a @ (r @ a - target)) / np.linalg.eigvalsh(a.T @ a)[-1], 0, cap)
+        assert miss(np.clip(descent.replay(p)[0], 0, cap)) <= miss(r) + 1e-6, (cap, weights)
+
+
+def test_repeated_ids_stay_in_the_sample_bound(spark):
+    docs = spark.createDataFrame([(i % 5, f"word{i} text") for i in range(400)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, ("prime", "rough")[i % 2]) for i in range(5)], "doc_id long, domain string")
+    model = soft_mixing.learn(docs, marks, ["prime", "rough"], sample=4)
+    assert (model.theta != 0).any(1).sum() <= 4 * 2
+
+
 def test_rare_domains_meet_their_targets(spark):
     import pandas as pd
 
