@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,27 +25,36 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return label
 
 
-def closure(seeds: DataFrame, edges: DataFrame, stops: DataFrame | None = None, rounds: int = 50) -> DataFrame:
-    """id and depth of all that directed edges (a, b) reach from ``seeds`` (id). What ``stops`` lists is reached but not followed."""
-    reached = stored(seeds.select("id").distinct().withColumn("depth", F.lit(0)), "closure")
-    front = reached
-    for depth in range(1, rounds + 1):
+#: Stored levels of a closure that are gathered into one table before they slow down the plans that read them.
+LEVELS = 16
+
+
+def closure(seeds: DataFrame, edges: DataFrame, stops: DataFrame | None = None) -> DataFrame:
+    """id and depth of all that directed edges (a, b) reach from ``seeds`` (id), however long the paths; a round for each step. What ``stops`` lists is reached but not followed."""
+    levels = [stored(seeds.select("id").where("id is not null").distinct().withColumn("depth", F.lit(0)), "closure")]
+    depth = 0
+    while True:
+        front = levels[-1]
         go = front.select("id") if stops is None else front.select("id").join(stops.select("id"), "id", "left_anti")
-        found = edges.join(go.withColumnRenamed("id", "a"), "a").select(F.col("b").alias("id")).distinct().join(reached.select("id"), "id", "left_anti")
+        found = edges.join(go.withColumnRenamed("id", "a"), "a").select(F.col("b").alias("id")).where("id is not null").distinct()
+        for known in levels:
+            found = found.join(known.select("id"), "id", "left_anti")
+        depth += 1
         front = stored(found.withColumn("depth", F.lit(depth)), "closure")
         if front.isEmpty():
-            return reached
-        reached = stored(reached.unionByName(front), "closure")
-    return reached
+            return reduce(DataFrame.unionByName, levels)
+        levels.append(front)
+        if len(levels) > LEVELS:
+            levels = [stored(reduce(DataFrame.unionByName, levels[:-1]), "closure"), front]
 
 
-def until_stable(state: DataFrame, step, rounds: int = 4) -> tuple[DataFrame, int]:
-    """Apply ``step`` (frame to frame that only adds rows) until it adds none, ``rounds`` times at most; the frame and the rounds used."""
-    n = state.count()
-    for i in range(1, rounds + 1):
-        state = stored(step(state), "state")
+def until_stable(state: DataFrame, step, rounds: int | None = None) -> tuple[DataFrame, int, bool]:
+    """Apply ``step`` (frame to frame that only adds rows) until it adds none, or ``rounds`` times; the frame, the rounds used and whether it is stable."""
+    n, i = state.count(), 0
+    while rounds is None or i < rounds:
+        state, i = stored(step(state), "state"), i + 1
         m = state.count()
         if m == n:
-            return state, i
+            return state, i, True
         n = m
-    return state, rounds
+    return state, i, False

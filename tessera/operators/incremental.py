@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,21 +45,36 @@ def all_written(outcomes: DataFrame, unit: str, ok: str) -> DataFrame:
     return outcomes.groupBy(unit).agg(F.min(F.col(ok).cast("int")).alias("_ok")).where("_ok = 1").select(unit)
 
 
+def window_places(at: np.ndarray, width: int, opened: int | None = None, n: int = 0) -> tuple[np.ndarray, np.ndarray, int | None, int]:
+    """(place of each event in its window, when that opened, the last window's opening and count) of one key's sorted times; a window opens at the first event after the last one closed. A step for each window, not for each event."""
+    places, opens, k = np.empty(len(at), np.int32), np.empty(len(at), np.int64), 0
+    while k < len(at):
+        if opened is None or at[k] - opened >= width:
+            opened, n = int(at[k]), 0
+        end = k + int(np.searchsorted(at[k:], opened + width))
+        places[k:end] = np.arange(n + 1, n + 1 + end - k)
+        opens[k:end] = opened
+        n, k = n + end - k, end
+    return places, opens, opened, n
+
+
 def rate_limit(events: DataFrame, key: str, ts_ms: str, order: str, limit: int, window_ms: int) -> DataFrame:
-    """Each event with its place in its key's window, whether it is allowed and, if not, the seconds to wait. A window opens at the first event after the last one closed; rejected events count. A key's events pass one task in order, and its state is two numbers, however many they are."""
+    """Each event with its place in its key's window, whether it is allowed and, if not, the seconds to wait. Rejected events count. Each opening follows from the one before it, so a key's events pass one task in order; its state is two numbers, however many they are."""
     kind = events.schema[key].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        who, opened, n = object(), 0, 0
+        who, opened, n = None, None, 0
         for frame in frames:
-            counts, opens = [], []
-            for k, t in zip(frame[key], frame[ts_ms], strict=True):
-                if k != who or t - opened >= window_ms:
-                    who, opened, n = k, t, 0
-                n += 1
-                counts.append(n)
-                opens.append(opened)
-            yield pd.DataFrame({key: frame[key], order: frame[order], "count": counts, "opened": opens, "ms": frame[ts_ms]})
+            if frame.empty:
+                continue
+            names, at = frame[key].to_numpy(), frame[ts_ms].to_numpy("int64")
+            cuts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)]
+            counts, opens = np.empty(len(at), np.int32), np.empty(len(at), np.int64)
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if names[a] != who:
+                    who, opened, n = names[a], None, 0
+                counts[a:b], opens[a:b], opened, n = window_places(at[a:b], window_ms, opened, n)
+            yield pd.DataFrame({key: frame[key], order: frame[order], "count": counts, "opened": opens, "ms": at})
 
     sorted_ = events.where(F.col(key).isNotNull() & F.col(ts_ms).isNotNull()).select(key, F.col(ts_ms).cast("long").alias(ts_ms), F.col(order).cast("long").alias(order)).repartition(key).sortWithinPartitions(key, ts_ms, order)
     rows = sorted_.mapInPandas(run, f"{key} {kind}, {order} long, count int, opened long, ms long")

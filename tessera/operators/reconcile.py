@@ -14,9 +14,10 @@ def _same(a: str, b: str, keys: list[str]) -> Column:
     return reduce(lambda x, y: x & y, [F.col(f"{a}.{k}") == F.col(f"{b}.{k}") for k in keys])
 
 
-def replace_all(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """New rows win with all their columns; old rows without a new one stay."""
-    return new.unionByName(old.join(new.select(*keys), keys, "left_anti"))
+def replace_all(old: DataFrame, new: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
+    """New rows win with all their columns; of those with an equal key the first by ``order`` (by default the greatest by its other columns); old rows without a new one stay."""
+    rest = order or [F.col(c).desc_nulls_last() for c in new.columns if c not in keys] or [F.lit(0)]
+    return top_per_key(new, keys, rest).unionByName(old.join(new.select(*keys), keys, "left_anti"))
 
 
 def keep_existing(old: DataFrame, new: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

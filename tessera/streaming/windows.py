@@ -5,11 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessera.operators.incremental import window_places
+from tessera.operators.relational import top_per_key
+from tessera.storage import exists
+
 
 def tumbling_counts(events: DataFrame, ts: str, width: str, keys: list[str], late: str) -> DataFrame:
     """start and keys with the number of events; what is later than ``late`` is dropped."""
@@ -22,33 +27,57 @@ def dedupe(events: DataFrame, key: str, ts: str, late: str) -> DataFrame:
     return events.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", late).dropDuplicatesWithinWatermark([key]).drop("_ts")
 
 
-def rate_limit(events: DataFrame, key: str, ms: str, order: str, limit: int, window_ms: int) -> DataFrame:
-    """Each event of a stream with its place in its key's window and whether it is allowed; windows open at the first event after the last one closed. The state of a key is two numbers."""
+def rate_limit(events: DataFrame, key: str, ms: str, order: str, limit: int, window_ms: int, late: str | None = None) -> DataFrame:
+    """Each event of a stream with its place in its key's window and whether it is allowed; windows open at the first event after the last one closed.
+
+    The events of a key in a batch are put in order together: two numbers each, however many Arrow frames they come in. The state of a key is two numbers;
+    with ``late`` events older than that are dropped and a key's state goes once its window has closed before the watermark, else it stays."""
     kind = events.schema[key].dataType.simpleString()
 
     def run(who: Any, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         opened, n = state.get if state.exists else (None, 0)
-        for frame in frames:
-            frame = frame.sort_values([ms, order])
-            counts = []
-            for t in frame[ms]:
-                if opened is None or t - opened >= window_ms:
-                    opened, n = int(t), 0
-                n += 1
-                counts.append(n)
-            yield pd.DataFrame({key: frame[key], order: frame[order], "count": counts, "allowed": [c <= limit for c in counts]})
+        parts = [(f[ms].to_numpy("int64"), f[order].to_numpy("int64")) for f in frames]
+        at, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
+        by = np.lexsort((ids, at))
+        at, ids = at[by], ids[by]
+        counts, _, opened, n = window_places(at, window_ms, opened, n)
+        for k in range(0, len(ids), 65_536):
+            c = counts[k : k + 65_536]
+            yield pd.DataFrame({key: who[0], order: ids[k : k + 65_536], "count": c, "allowed": c <= limit})
         state.update((opened, n))
+        if late:
+            state.setTimeoutTimestamp(max(opened + window_ms, state.getCurrentWatermarkMs() + 1))
+
+    rows = events.select(key, ms, order)
+    if late:
+        rows = rows.withColumn("_at", F.timestamp_millis(ms)).withWatermark("_at", late)
+    timeout = GroupStateTimeout.EventTimeTimeout if late else GroupStateTimeout.NoTimeout
+    return rows.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {order} long, count int, allowed boolean", "opened long, n int", "append", timeout)
+
+
+#: Parts of a table that ``upsert_batches`` keeps; a batch rewrites those that it touches.
+BUCKETS = 64
 
-    return events.select(key, ms, order).groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {order} long, count int, allowed boolean", "opened long, n int", "append", GroupStateTimeout.NoTimeout)
 
+def upsert_batches(stream: DataFrame, keys: list[str], order: str, path: str, state: str):
+    """Keep the row of greatest ``order`` of each key (of equal ones the newest batch's) as a table at ``path``, partitioned by a hash of the keys in ``_bucket``.
 
-def upsert_batches(stream: DataFrame, keys: list[str], path: str, state: str):
-    """Keep the latest row of each key as a table that every batch rewrites under a new version folder."""
+    A batch reads and rewrites the buckets that it touches. What it writes is staged first: a batch that is run again after a crash takes its staged rows, so half-replaced buckets are mended."""
 
     def merge(batch: DataFrame, i: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates(keys)
-        old = spark.read.parquet(f"{path}/v{i - 1}") if i else fresh.limit(0)
-        fresh.unionByName(old.join(fresh.select(*keys), keys, "left_anti")).write.mode("overwrite").parquet(f"{path}/v{i}")
+        staged = f"{state}/staged/{i}"
+        if not exists(spark, f"{staged}/_SUCCESS"):
+            fresh = batch.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")).withColumn("_new", F.lit(1))
+            touched = [r[0] for r in fresh.select("_bucket").distinct().collect()]  # at most BUCKETS
+            if exists(spark, path):
+                fresh = fresh.unionByName(spark.read.schema(fresh.drop("_new").schema).parquet(path).where(F.col("_bucket").isin(touched)).withColumn("_new", F.lit(0)))
+            rest = [F.col(c).desc_nulls_last() for c in batch.columns if c not in keys]
+            top_per_key(fresh, keys, [F.col(order).desc_nulls_last(), F.col("_new").desc(), *rest]).drop("_new").write.mode("overwrite").parquet(staged)
+        done = spark.read.parquet(staged)
+        done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(path)
 
-    return stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(merge).start()
+    return stream.writeStream.option("checkpointLocation", f"{state}/stream").trigger(availableNow=True).foreachBatch(merge).start()

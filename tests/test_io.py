@@ -42,7 +42,31 @@ def test_ods_round_trip(spark, tmp_path):
     back = ods.read_ods(spark, str(tmp_path / "o"), ["id", "s"])
     assert sorted(map(tuple, back.collect())) == [("1", "a & b\nc"), ("2", "https://x.org/?a=1&b=2")]
     with pytest.raises(ValueError, match="no sheet"):
-        ods.parse(next((tmp_path / "o").glob("*.ods")).read_bytes(), "other")
+        list(ods.filled_runs(next((tmp_path / "o").glob("*.ods")).read_bytes(), "other"))
+    df.limit(1).write.format("ods").option("path", str(tmp_path / "o")).mode("append").save()
+    assert ods.read_ods(spark, str(tmp_path / "o"), ["id"]).count() == 3
+    df.limit(1).write.format("ods").option("path", f"file://{tmp_path}/o").mode("overwrite").save()
+    assert [tuple(r) for r in ods.read_ods(spark, str(tmp_path / "o"), ["id"]).collect()] == [("1",)]
+    assert not list((tmp_path / "o").glob("_temporary*"))
+
+
+def test_ods_repeats_and_spaces(spark, tmp_path):
+    cell = lambda t, n=1: f'<table:table-cell table:number-columns-repeated="{n}">{t}</table:table-cell>'
+    row = lambda cells, n=1: f'<table:table-row table:number-rows-repeated="{n}">{cells}</table:table-row>'
+    p = lambda t: f"<text:p>{t}</text:p>"
+    spaced = p('a<text:s text:c="3"/>b<text:tab/>c<text:line-break/>d')
+    note = "<office:annotation>" + p("a note") + "</office:annotation>"
+    body = row(cell(p("x")) + cell("", 2) + cell(p("y")) + cell("", 16_000)) + row(cell("", 1), 1_000_000) + row(cell(p("1"), 5), 5000) + row(cell(note + spaced) + '<table:covered-table-cell/>' + cell("") + cell(p("&lt;") + p("2")), 1) + row(cell(""), 1_048_576)
+    one = ods.build(["x"], iter(()), "first")
+    import io
+    import zipfile
+
+    xml = zipfile.ZipFile(io.BytesIO(one)).read("content.xml").decode().replace("</table:table>", '</table:table><table:table table:name="second">' + body + "</table:table>")
+    with zipfile.ZipFile(tmp_path / "a.ods", "w") as z:
+        z.writestr("content.xml", xml)
+    found = ods.read_ods(spark, str(tmp_path / "a.ods"), ["y", "x"], "second").collect()
+    assert len(found) == 5001 and tuple(found[0]) == ("1", "1") and tuple(found[-1]) == ("<\n2", "a   b\tc\nd")
+    assert [(r.row, r.rows) for r in ods.filled_runs((tmp_path / "a.ods").read_bytes(), "second")] == [(0, 1), (1_000_001, 5000), (1_005_001, 1)]
 
 
 def test_stream_rate_limit_like_batch(spark, tmp_path):
@@ -54,10 +78,24 @@ def test_stream_rate_limit_like_batch(spark, tmp_path):
     assert [(r["id"], r["count"], r["allowed"]) for r in spark.sql("select * from limited order by id").collect()] == [(0, 1, True), (1, 2, True), (2, 3, False), (3, 4, False), (4, 1, True), (5, 1, True)]
 
 
+def test_stream_rate_limit_over_many_frames(spark, tmp_path):
+    n = 25_000
+    spark.createDataFrame([("a", n - i, i) for i in range(n)], "k string, ms long, id long").repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k string, ms long, id long").parquet(str(tmp_path / "in"))
+    for late in (None, "1 hour"):
+        name = f"many{bool(late)}"
+        windows.rate_limit(stream, "k", "ms", "id", 10, 10_000, late).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination()
+        found = {r["id"]: (r["count"], r["allowed"]) for r in spark.table(name).collect()}
+        assert found == {i: ((n - i - 1) % 10_000 + 1, (n - i - 1) % 10_000 < 10) for i in range(n)}
+
+
 def test_stream_upsert(spark, tmp_path):
-    spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string").write.parquet(str(tmp_path / "in"))
-    for _ in range(1):
-        windows.upsert_batches(spark.readStream.schema("k int, v string").parquet(str(tmp_path / "in")), ["k"], str(tmp_path / "t"), str(tmp_path / "s")).awaitTermination()
-    spark.createDataFrame([(2, "B"), (3, "c")], "k int, v string").write.mode("append").parquet(str(tmp_path / "in"))
-    windows.upsert_batches(spark.readStream.schema("k int, v string").parquet(str(tmp_path / "in")), ["k"], str(tmp_path / "t"), str(tmp_path / "s")).awaitTermination()
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "t/v1")).collect())) == [(1, "a"), (2, "B"), (3, "c")]
+    schema = "k int, v string, at int"
+
+    def feed(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        windows.upsert_batches(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), ["k"], "at", str(tmp_path / "t"), str(tmp_path / "s")).awaitTermination()
+        return sorted(map(tuple, spark.read.parquet(str(tmp_path / "t")).select("k", "v", "at").collect()))
+
+    assert feed([(1, "a", 1), (2, "old", 1), (2, "b", 5), (2, "older", 0)]) == [(1, "a", 1), (2, "b", 5)]
+    assert feed([(2, "late", 3), (1, "same", 1), (3, "c", 2)]) == [(1, "same", 1), (2, "b", 5), (3, "c", 2)]

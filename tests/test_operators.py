@@ -107,3 +107,23 @@ def test_checks(spark):
     assert rows(relational.violations(df, {"positive": F.col("b") > 0}).select("a", "broken")) == [(3, ["positive"])]
     assert rows(relational.orphans(df, spark.createDataFrame([(2,)], "id int"), "b", "id")) == [(3, -1)] or rows(relational.orphans(df, spark.createDataFrame([(2,)], "id int"), "b", "id").select("a", "b")) == [(3, -1)]
     assert relational.duplicates(df, ["a"]).collect()[0]["n"] == 2
+
+
+def test_closure_of_a_long_chain(spark):
+    e = spark.range(60).selectExpr("id as a", "id + 1 as b")
+    found = graph.closure(spark.createDataFrame([(0,), (None,)], "id long"), e)
+    assert sorted(map(tuple, found.collect())) == [(i, i) for i in range(61)]
+
+
+def test_until_stable_tells_when_it_is_not(spark):
+    step = lambda df: df.unionByName(df.selectExpr("id + 1 as id").where("id < 5")).distinct()
+    state, n, stable = graph.until_stable(spark.range(1), step)
+    assert (state.count(), n, stable) == (5, 5, True)
+    assert graph.until_stable(spark.range(1), step, 2)[1:] == (2, False)
+
+
+def test_new_rows_of_one_key_come_in_once(spark):
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    new = spark.createDataFrame([(2, "x"), (2, "z"), (2, "y"), (3, None)], "k int, v string")
+    assert rows(reconcile.replace_all(old, new, ["k"])) == [(1, "a"), (2, "z"), (3, None)]
+    assert rows(reconcile.replace_all(old, new, ["k"], [F.col("v")])) == [(1, "a"), (2, "x"), (3, None)]
