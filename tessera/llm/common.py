@@ -2,22 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera import storage
+from tessera.storage import release, scratch
 
-def scratch(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables; one of our own only where none is set and all executors are on this machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+__all__ = ["free_names", "release", "scratch", "shuffle_partitions", "stored", "table", "text_or_empty"]
 
 
 #: Rows that pass to Python at once while a table is stored: whole texts and signatures are long rows. Whoever runs a frame,
@@ -29,24 +20,12 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage."""
     spark = df.sparkSession
-    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_BATCH)
     spark.conf.set(_BATCH, min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS)
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        return storage.stored(df, name, compression="zstd")
     finally:
         spark.conf.set(_BATCH, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stored_at = path
-    return out
-
-
-def release(*frames: DataFrame) -> None:
-    """Delete the tables of frames that ``stored`` gave, once everything built on them is stored itself."""
-    for df in frames:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def free_names(df: DataFrame, *names: str) -> list[str]:

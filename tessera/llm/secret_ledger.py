@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessera.llm.common import release, scratch, stored, text_or_empty
+from tessera.storage import exists
 
 #: Kind, pattern, group whose length counts, least length. Fixed values.
 RULES = (
@@ -49,21 +50,20 @@ def _matches(pattern: str, group: int) -> Column:
     return F.when(F.col("text").rlike(pattern), F.arrays_zip(_lengths(F.split("text", pattern, -1)).alias("gap"), _lengths(hits).alias("hit"), _lengths(counted).alias("n")))
 
 
-def scan(blobs: DataFrame) -> DataFrame:
-    """Ledger rows of ``blobs`` (sha, text), each sha once."""
-    raw = stored(blobs.select("sha", *[_matches(p, g).alias(kind) for kind, p, g, _ in RULES]), "op6-scan")
-    parts = [raw.where(F.col(kind).isNotNull()).select("sha", F.lit(k).alias("kind_no"), F.lit(least).alias("least"), F.posexplode(kind).alias("i", "m")) for k, (kind, _, _, least) in enumerate(RULES)]
+def scan(texts: DataFrame, unseen: DataFrame) -> DataFrame:
+    """Ledger rows of ``unseen`` (row, sha), from the ``texts`` (row, text) of these rows."""
+    raw = stored(texts.select("row", *[_matches(p, g).alias(kind) for kind, p, g, _ in RULES]), "op6-scan")
+    parts = [raw.where(F.col(kind).isNotNull()).select("row", F.lit(k).alias("kind_no"), F.lit(least).alias("least"), F.posexplode(kind).alias("i", "m")) for k, (kind, _, _, least) in enumerate(RULES)]
     rows = parts[0].unionAll(parts[1]).unionAll(parts[2])
-    upto = F.sum(F.col("m.gap") + F.coalesce("m.hit", F.lit(0))).over(W.partitionBy("sha", "kind_no").orderBy("i"))
-    spans = rows.withColumn("end", upto.cast("int")).where("m.n >= least").select("sha", F.struct((F.col("end") - F.col("m.hit")).alias("start"), "kind_no", "end").alias("f"))
-    found = spans.groupBy("sha").agg(F.sort_array(F.collect_list("f")).alias("findings"))
-    return raw.select("sha").join(found, "sha", "left").select("sha", F.coalesce("findings", F.expr("array()").cast(FINDINGS)).alias("findings"), F.lit(RULE_VERSION).alias("rule_version"))
+    upto = F.sum(F.col("m.gap") + F.coalesce("m.hit", F.lit(0))).over(W.partitionBy("row", "kind_no").orderBy("i"))
+    spans = rows.withColumn("end", upto.cast("int")).where("m.n >= least").select("row", F.struct((F.col("end") - F.col("m.hit")).alias("start"), "kind_no", "end").alias("f"))
+    found = spans.groupBy("row").agg(F.sort_array(F.collect_list("f")).alias("findings"))
+    return unseen.join(found, "row", "left").select("sha", F.coalesce("findings", F.expr("array()").cast(FINDINGS)).alias("findings"), F.lit(RULE_VERSION).alias("rule_version"))
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """The ledger's pairs of the current rules; none where there is no ledger yet."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+    if not exists(spark, path):
         return spark.createDataFrame([], LEDGER)
     return spark.read.schema(LEDGER).parquet(path).where(F.col("rule_version") == RULE_VERSION)
 
@@ -76,9 +76,9 @@ def unseen_rows(docs: DataFrame, ledger: str) -> tuple[DataFrame, DataFrame]:
 
 
 def texts_of(docs: DataFrame, unseen: DataFrame) -> DataFrame:
-    """sha and text of the unseen blobs. Spark sends their row numbers to the texts while they are below its broadcast threshold, and shuffles both sides above it."""
+    """row and text of the unseen blobs. Spark sends their row numbers to the texts while they are below its broadcast threshold, and shuffles both sides above it."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), text_or_empty().alias("text"))
-    return rows.join(unseen, "row").select("sha", "text")
+    return rows.join(stored(unseen.select("row"), "op6-rows"), "row", "left_semi")
 
 
 def update(docs: DataFrame, ledger: str | None = None) -> DataFrame:
@@ -86,7 +86,7 @@ def update(docs: DataFrame, ledger: str | None = None) -> DataFrame:
     spark = docs.sparkSession
     ledger = ledger or f"{scratch(spark)}/op6-ledger-{uuid.uuid4().hex}"
     keys, unseen = unseen_rows(docs, ledger)
-    scan(texts_of(docs, unseen)).write.mode("append").partitionBy("rule_version").parquet(ledger)
+    scan(texts_of(docs, unseen), unseen).write.mode("append").partitionBy("rule_version").parquet(ledger)
     current = read_ledger(spark, ledger).where(F.size("findings") > 0).select("sha", "findings")
     release(unseen)
     return keys.join(current, "sha", "left").select("doc_id", "sha", F.coalesce("findings", F.expr("array()").cast(FINDINGS)).alias("findings"))

@@ -17,6 +17,7 @@ columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import gc
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -33,13 +34,18 @@ TIERS = (512, 1024, 2048, 4096)
 STEP_TOKENS = 16 * 4096
 END_ID = 2
 REST_GROUP = 64
-#: Words whose ids a Python worker remembers, and texts that are tokenised together.
-CACHE_WORDS = 1_000_000
+#: Bytes of words and their ids that a Python worker remembers (each word counts 200 more), and texts that are tokenised together.
+CACHE_BYTES = 1 << 28
 TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 TEXTS = 256
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_id long"
 
+#: What the word-by-word way rests on. Other tokenizers encode whole texts.
+NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
 _cache: dict[str, dict[str, bytes]] = {}
+_held: dict[str, int] = {}
 _tokenizers: dict[str, tuple] = {}
 
 
@@ -49,16 +55,31 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _learn(fresh: set[str], path: str) -> None:
-    """Remember the ids of words. A word of letters with marks of TAIL behind is two pieces for the tokenizer, and letters count in lower case, so such words share the ids of their pieces."""
-    from tokenizers import Tokenizer
+def word_wise(definition: dict) -> bool:
+    """Whether a tokenizer treats words apart and ends each piece's last id with a mark, as ``_learn`` takes for granted."""
+    split = (definition.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    model = definition.get("model") or {}
+    return (
+        (definition.get("normalizer") or {}).get("normalizers") == NORMAL and len(split) == 2 and split[0].get("pattern") == {"Regex": SPLIT} and split[0].get("behavior") == "Removed" and split[0].get("invert") is True
+        and split[1].get("type") == "ByteLevel" and not split[1].get("add_prefix_space") and model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout") and definition.get("post_processor") is None
+    )
 
+
+def _loaded(path: str) -> tuple:
+    """(tokenizer, which ids end a piece, whether words are treated apart)."""
     if path not in _tokenizers:
+        from tokenizers import Tokenizer
+
         tokenizer = Tokenizer.from_file(path)
         ends = np.zeros(tokenizer.get_vocab_size(), bool)
         ends[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
-        _tokenizers[path] = tokenizer, ends
-    tokenizer, ends = _tokenizers[path]
+        _tokenizers[path] = tokenizer, ends, word_wise(json.loads(tokenizer.to_str()))
+    return _tokenizers[path]
+
+
+def _learn(fresh: set[str], path: str) -> None:
+    """Remember the ids of words. A word of letters with marks of TAIL behind is two pieces for the tokenizer, and letters count in lower case, so such words share the ids of their pieces."""
+    tokenizer, ends, _ = _loaded(path)
     known = _cache[path]
 
     def whole(words: list[str]) -> None:
@@ -97,14 +118,22 @@ def _learn(fresh: set[str], path: str) -> None:
 
 
 def token_ids(texts: list[str], path: str) -> list[np.ndarray]:
-    """The ids of each text, with END_ID. The tokenizer drops white space between words, so a word's ids don't depend on its neighbours and are remembered."""
+    """The ids of each text, with END_ID. A word-wise tokenizer drops white space between words, so a word's ids don't depend on its neighbours and are remembered."""
+    tokenizer, _, apart = _loaded(path)
+    if not apart:
+        return [np.array([*e.ids, END_ID], "<u4") for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
     known = _cache.setdefault(path, {})
-    if len(known) > CACHE_WORDS:
+    if _held.get(path, 0) > CACHE_BYTES:
         known.clear()
+        _held[path] = 0
     split = [t.replace("\n", " ").split(" ") for t in texts]
+    fresh = set().union(*split).difference(known)
     gc.disable()  # looking through millions of small objects again and again costs more than all else
-    _learn(set().union(*split).difference(known), path)
-    gc.enable()
+    try:
+        _learn(fresh, path)
+    finally:
+        gc.enable()
+    _held[path] = _held.get(path, 0) + sum(200 + 3 * len(w) for w in fresh)
     end = np.array([END_ID], "<u4").tobytes()
     return [np.frombuffer(b"".join(map(known.__getitem__, ws)) + end, "<u4") for ws in split]
 

@@ -313,6 +313,20 @@ def test_words_tokenise_alone():
         assert got.tolist() == [*tok.encode(t, add_special_tokens=False).ids, 2], t
 
 
+def test_other_tokenizers_encode_whole_texts():
+    import json
+
+    from tokenizers import Tokenizer
+
+    ours = tier_packing.default_tokenizer()
+    assert tier_packing.word_wise(json.loads(Tokenizer.from_file(ours).to_str()))
+    other = ours.replace("word_bpe_49k", "byte_bpe_50k")
+    tok = Tokenizer.from_file(other)
+    assert not tier_packing.word_wise(json.loads(tok.to_str()))
+    texts = ["Some  Text, with\nlines", "", "é 1"]
+    assert [g.tolist() for g in tier_packing.token_ids(texts, other)] == [[*tok.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+
 def test_secrets_and_ledger(spark, docs, rows, none, tmp_path):
     text = {i: t for i, t, *_ in rows}
     path = str(tmp_path / "ledger")
