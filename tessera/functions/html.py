@@ -48,6 +48,57 @@ def list_items(c: Column) -> Column:
     return F.arrays_zip(F.regexp_extract_all(c, F.lit(p), F.lit(1)).alias("href"), F.regexp_extract_all(c, F.lit(p), F.lit(2)).alias("label"))
 
 
+def basic_entities(c: Column) -> Column:
+    """The entities that attributes and short fields hold, decoded once and without leaving the JVM; ``unescape`` knows all."""
+    for said, meant in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#039;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        c = F.replace(c, F.lit(said), F.lit(meant))
+    return c
+
+
+def _field(raw: Column) -> Column:
+    """Text of a short field: no tags, single blanks, null for nothing."""
+    said = F.trim(F.regexp_replace(basic_entities(F.regexp_replace(raw, "<[^>]+>", " ")), r"\s+", " "))
+    return F.when(said != "", said)
+
+
+def by_attribute(c: Column, tag: str, attribute: str, word: str) -> Column:
+    """Text of the first element whose attribute (class, id) holds a word."""
+    return _field(F.regexp_extract(c, rf'(?is)<({tag})\b[^>]*\b{attribute}="(?:[^"]*\s)?{word}(?:\s[^"]*)?"[^>]*>(.*?)</\1>', 2))
+
+
+def all_by_class(c: Column, tag: str, word: str) -> Column:
+    """Texts of all such elements, in lower case, in page order."""
+    found = F.regexp_extract_all(c, F.lit(rf'(?is)<({tag})\b[^>]*\bclass="(?:[^"]*\s)?{word}(?:\s[^"]*)?"[^>]*>(.*?)</\1>'), F.lit(2))
+    return F.filter(F.transform(found, lambda x: F.lower(_field(x))), lambda x: x.isNotNull())
+
+
+def links_within(c: Column, tag: str, attribute: str, word: str) -> Column:
+    """Distinct links of all such blocks, in page order; blocks that a script fills later hold empty ones."""
+    blocks = F.regexp_extract_all(c, F.lit(rf'(?is)<({tag})\b[^>]*\b{attribute}="(?:[^"]*\s)?{word}(?:\s[^"]*)?"[^>]*>(.*?)</\1>'), F.lit(2))
+    links = F.flatten(F.transform(blocks, lambda b: F.regexp_extract_all(b, F.lit(r'(?i)\bhref="([^"]+)"'), F.lit(1))))
+    return F.array_distinct(F.filter(F.transform(links, basic_entities), lambda x: F.trim(x) != ""))
+
+
+def background_image(c: Column, word: str) -> Column:
+    """The link of an inline background image; class and style come in either order."""
+    tag = F.regexp_extract(c, rf'(?is)<[a-z0-9]+\b(?=[^>]*\bclass="(?:[^"]*\s)?{word}(?:\s[^"]*)?")[^>]*\bstyle="([^"]*)"', 1)
+    found = basic_entities(F.regexp_extract(basic_entities(tag), r"""(?i)background-image:\s*url\(\s*['"]?([^)'"]+)""", 1))
+    return F.when(found != "", found)
+
+
+def image_after(c: Column, mark: str, reach: int = 600) -> Column:
+    """The first link to an image file within ``reach`` characters after a mark; farther ones belong to other things."""
+    at = F.locate(mark, c)
+    found = F.regexp_extract(F.substring(c, at, F.lit(reach)), r'(?i)href="([^"]+\.(?:jpe?g|png|gif))"', 1)
+    return F.when((at > 0) & (found != ""), found)
+
+
+def body_number(c: Column, prefix: str) -> Column:
+    """The number of a ``prefix-123`` class of the body."""
+    found = F.regexp_extract(c, rf'(?i)<body\b[^>]*\bclass="[^"]*\b{prefix}-([0-9]+)(?=[\s"])', 1)
+    return F.when(found != "", found.cast("long"))
+
+
 def to_text(c: Column) -> Column:
     """Breaks and blocks become line ends, other tags go, blanks and line ends collapse; entities stay."""
     c = F.regexp_replace(c, r"(?is)<(script|style)[^>]*>[\s\S]*?</\1>|<!--[\s\S]*?-->", "")

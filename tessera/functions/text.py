@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.html import basic_entities
+
 # Accented Latin letters and their base letters, place by place.
 ACCENTED = "àáâãäåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩīĭįĵķĺļľñńņňòóôõöōŏőŕŗřśŝşšţťùúûüũūŭůűųŵýÿŷźżžø"
 BASE = "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnoooooooorrrssssttuuuuuuuuuuwyyyzzzo"
@@ -213,3 +215,26 @@ def contacts(c: Column) -> Column:
     out = F.aggregate(lines, start, step)
     said = lambda k: F.when(F.size(out[k]) > 0, F.array_join(out[k], " ")).alias(k)
     return F.struct(said("booking"), said("management"), said("contact"))
+
+
+def natural_key(c: Column) -> Column:
+    """An array that sorts names as people do: without case and accents, and numbers by value. Numbers are written with their length before them."""
+    parts = F.regexp_extract_all(fold(c), F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
+    number = lambda p: F.regexp_replace(p, "^0+(?=[0-9])", "")
+    return F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.concat(F.lit("0"), F.lpad(F.length(number(p)).cast("string"), 6, "0"), number(p))).otherwise(p))
+
+
+def name_or_set_score(a: Column, b: Column) -> Column:
+    """``name_score`` without words that say nothing; the token-set ratio alone where a side has no other words."""
+    x, y = tokens(a, 1, STOP_WORDS), tokens(b, 1, STOP_WORDS)
+    f1 = 2 * F.size(F.array_intersect(x, y)) / (F.size(x) + F.size(y))
+    return F.when((F.size(x) == 0) | (F.size(y) == 0), token_set_ratio(a, b)).otherwise(token_set_ratio(a, b) * f1)
+
+
+def biography(raw: Column, link: str) -> Column:
+    """Struct of bio, link and contacts of a description: boilerplate gives nothing, entities are decoded once, the first ``link`` and label lines come off."""
+    said = F.when(~is_generic(raw), basic_entities(raw))
+    plain = without_label_lines(said, link)
+    first = F.regexp_extract(said, rf"(https?://\S*{link}\S*)", 1)
+    return F.struct(F.when(plain != "", plain).alias("bio"), F.when(first != "", first).alias("link"), contacts(plain).alias("contacts"))
+

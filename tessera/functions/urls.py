@@ -6,6 +6,8 @@ with underscores or paths with blanks, and real links hold both.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -85,11 +87,20 @@ def reclassify(current: Column, found: Column, generic: str = "other") -> Column
     return F.when(found.isNull(), None).when(found == generic, current).otherwise(found)
 
 
+def let(c: Column, f) -> Column:
+    """f of a column that stands in the expression once, however often f names it."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 def unwrap(c: Column, wrappers: tuple[str, ...], rounds: int = 5) -> Column:
     """The target of links that wrap links in a ``u`` or ``url`` parameter."""
+
+    def step(x: Column) -> Column:
+        target = F.try_url_decode(F.regexp_extract(x, r"[?&](?:u|url)=([^&#]+)", 1))
+        return F.when(bare_host(x).isin(*wrappers) & target.rlike("(?i)^https?://"), target).otherwise(x)
+
     for _ in range(rounds):
-        target = F.try_url_decode(F.regexp_extract(c, r"[?&](?:u|url)=([^&#]+)", 1))
-        c = F.when(bare_host(c).isin(*wrappers) & target.rlike("(?i)^https?://"), target).otherwise(c)
+        c = let(c, step)
     return c
 
 
@@ -170,3 +181,49 @@ def profile_link(raw: Column, home: str, kind: str = "path") -> Column:
     own = handle(full, kind)
     clean = F.concat(F.lit("https://"), bare_host(full), F.regexp_replace(path(full), "/+$", ""))
     return F.struct(F.when(warning.isNull(), clean).otherwise(text).alias("url"), F.when(warning.isNull(), own).alias("handle"), warning.alias("warning"))
+
+
+@dataclass(frozen=True)
+class LinkRule:
+    """How a platform's links without a template are cleaned. ``whole``: paths whose query says everything; ``params``: the parameters that count on a path; ``number``: whether a path ends at its first numeric segment; ``profiles``: (pattern of the first segment, segments that make a profile)."""
+
+    whole: tuple[str, ...] = ()
+    params: tuple[tuple[str, tuple[str, ...]], ...] = ()
+    number: bool = False
+    profiles: tuple[tuple[str, int], ...] = ()
+
+
+def _parameter(pairs: Column, name: str) -> Column:
+    """The first ``name=value`` of an array, else an empty text."""
+    return F.element_at(F.concat(F.filter(pairs, lambda kv: kv.startswith(f"{name}=")), F.array(F.lit(""))), 1)
+
+
+def clean_link(c: Column, platform: Column, rules: dict[str, LinkRule]) -> Column:
+    """A link without what only follows visitors, by its platform's rule, else without its query. Links typed without a scheme stay so."""
+    text = F.trim(c)
+    typed = text.rlike("(?i)^https?://")
+    full = F.when(typed, text).otherwise(F.concat(F.lit("https://"), text))
+    where, base = path(full), F.regexp_extract(text, "^[^?#]*", 0)
+    head = F.when(typed, F.regexp_replace(F.lower(F.regexp_extract(text, r"^[^/]+//[^/?#]*", 0)), "(?<=//)[^/@]*@", "")).otherwise(host(full))
+    parts = F.filter(F.split(where, "/"), lambda s: s != "")
+    upto = lambda n: F.concat_ws("/", head, F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    out = F.regexp_extract(text, r"^[^?]*", 0)
+    for name, rule in rules.items():
+        own = platform == name
+        for first, n in rule.profiles:
+            out = F.when(own & host(full).isNotNull() & F.get(parts, F.lit(0)).rlike(first) & (F.size(parts) > n), upto(F.lit(n))).otherwise(out)
+        if rule.number:
+            at = F.array_position(F.transform(parts, lambda s: s.rlike("^[0-9]+$")), True).cast("int")
+            out = F.when(own & (at > 0) & (at < F.size(parts)), upto(at)).otherwise(out)
+        for prefix, names in rule.params:
+            pairs = F.split(query_string(full), "&")
+            kept = F.array_join(F.filter(F.array(*[_parameter(pairs, n) for n in names]), lambda kv: kv != ""), "&")
+            out = F.when(own & where.startswith(prefix), F.when(kept != "", F.concat(base, F.lit("?"), kept)).otherwise(base)).otherwise(out)
+        for prefix in rule.whole:
+            out = F.when(own & where.startswith(prefix), text).otherwise(out)
+    return out
+
+
+def resolve_link(c: Column, platform: Column, wrappers: tuple[str, ...], rules: dict[str, LinkRule]) -> Column:
+    """Out of its wrappers, cleaned, and without closing slashes."""
+    return F.regexp_replace(let(unwrap(c, wrappers), lambda u: clean_link(u, platform, rules)), "/+$", "")

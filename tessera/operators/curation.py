@@ -45,7 +45,7 @@ def decide_links(rows: DataFrame, platforms: DataFrame) -> DataFrame:
     held = rows.select("owner", F.col("platform").alias("new_platform"), F.col("url").alias("held_url"), F.col("id").alias("held_by"))
     held = top_per_key(held, ["owner", "new_platform"], [F.col("held_by")])
     known = platforms.select(F.col("key").alias("new_platform"), F.lit(True).alias("known"))
-    out = rows.join(F.broadcast(known), "new_platform", "left").join(held, ["owner", "new_platform"], "left")
+    out = rows.join(known, "new_platform", "left").join(held, ["owner", "new_platform"], "left")
     moves = (F.col("new_platform") != F.col("platform")) | (F.col("new_url") != F.col("url"))
     claim = F.row_number().over(W.partitionBy("owner", "new_platform").orderBy(F.when(moves, 1).otherwise(0), "id"))
     taken = F.col("held_by").isNotNull() & (F.col("held_by") != F.col("id"))
@@ -132,3 +132,92 @@ def search(entities: DataFrame, key: str, aliases: DataFrame | None = None, text
         else:
             out = out.where(hit)
     return out.orderBy(order, key).offset((page - 1) * size).limit(size + 1)
+
+
+def promote(candidates: DataFrame, links: DataFrame, approved: str = "approved") -> dict[str, DataFrame]:
+    """Approved candidates (entity, service, id, confidence, status) for a table of links (entity, service, id): of each entity and service the one of greatest confidence (then least id) is inserted, updates another link or is there already; ``stats`` counts candidates by service and status."""
+    best = top_per_key(candidates.where(F.col("status") == approved), ["entity", "service"], [F.col("confidence").desc_nulls_last(), F.col("id")]).select("entity", "service", "id")
+    met = best.join(links.select("entity", "service", F.col("id").alias("held")), ["entity", "service"], "left")
+    return {
+        "insert": met.where("held is null").select("entity", "service", "id"),
+        "update": met.where("held <> id").select("entity", "service", "id", "held"),
+        "already": met.where("held = id").select("entity", "service", "id"),
+        "stats": candidates.groupBy("service", "status").agg(F.count("*").alias("n")),
+    }
+
+
+def migrate_links(pairs: DataFrame, entities: DataFrame, links: DataFrame) -> DataFrame:
+    """What becomes of the link of each duplicate when it moves to the entity that survives: pairs (row, source, target), entities (id, status, deleted), links (id, url). One action a row: skipped with a note, conflict, or copy. Of rows that bring a link to one target the first counts, and later ones meet its link."""
+    e = lambda side: entities.select(F.col("id").alias(side), F.col("status").alias(f"{side}_status"), F.col("deleted").alias(f"{side}_deleted"), F.lit(True).alias(f"{side}_there"))
+    u = lambda side: links.select(F.col("id").alias(side), F.col("url").alias(f"{side}_url"), F.lit(True).alias(f"{side}_linked"))
+    rows = pairs.withColumn("_again", F.row_number().over(W.partitionBy("source", "target").orderBy("row")) > 1)
+    for side in ("source", "target"):
+        rows = rows.join(e(side), side, "left").join(u(side), side, "left")
+    barred = (
+        F.when(F.col("_again"), "repeated pair").when(F.col("source") == F.col("target"), "same entity").when(F.col("target_there").isNull(), "no target").when(F.col("target_deleted"), "target deleted")
+        .when(F.col("source_there").isNull(), "no source").when(F.col("source_status") != "duplicate", "source is no duplicate").when(F.col("source_linked").isNull(), "no link to copy")
+    )
+    free = rows.withColumn("_barred", barred)
+    bringing = F.col("_barred").isNull() & F.col("target_linked").isNull()
+    first = F.first(F.when(bringing, F.col("source_url")), ignorenulls=True).over(W.partitionBy("target").orderBy("row").rowsBetween(W.unboundedPreceding, -1))
+    met = free.withColumn("_met", F.coalesce("target_url", first))
+    action = F.when(F.col("_barred").isNotNull(), "skipped").when(F.col("_met").isNull(), "copy").when(F.col("_met") == F.col("source_url"), "skipped").otherwise("conflict")
+    note = F.coalesce("_barred", F.when(F.col("_met") == F.col("source_url"), "already there").when(F.col("_met").isNotNull(), "another link"))
+    return met.select("row", "source", "target", F.when(F.col("_barred").isNull(), F.col("source_url")).alias("url"), action.alias("action"), note.alias("note"))
+
+
+def apply_decisions(decisions: DataFrame, current: DataFrame) -> DataFrame:
+    """Sheet decisions (id, action, value) against rows (id, value): each row once, as contradicted (several answers for one id), unknown (no such row), satisfied (it has the value) or apply."""
+    answers = decisions.groupBy("id").agg(F.count_distinct("action", F.coalesce("value", F.lit(""))).alias("_answers"), F.min(F.struct("action", "value")).alias("_one"))
+    met = answers.join(current.select("id", F.col("value").alias("held"), F.lit(True).alias("_there")), "id", "left")
+    state = F.when(F.col("_answers") > 1, "contradicted").when(F.col("_there").isNull(), "unknown").when(F.col("held").eqNullSafe(F.col("_one.value")), "satisfied").otherwise("apply")
+    single = F.col("_answers") == 1
+    return met.select("id", F.when(single, F.col("_one.action")).alias("action"), F.when(single, F.col("_one.value")).alias("value"), state.alias("state"))
+
+
+def term_report(terms: DataFrame, links: DataFrame, staged: DataFrame, names: DataFrame, aliases: dict[str, str], broad: tuple[str, ...], reason: Column, key: Column) -> DataFrame:
+    """Each term (id, name) with its links (term), staged links (term), the alias it should merge into, whether it is too broad, and why it may be no term: ``reason``, else that an entity (names: name) is called so."""
+    many = lambda f, n: f.where("term is not null").groupBy(F.col("term").alias("id")).agg(F.count("*").alias(n))
+    called = names.select(key.alias("_key")).where("_key is not null").distinct().withColumn("_called", F.lit(True))
+    alias = F.lit(None).cast("string")
+    for said, meant in sorted(aliases.items(), reverse=True):
+        alias = F.when(F.col("_key") == said, meant).otherwise(alias)
+    out = terms.withColumn("_key", key).join(many(links, "links"), "id", "left").join(many(staged, "staged"), "id", "left").join(called, "_key", "left")
+    why = F.when(reason != "", reason).when(F.col("_called"), "entity name").otherwise("")
+    is_broad = F.coalesce(F.col("_key").isin(*broad), F.lit(False))
+    return out.select("id", "name", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("staged", F.lit(0)).alias("staged"), F.when(~is_broad & (alias != F.col("_key")), alias).alias("merge_into"), is_broad.alias("broad"), why.alias("reason"))
+
+
+def credits(releases: DataFrame, various: tuple[int, str] = (194, "various")) -> DataFrame:
+    """Releases (release, artists, tracks: arrays of structs id and name, fallback) to one row for each credit, with its place: blank names go, an artist counts once by id, else by name; a release of nobody but ``various`` credits its tracks' artists; without any credit the fallback stands."""
+
+    def named(items: Column) -> Column:
+        items = F.transform(F.coalesce(items, F.array().cast("array<struct<id:long,name:string>>")), lambda x: F.struct(x["id"].cast("long").alias("id"), F.trim(x["name"]).alias("name")))
+        items = F.filter(items, lambda x: F.coalesce(x["name"], F.lit("")) != "")
+        keys = F.transform(items, lambda x: F.when(x["id"] > 0, F.concat(F.lit("id:"), x["id"].cast("string"))).otherwise(F.concat(F.lit("name:"), F.lower(x["name"]))))
+        first = F.transform(items, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1)
+        return F.filter(items, lambda x, i: F.get(first, i))
+
+    own, tracks = named(F.col("artists")), named(F.col("tracks"))
+    lone = F.get(own, F.lit(0))
+    nobody = (F.size(own) == 1) & ((lone["id"] == various[0]) | (F.lower(lone["name"]) == various[1]))
+    stand_in = F.array(F.struct(F.lit(None).cast("long").alias("id"), F.trim(F.coalesce("fallback", F.lit(""))).alias("name")))
+    chosen = F.when(nobody & (F.size(tracks) > 0), tracks).when(F.size(own) > 0, own).otherwise(stand_in)
+    return releases.select("release", F.posexplode(chosen).alias("place", "c")).select("release", "place", "c.id", "c.name")
+
+
+def patch_groups(patches: DataFrame, id_: str, size: int = 500) -> DataFrame:
+    """Rows (id and the columns to set) as batches of at most about ``size`` ids that take the same patch: patch (JSON), batch, ids. Hashes deal a patch's ids to batches, so no patch gathers in one task."""
+    said = patches.select(id_, F.to_json(F.struct(*[c for c in patches.columns if c != id_])).alias("patch"))
+    sizes = said.groupBy("patch").agg(F.ceil(F.count("*") / size).alias("_batches"))
+    dealt = said.join(sizes, "patch").withColumn("batch", F.pmod(F.xxhash64(id_), "_batches"))
+    return dealt.groupBy("patch", "batch").agg(F.sort_array(F.collect_list(id_)).alias("ids"))
+
+
+def audit(frames: dict[str, DataFrame], id_: str, run: str) -> DataFrame:
+    """One frame of what a run plans or did: run, action (the frame's name) and id."""
+    parts = [f.select(F.lit(run).alias("run"), F.lit(action).alias("action"), F.col(id_).cast("string").alias("id")) for action, f in frames.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -7,21 +7,24 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.storage import stored
+from tessera.storage import release, stored
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """id and component (least id reachable) of all ids of undirected edges. Labels take the least of their neighbours' and then jump to their label's label, so rounds grow with the logarithm of path lengths."""
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
     both = stored(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    label = stored(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("low")).select("id", F.least("id", "low").alias("component")), "labels")
+    label = last = stored(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("low")).select("id", F.least("id", "low").alias("component")), "labels")
     while True:
         near = both.join(label.select(F.col("id").alias("b"), F.col("component").alias("other")), "b").groupBy(F.col("a").alias("id")).agg(F.min("other").alias("other"))
         low = label.join(near, "id").select("id", F.col("component").alias("before"), F.least("component", "other").alias("component"))
         jump = label.select(F.col("id").alias("component"), F.col("component").alias("root"))
         after = stored(low.join(jump, "component", "left").select("id", "before", F.least("component", F.coalesce("root", "component")).alias("component")), "labels")
-        label = after.select("id", "component")
-        if after.where("component <> before").isEmpty():
+        done = after.where("component <> before").isEmpty()
+        release(last)
+        label, last = after.select("id", "component"), after
+        if done:
+            release(both)
             return label
 
 
@@ -45,7 +48,8 @@ def closure(seeds: DataFrame, edges: DataFrame, stops: DataFrame | None = None)
             return reduce(DataFrame.unionByName, levels)
         levels.append(front)
         if len(levels) > LEVELS:
-            levels = [stored(reduce(DataFrame.unionByName, levels[:-1]), "closure"), front]
+            before, levels = levels[:-1], [stored(reduce(DataFrame.unionByName, levels[:-1]), "closure"), front]
+            release(*before)
 
 
 def until_stable(state: DataFrame, step, rounds: int | None = None) -> tuple[DataFrame, int, bool]:

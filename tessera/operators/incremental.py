@@ -83,11 +83,19 @@ def rate_limit(events: DataFrame, key: str, ts_ms: str, order: str, limit: int,
     return rows.select(key, order, "count", allowed.alias("allowed"), F.when(~allowed, wait).cast("long").alias("retry_after_s"))
 
 
-def failure_runs(events: DataFrame, key: str, order: str, failed: Column, least: int = 8) -> DataFrame:
-    """Runs of ``least`` failures in a row or more, by key."""
-    w = W.partitionBy(key).orderBy(order)
-    marked = events.withColumn("_bad", failed).withColumn("_run", F.sum((~failed).cast("int")).over(w))
-    return marked.where("_bad").groupBy(key, "_run").agg(F.count("*").alias("length"), F.min(order).alias("first"), F.max(order).alias("last")).where(F.col("length") >= least).drop("_run")
+#: Stretch of the order that one task counts for a key in ``failure_runs``.
+STRETCH = 1 << 20
+
+
+def failure_runs(events: DataFrame, key: str, order: str, failed: Column, least: int = 8, stretch: int = STRETCH) -> DataFrame:
+    """Runs of ``least`` failures in a row or more, by key; ``order`` is a number. Successes are counted within stretches of the order, and each stretch starts with the sum of those before it, so a key's rows need not meet in one task."""
+    marked = events.withColumns({"_bad": failed, "_part": F.floor(F.col(order) / stretch)})
+    ok = (~F.col("_bad")).cast("int")
+    before = marked.groupBy(key, "_part").agg(F.sum(ok).alias("_sum"))
+    before = before.withColumn("_before", F.coalesce(F.sum("_sum").over(W.partitionBy(key).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select(F.col(key).alias("_key"), F.col("_part").alias("_of"), "_before")
+    run = F.sum(ok).over(W.partitionBy(key, "_part").orderBy(order)) + F.col("_before")
+    met = marked.join(before, marked[key].eqNullSafe(before["_key"]) & marked["_part"].eqNullSafe(before["_of"]))
+    return met.withColumn("_run", run).where("_bad").groupBy(key, "_run").agg(F.count("*").alias("length"), F.min(order).alias("first"), F.max(order).alias("last")).where(F.col("length") >= least).drop("_run")
 
 
 def stale(targets: DataFrame, sources: DataFrame, key: str, updated: str) -> DataFrame:

@@ -60,7 +60,7 @@ def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFram
 def by_given_order(df: DataFrame, key: str, values: list) -> DataFrame:
     """The rows with these keys, numbered in the order in which the keys are given."""
     wanted = df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(values)], f"{key} {df.schema[key].dataType.simpleString()}, position int")
-    return df.join(F.broadcast(wanted), key).orderBy("position")
+    return df.join(wanted, key).orderBy("position")
 
 
 def priority_union(frames: list[DataFrame], keys: list[str]) -> DataFrame:

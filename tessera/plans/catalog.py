@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import curate, directory, fields, match, similar, upkeep, web  # noqa: F401
+from tessera.plans import curate, directory, fields, match, records, similar, upkeep, web  # noqa: F401
 from tessera.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

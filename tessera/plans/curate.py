@@ -10,7 +10,7 @@ from tessera.functions import times as T
 from tessera.functions import urls as U
 from tessera.operators import curation as C
 from tessera.operators.relational import orphans
-from tessera.plans.registry import ORACLE_SQL, query, table
+from tessera.plans.registry import query, table
 
 _R4 = "floor(({}) * 10000 + 0.5) / 10000"
 _STAGED = "staged AS (SELECT event_id AS id, user_id AS owner, event_type AS platform, 'u' || CAST(floor(value / 4) AS BIGINT) AS url, ts AS seen FROM events WHERE event_id % 3 > 0)"
@@ -37,19 +37,11 @@ def link_integration(spark, d):
 
 
 @query("""WITH r AS (SELECT event_id AS id, user_id AS owner, event_type AS platform, 'u' || event_id AS url, CASE WHEN event_id % 5 = 0 THEN 'error' WHEN event_id % 7 = 0 THEN 'new' WHEN event_id % 11 = 0 THEN 'odd' ELSE event_type END AS new_platform,
-CASE WHEN event_id % 4 = 0 THEN 'v' || event_id ELSE 'u' || event_id END AS new_url FROM events WHERE event_id < 600), h AS (SELECT owner, platform AS new_platform, url AS held_url, id AS held_by FROM r QUALIFY row_number() OVER (PARTITION BY owner, platform ORDER BY id) = 1),
+CASE WHEN event_id % 4 = 0 THEN 'v' || event_id ELSE 'u' || event_id END AS new_url FROM events), h AS (SELECT owner, platform AS new_platform, url AS held_url, id AS held_by FROM r QUALIFY row_number() OVER (PARTITION BY owner, platform ORDER BY id) = 1),
 j AS (SELECT r.*, held_url, held_by, r.new_platform <> r.platform OR r.new_url <> r.url AS moves, coalesce(held_by <> id, false) AS taken, row_number() OVER (PARTITION BY owner, r.new_platform ORDER BY CASE WHEN r.new_platform <> r.platform OR r.new_url <> r.url THEN 1 ELSE 0 END, id) AS claim FROM r LEFT JOIN h USING (owner, new_platform))
 SELECT id, CASE WHEN NOT moves THEN 'unchanged' WHEN new_platform = 'odd' THEN 'unknown-platform' WHEN taken AND held_url = new_url THEN 'duplicate' WHEN taken OR claim > 1 THEN 'collision' ELSE 'updated' END AS decision FROM j""")
 def link_decisions(spark, d):
-    return _decisions(spark, table(spark, d, "events").where("event_id < 600"))
-
-
-@query(ORACLE_SQL["link_decisions"].replace(" WHERE event_id < 600", ""))
-def link_decisions_all(spark, d):
-    return _decisions(spark, table(spark, d, "events"))
-
-
-def _decisions(spark, e):
+    e = table(spark, d, "events")
     i = F.col("event_id")
     own = F.concat(F.lit("u"), i.cast("string"))
     place = F.when(i % 5 == 0, "error").when(i % 7 == 0, "new").when(i % 11 == 0, "odd").otherwise(F.col("event_type"))
@@ -106,18 +98,10 @@ def image_work_list(spark, d):
     return C.image_work(of(e.where("event_type <> 'error'"), "url"), of(e.where("event_id % 2 = 0"), "source"), failures)
 
 
-@query("""WITH n AS (SELECT o_orderkey % 97 AS owner, l_suppkey AS ext FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber <= 2), i AS (SELECT s_suppkey AS ext, s_suppkey AS id FROM supplier WHERE s_suppkey < 97)
+@query("""WITH n AS (SELECT o_orderkey % 97 AS owner, l_suppkey AS ext FROM orders JOIN lineitem ON l_orderkey = o_orderkey), i AS (SELECT s_suppkey AS ext, s_suppkey AS id FROM supplier)
 SELECT least(owner, id) AS a, greatest(owner, id) AS b, count(*) AS n FROM n JOIN i USING (ext) WHERE owner <> id GROUP BY ALL""")
 def related_to_edges(spark, d):
-    lines = table(spark, d, "lineitem").where("l_linenumber <= 2").groupBy("l_orderkey").agg(F.collect_list(F.when(F.col("l_linenumber") == 1, F.col("l_suppkey"))).alias("members"), F.collect_list(F.when(F.col("l_linenumber") == 2, F.col("l_suppkey"))).alias("groups"))
-    own = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_orderkey") % 97).alias("owner"))
-    ids = table(spark, d, "supplier").where("s_suppkey < 97").select(F.col("s_suppkey").alias("external"), F.col("s_suppkey").alias("id"))
-    return C.related_edges(lines.join(own, "l_orderkey").select("owner", "members", "groups"), ids)
-
-
-@query(ORACLE_SQL["related_to_edges"].replace(" WHERE l_linenumber <= 2", "").replace(" WHERE s_suppkey < 97", ""))
-def related_edges_all(spark, d):
-    """All lines, those of odd number as members, and all suppliers."""
+    """Lines of odd number as members, the others as groups."""
     odd = F.col("l_linenumber") % 2 == 1
     lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.when(odd, F.col("l_suppkey"))).alias("members"), F.collect_list(F.when(~odd, F.col("l_suppkey"))).alias("groups"))
     own = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_orderkey") % 97).alias("owner"))
@@ -162,18 +146,10 @@ def fnv_daily_pick(spark, d):
 _STOP = "('the', 'and', 'for', 'with', 'from', 'that', 'this', 'of', 'a', 'an', 'in', 'on', 'at', 'to', 'by')"
 
 
-@query(f"""WITH w AS (SELECT doc_id, list_filter(list_distinct(regexp_extract_all(replace(replace(strip_accents(lower(text)), 'ß', 'ss'), 'ø', 'o'), '([a-z0-9]{{4,}})', 1)), lambda x: x NOT IN {_STOP}) AS w FROM documents WHERE lang = 'en' AND doc_id < 400)
+@query(f"""WITH w AS (SELECT doc_id, list_filter(list_distinct(regexp_extract_all(replace(replace(replace(replace(replace(strip_accents(lower(text)), 'ß', 'ss'), 'ø', 'o'), 'æ', 'ae'), 'œ', 'oe'), 'ł', 'l'), '([a-z0-9]{{4,}})', 1)), lambda x: x NOT IN {_STOP}) AS w FROM documents)
 SELECT a.doc_id, {_R4.format("len(list_intersect(a.w, b.w)) / len(a.w)")} AS coverage FROM w a JOIN w b ON b.doc_id = a.doc_id + 1 WHERE len(a.w) > 0""")
 def bio_coverage(spark, d):
-    return _coverage(table(spark, d, "documents").where("lang = 'en' and doc_id < 400").select("doc_id", "text"))
-
-
-@query(ORACLE_SQL["bio_coverage"].replace(" WHERE lang = 'en' AND doc_id < 400", "").replace("'ø', 'o')", "'ø', 'o'), 'æ', 'ae'), 'œ', 'oe'), 'ł', 'l')").replace("replace(replace(strip", "replace(replace(replace(replace(replace(strip"))
-def bio_coverage_all(spark, d):
-    return _coverage(table(spark, d, "documents").select("doc_id", "text"))
-
-
-def _coverage(docs):
+    docs = table(spark, d, "documents").select("doc_id", "text")
     nxt = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other"))
     out = docs.join(nxt, "doc_id").select("doc_id", X.round4(S.text_coverage(F.col("text"), F.col("other"))).alias("coverage"))
     return out.where("coverage is not null")
@@ -197,19 +173,10 @@ def nested_top_three(spark, d):
     return packed.select("o_custkey", F.array_join(F.transform(S.largest(F.col("orders"), "o_totalprice", 3), lambda x: x["o_orderkey"].cast("string")), ",").alias("top"))
 
 
-@query("SELECT event_id, ts AS at, ts - INTERVAL 7 DAYS AS rewound, ts + INTERVAL 48 HOURS AS expires FROM (SELECT event_id, date_trunc('second', ts) AS ts FROM events WHERE event_id < 500)")
+@query("SELECT event_id, ts AS at, ts - INTERVAL 7 DAYS AS rewound, ts + INTERVAL 48 HOURS AS expires FROM (SELECT event_id, date_trunc('second', ts) AS ts FROM events)")
 def naive_timestamps(spark, d):
-    return _naive(table(spark, d, "events").where("event_id < 500"))
-
-
-@query(ORACLE_SQL["naive_timestamps"].replace(" WHERE event_id < 500", ""))
-def naive_timestamps_all(spark, d):
-    return _naive(table(spark, d, "events"))
-
-
-def _naive(events):
     said = F.date_format(F.col("ts"), "yyyy-MM-dd'T'HH:mm:ss")
-    e = events.select("event_id", T.naive(said).alias("at"))
+    e = table(spark, d, "events").select("event_id", T.naive(said).alias("at"))
     return e.select("event_id", "at", T.rewind(F.col("at"), 7).alias("rewound"), T.expires(F.col("at")).alias("expires"))
 
 

@@ -110,12 +110,6 @@ def bio_fields(spark, d):
     )
 
 
-_ENTITIES = "replace(replace(replace({}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·')"
-_PLAIN = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '(?i)<br\s*/?>|</(?:p|div|li|h[1-6])>', chr(10), 'g')"""
-_LINES = rf"regexp_replace(regexp_replace(regexp_replace({_PLAIN}, '<[^>]+>', '', 'g'), '[ \t\r\f]+', ' ', 'g'), ' ?\n ?', chr(10), 'g')"
-HTML_TO_TEXT = rf"SELECT page_id, regexp_replace({_ENTITIES.format(f'''trim(regexp_replace({_LINES}, '\n{{3,}}', chr(10) || chr(10), 'g'))''')}, '&amp;?', '&', 'g') AS plain FROM pages"
-
-
 @query(r"""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'found' WHEN 1 THEN 'placeholder' WHEN 2 THEN 'empty tag' ELSE 'no tag' END AS status, CASE WHEN page_id % 4 = 0 THEN 'http://i/' || page_id || '.jpg' END AS image,
 CAST(page_id AS VARCHAR) AS buried, 'http://i/a.jpg' AS unsized, page_id % 2 = 0 AS linked, len(regexp_extract_all(html, '(?i)<p>', 0)) AS paragraphs FROM pages""")
 def page_fields(spark, d):

@@ -9,8 +9,7 @@ from tessera.operators import matching as M
 from tessera.operators.graph import components
 from tessera.operators.relational import top_per_key
 from tessera.operators.similarity import half_alike, jaccard_pairs
-from tessera.plans.registry import ORACLE_SQL, query, table
-from tessera.storage import stored
+from tessera.plans.registry import query, table
 
 _R4 = "floor(({}) * 10000 + 0.5) / 10000"
 # The fold of names, said in SQL: accents off, then the letters that have none.
@@ -18,44 +17,19 @@ _FOLD = "replace(replace(replace(replace(replace(strip_accents(lower({})), 'ß',
 _NAMES = "n AS (SELECT DISTINCT p_name AS name FROM part)"
 
 
-@query(f"SELECT doc_id, nullif(left(regexp_replace({_FOLD.format('text')}, '[^a-z0-9]', '', 'g'), 200), '') AS search_key FROM documents")
-def search_key_fold(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.left(X.search_key(F.col("text")), F.lit(200)).alias("search_key"))
-
-
 _KEY = f"nullif(regexp_replace({_FOLD.format('text')}, '[^a-z0-9]', '', 'g'), '')"
 
 
 @query(f"SELECT doc_id, {_KEY} AS search_key FROM documents")
-def search_key_all(spark, d):
+def search_key_fold(spark, d):
     return table(spark, d, "documents").select("doc_id", X.search_key(F.col("text")).alias("search_key"))
 
 
-@query(f"""WITH t AS (SELECT DISTINCT doc_id AS id, unnest(regexp_extract_all({_FOLD.format('text')}, '([a-z0-9]{{3,}})', 1)) AS item FROM documents WHERE lang = 'en'),
-p AS (SELECT item FROM t GROUP BY item HAVING count(*) BETWEEN 2 AND 8), n AS (SELECT id, count(*) AS n FROM t GROUP BY id),
-c AS (SELECT DISTINCT x.id AS a, y.id AS b FROM t x JOIN p USING (item) JOIN t y USING (item) WHERE x.id < y.id),
-s AS (SELECT a, b, count(*) AS shared FROM c JOIN t x ON x.id = a JOIN t y ON y.id = b AND x.item = y.item GROUP BY 1, 2)
-SELECT a, b, shared, {_R4.format("shared / (na.n + nb.n - shared)")} AS jaccard FROM s JOIN n na ON na.id = a JOIN n nb ON nb.id = b WHERE shared / (na.n + nb.n - shared) >= 0.5""")
-def token_jaccard_blocked(spark, d):
-    words = X.tokens(F.col("text"), 3)
-    docs = stored(table(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"), F.transform(words, lambda w: F.xxhash64(w)).alias("items")), "tokens")
-    t = docs.select("id", F.size("items").alias("n"), F.explode("items").alias("item"))
-    rare = t.groupBy("item").agg(F.count("*").alias("ids")).where("ids between 2 and 8").select("item")
-    block = t.join(rare, "item")
-    side = lambda x: block.select("item", F.col("id").alias(x), F.col("n").alias(f"n{x}"))
-    # at least half in common means that the smaller set has at least half the size of the larger one
-    pairs = side("a").join(side("b"), "item").where("a < b and 2 * least(na, nb) >= greatest(na, nb)").select("a", "b").distinct()
-    both = pairs.join(docs.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(docs.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
-    counted = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("shared"), F.size("x").alias("na"), F.size("y").alias("nb"))
-    j = F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
-    return counted.where(j >= 0.5).select("a", "b", "shared", X.round4(j).alias("jaccard"))
-
-
 @query(f"""WITH t AS (SELECT DISTINCT doc_id AS id, unnest(regexp_extract_all({_FOLD.format('text')}, '([a-z0-9]{{3,}})', 1)) AS item FROM documents), n AS (SELECT id, count(*) AS n FROM t GROUP BY id),
 s AS (SELECT x.id AS a, y.id AS b, count(*) AS shared FROM t x JOIN t y ON x.item = y.item AND x.id < y.id GROUP BY 1, 2)
 SELECT a, b, shared, {_R4.format("shared / (na.n + nb.n - shared)")} AS jaccard FROM s JOIN n na ON na.id = a JOIN n nb ON nb.id = b WHERE shared / (na.n + nb.n - shared) >= 0.5""")
-def token_jaccard_all(spark, d):
-    """All pairs of all languages; ``token_jaccard_blocked`` is bound to its SQL's cap."""
+def token_jaccard_blocked(spark, d):
+    """All pairs of all languages."""
     words = F.transform(X.tokens(F.col("text"), 3), lambda w: F.xxhash64(w))
     return half_alike(table(spark, d, "documents").select(F.col("doc_id").alias("id"), words.alias("items"))).withColumn("jaccard", X.round4(F.col("jaccard")))
 
@@ -114,25 +88,12 @@ def exact_duplicate_texts(spark, d):
     return table(spark, d, "documents").groupBy(F.md5("text").alias("digest")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc")).where("copies > 1")
 
 
-_POOL = "pool AS (SELECT doc_id AS id, md5(text) AS digest, left(text, 24) AS start FROM documents)"
-
-
-@query(f"""WITH {_POOL}, req AS (SELECT item_id, md5(text) AS digest, left(text, 24) AS start FROM benchmark),
-d AS (SELECT item_id, count(DISTINCT id) AS n, min(id) AS m FROM req JOIN pool USING (digest) GROUP BY 1),
-s AS (SELECT item_id, count(DISTINCT id) AS n, min(id) AS m FROM req r JOIN pool USING (start) WHERE item_id NOT IN (SELECT item_id FROM d) GROUP BY 1)
-SELECT item_id, CASE WHEN d.n = 1 THEN 'digest' WHEN d.n > 1 THEN 'digest_ambiguous' WHEN s.n = 1 THEN 'start' WHEN s.n > 1 THEN 'start_ambiguous' ELSE 'unmatched' END AS method,
-CASE WHEN d.n = 1 THEN d.m WHEN d.n IS NULL AND s.n = 1 THEN s.m END AS matched_id, coalesce(d.n, s.n, 0) AS candidates FROM req LEFT JOIN d USING (item_id) LEFT JOIN s USING (item_id)""")
-def cascade_match(spark, d):
-    keys = lambda f, i, n: f.select(F.col(i).alias(n), F.md5("text").alias("digest"), F.left("text", F.lit(24)).alias("start"))
-    return M.cascade(keys(table(spark, d, "benchmark"), "item_id", "item_id"), keys(table(spark, d, "documents"), "doc_id", "id"), "item_id", [("digest", "digest"), ("start", "start")])
-
-
 @query(f"""WITH pool AS (SELECT doc_id AS id, md5(text) AS digest, md5({_KEY}) AS folded FROM documents), req AS (SELECT item_id, md5(text) AS digest, md5({_KEY}) AS folded FROM benchmark),
 d AS (SELECT item_id, count(DISTINCT id) AS n, min(id) AS m FROM req JOIN pool USING (digest) GROUP BY 1),
 s AS (SELECT item_id, count(DISTINCT id) AS n, min(id) AS m FROM req r JOIN pool USING (folded) WHERE item_id NOT IN (SELECT item_id FROM d) GROUP BY 1)
 SELECT item_id, CASE WHEN d.n = 1 THEN 'digest' WHEN d.n > 1 THEN 'digest_ambiguous' WHEN s.n = 1 THEN 'folded' WHEN s.n > 1 THEN 'folded_ambiguous' ELSE 'unmatched' END AS method,
 CASE WHEN d.n = 1 THEN d.m WHEN d.n IS NULL AND s.n = 1 THEN s.m END AS matched_id, coalesce(d.n, s.n, 0) AS candidates FROM req LEFT JOIN d USING (item_id) LEFT JOIN s USING (item_id)""")
-def cascade_match_all(spark, d):
+def cascade_match(spark, d):
     """The second key is of the whole folded text."""
     keys = lambda f, i, n: f.select(F.col(i).alias(n), F.md5("text").alias("digest"), F.md5(X.search_key(F.col("text"))).alias("folded"))
     return M.cascade(keys(table(spark, d, "benchmark"), "item_id", "item_id"), keys(table(spark, d, "documents"), "doc_id", "id"), "item_id", [("digest", "digest"), ("folded", "folded")])
@@ -172,7 +133,9 @@ def label_set_dominance(spark, d):
     return M.dominant_label(table(spark, d, "documents"), "doc_id", "text", sets)
 
 
-@query()
+@query(r"""WITH RECURSIVE k AS (SELECT doc_id, md5(text) AS key FROM documents WHERE text IS NOT NULL UNION SELECT doc_id, lower(unnest(regexp_extract_all(text, '([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})', 1))) FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT m.a, k.doc_id AS b FROM k JOIN (SELECT key, min(doc_id) AS a FROM k GROUP BY 1) m USING (key)), e AS MATERIALIZED (SELECT a, b FROM s UNION SELECT b, a FROM s),
+r AS (SELECT DISTINCT a AS id, a AS low FROM e UNION SELECT r.id, e.b FROM r JOIN e ON r.low = e.a) SELECT id AS doc_id, min(low) AS component FROM r GROUP BY 1""")
 def fixpoint_components(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.md5("text").alias("digest"), X.emails(F.col("text")).alias("mails"))
     keyed = docs.select("doc_id", F.explode(F.concat(F.array("digest"), "mails")).alias("key"))
@@ -180,21 +143,12 @@ def fixpoint_components(spark, d):
     return components(stars).select(F.col("id").alias("doc_id"), "component")
 
 
-@query("""WITH c AS (SELECT c_custkey AS id, c_mktsegment || '/' || c_nationkey AS item FROM customer UNION SELECT o_custkey, o_orderpriority || '/' || year(o_orderdate) FROM orders WHERE o_totalprice > 490000),
+@query("""WITH c AS (SELECT c_custkey AS id, c_mktsegment || '/' || c_nationkey AS item FROM customer UNION SELECT o_custkey, o_orderpriority || '/' || year(o_orderdate) FROM orders),
 n AS (SELECT id, count(*) AS n FROM c GROUP BY 1), s AS (SELECT x.id AS a, y.id AS b, count(*) AS shared FROM c x JOIN c y ON x.item = y.item AND x.id < y.id GROUP BY 1, 2)
 SELECT a, b FROM s JOIN n na ON na.id = a JOIN n nb ON nb.id = b WHERE shared >= 2 AND shared / (na.n + nb.n - shared) >= 0.4""")
 def internal_duplicates(spark, d):
-    return _internal(spark, d, table(spark, d, "orders").where("o_totalprice > 490000"))
-
-
-@query(ORACLE_SQL["internal_duplicates"].replace(" WHERE o_totalprice > 490000", ""))
-def internal_duplicates_all(spark, d):
-    return _internal(spark, d, table(spark, d, "orders"))
-
-
-def _internal(spark, d, orders):
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.concat_ws("/", "c_mktsegment", F.col("c_nationkey").cast("string")).alias("item"))
-    o = orders.select(F.col("o_custkey").alias("id"), F.concat_ws("/", "o_orderpriority", F.year("o_orderdate").cast("string")).alias("item"))
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.concat_ws("/", "o_orderpriority", F.year("o_orderdate").cast("string")).alias("item"))
     return jaccard_pairs(c.union(o), "id", "item").where("shared >= 2 and jaccard >= 0.4").select("a", "b")
 
 

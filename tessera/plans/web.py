@@ -23,10 +23,11 @@ def url_normalise(spark, d):
     return table(spark, d, "pages").select("page_id", U.normal_url(F.col("url")).alias("normal"))
 
 
-@query(f"WITH k AS (SELECT page_id, {_NORMAL} AS k FROM pages) SELECT x.page_id AS a, y.page_id AS b, x.k AS normal FROM k x JOIN k y ON x.k = y.k AND x.page_id < y.page_id")
+@query(f"WITH k AS (SELECT page_id, {_NORMAL} AS k FROM pages), m AS (SELECT k, min(page_id) AS a FROM k GROUP BY 1) SELECT a, page_id AS b, k AS normal FROM k JOIN m USING (k) WHERE a < page_id")
 def url_norm_self_join(spark, d):
-    k = table(spark, d, "pages").select("page_id", U.normal_url(F.col("url")).alias("normal"))
-    return k.withColumnRenamed("page_id", "a").join(k.withColumnRenamed("page_id", "b"), "normal").where("a < b").select("a", "b", "normal")
+    """Each page with the least page of its normal URL, so that a URL of many pages makes no pairs among them."""
+    k = table(spark, d, "pages").select(F.col("page_id").alias("b"), U.normal_url(F.col("url")).alias("normal"))
+    return k.join(k.groupBy("normal").agg(F.min("b").alias("a")), "normal").where("a < b").select("a", "b", "normal")
 
 
 @query(rf"""WITH p AS (SELECT page_id, 'https://' || regexp_replace({_HOST}, '^www\.', '') || {_PATH} AS u, list_filter(string_split({_QUERY}, '&'), lambda x: x <> '' AND lower(regexp_extract(x, '^([^=]*)', 1)) NOT IN
@@ -65,7 +66,13 @@ def html_list_items(spark, d):
     return table(spark, d, "pages").select("page_id", F.posexplode(H.list_items(F.col("html"))).alias("place", "x")).select("page_id", "place", "x.href", "x.label")
 
 
-@query()
+_ENTITIES = "replace(replace(replace({}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·')"
+_PLAIN = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '(?i)<br\s*/?>|</(?:p|div|li|h[1-6])>', chr(10), 'g')"""
+_LINES = rf"regexp_replace(regexp_replace(regexp_replace({_PLAIN}, '<[^>]+>', '', 'g'), '[ \t\r\f]+', ' ', 'g'), ' ?\n ?', chr(10), 'g')"
+_TO_TEXT = rf"SELECT page_id, regexp_replace({_ENTITIES.format(f'''trim(regexp_replace({_LINES}, '\n{{3,}}', chr(10) || chr(10), 'g'))''')}, '&amp;?', '&', 'g') AS plain FROM pages"
+
+
+@query(_TO_TEXT)
 def html_to_text(spark, d):
     plain = H.unescape(H.to_text(F.col("html")))
     return table(spark, d, "pages").select("page_id", plain.alias("plain"))

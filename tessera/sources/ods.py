@@ -195,7 +195,7 @@ class _Writer(DataSourceWriter):
         from pyarrow import fs
 
         store, path = _store(self.path)
-        before = [f.path for f in store.get_file_info(fs.FileSelector(path)) if f.extension == "ods"] if self.overwrite else []
+        before = [f.path for f in store.get_file_info(fs.FileSelector(path, allow_not_found=True)) if f.extension == "ods"] if self.overwrite else []
         for done in messages:
             if done is not None:
                 store.move(f"{path}/_temporary-{self.job}/{done.name}", f"{path}/{done.name}")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,13 +21,47 @@ def scratch(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back, which cuts its lineage."""
-    path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _at(spark: SparkSession, path: str):
+    """(file system, path) of the store that holds a path."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """``df`` written to the shared folder and read back, which cuts its lineage. The table goes with the driver, if ``release`` does not delete it before."""
+    spark = df.sparkSession
+    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.options(**options).parquet(path)
+    store, where = _at(spark, path)
+    store.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the tables of frames that ``stored`` gave, once everything built on them is stored itself."""
+    for df in frames:
+        invalidate(df.sparkSession, df._stored_at)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    store, where = _at(spark, path)
+    return store.exists(where)
+
+
+def fresh(spark: SparkSession, path: str, seconds: float, make: Callable[[], DataFrame], now: float | None = None) -> DataFrame:
+    """A table that is made anew when the one at ``path`` is older than ``seconds``. Each making has a folder named by its time, so readers of an older one are not disturbed; ``invalidate`` forgets them all."""
+    now = time.time() if now is None else now
+    store, where = _at(spark, path)
+    made = [int(f.getPath().getName()[1:]) for f in store.listStatus(where) if f.getPath().getName().startswith("v")] if store.exists(where) else []
+    done = [v for v in made if exists(spark, f"{path}/v{v}/_SUCCESS") and v >= (now - seconds) * 1000]
+    version = max(done) if done else int(now * 1000)
+    if not done:
+        make().write.mode("overwrite").parquet(f"{path}/v{version}")
+    return spark.read.parquet(f"{path}/v{version}")
+
+
+def invalidate(spark: SparkSession, path: str) -> None:
+    store, where = _at(spark, path)
+    store.delete(where, True)

@@ -98,3 +98,51 @@ def test_link_keys_meet(spark):
     df = spark.createDataFrame([("https://a.com/Bob", "sc", "Bob"), ("http://www.a.com/bob/", "sc", None)], "u string, p string, h string")
     a, b = (r[0] for r in df.select(U.link_keys(F.col("u"), F.col("p"), F.col("h"))).collect())
     assert set(a) & set(b) == {"sc|url|a.com/bob"} and "sc|handle|bob" in a
+
+
+def test_credits(spark):
+    kind = "release int, artists array<struct<id:long,name:string>>, tracks array<struct<id:long,name:string>>, fallback string"
+    a = lambda *xs: [{"id": i, "name": n} for i, n in xs]
+    rows = [(1, a((1, "A"), (1, "a"), (None, " b "), (0, "B"), (None, None), (2, "A")), None, None), (2, a((194, "Various")), a((5, "X"), (None, "y"), (5, "Z")), None), (3, a((None, "various")), [], "f"), (4, None, a((1, "A")), " f "), (5, [], [], None)]
+    found = C.credits(spark.createDataFrame(rows, kind)).orderBy("release", "place").collect()
+    assert [tuple(r) for r in found] == [(1, 0, 1, "A"), (1, 1, None, "b"), (1, 2, 2, "A"), (2, 0, 5, "X"), (2, 1, None, "y"), (3, 0, None, "various"), (4, 0, None, "f"), (5, 0, None, "")]
+
+
+def test_patch_groups_are_bounded(spark):
+    df = spark.range(5000).selectExpr("id", "if(id % 10 = 0, 'a', 'b') as status", "cast(null as int) as n")
+    found = C.patch_groups(df, "id", 100).collect()
+    assert {r["patch"] for r in found} == {'{"status":"a"}', '{"status":"b"}'} and max(len(r["ids"]) for r in found) < 200
+    assert sorted(i for r in found for i in r["ids"]) == list(range(5000))
+
+
+def test_decisions_contradicted_or_met(spark):
+    answers = spark.createDataFrame([(1, "set", "x"), (1, "set", "y"), (2, "set", "x"), (2, "set", "x"), (3, "set", "x"), (4, "drop", None), (5, "set", "z")], "id int, action string, value string")
+    now = spark.createDataFrame([(1, "x"), (2, "x"), (3, None), (4, None)], "id int, value string")
+    assert {r["id"]: (r["action"], r["value"], r["state"]) for r in C.apply_decisions(answers, now).collect()} == {1: (None, None, "contradicted"), 2: ("set", "x", "satisfied"), 3: ("set", "x", "apply"), 4: ("drop", None, "satisfied"), 5: ("set", "z", "unknown")}
+
+
+def test_stages_and_cache(spark, tmp_path):
+    import pytest
+
+    from tessera.operators.stages import run_stages
+    from tessera.sources import providers
+    from tessera.storage import fresh, invalidate
+
+    calls = []
+    make = lambda: (calls.append(1), spark.range(len(calls)))[1]
+    path = str(tmp_path / "c")
+    assert [fresh(spark, path, 600, make, now).count() for now in (1000.0, 1500.0, 1601.0, 1700.0)] == [1, 1, 2, 2]
+    invalidate(spark, path)
+    assert fresh(spark, path, 600, make, 1700.0).count() == 3
+    fail = lambda: 1 / 0
+    frames, told = run_stages(spark, [("a", lambda: spark.range(2), False), ("b", fail, True), ("c", lambda: None, False), ("d", fail, False), ("e", lambda: spark.range(1), True)])
+    assert [r["state"] for r in told.orderBy("place").collect()] == ["done", "failed", "done", "failed", "not run"] and list(frames) == ["a"]
+    asked = spark.createDataFrame([(1, "x")], "q long, text string")
+    with pytest.raises(KeyError, match="nobody"):
+        providers.ask(asked, ["nobody"])
+    spark.range(1).withColumn("secret", F.lit(1)).createOrReplaceTempView("seen_by_all")
+    try:
+        found = {tuple(r) for r in providers.exposed(spark, {"seen_by_all": ("id",)}).collect()}
+        assert ("seen_by_all", "secret") in found and ("seen_by_all", "id") not in found
+    finally:
+        spark.catalog.dropTempView("seen_by_all")

@@ -55,3 +55,32 @@ def test_page_image_states(spark):
     pages = ['<meta property="og:image" content="http://i/a.jpg">', '<meta content="http://i/b.jpg" name="twitter:image">', '<meta property="og:image" content="">', "<p>", '<meta property="og:image" content="http://i/default.png">']
     assert [(r["url"], r["status"]) for r in run(spark, H.page_image, pages)] == [("http://i/a.jpg", "found"), ("http://i/b.jpg", "found"), (None, "empty tag"), (None, "no tag"), (None, "placeholder")]
     assert run(spark, H.unescape, ["&amp;&#233;&#x41;", None]) == ["&éA", None]
+
+
+def test_page_hooks(spark):
+    image = lambda c: H.background_image(c, "pic")
+    pages = ['<div style="background-image: url(a.jpg)" class="pic big">', "<div class=\"x pic\" style=\"background-image:url('b&amp;c')\">", '<div class="picture" style="background-image:url(a)">', '<div class="pic" style="color: red">', None]
+    assert run(spark, image, pages) == ["a.jpg", "b&c", None, None, None]
+    links = lambda c: H.links_within(c, "div", "class", "s")
+    assert run(spark, links, ['<div class="s"><a href="">x</a><a href="b">y</a></div><div class="t"><a href="c"></a></div><div class="s"><a href="b"></a><a href="a"></a></div>', "<p>"]) == [["b", "a"], []]
+    near = lambda c: H.image_after(c, "mark", 40)
+    assert run(spark, near, ['<b id="mark"><a href="x.jpg">', '<b id="mark">' + " " * 40 + '<a href="x.jpg">', '<a href="x.jpg">', 'mark <a href="x.txt">']) == ["x.jpg", None, None, None]
+    assert run(spark, lambda c: H.body_number(c, "author"), ['<body class="a author-12 b">', '<body class="author-2hot">', "<p>"]) == [12, None, None]
+    assert run(spark, H.basic_entities, ["&amp;lt; &quot;&#39;"]) == ["&lt; \"'"]
+
+
+def test_link_rules(spark):
+    rules = {"v": U.LinkRule(whole=("/results",), params=(("/watch", ("v", "t")),), profiles=(("^@.", 1), ("(?i)^(channel|c)$", 2))), "n": U.LinkRule(number=True)}
+    cases = [
+        ("v", "https://YouV.com/watch?t=1&v=a&si=x#y", "https://YouV.com/watch?v=a&t=1"), ("v", "youv.com/watch?si=x", "youv.com/watch"), ("v", "youv.com/@a/videos?x=1", "youv.com/@a"), ("v", "HTTPS://YouV.com/channel/b/about", "https://youv.com/channel/b"),
+        ("v", "https://youv.com/results?q=a b", "https://youv.com/results?q=a b"), ("v", "https://youv.com/@a?x=1", "https://youv.com/@a"), ("v", " not a link ", "not a link"), ("n", "https://b.com/artist/x/12/tracks?p=1", "https://b.com/artist/x/12"),
+        ("n", "https://b.com/artist/12?p=1", "https://b.com/artist/12"), ("n", "https://b.com/artist/x", "https://b.com/artist/x"), ("o", "https://b.com/x?y#z", "https://b.com/x"), ("v", None, None), ("o", "", ""),
+    ]
+    rows = spark.createDataFrame([(i, p, u) for i, (p, u, _) in enumerate(cases)], "i int, p string, u string").select("i", U.clean_link(F.col("u"), F.col("p"), rules).alias("r")).orderBy("i").collect()
+    assert [r["r"] for r in rows] == [want for *_, want in cases]
+
+
+def test_natural_keys_sort_like_people(spark):
+    names = ["track 10", "Track 9", "étude", "Etude 2", "track 009b", "track 10000000000000000000", "", "7"]
+    keyed = spark.createDataFrame([(n,) for n in names], "n string").orderBy(X.natural_key(F.col("n")), "n").collect()
+    assert [r["n"] for r in keyed] == ["", "7", "étude", "Etude 2", "Track 9", "track 009b", "track 10", "track 10000000000000000000"]

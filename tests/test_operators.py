@@ -127,3 +127,21 @@ def test_new_rows_of_one_key_come_in_once(spark):
     new = spark.createDataFrame([(2, "x"), (2, "z"), (2, "y"), (3, None)], "k int, v string")
     assert rows(reconcile.replace_all(old, new, ["k"])) == [(1, "a"), (2, "z"), (3, None)]
     assert rows(reconcile.replace_all(old, new, ["k"], [F.col("v")])) == [(1, "a"), (2, "x"), (3, None)]
+
+
+def test_failure_runs_cross_stretches(spark):
+    import random
+
+    rng = random.Random(3)
+    events = [(rng.choice("ab"), i, rng.random() < 0.7) for i in range(400)]
+    df = spark.createDataFrame(events, "k string, i long, bad boolean")
+    want, open_ = [], {}
+    for k, i, bad in [*events, ("a", 400, False), ("b", 401, False)]:
+        if bad:
+            open_.setdefault(k, []).append(i)
+        elif len(open_.get(k, ())) >= 3:
+            want.append((k, len(open_[k]), open_[k][0], open_.pop(k)[-1]))
+        else:
+            open_.pop(k, None)
+    for stretch in (7, 1 << 20):
+        assert sorted(map(tuple, incremental.failure_runs(df, "k", "i", F.col("bad"), 3, stretch).collect())) == sorted(want)
