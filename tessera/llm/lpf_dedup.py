@@ -152,6 +152,8 @@ def common_with_nearest(value: np.ndarray, common: np.ndarray, floor: int = 1) -
 
 def longest_factors(data: np.ndarray, places: np.ndarray, floor: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(places in order, longest previous factor, longest next factor) of the suffixes at ``places``, up to 256 bytes: the longest prefix that one shares with a suffix at an earlier, and at a later, of the places."""
+    if not len(places):
+        return places, places, places
     order, common = suffix_order(data, places)
     back = np.concatenate([common[:1], common[:0:-1]])
     nearest = lambda v: np.maximum(common_with_nearest(v, common, floor), common_with_nearest(v[::-1], back, floor)[::-1])
@@ -168,12 +170,29 @@ def repeated_factors(contexts: list[bytes], least: int) -> tuple[np.ndarray, np.
     count = np.maximum(size - least + 1, 0)
     which = np.repeat(np.arange(len(contexts)), count)
     place = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + begin[which]
-    _, previous, following = longest_factors(data, place, least)
+    # a factor whose fingerprint no other one has is longer than any it shares: it needs no place in the order, nor does a context of such factors only
+    twin = _twins(Prints(data).windows(least)[place]) if len(place) else np.zeros(0, bool)
+    which, place = which[twin], place[twin]
+    used = np.unique(which)
+    data = np.frombuffer(b"".join(contexts[i] for i in used), np.uint8)
+    moved = np.zeros(len(contexts), np.int64)
+    moved[used] = np.cumsum(size[used]) - size[used] - begin[used]
+    _, previous, following = longest_factors(data, place + moved[which], least)
     earlier, later = previous >= least, following >= least
     found = earlier | later
     return which[found], (place - begin[which])[found], earlier[found], later[found]
 
 
+def _twins(h: np.ndarray) -> np.ndarray:
+    """Which values occur again."""
+    order = np.argsort(h)
+    same = h[order][1:] == h[order][:-1]
+    out = np.zeros(len(h), bool)
+    out[order[1:][same]] = True
+    out[order[:-1][same]] = True
+    return out
+
+
 def _spans(which: np.ndarray, offset: np.ndarray, least: int, n: int) -> list[list[dict]]:
     """Byte spans that factors at ``offset`` cover, for each of n contexts."""
     out: list[list[dict]] = [[] for _ in range(n)]
