@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -193,19 +194,33 @@ def _twins(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def _spans(which: np.ndarray, offset: np.ndarray, least: int, n: int) -> list[list[dict]]:
+def _spans(which: np.ndarray, offset: np.ndarray, least: int, n: int) -> pa.ListArray:
     """Byte spans that factors at ``offset`` cover, for each of n contexts."""
-    out: list[list[dict]] = [[] for _ in range(n)]
-    if len(which):
-        order = np.lexsort((offset, which))
-        w, o = which[order], offset[order]
-        new = np.ones(len(w), bool)
-        new[1:] = (w[1:] != w[:-1]) | (o[1:] > o[:-1] + least)
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(w)) - 1
-        for c, s, e in zip(w[first].tolist(), o[first].tolist(), (o[last] + least).tolist(), strict=True):
-            out[c].append({"s": s, "e": e})
-    return out
+    order = np.lexsort((offset, which))
+    w, o = which[order], offset[order]
+    new = np.ones(len(w), bool)
+    new[1:] = (w[1:] != w[:-1]) | (o[1:] > o[:-1] + least)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(w))[: len(first)] - 1
+    pairs = pa.StructArray.from_arrays([pa.array(o[first].astype(np.int32)), pa.array((o[last] + least).astype(np.int32))], ["s", "e"])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(w[first], minlength=n))]).astype(np.int32)), pairs)
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, pa.StructArray]:
+    """(the row of each item, the items) of a column of lists of structs; null lists have none."""
+    length = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+    return np.repeat(np.arange(len(column)), length), pc.list_flatten(column)
+
+
+def _numbers(items: pa.StructArray, field: str) -> np.ndarray:
+    return pc.struct_field(items, field).to_numpy(zero_copy_only=False)
+
+
+def _cut(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> pa.BinaryArray:
+    """The strings of ``data`` that begin and are as long as said."""
+    end = np.cumsum(size)
+    at = np.repeat(begin - (end - size), size) + np.arange(int(size.sum()))
+    return pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.concatenate([[0], end]).astype("<i4").tobytes()), pa.py_buffer(data[at].tobytes())])
 
 
 def runs(texts: DataFrame, least: int = LEAST, k: int = LEVELS[0]) -> DataFrame:
@@ -233,18 +248,17 @@ def _rows(docs: DataFrame, *more: Column) -> DataFrame:
 def _contexts(texts: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
     """The bytes of wanted contexts (row, lo, hi, a, t, kinds), cut from the texts."""
     lists = wanted.groupBy("row").agg(F.collect_list(F.struct("a", "t", "lo", "hi", "kinds")).alias("cuts"))
-    columns = ["a", "t", "lo", "kinds"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, starts in slices(batch):
-                of, out = [], []
-                for i, (cuts, base) in enumerate(zip(part.column("cuts").to_pylist(), starts.tolist(), strict=False)):
-                    of += [i] * len(cuts)
-                    out += [(c["a"], c["t"], c["lo"], c["kinds"], data[base + c["lo"] : base + c["hi"] + least].tobytes()) for c in cuts]
-                if out:
-                    made = [pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)]
-                    yield pa.RecordBatch.from_arrays([part.column("row").take(pa.array(of)), *made], ["row", *columns, "bytes"])
+                row, cuts = _flat(part.column("cuts"))
+                for at in range(0, len(row), 16_384):
+                    of, some = row[at : at + 16_384], cuts.slice(at, 16_384)
+                    lo = _numbers(some, "lo").astype(np.int64)
+                    made = _cut(data, starts[of] + lo, _numbers(some, "hi") - lo + least)
+                    kept = [pc.struct_field(some, c) for c in ("a", "t", "lo", "kinds")]
+                    yield pa.RecordBatch.from_arrays([part.column("row").take(pa.array(of)), *kept, made], ["row", "a", "t", "lo", "kinds", "bytes"])
 
     return texts.join(lists, "row").mapInArrow(run, f"row {_kind(texts)}, a long, t long, lo int, kinds long, bytes binary")
 
@@ -257,8 +271,7 @@ def _matched(contexts: DataFrame, least: int, keep: str) -> DataFrame:
         which, offset, earlier, _ = repeated_factors(rows.column("bytes").to_pylist(), least)
         if keep == "first":
             which, offset = which[earlier], offset[earlier]
-        kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
-        return pa.RecordBatch.from_arrays([rows.column("a").combine_chunks(), rows.column("t").combine_chunks(), pa.array(_spans(which, offset, least, rows.num_rows), kind)], ["a", "t", "gone"])
+        return pa.RecordBatch.from_arrays([rows.column("a").combine_chunks(), rows.column("t").combine_chunks(), _spans(which, offset, least, rows.num_rows)], ["a", "t", "gone"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -322,12 +335,9 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, keep: str = "none") -> D
     return _repeated(_rows(docs), least, keep, LEVELS)
 
 
-def _mask(n: int, spans: list[dict] | None) -> np.ndarray:
-    edge = np.zeros(n + 1, np.int64)
-    for x in spans or ():
-        edge[x["s"]] += 1
-        edge[x["e"]] -= 1
-    return np.cumsum(edge[:-1]) > 0
+def _mask(size: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which of ``size`` bytes any span covers."""
+    return np.cumsum(np.bincount(begin, minlength=size + 1)[:-1] - np.bincount(end, minlength=size + 1)[:-1]) > 0
 
 
 def report(docs: DataFrame, least: int = LEAST, keep: str = "none") -> DataFrame:
@@ -337,13 +347,16 @@ def report(docs: DataFrame, least: int = LEAST, keep: str = "none") -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, starts in slices(batch):
-                out = []
-                for at, end, found in zip(starts[:-1].tolist(), starts[1:].tolist(), part.column("spans").to_pylist(), strict=True):
-                    own = data[at:end]
-                    gone = _mask(len(own), found)
-                    edges = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-                    out.append((len(own), int(gone.sum()), edges, hashlib.sha256(own[~gone].tobytes() if edges else own.tobytes()).hexdigest()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, zip(*out, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                row, spans_ = _flat(part.column("spans"))
+                base = starts[row]
+                gone = _mask(len(data), base + _numbers(spans_, "s"), base + _numbers(spans_, "e"))
+                edge = gone.copy()
+                edge[1:] &= ~gone[:-1]
+                begin = starts[:-1][np.diff(starts) > 0]
+                edge[begin] = gone[begin]
+                removed, edges = (np.diff(np.concatenate([[0], np.cumsum(x)])[starts]) for x in (gone, edge))
+                kept = [hashlib.sha256(data[a:b][~gone[a:b]] if n else data[a:b]).hexdigest() for a, b, n in zip(starts[:-1].tolist(), starts[1:].tolist(), edges.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(starts)), pa.array(removed), pa.array(edges), pa.array(kept)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return _rows(docs, F.col("doc_id")).join(spans, "row", "left").select("doc_id", "text", "spans").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
@@ -361,7 +374,7 @@ def remove(docs: DataFrame, least: int = LEAST, keep: str = "first") -> DataFram
             for text, found in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
                 if found:
                     raw = np.frombuffer(text.encode(), np.uint8)
-                    gone = _mask(len(raw), found)
+                    gone = _mask(len(raw), *(np.array([x[k] for x in found]) for k in "se"))
                     lead = np.flatnonzero((raw & 0xC0) != 0x80)
                     gone = np.repeat(np.logical_or.reduceat(gone, lead), np.diff(np.append(lead, len(raw))))
                     text = raw[~gone].tobytes().decode()
