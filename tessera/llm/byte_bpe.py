@@ -96,23 +96,36 @@ class Pieces(dict):
         return self.bpe.deltas(piece, self.bpe.counts(piece.encode())[0])
 
 
+def definition(path: str) -> dict:
+    """What a ``tokenizers`` file holds, if it is plain byte-level BPE."""
+    with open(path, encoding="utf-8") as f:
+        held = json.load(f)
+    model, pre = held["model"], held.get("pre_tokenizer") or {}
+    odd = held.get("normalizer") or held.get("post_processor") or any(model.get(k) for k in ("dropout", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix"))
+    if model.get("type") != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or odd:
+        raise ValueError(f"{path} is no plain byte-level BPE vocabulary")
+    return held
+
+
+def raw_tokens(model: dict) -> dict[str, bytes]:
+    """The bytes of each token."""
+    to_byte = byte_of_char()
+    return {token: bytes(map(to_byte.__getitem__, token)) for token in model["vocab"]}
+
+
 class ByteBpe:
-    """Tokens, merges and added tokens of a ``tokenizers`` file. Other kinds than plain byte-level BPE raise."""
+    """Tokens, merges and added tokens of a ``tokenizers`` file."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        with open(path, encoding="utf-8") as f:
-            definition = json.load(f)
-        model, pre = definition["model"], definition.get("pre_tokenizer") or {}
-        odd = definition.get("normalizer") or definition.get("post_processor") or model.get("dropout") or model.get("ignore_merges") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix")
-        added = definition.get("added_tokens") or []
-        if model.get("type") != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or odd or any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
-            raise ValueError(f"{path} is no plain byte-level BPE vocabulary")
+        held = definition(path)
+        model, added = held["model"], held.get("added_tokens") or []
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+            raise ValueError(f"{path} has added tokens that take in what stands beside them")
         self.pre = Tokenizer.from_file(path).pre_tokenizer
         self.special = re.compile("|".join(re.escape(t["content"]) for t in sorted(added, key=lambda t: -len(t["content"])))) if added else None
-        to_byte = byte_of_char()
-        raw = {token: bytes(map(to_byte.__getitem__, token)) for token in model["vocab"]}
+        raw = raw_tokens(model)
         self.bytes = {i: raw[token] for token, i in model["vocab"].items()}
         n = max(self.bytes) + 1
         self.born, self.left, self.right = [-1] * n, [-1] * n, [-1] * n

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bayes_minhash, contextual_pii, hilbert_shards, line_quality, lpf_dedup, prefix_counts, quality_classifier, secret_ledger, soft_mixing, tier_packing, vantage_search
+from tessera.llm import bayes_minhash, contextual_pii, hilbert_shards, line_quality, lpf_dedup, prefix_counts, quality_classifier, secret_ledger, soft_mixing, tier_packing, token_alignment, vantage_search
 from tessera.llm.common import stored, table
 
 
@@ -51,7 +51,11 @@ def op11_prefix_counts(spark, sf_dir):
     return prefix_counts.report(stored(prefix_counts.index(table(spark, sf_dir, "documents")), "op11-index"))
 
 
-QUERIES = {f.__name__: f for f in (op1_soft_mixing, op2_hilbert_shards, op3_contextual_pii, op4_lpf_dedup, op5_tier_packing, op6_secret_ledger, op7_line_quality, op8_bayes_minhash, op9_vantage_search, op10_quality_rff, op11_prefix_counts)}
+def op13_token_alignment(spark, sf_dir):
+    return token_alignment.align(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_soft_mixing, op2_hilbert_shards, op3_contextual_pii, op4_lpf_dedup, op5_tier_packing, op6_secret_ledger, op7_line_quality, op8_bayes_minhash, op9_vantage_search, op10_quality_rff, op11_prefix_counts, op13_token_alignment)}
 
 _WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')".replace("\\\\", "\\")
 _SPAN = "SELECT doc_id, {n} AS kind_no, '{k}' AS kind, {least} AS least, unnest(list_zip(range(1, 1 + len(h)), g[:len(h)], h, o)) AS m FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), {p}) AS g, regexp_extract_all(coalesce(text, ''), {p}, 0) AS h, regexp_extract_all(coalesce(text, ''), {p}, {g}) AS o FROM documents)"
