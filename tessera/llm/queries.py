@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bayes_minhash, contextual_pii, hilbert_shards, line_quality, lpf_dedup, prefix_counts, quality_classifier, secret_ledger, soft_mixing, tier_packing, token_alignment, vantage_search
+from tessera.llm import bayes_minhash, contextual_pii, hilbert_shards, line_quality, lpf_dedup, prefix_counts, quality_classifier, secret_ledger, soft_mixing, spelling_variants, tier_packing, token_alignment, vantage_search
 from tessera.llm.common import stored, table
 
 
@@ -51,11 +51,15 @@ def op11_prefix_counts(spark, sf_dir):
     return prefix_counts.report(stored(prefix_counts.index(table(spark, sf_dir, "documents")), "op11-index"))
 
 
+def op12_spelling_variants(spark, sf_dir):
+    return spelling_variants.variants(table(spark, sf_dir, "documents"))
+
+
 def op13_token_alignment(spark, sf_dir):
     return token_alignment.align(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_soft_mixing, op2_hilbert_shards, op3_contextual_pii, op4_lpf_dedup, op5_tier_packing, op6_secret_ledger, op7_line_quality, op8_bayes_minhash, op9_vantage_search, op10_quality_rff, op11_prefix_counts, op13_token_alignment)}
+QUERIES = {f.__name__: f for f in (op1_soft_mixing, op2_hilbert_shards, op3_contextual_pii, op4_lpf_dedup, op5_tier_packing, op6_secret_ledger, op7_line_quality, op8_bayes_minhash, op9_vantage_search, op10_quality_rff, op11_prefix_counts, op12_spelling_variants, op13_token_alignment)}
 
 _WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')".replace("\\\\", "\\")
 _SPAN = "SELECT doc_id, {n} AS kind_no, '{k}' AS kind, {least} AS least, unnest(list_zip(range(1, 1 + len(h)), g[:len(h)], h, o)) AS m FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), {p}) AS g, regexp_extract_all(coalesce(text, ''), {p}, 0) AS h, regexp_extract_all(coalesce(text, ''), {p}, {g}) AS o FROM documents)"
@@ -91,4 +95,19 @@ _OP9 = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHE
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v))
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s QUALIFY rank <= 20"""
 
-ORACLE_SQL = {"op9_vantage_search": _OP9, "op6_secret_ledger": _OP6, "op7_line_quality": _OP7, "op8_bayes_minhash": _OP8}
+# a checksum takes its text bit by bit: each byte comes with seven zeros behind it
+_CRC = "xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(doc_id || ':' || w, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c), 0, 0, 0, 0, 0, 0, 0] ELSE [195, 0, 0, 0, 0, 0, 0, 0, unicode(c) - 64, 0, 0, 0, 0, 0, 0, 0] END))), lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1))), 4294967295)"
+
+_OP12 = f"""WITH RECURSIVE t AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00c0-\u00ff]+')) AS w FROM documents),
+u AS (SELECT doc_id, w, count(*) AS k FROM t WHERE length(w) >= 5 GROUP BY ALL), h AS (SELECT w, k, {_CRC} AS h FROM u),
+cut AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, k FROM h),
+x AS MATERIALIZED (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM cut WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+del AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM x, unnest(range(1, length(word) + 1)) r(i)),
+one AS (SELECT DISTINCT del.word AS a, del.n AS na, x.word AS b, x.n AS nb FROM del JOIN x ON del.rest = x.word),
+near AS (SELECT a, b, nb FROM one UNION ALL SELECT b, a, na FROM one UNION ALL SELECT p.word, q.word, q.n FROM del p JOIN del q ON p.rest = q.rest AND p.i = q.i AND p.word <> q.word),
+best AS (SELECT a AS word, count(*) AS n_near, max(nb) AS most, arg_min(b, (-nb, b)) AS b FROM near GROUP BY a),
+f AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 2 * n THEN b END AS form, CASE WHEN most >= 2 * n THEN most END AS form_n FROM x LEFT JOIN best USING (word)),
+way AS (SELECT word, word AS last FROM f UNION ALL SELECT way.word, f.form FROM way JOIN f ON f.word = way.last WHERE f.form IS NOT NULL)
+SELECT f.word, n, n_near, form, form_n, last AS root FROM f JOIN way USING (word) WHERE last NOT IN (SELECT word FROM f WHERE form IS NOT NULL)"""
+
+ORACLE_SQL = {"op12_spelling_variants": _OP12, "op9_vantage_search": _OP9, "op6_secret_ledger": _OP6, "op7_line_quality": _OP7, "op8_bayes_minhash": _OP8}
