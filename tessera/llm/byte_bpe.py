@@ -28,20 +28,24 @@ _edge, _gap = regex.compile(r"(?<=\p{L})\P{L}|(?<=\p{N})\P{N}|(?<=\S)\s"), regex
 _loaded: dict[str, ByteBpe] = {}
 
 
-def _unsettled() -> re.Pattern:
-    """Characters without a category in Python's tables: libraries of other Unicode versions may know one."""
+def _unsettled() -> tuple[re.Pattern, re.Pattern]:
+    """Characters without a category in Python's tables: libraries of other Unicode versions may know one. Before, a faster pattern: any character from the first of them on."""
     runs, begin = [], None
     for c in range(sys.maxunicode + 2):
         open_ = c <= sys.maxunicode and unicodedata.category(chr(c)) == "Cn"
         if open_ and begin is None:
             begin = c
         elif not open_ and begin is not None:
-            runs.append(f"\\U{begin:08x}-\\U{c - 1:08x}")
+            runs.append((begin, c - 1))
             begin = None
-    return re.compile(f"[{''.join(runs)}]")
+    return re.compile(f"[\\U{runs[0][0]:08x}-\\U{sys.maxunicode:08x}]"), re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]")
 
 
-_odd = _unsettled()
+_late, _odd = _unsettled()
+
+
+def unsettled(text: str) -> bool:
+    return not text.isascii() and bool(_late.search(text) and _odd.search(text))
 
 
 def byte_of_char() -> dict[str, int]:
@@ -53,7 +57,7 @@ def byte_of_char() -> dict[str, int]:
 
 def split(text: str, pre=None) -> list[str]:
     """The pieces of a text, as the tokenizer's own pre-tokenizer ``pre`` gives them."""
-    if pre is not None and not text.isascii() and _odd.search(text):
+    if pre is not None and unsettled(text):
         return [text[a:b] for _, (a, b) in pre.pre_tokenize_str(text)]
     return _split.findall(text)
 
@@ -61,7 +65,7 @@ def split(text: str, pre=None) -> list[str]:
 def stretches(text: str, size: int) -> Iterator[str]:
     """Parts of about ``size`` characters that are split on their own as in the whole text."""
     at = 0
-    edges = _gap if len(text) > size and _odd.search(text) else _edge
+    edges = _gap if len(text) > size and unsettled(text) else _edge
     while at < len(text):
         edge = edges.search(text, at + size) if at + size < len(text) else None
         to = edge.start() if edge else len(text)

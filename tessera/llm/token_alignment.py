@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -69,19 +70,27 @@ class Side:
         fresh = [w for w in words if w not in self.ids]
         if not fresh:
             return
-        for w, ids in zip(fresh, self.encode(fresh), strict=True):
-            raw = w.encode()
-            self.ids[w] = np.array(ids, "<u4").tobytes()
-            if b"".join([self.bytes[i] for i in ids]) != raw:
-                self.lost.add(w)
-                continue
-            marks = bytearray(len(raw))
-            at = -1
-            for i in ids:
-                at += len(self.bytes[i])
-                marks[at] = 1
-            self.marks[w] = bytes(marks)
-            self.held += 300 + 4 * len(ids) + 3 * len(raw)
+        raw, found = [w.encode() for w in fresh], self.encode(fresh)
+        flat = np.fromiter(chain.from_iterable(found), np.int64)
+        size = self.size[flat]
+        to, ids_to = np.cumsum([len(r) for r in raw]), np.cumsum([len(f) for f in found])
+        whole = b"".join(raw) == b"".join(map(self.bytes.__getitem__, flat.tolist())) and np.array_equal(np.cumsum(size)[ids_to - 1], to)
+        if not whole:  # some word doesn't come back: look at each
+            back = [b"".join(map(self.bytes.__getitem__, f)) for f in found]
+            lost = [w for w, r, x in zip(fresh, raw, back, strict=True) if r != x]
+            self.lost.update(lost)
+            self.ids.update(dict.fromkeys(lost, b""))
+            self.marks.update(dict.fromkeys(lost, b""))
+            self.learn(set(fresh).difference(lost))
+            return
+        marks = np.zeros(int(to[-1]), np.uint8)
+        marks[np.cumsum(size) - 1] = 1
+        ids, marks = flat.astype("<u4").tobytes(), marks.tobytes()
+        i = j = 0
+        for w, i_to, j_to in zip(fresh, (4 * ids_to).tolist(), to.tolist(), strict=True):
+            self.ids[w], self.marks[w] = ids[i:i_to], marks[j:j_to]
+            i, j = i_to, j_to
+        self.held += 250 * len(fresh) + len(ids) + 2 * len(marks)
 
 
 class ByteLevel(Side):
@@ -229,7 +238,7 @@ def _align(work: list[tuple[Document, str]], a: Side, b: Side) -> None:
     on = [i for i, (doc, _) in enumerate(work) if not doc.lost]
     if not on:
         return
-    joined = lambda of, k: b"".join([of[w] for i in on for w in words[i][k]])
+    joined = lambda of, k: b"".join(map(of.__getitem__, chain.from_iterable(words[i][k] for i in on)))
     ids_a, ids_b = (np.frombuffer(joined(side.ids, k), "<u4").astype(np.int64) for side, k in ((a, 0), (b, 1)))
     ends_a, ends_b = (np.frombuffer(joined(side.marks, k), np.uint8) for side, k in ((a, 0), (b, 1)))
     labels = ends_a + 2 * ends_b
