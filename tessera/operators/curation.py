@@ -206,9 +206,14 @@ def credits(releases: DataFrame, various: tuple[int, str] = (194, "various")) ->
     return releases.select("release", F.posexplode(chosen).alias("place", "c")).select("release", "place", "c.id", "c.name")
 
 
-def patch_groups(patches: DataFrame, id_: str, size: int = 500) -> DataFrame:
-    """Rows (id and the columns to set) as batches of at most about ``size`` ids that take the same patch: patch (JSON), batch, ids. Hashes deal a patch's ids to batches, so no patch gathers in one task."""
-    said = patches.select(id_, F.to_json(F.struct(*[c for c in patches.columns if c != id_])).alias("patch"))
+def patch_groups(patches: DataFrame, id_: str, size: int = 500, sets: str | None = None) -> DataFrame:
+    """Rows (id and the columns to set) as batches of at most about ``size`` ids that take the same patch: patch (JSON), batch, ids. A null
+    value is a patch that sets null; a column that a row leaves alone is not in the array of names ``sets``. Hashes deal a patch's ids to
+    batches, so no patch gathers in one task."""
+    columns = [c for c in patches.columns if c not in (id_, sets)]
+    field = lambda c: F.regexp_extract(F.to_json(F.struct(F.col(c)), {"ignoreNullFields": "false"}), r"(?s)^\{(.*)\}$", 1)
+    fields = F.array(*[F.when(F.array_contains(sets, c), field(c)) if sets else field(c) for c in columns])
+    said = patches.select(id_, F.concat(F.lit("{"), F.array_join(fields, ","), F.lit("}")).alias("patch"))
     sizes = said.groupBy("patch").agg(F.ceil(F.count("*") / size).alias("_batches"))
     dealt = said.join(sizes, "patch").withColumn("batch", F.pmod(F.xxhash64(id_), "_batches"))
     return dealt.groupBy("patch", "batch").agg(F.sort_array(F.collect_list(id_)).alias("ids"))

@@ -64,14 +64,12 @@ def levenshtein_token_set(spark, d):
 
 @query(f"WITH {_NAMES}, {_BLOCK} SELECT a, b, {_R4.format('jaro_winkler_similarity(a, b)')} AS similarity FROM c WHERE jaro_winkler_similarity(a, b) >= 0.8200001")
 def jaro_winkler_floored(spark, d):
-    scored = _name_pairs(spark, d).withColumn("s", M.jaro_winkler(F.col("a"), F.col("b"), True))
-    return scored.where("s >= 0.8200001").select("a", "b", X.round4(F.col("s")).alias("similarity"))
+    return M.jaro_winkler_pairs(_name_pairs(spark, d), 0.8200001, True).withColumn("similarity", X.round4(F.col("similarity")))
 
 
 @query()
 def jaro_winkler_blocked(spark, d):
-    scored = _name_pairs(spark, d).withColumn("s", M.jaro_winkler(F.col("a"), F.col("b")))
-    return scored.where("s >= 0.82").select("a", "b", X.round4(F.col("s")).alias("similarity"))
+    return M.jaro_winkler_pairs(_name_pairs(spark, d), 0.82).withColumn("similarity", X.round4(F.col("similarity")))
 
 
 _MAIL = r"m AS (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(text, '([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})', 1))) AS email FROM documents)"
