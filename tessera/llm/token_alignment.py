@@ -5,8 +5,9 @@ both do. A regular expression scans the labels and cuts them behind each "both";
 the labels of such a span say how many tokens of A and of B it groups. Within a
 group each label is a link, the pair of tokens that cover the bytes before it.
 
-Words' ids and labels are remembered, as neither tokenizer joins words: A splits
-texts by its pattern, and no piece of B goes on behind a blank.
+Texts are cut before each blank that follows another character: there a token of
+both ends, whatever comes. What a word's labels say is remembered, so a text is put
+together from the groups and links of its words.
 
 A document's pairs are kept packed, with how often each occurs. Their counts over
 the corpus are summed from each task's own sums. The most frequent pairs, HOT at
@@ -30,70 +31,28 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.byte_bpe import definition, raw_tokens, split
+from tessera.llm.byte_bpe import definition, raw_tokens
 from tessera.llm.common import stored, text_or_empty
 
-#: Characters of texts that are aligned together, and at which longer ones are cut; bytes that a worker remembers of words, for each side.
-SLICE, CACHE_BYTES = 1 << 19, 1 << 27
+#: Characters of texts that are aligned together, and at which longer ones are cut; bytes that a worker remembers of words, and the longest of them.
+SLICE, CACHE_BYTES, LONGEST = 1 << 19, 1 << 28, 256
 #: Pairs that travel to all tasks at most (17 bytes each), and distinct pairs that a task sums up before it passes them on.
 HOT, SUMS = 1 << 20, 1 << 21
 ALIGNED = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary"
 #: The labels: none, end of a token of A, of B, of both.
 LABELS = np.frombuffer(b".ab|", np.uint8)
+#: Marks of a link, above its pair: a token of A, or of B, ends with it.
+ENDS_A, ENDS_B = 1 << 62, 1 << 61
+_PAIR = ENDS_B - 1
 _span = re.compile(rb"[^|]*\|")
-_words = re.compile(" *[^ ]+| +")
-_cut = regex.compile(r"(?<=\S) ")
-_pairs: dict[tuple[str, str], tuple[Side, Side]] = {}
+_cut, _blanks = re.compile(r"(?<=\S) "), re.compile(r"\s ")
+_aligners: dict[tuple[str, str], Aligner] = {}
 
 
-class Side:
-    """One tokenizer: the ids of words, and a mark on each of their bytes that ends a token."""
-
-    def __init__(self, token_bytes: dict[int, bytes]):
-        self.size = np.zeros(max(token_bytes) + 1, np.int64)
-        self.size[list(token_bytes)] = [len(b) for b in token_bytes.values()]
-        self.bytes = token_bytes
-        self.ids: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
-        self.lost: set[str] = set()
-        self.held = 0
-
-    def learn(self, words: set[str]) -> None:
-        if self.held > CACHE_BYTES:
-            for kept in (self.ids, self.marks, self.lost):
-                kept.clear()
-            self.held = 0
-        fresh = [w for w in words if w not in self.ids]
-        if not fresh:
-            return
-        raw, found = [w.encode() for w in fresh], self.encode(fresh)
-        flat = np.fromiter(chain.from_iterable(found), np.int64)
-        size = self.size[flat]
-        to, ids_to = np.cumsum([len(r) for r in raw]), np.cumsum([len(f) for f in found])
-        whole = b"".join(raw) == b"".join(map(self.bytes.__getitem__, flat.tolist())) and np.array_equal(np.cumsum(size)[ids_to - 1], to)
-        if not whole:  # some word doesn't come back: look at each
-            back = [b"".join(map(self.bytes.__getitem__, f)) for f in found]
-            lost = [w for w, r, x in zip(fresh, raw, back, strict=True) if r != x]
-            self.lost.update(lost)
-            self.ids.update(dict.fromkeys(lost, b""))
-            self.marks.update(dict.fromkeys(lost, b""))
-            self.learn(set(fresh).difference(lost))
-            return
-        marks = np.zeros(int(to[-1]), np.uint8)
-        marks[np.cumsum(size) - 1] = 1
-        ids, marks = flat.astype("<u4").tobytes(), marks.tobytes()
-        i = j = 0
-        for w, i_to, j_to in zip(fresh, (4 * ids_to).tolist(), to.tolist(), strict=True):
-            self.ids[w], self.marks[w] = ids[i:i_to], marks[j:j_to]
-            i, j = i_to, j_to
-        self.held += 250 * len(fresh) + len(ids) + 2 * len(marks)
-
-
-class ByteLevel(Side):
+class ByteLevel:
     """A ``tokenizers`` file of byte-level BPE."""
 
     def __init__(self, path: str):
@@ -101,18 +60,16 @@ class ByteLevel(Side):
 
         held = definition(path)
         raw = raw_tokens(held["model"])
-        super().__init__({i: raw[t] for t, i in held["model"]["vocab"].items()})
+        self.bytes = {i: raw[t] for t, i in held["model"]["vocab"].items()}
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
 
-    def split(self, text: str) -> list[str]:
-        return split(text, self.tokenizer.pre_tokenizer)
-
     def encode(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        """The tokens of words with a blank before each."""
+        return [e.ids for e in self.tokenizer.encode_batch_fast([f" {w}" for w in words], add_special_tokens=False)]
 
 
-class WordPieces(Side):
+class WordPieces:
     """A ``sentencepiece`` model that changes no character, puts a blank before the text and has no piece with a blank behind another character."""
 
     def __init__(self, path: str):
@@ -125,19 +82,10 @@ class WordPieces(Side):
         pieces = [p.piece for p in form.pieces]
         if rule.precompiled_charsmap or rule.remove_extra_whitespaces or not rule.add_dummy_prefix or form.trainer_spec.treat_whitespace_as_suffix or any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError(f"{path} does not keep texts and their words apart")
-        super().__init__({i: bytes([int(p[3:-1], 16)]) if self.model.is_byte(i) else b"" if self.model.is_control(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)})
-
-    def split(self, text: str) -> list[str]:
-        return _words.findall(text)
+        self.bytes = {i: bytes([int(p[3:-1], 16)]) if self.model.is_byte(i) else b"" if self.model.is_control(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)}
 
     def encode(self, words: list[str]) -> list[list[int]]:
-        return self.model.encode([w[1:] for w in words], num_threads=1)  # the blank before comes from the model
-
-
-def sides(path_a: str, path_b: str) -> tuple[Side, Side]:
-    if (path_a, path_b) not in _pairs:
-        _pairs[path_a, path_b] = ByteLevel(path_a), WordPieces(path_b)
-    return _pairs[path_a, path_b]
+        return self.model.encode(words, num_threads=1)
 
 
 class _Counts(dict):
@@ -186,6 +134,83 @@ def group_text(a: np.ndarray, b: np.ndarray, m: np.ndarray, n: np.ndarray) -> tu
     return out, to[a_to + b_to - 1]
 
 
+class Aligner:
+    """Words (the blank before each is not written) with the text of their groups and their links."""
+
+    def __init__(self, path_a: str, path_b: str):
+        self.a, self.b = ByteLevel(path_a), WordPieces(path_b)
+        self.width = max(self.b.bytes) + 1
+        self.sizes = [np.zeros(max(t.bytes) + 1, np.int64) for t in (self.a, self.b)]
+        for size, t in zip(self.sizes, (self.a, self.b), strict=True):
+            size[list(t.bytes)] = [len(x) for x in t.bytes.values()]
+        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.lost: set[str] = set()
+        self.long: list[str] = []
+        self.held = 0
+
+    def learn(self, words: set[str]) -> None:
+        if self.held > CACHE_BYTES:
+            self.known.clear()
+            self.lost.clear()
+            self.held = 0
+        fresh = [w for w in words if w not in self.known]
+        self.long = [w for w in fresh if len(w) > LONGEST]
+        raw = [f" {w}".encode() for w in fresh]
+        found = [t.encode(fresh) for t in (self.a, self.b)]
+        joined = b"".join(raw)
+        if any(b"".join(map(t.bytes.__getitem__, chain.from_iterable(ids))) != joined for t, ids in zip((self.a, self.b), found, strict=True)):
+            # some word doesn't come back: look at each
+            back = [all(b"".join(map(t.bytes.__getitem__, ids[k])) == r for t, ids in zip((self.a, self.b), found, strict=True)) for k, r in enumerate(raw)]
+            lost = [w for w, ok in zip(fresh, back, strict=True) if not ok]
+            self.lost.update(lost)
+            self.known.update(dict.fromkeys(lost, (b"", b"")))
+            keep = [k for k, ok in enumerate(back) if ok]
+            fresh, raw, found = [fresh[k] for k in keep], [raw[k] for k in keep], [[ids[k] for k in keep] for ids in found]
+        if fresh:
+            self._align(fresh, np.cumsum([len(r) for r in raw]), *[np.fromiter(chain.from_iterable(ids), np.int64) for ids in found])
+
+    def _align(self, words: list[str], to: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray) -> None:
+        """Label the bytes of the words, which end at ``to``, scan the labels and remember what each word has of groups and links."""
+        labels = np.zeros(int(to[-1]), np.uint8)
+        labels[np.cumsum(self.sizes[0][ids_a]) - 1] = 1
+        labels[np.cumsum(self.sizes[1][ids_b]) - 1] |= 2
+        spans = _span.findall(LABELS[labels].tobytes())
+        counts = np.array(list(map(_counts.__getitem__, spans)), np.int64).reshape(-1, 2)
+        group_to = np.searchsorted(np.cumsum(np.fromiter(map(len, spans), np.int64, len(spans))), to, "right")  # groups up to the end of each word
+        text, text_to = group_text(ids_a, ids_b, counts[:, 0], counts[:, 1])
+        at = np.flatnonzero(labels)
+        ends_a, ends_b = labels[at] & 1, labels[at] >> 1
+        links = ids_a[np.cumsum(ends_a, dtype=np.int64) - ends_a] * self.width + ids_b[np.cumsum(ends_b, dtype=np.int64) - ends_b]
+        links += ends_a * np.int64(ENDS_A) + ends_b * np.int64(ENDS_B)
+        link_to = (8 * np.searchsorted(at, to)).tolist()
+        text, links, t, k = text.tobytes(), links.tobytes(), 0, 0
+        for w, t_to, k_to in zip(words, text_to[group_to - 1].tolist(), link_to, strict=True):
+            self.known[w] = text[t : t_to - 1], links[k:k_to]
+            t, k = t_to, k_to
+        self.held += 300 * len(words) + len(text) + len(links)
+
+    def forget(self) -> None:
+        """Long words are not kept."""
+        for w in self.long:
+            del self.known[w]
+            self.lost.discard(w)
+        self.long = []
+
+
+def aligner(path_a: str, path_b: str) -> Aligner:
+    if (path_a, path_b) not in _aligners:
+        _aligners[path_a, path_b] = Aligner(path_a, path_b)
+    return _aligners[path_a, path_b]
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a text that a blank was put before, without the blank before each."""
+    if _blanks.search(text) is None:
+        return text[1:].split(" ")
+    cuts = [0, *(m.start() for m in _cut.finditer(text)), len(text)]
+    return [text[i + 1 : j] for i, j in zip(cuts, cuts[1:], strict=False)]
+
+
 def _stretches(text: str, size: int) -> Iterator[str]:
     """A blank and the text, cut before blanks."""
     text, at = " " + text, 0
@@ -202,7 +227,7 @@ class Document:
     def __init__(self, row: int, doc_id: int | None):
         self.row, self.doc_id, self.n, self.sha, self.lost, self.pairs = row, doc_id, np.zeros(4, np.int64), None, False, []
 
-    def add(self, n: list[int], text: np.ndarray, keys: np.ndarray, count: np.ndarray) -> None:
+    def add(self, n: list[int], text: bytes, keys: np.ndarray, count: np.ndarray) -> None:
         self.n += n
         if self.sha is None:
             self.sha = hashlib.sha256()
@@ -228,42 +253,31 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys, np.bincount(place, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
 
 
-def _align(work: list[tuple[Document, str]], a: Side, b: Side) -> None:
+def _align(work: list[tuple[Document, str]], by: Aligner) -> None:
     """Add the tokens, groups and pairs of stretches to their documents."""
-    words = [(a.split(text), b.split(text)) for _, text in work]
-    for side, k in ((a, 0), (b, 1)):
-        side.learn(set().union(*(w[k] for w in words)))
-    for (doc, _), w in zip(work, words, strict=True):
-        doc.lost = doc.lost or any(side.lost and not side.lost.isdisjoint(w[k]) for side, k in ((a, 0), (b, 1)))
-    on = [i for i, (doc, _) in enumerate(work) if not doc.lost]
+    words = [words_of(text) for _, text in work]
+    by.learn(set().union(*words))
+    on = []
+    for (doc, _), own in zip(work, words, strict=True):
+        doc.lost = doc.lost or bool(by.lost) and not by.lost.isdisjoint(own)
+        if not doc.lost:
+            on.append((doc, list(map(by.known.__getitem__, own))))
+    by.forget()
     if not on:
         return
-    joined = lambda of, k: b"".join(map(of.__getitem__, chain.from_iterable(words[i][k] for i in on)))
-    ids_a, ids_b = (np.frombuffer(joined(side.ids, k), "<u4").astype(np.int64) for side, k in ((a, 0), (b, 1)))
-    ends_a, ends_b = (np.frombuffer(joined(side.marks, k), np.uint8) for side, k in ((a, 0), (b, 1)))
-    labels = ends_a + 2 * ends_b
-    spans = _span.findall(LABELS[labels].tobytes())
-    counts = np.array(list(map(_counts.__getitem__, spans)), np.int64).reshape(-1, 2)
-    span_to = np.cumsum(np.fromiter(map(len, spans), np.int64, len(spans)))
-    to = np.cumsum([len(work[i][1].encode()) for i in on])
-    group_to = np.searchsorted(span_to, to, "right")  # groups up to the end of each stretch
-    text, text_to = group_text(ids_a, ids_b, counts[:, 0], counts[:, 1])
-
-    at = np.flatnonzero(labels)
-    width = len(b.size)
-    stretch = np.searchsorted(to, at, "right")
-    pair = ids_a[np.cumsum(ends_a, dtype=np.int64)[at] - ends_a[at]] * width + ids_b[np.cumsum(ends_b, dtype=np.int64)[at] - ends_b[at]]
-    room = len(a.size) * width
-    keys, times = np.unique(stretch * room + pair, return_counts=True)
+    links = np.frombuffer(b"".join([x for _, own in on for _, x in own]), np.int64)
+    to = np.cumsum([sum([len(x) for _, x in own]) for _, own in on]) // 8
+    first = to - np.diff(to, prepend=0)
+    ends = [np.add.reduceat((links & mark != 0).astype(np.int64), first) for mark in (ENDS_A, ENDS_B)]
+    groups = np.add.reduceat((links >= ENDS_A + ENDS_B).astype(np.int64), first)
+    room = len(by.sizes[0]) * by.width
+    keys, times = np.unique(np.repeat(np.arange(len(on)) * room, np.diff(to, prepend=0)) + (links & _PAIR), return_counts=True)
     key_to = np.searchsorted(keys, np.arange(1, len(on) + 1) * room)
-    sums = np.cumsum(counts, axis=0)
-    g, k, before = 0, 0, np.zeros(2, np.int64)
-    for j, i in enumerate(on):
-        g_to, k_to = group_to[j], key_to[j]
-        n_a, n_b = (sums[g_to - 1] - before).tolist()
-        begin = text_to[g - 1] if g else 0
-        work[i][0].add([n_a, n_b, g_to - g, n_a + n_b - (g_to - g)], text[begin : text_to[g_to - 1] - 1], keys[k:k_to] - j * room, times[k:k_to])
-        g, k, before = g_to, k_to, sums[g_to - 1]
+    k = 0
+    for j, (doc, own) in enumerate(on):
+        n_a, n_b, n = int(ends[0][j]), int(ends[1][j]), int(groups[j])
+        doc.add([n_a, n_b, n, n_a + n_b - n], b";".join([t for t, _ in own]), keys[k : key_to[j]] - j * room, times[k : key_to[j]])
+        k = key_to[j]
 
 
 def aligned(docs: DataFrame, path_a: str, path_b: str, size: int = SLICE) -> DataFrame:
@@ -272,14 +286,14 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, size: int = SLICE) -> Dat
     kinds = [*[pa.int64()] * 6, pa.string(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = sides(path_a, path_b)
+        by = aligner(path_a, path_b)
         documents: list[Document] = []
         work: list[tuple[Document, str]] = []
         held = 0
 
         def out() -> pa.RecordBatch:
-            _align(work, a, b)
-            rows = [d.result(len(b.size)) for d in documents]
+            _align(work, by)
+            rows = [d.result(by.width) for d in documents]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
         for batch in batches:
@@ -290,7 +304,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, size: int = SLICE) -> Dat
                     work.append((doc, part))
                     held += len(part)
                     if held > size:
-                        _align(work, a, b)
+                        _align(work, by)
                         work, held = [], 0
                 if len(documents) >= 512:
                     yield out()
