@@ -1,6 +1,7 @@
 """Operator 8: near-duplicates by MinHash bands and sequential Bayesian verification.
 
-Rows of equal shingle sets form a class. Bands of the classes' signatures give
+Rows of equal shingle sets form a class, named by one of its rows; classes that
+hold rows of one doc_id are linked. Bands of the classes' signatures give
 buckets. In each bucket one member, the one that shares most buckets with
 others, is compared with all; then members that this left in another component
 are compared with the rest of the bucket, block by block within tasks, where
@@ -78,7 +79,7 @@ def least_matches(similar: int = SIMILAR, miss: float = MISS) -> list[tuple[int,
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """row, doc_id, n (set size), two fingerprints of the set and the signature of every row."""
+    """row, doc_id, a hash of the text, n (set size), two fingerprints of the set and the signature of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,10 +91,10 @@ def sketches(docs: DataFrame) -> DataFrame:
                 for f, salt in zip(prints, (0, 0x5851F42D4C957F2D), strict=True):
                     np.add.at(f, at, mix(h ^ _U(salt)))
                 sig = signatures(at, h, n)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size), *[pa.array(f.view(np.int64)) for f in prints], pa.array([s.tobytes() for s in sig], pa.binary())], ["row", "doc_id", "n", "f1", "f2", "sig"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(size), *[pa.array(f.view(np.int64)) for f in prints], pa.array([s.tobytes() for s in sig], pa.binary())], ["row", "doc_id", "h", "n", "f1", "f2", "sig"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "row long, doc_id long, n long, f1 long, f2 long, sig binary")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "row long, doc_id long, h long, n long, f1 long, f2 long, sig binary")
 
 
 def bands(classes: DataFrame) -> DataFrame:
@@ -283,24 +284,34 @@ def components(links: DataFrame) -> DataFrame:
         label = after
 
 
+def same_document(known: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes (id) that hold rows of one doc_id."""
+    several = known.where("id is not null").groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("doc_id", "a")
+    return known.join(several, "doc_id").where("a <> id").select("a", F.col("id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, similar: int = SIMILAR, miss: float = MISS) -> DataFrame:
     """row, doc_id, n_shingles, component_id and kept of every row of ``docs``."""
     rows = stored(sketches(docs), "op8-rows")
     sets = rows.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2")
-    classes = stored(sets.agg(F.min("doc_id").alias("id"), F.min("sig").alias("sig")), "op8-classes")
+    first = F.min(F.struct("doc_id", "row", "h")).alias("first")
+    classes = stored(sets.agg(first, F.min("sig").alias("sig")).select("n", "f1", "f2", "sig", F.col("first.row").alias("id"), F.col("first.doc_id").alias("of"), F.col("first.h").alias("h")), "op8-classes")
+    known = stored(rows.select("row", "doc_id", "n", "f1", "f2").join(classes.select("n", "f1", "f2", "id", "of"), ["n", "f1", "f2"], "left").select("row", "doc_id", "n", "id", "of"), "op8-known")
+    release(rows)
     keys = bands(classes)
     # grouped sides are stored before they are joined, so that both sides come from plain shuffles, whose hot keys Spark can split
     sizes = stored(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "op8-sizes")
     shared = stored(keys.join(sizes, "key"), "op8-shared")
-    wanted = shared.select("id").distinct()
-    texts = stored(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(wanted, "id", "left_semi"), "op8-texts")
+    wanted = classes.select("id", F.col("of").alias("doc_id"), "h").join(shared.select("id").distinct(), "id", "left_semi")
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text"))
+    texts = stored(read.join(wanted, ["doc_id", "h"]).select("id", "text"), "op8-texts")
 
     weight = shared.groupBy("id").agg(F.sum("size").alias("weight"))
     pivots = stored(shared.join(weight, "id").groupBy("key").agg((-F.max(F.struct("weight", -F.col("id"))).getField("col2")).alias("pivot")), "op8-pivots")
     dealt = stored(shared.select("key", "band", "id").join(pivots, "key"), "op8-dealt")
     stars = dealt.where("pivot <> id").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     pairs = stored(pruned(stars, classes, similar, miss), "op8-pairs")
-    links = stored(verified(pairs, texts, similar), "op8-links")
+    links = stored(verified(pairs, texts, similar).unionByName(same_document(known)), "op8-links")
     release(sizes, shared, pivots, pairs)
 
     label = components(links)
@@ -314,9 +325,10 @@ def near_duplicates(docs: DataFrame, similar: int = SIMILAR, miss: float = MISS)
         label = components(links.unionByName(more))
     release(links, more)
 
-    known = rows.select("row", "doc_id", "n", "f1", "f2").join(classes.select("n", "f1", "f2", "id"), ["n", "f1", "f2"], "left")
-    found = known.join(label.select("id", "label"), "id", "left")
-    component = F.coalesce("label", "id", "doc_id")
+    linked = label.select("id", "label").join(classes.select("id", "of"), "id")
+    least = stored(linked.groupBy("label").agg(F.min("of").alias("least")), "op8-least")
+    found = known.join(label.select("id", "label").join(least, "label").select("id", "least"), "id", "left")
+    component = F.coalesce("least", "of", "doc_id")
     return found.select("row", "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 

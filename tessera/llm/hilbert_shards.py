@@ -61,18 +61,29 @@ def hilbert_index(axes: list[np.ndarray], bits: int) -> np.ndarray:
 
 
 def _measure(meta: DataFrame, name: str, prefix: int) -> Column:
-    """A number that orders like the column: strings by six bytes after the prefix that all values share."""
-    if isinstance(meta.schema[name].dataType, T.StringType):
-        return F.conv(F.rpad(F.hex(F.substring(F.encode(name, "UTF-8"), prefix + 1, 6)), 12, "0"), 16, 10).cast("double")
-    return F.col(name).cast("double")
+    """A number that orders like the column: strings and binaries by six bytes after the prefix that all values share, dates by days, times by microseconds, truth values and numbers as they are. Other types have no order to measure."""
+    kind, c = meta.schema[name].dataType, F.col(name)
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        raw = c if isinstance(kind, T.BinaryType) else F.encode(c, "UTF-8")
+        return F.conv(F.rpad(F.hex(F.substring(raw, prefix + 1, 6)), 12, "0"), 16, 10).cast("double")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(c).cast("double")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(c.cast("timestamp")).cast("double")
+    if isinstance(kind, (T.BooleanType, T.NumericType)):
+        return c.cast("double")
+    raise TypeError(f"a {kind.simpleString()} can be no dimension")
 
 
 def curve(meta: DataFrame, dims: list[str], bits: int) -> Column:
     """The Hilbert number of each row as a column of ``meta``; quantiles come from all rows."""
     if not dims:
         return F.lit(0).cast("long")
-    ends = meta.agg(*[f(d).cast("string").alias(f"{n}{i}") for i, d in enumerate(dims) for n, f in (("a", F.min), ("b", F.max))]).first()
-    values = [_measure(meta, d, len(os.path.commonprefix([(ends[f"a{i}"] or "").encode(), (ends[f"b{i}"] or "").encode()]))) for i, d in enumerate(dims)]
+    worded = [i for i, d in enumerate(dims) if isinstance(meta.schema[d].dataType, (T.StringType, T.BinaryType))]
+    raw = lambda c, d: F.hex(F.encode(c, "UTF-8") if isinstance(meta.schema[d].dataType, T.StringType) else c)
+    ends = meta.agg(*[raw(f(dims[i]), dims[i]).alias(f"{n}{i}") for i in worded for n, f in (("a", F.min), ("b", F.max))]).first() if worded else {}
+    shared = {i: len(os.path.commonprefix([bytes.fromhex(ends[f"{n}{i}"] or "") for n in "ab"])) for i in worded}
+    values = [_measure(meta, d, shared.get(i, 0)) for i, d in enumerate(dims)]
     at = [k / 2**bits for k in range(1, 2**bits)]
     cuts = meta.agg(*[F.percentile_approx(v, at, 1000).alias(str(i)) for i, v in enumerate(values)]).first()
 

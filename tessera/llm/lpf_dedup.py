@@ -17,8 +17,8 @@ LEAST, and a later one if and only if the latter does.
 
 ``keep="first"`` removes all copies of a factor but the earliest, ``keep="none"``
 removes the earliest too. An anchor with more than HOT distinct contexts is split:
-its contexts become texts of their own, cut by longer anchors (LEVELS), of which
-the last is the whole factor, so that only factors which share ever more bytes meet.
+its contexts become texts of their own, cut by longer anchors (``levels``), of
+which the last is the whole factor, so that only factors which share ever more bytes meet.
 
 Defined cases: null texts are empty; texts below LEAST bytes lose nothing; each
 of several equal rows is a place of its own; rows with a null doc_id take part;
@@ -42,9 +42,9 @@ from tessera.llm.bytetext import BLOCK_BYTES, BYTE_CODE, mix, slices
 from tessera.llm.common import free_names, release, shuffle_partitions, stored
 
 LEAST = 200
-#: Lengths of anchors: of the first cut, of the next ones where an anchor is hot, and at last whole factors.
-LEVELS = (20, 160, 200)
-#: Distinct contexts of an anchor (381 bytes each at most) that one task orders.
+#: Length of the anchors of the first cut.
+ANCHOR = 20
+#: Distinct contexts of an anchor (each shorter than two factors) that one task orders.
 HOT = 4096
 _U = np.uint64
 _BASE = _U(0x5851F42D4C957F2D)
@@ -52,6 +52,11 @@ _INVERSE = _U(pow(0x5851F42D4C957F2D, -1, 1 << 64))
 SPAN = "array<struct<s:int,e:int>>"
 
 
+def levels(least: int) -> tuple[int, ...]:
+    """Lengths of anchors: of the first cut, of the next one where an anchor is hot, and at last whole factors."""
+    return min(ANCHOR, least), max(min(ANCHOR, least), least * 4 // 5), least
+
+
 class Prints:
     """Fingerprints of all substrings of a byte array from one running sum (polynomials modulo 2^64 over random byte codes)."""
 
@@ -151,11 +156,11 @@ def common_with_nearest(value: np.ndarray, common: np.ndarray, floor: int = 1) -
         low[going], at[going] = np.minimum(low[going], low[on]), at[on]
 
 
-def longest_factors(data: np.ndarray, places: np.ndarray, floor: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(places in order, longest previous factor, longest next factor) of the suffixes at ``places``, up to 256 bytes: the longest prefix that one shares with a suffix at an earlier, and at a later, of the places."""
+def longest_factors(data: np.ndarray, places: np.ndarray, floor: int = 1, cap: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places in order, longest previous factor, longest next factor) of the suffixes at ``places``, up to ``cap`` bytes (a power of two): the longest prefix that one shares with a suffix at an earlier, and at a later, of the places."""
     if not len(places):
         return places, places, places
-    order, common = suffix_order(data, places)
+    order, common = suffix_order(data, places, cap)
     back = np.concatenate([common[:1], common[:0:-1]])
     nearest = lambda v: np.maximum(common_with_nearest(v, common, floor), common_with_nearest(v[::-1], back, floor)[::-1])
     previous, following = nearest(order), nearest(-order)
@@ -178,7 +183,7 @@ def repeated_factors(contexts: list[bytes], least: int) -> tuple[np.ndarray, np.
     data = np.frombuffer(b"".join(contexts[i] for i in used), np.uint8)
     moved = np.zeros(len(contexts), np.int64)
     moved[used] = np.cumsum(size[used]) - size[used] - begin[used]
-    _, previous, following = longest_factors(data, place + moved[which], least)
+    _, previous, following = longest_factors(data, place + moved[which], least, max(256, 1 << (least - 1).bit_length()))
     earlier, later = previous >= least, following >= least
     found = earlier | later
     return which[found], (place - begin[which])[found], earlier[found], later[found]
@@ -223,7 +228,7 @@ def _cut(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> pa.BinaryArra
     return pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.concatenate([[0], end]).astype("<i4").tobytes()), pa.py_buffer(data[at].tobytes())])
 
 
-def runs(texts: DataFrame, least: int = LEAST, k: int = LEVELS[0]) -> DataFrame:
+def runs(texts: DataFrame, least: int = LEAST, k: int = ANCHOR) -> DataFrame:
     """A row for each anchor run of ``texts`` (row, text): row, a and t (hashes of anchor and context), lo and hi (first and last factor)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,20 +299,20 @@ def _matched(contexts: DataFrame, least: int, keep: str) -> DataFrame:
     return dealt.mapInArrow(run, f"a long, t long, gone {SPAN}")
 
 
-def _hot(contexts: DataFrame, least: int, keep: str, levels: tuple[int, ...]) -> DataFrame:
+def _hot(contexts: DataFrame, least: int, keep: str, lengths: tuple[int, ...]) -> DataFrame:
     """The same for anchors with many contexts, whose contexts are texts with longer anchors. Row ids are bytes in order of place."""
     padded = lambda c, n: F.unhex(F.lpad(F.hex(c), n, "0"))
     row = F.col("row") if _kind(contexts) == "binary" else padded("row", 16)
     texts = stored(contexts.select(F.concat(row, padded("lo", 8)).alias("row"), "a", "t", F.col("bytes").alias("text")), "op4-hot")
-    gone = _repeated(texts.select("row", "text"), least, keep, levels)
+    gone = _repeated(texts.select("row", "text"), least, keep, lengths)
     found = stored(texts.select("row", "a", "t").join(gone, "row").select("a", "t", F.col("spans").alias("gone")), "op4-hot-spans")
     release(texts, gone)
     return found
 
 
-def _repeated(texts: DataFrame, least: int, keep: str, levels: tuple[int, ...]) -> DataFrame:
+def _repeated(texts: DataFrame, least: int, keep: str, lengths: tuple[int, ...]) -> DataFrame:
     """row and the spans of bytes to remove of each of ``texts`` (row, text) that has any."""
-    all_runs = stored(runs(texts, least, min(levels[0], least)), "op4-runs")
+    all_runs = stored(runs(texts, least, lengths[0]), "op4-runs")
     # the counts are stored so that both sides of the join come from plain shuffles, whose hot keys Spark can split
     often = stored(all_runs.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"), "op4-often")
     live = stored(all_runs.join(often, "a"), "op4-live")
@@ -318,7 +323,7 @@ def _repeated(texts: DataFrame, least: int, keep: str, levels: tuple[int, ...])
     wanted = kinds.join(several, "a").select("a", "t", "first.row", "first.lo", "first.hi", "kinds")
     contexts = stored(_contexts(texts, wanted, least), "op4-contexts")
     few, many = contexts.where(F.col("kinds") <= HOT), contexts.where(F.col("kinds") > HOT)
-    split = _hot(many, least, keep, levels[1:]) if levels[1:] and not many.isEmpty() else None
+    split = _hot(many, least, keep, lengths[1:]) if lengths[1:] and not many.isEmpty() else None
     matched = _matched(contexts if split is None else few, least, keep)
     verdict = stored(kinds.join(matched if split is None else matched.unionByName(split), ["a", "t"], "left").where("n > 1 or size(gone) > 0"), "op4-verdict")
     every = F.array(F.struct(F.lit(0).alias("s"), (F.col("hi") - F.col("lo") + least).cast("int").alias("e")))
@@ -332,7 +337,9 @@ def _repeated(texts: DataFrame, least: int, keep: str, levels: tuple[int, ...])
 
 def repeated_spans(docs: DataFrame, least: int = LEAST, keep: str = "none") -> DataFrame:
     """row and the spans of bytes to remove, of every row of ``docs`` that has any; spans may overlap."""
-    return _repeated(_rows(docs), least, keep, LEVELS)
+    if least < 1:
+        raise ValueError("least must be 1 or more")
+    return _repeated(_rows(docs), least, keep, levels(least))
 
 
 def _mask(size: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:

@@ -216,6 +216,30 @@ def test_repeated_passages(docs, rows, none):
     assert lpf_dedup.report(none).count() == 0
 
 
+@pytest.mark.parametrize("least", [5, 256, 257, 300, 500])
+@pytest.mark.parametrize("hot", [1, 4096])
+def test_other_lengths_of_passages(spark, tmp_path, monkeypatch, least, hot):
+    """Passages shorter and longer than 256 bytes, with and without split anchors, all copies or all but the first."""
+    monkeypatch.setattr(lpf_dedup, "HOT", hot)
+    rng = random.Random(least)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    shared, other = text(700), text(290)
+    texts = [text(90) + shared + text(30), other + shared[40:], text(900), shared[:499] + text(60) + other, shared[100:600] + other[:256], None, text(20)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    df = spark.read.parquet(str(tmp_path / "d"))
+    masks = brute.repeats(texts, least)
+    assert {r["doc_id"]: r["n_removed"] for r in lpf_dedup.report(df, least).collect()} == {i: sum(m) for i, m in enumerate(masks)}
+    seen, want = set(), []
+    for t in texts:  # the earliest copy of each factor stays
+        raw, gone = (t or "").encode(), bytearray(len(t or ""))
+        for i in range(len(raw) - least + 1):
+            if raw[i : i + least] in seen:
+                gone[i : i + least] = b"\1" * least
+            seen.add(raw[i : i + least])
+        want.append(None if t is None else bytes(c for c, g in zip(raw, gone, strict=True) if not g).decode())
+    assert [r["text"] for r in lpf_dedup.remove(df, least).orderBy("doc_id").collect()] == want
+
+
 def test_hot_anchors_give_the_same(docs, monkeypatch):
     want = sorted(map(tuple, lpf_dedup.report(docs).collect()))
     monkeypatch.setattr(lpf_dedup, "HOT", 1)
@@ -271,6 +295,27 @@ def test_repeated_factors_like_search():
     assert found == want
 
 
+def test_texts_of_one_document(spark):
+    """Texts under one doc_id are one document for reachability, also where several sets have it as their least."""
+    rng = random.Random(3)
+    a, b, c, d = (" ".join("".join(rng.choice("abcdef") for _ in range(5)) for _ in range(60)) for _ in range(4))
+    given = [(3, a), (5, a), (5, b), (9, b), (3, ""), (7, c), (7, d), (8, d + " more"), (8, d), (11, c)]
+    found = bayes_minhash.near_duplicates(spark.createDataFrame(given, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["component_id"], r["kept"]) for r in found} == {(3, 3, True), (5, 3, False), (9, 3, False), (7, 7, True), (8, 7, False), (11, 7, False)}
+    assert len(found) == len(given)
+
+
+@pytest.mark.parametrize("kind", ["date", "timestamp", "timestamp_ntz", "boolean", "decimal(9,2)", "binary", "double", "string"])
+def test_dimensions_of_every_type(spark, kind):
+    value = {"date": "date_add(date'2020-01-01', id)", "timestamp": "timestamp_seconds(id * 5)", "timestamp_ntz": "cast(timestamp_seconds(id * 5) as timestamp_ntz)", "boolean": "id > 30", "binary": "cast(concat('same ', lpad(id, 4, '0')) as binary)", "string": "concat('same ', lpad(id, 4, '0'))"}.get(kind, f"cast(id as {kind})")
+    docs = spark.range(64).selectExpr("id as doc_id", "'t' as text", f"if(id % 9 = 0, null, {value}) as x")
+    found = hilbert_shards.hilbert_shards(docs, 4, ("x",), 3).where("doc_id % 9 > 0").orderBy("doc_id").collect()
+    cells = [r["hilbert"] for r in found]
+    assert cells == sorted(cells) and len(set(cells)) == (2 if kind == "boolean" else 8)
+    with pytest.raises(TypeError):
+        hilbert_shards.hilbert_shards(docs.withColumn("x", F.array("x")), 4, ("x",)).count()
+
+
 def test_packing(docs, rows, none):
     from tokenizers import Tokenizer
 
