@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import html
 import html.parser
-import json
-from collections import deque
 
 import pandas as pd
 from pyspark.sql import Column
@@ -167,30 +165,3 @@ def _sanitised(text: str) -> str:
 def sanitise(texts: pd.Series) -> pd.Series:
     """Only a few harmless tags, anchors with safe links; a parser's work, so Python it is."""
     return texts.map(_sanitised, na_action="ignore")
-
-
-def find_in_json(column: Column, key: str, steps: int = 20_000) -> Column:
-    """The first value of a key at any depth of a JSON text, breadth first, as JSON; null if there is none."""
-
-    @F.pandas_udf(StringType())
-    def run(texts: pd.Series) -> pd.Series:
-        def one(text: str) -> str | None:
-            try:
-                queue = deque([json.loads(text)])
-            except ValueError:
-                return None
-            for _ in range(steps):
-                if not queue:
-                    return None
-                node = queue.popleft()
-                if isinstance(node, dict):
-                    if key in node:
-                        return json.dumps(node[key], ensure_ascii=False)
-                    queue.extend(node.values())
-                elif isinstance(node, list):
-                    queue.extend(node)
-            return None
-
-        return texts.map(one, na_action="ignore")
-
-    return run(column)

@@ -238,3 +238,11 @@ def biography(raw: Column, link: str) -> Column:
     first = F.regexp_extract(said, rf"(https?://\S*{link}\S*)", 1)
     return F.struct(F.when(plain != "", plain).alias("bio"), F.when(first != "", first).alias("link"), contacts(plain).alias("contacts"))
 
+
+def collated(c: Column, collation: str = "UNICODE_CI_AI", numbers: bool = True) -> Column:
+    """A text that sorts, groups and joins as the language's order says (without case and accents by default), with numbers by value: each is written with its length before it and without leading zeros."""
+    if numbers:
+        plain = lambda p: F.regexp_replace(p, "^0+(?=[0-9])", "")
+        parts = F.regexp_extract_all(c, F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
+        c = F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.concat(F.lpad(F.length(plain(p)).cast("string"), 6, "0"), plain(p))).otherwise(p)), "")
+    return F.collate(c, collation)

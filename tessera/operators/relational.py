@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -101,3 +101,11 @@ def violations(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
 def visible(df: DataFrame, parents: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Allowed columns of the rows whose parent may be seen."""
     return df.join(parents.select(key), key, "left_semi").select(*columns)
+
+
+def sample_function(spark: SparkSession, name: str, view: str, id_: str, columns: list[str], seed: str) -> None:
+    """A temporary SQL function ``name(n)`` that returns the ``columns`` of the n rows of a view that ``seeded_sample`` gives, for FROM and LATERAL. Each partition passes on n rows at most."""
+    kinds = {f.name: f.dataType.simpleString() for f in spark.table(view).schema}
+    returns, chosen = ", ".join(f"{c} {kinds[c]}" for c in columns), ", ".join(columns)
+    order = f"md5(concat(cast({id_} as string), '{seed}')), {id_}"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(n INT) RETURNS TABLE ({returns}) RETURN SELECT {chosen} FROM (SELECT {chosen}, row_number() OVER (ORDER BY {order}) AS place FROM {view}) WHERE place <= {name}.n")

@@ -11,7 +11,7 @@ from tessera.functions import scores as S
 from tessera.functions import text as X
 from tessera.functions import times as T
 from tessera.functions import urls as U
-from tessera.operators import graph, incremental, matching, reconcile
+from tessera.operators import graph, incremental, json_tree, matching, reconcile
 from tessera.plans.match import _FOLD
 from tessera.plans.registry import query, table
 from tessera.plans.web import _HOST, _PATH, _QUERY
@@ -122,7 +122,9 @@ def page_fields(spark, d):
     image = H.page_image(page)
     linked = H.linkify(F.when(i % 2 == 0, "see https://a.b/c.").otherwise("see nothing"))
     clean = H.sanitise(h)
-    return table(spark, d, "pages").select("page_id", image["status"].alias("status"), image["url"].alias("image"), H.find_in_json(H.embedded_json(page, "__DATA__"), "id_").alias("buried"), U.without_size(F.lit("http://i/a-300x200.jpg")).alias("unsized"), linked.contains('<a href="https://a.b/c" target').alias("linked"), F.regexp_count(clean, F.lit("(?i)<p>")).cast("long").alias("paragraphs"))
+    pages = table(spark, d, "pages")
+    found = json_tree.first_values(pages.select("page_id", H.embedded_json(page, "__DATA__").alias("text")), "page_id", "text", "id_").select("page_id", F.col("value").alias("buried"))
+    return pages.join(found, "page_id", "left").select("page_id", image["status"].alias("status"), image["url"].alias("image"), "buried", U.without_size(F.lit("http://i/a-300x200.jpg")).alias("unsized"), linked.contains('<a href="https://a.b/c" target').alias("linked"), F.regexp_count(clean, F.lit("(?i)<p>")).cast("long").alias("paragraphs"))
 
 
 @query(r"""WITH e AS (SELECT event_id, ts, user_id, event_type, date_trunc('second', ts) AS s FROM events)
