@@ -307,7 +307,7 @@ def test_texts_of_one_document(spark):
 
 @pytest.mark.parametrize("kind", ["date", "timestamp", "timestamp_ntz", "boolean", "decimal(9,2)", "binary", "double", "string"])
 def test_dimensions_of_every_type(spark, kind):
-    value = {"date": "date_add(date'2020-01-01', id)", "timestamp": "timestamp_seconds(id * 5)", "timestamp_ntz": "cast(timestamp_seconds(id * 5) as timestamp_ntz)", "boolean": "id > 30", "binary": "cast(concat('same ', lpad(id, 4, '0')) as binary)", "string": "concat('same ', lpad(id, 4, '0'))"}.get(kind, f"cast(id as {kind})")
+    value = {"date": "date_add(date'2020-01-01', cast(id as int))", "timestamp": "timestamp_seconds(id * 5)", "timestamp_ntz": "cast(timestamp_seconds(id * 5) as timestamp_ntz)", "boolean": "id > 30", "binary": "cast(concat('same ', lpad(id, 4, '0')) as binary)", "string": "concat('same ', lpad(id, 4, '0'))"}.get(kind, f"cast(id as {kind})")
     docs = spark.range(64).selectExpr("id as doc_id", "'t' as text", f"if(id % 9 = 0, null, {value}) as x")
     found = hilbert_shards.hilbert_shards(docs, 4, ("x",), 3).where("doc_id % 9 > 0").orderBy("doc_id").collect()
     cells = [r["hilbert"] for r in found]
