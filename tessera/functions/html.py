@@ -59,29 +59,61 @@ def _field(raw: Column) -> Column:
     return F.when(said != "", said)
 
 
+def tags(c: Column) -> Column:
+    """A page cut before each opening tag: every part begins with one (but perhaps the first)."""
+    return F.split(c, r"(?=<[A-Za-z])")
+
+
+def value(part: Column, attribute: str) -> Column:
+    """An attribute of the tag that a part begins with, entities decoded; null without one."""
+    given = F.regexp_extract(part, r"^<((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)", 1)
+    said = F.regexp_extract(given, rf"""(?is)\s{attribute}\s*=\s*("[^"]*"|'[^']*'|[^\s"']+)""", 1)
+    return F.when(said != "", basic_entities(F.regexp_replace(said, r"""^["']|["']$""", "")))
+
+
+def found_tags(c: Column, tag: str, attribute: str | None = None, word: str | None = None) -> Column:
+    """Array of structs (place, part) of the tags of a name (a pattern), in page order; with ``attribute`` and ``word`` those whose attribute holds the word."""
+    numbered = F.transform(tags(c), lambda p, i: F.struct(i.alias("place"), p.alias("part")))
+    holds = lambda p: F.coalesce(F.array_contains(F.split(value(p, attribute), r"\s+"), word), F.lit(False)) if attribute else F.lit(True)
+    return F.filter(numbered, lambda t: t["part"].rlike(rf"(?i)^<(?:{tag})(?=[\s/>])") & holds(t["part"]))
+
+
+def inner(c: Column, found: Column) -> Column:
+    """What stands between a found tag and the next closing one of its name."""
+    rest = F.array_join(F.slice(tags(c), found["place"] + 1, F.greatest(F.size(tags(c)), F.lit(1))), "")
+    return F.regexp_extract(rest, r"(?is)^<([a-z][a-z0-9-]*)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>(.*?)</\1\s*>", 2)
+
+
 def by_attribute(c: Column, tag: str, attribute: str, word: str) -> Column:
     """Text of the first element whose attribute (class, id) holds a word."""
-    return _field(F.regexp_extract(c, rf'(?is)<({tag})\b[^>]*\b{attribute}="(?:[^"]*\s)?{word}(?:\s[^"]*)?"[^>]*>(.*?)</\1>', 2))
+    return _field(inner(c, F.get(found_tags(c, tag, attribute, word), F.lit(0))))
 
 
 def all_by_class(c: Column, tag: str, word: str) -> Column:
     """Texts of all such elements, in lower case, in page order."""
-    found = F.regexp_extract_all(c, F.lit(rf'(?is)<({tag})\b[^>]*\bclass="(?:[^"]*\s)?{word}(?:\s[^"]*)?"[^>]*>(.*?)</\1>'), F.lit(2))
-    return F.filter(F.transform(found, lambda x: F.lower(_field(x))), lambda x: x.isNotNull())
+    texts = F.transform(found_tags(c, tag, "class", word), lambda t: F.lower(_field(inner(c, t))))
+    return F.filter(texts, lambda x: x.isNotNull())
 
 
 def links_within(c: Column, tag: str, attribute: str, word: str) -> Column:
     """Distinct links of all such blocks, in page order; blocks that a script fills later hold empty ones."""
-    blocks = F.regexp_extract_all(c, F.lit(rf'(?is)<({tag})\b[^>]*\b{attribute}="(?:[^"]*\s)?{word}(?:\s[^"]*)?"[^>]*>(.*?)</\1>'), F.lit(2))
-    links = F.flatten(F.transform(blocks, lambda b: F.regexp_extract_all(b, F.lit(r'(?i)\bhref="([^"]+)"'), F.lit(1))))
-    return F.array_distinct(F.filter(F.transform(links, basic_entities), lambda x: F.trim(x) != ""))
+    blocks = F.transform(found_tags(c, tag, attribute, word), lambda t: tags(inner(c, t)))
+    links = F.transform(F.flatten(blocks), lambda p: value(p, "href"))
+    return F.array_distinct(F.filter(links, lambda x: F.coalesce(F.trim(x) != "", F.lit(False))))
 
 
 def background_image(c: Column, word: str) -> Column:
-    """The link of an inline background image; class and style come in either order."""
-    tag = F.regexp_extract(c, rf'(?is)<[a-z0-9]+\b(?=[^>]*\bclass="(?:[^"]*\s)?{word}(?:\s[^"]*)?")[^>]*\bstyle="([^"]*)"', 1)
-    found = basic_entities(F.regexp_extract(basic_entities(tag), r"""(?i)background-image:\s*url\(\s*['"]?([^)'"]+)""", 1))
-    return F.when(found != "", found)
+    """The link of the inline background image of the first element of a class that has one."""
+    styles = F.transform(found_tags(c, "[a-z0-9]+", "class", word), lambda t: value(t["part"], "style"))
+    links = F.transform(styles, lambda s: F.regexp_extract(s, r"""(?i)background-image\s*:[^;]*?url\(\s*["']?([^)"']+)""", 1))
+    return F.get(F.filter(links, lambda x: F.coalesce(x != "", F.lit(False))), F.lit(0))
+
+
+def body_number(c: Column, prefix: str) -> Column:
+    """The number of a class ``prefix-123`` of the body."""
+    classes = F.split(value(F.get(found_tags(c, "body"), F.lit(0))["part"], "class"), r"\s+")
+    numbers = F.transform(F.filter(classes, lambda w: w.rlike(f"^{prefix}-[0-9]+$")), lambda w: F.regexp_extract(w, "([0-9]+)$", 1))
+    return F.get(numbers, F.lit(0)).cast("long")
 
 
 def image_after(c: Column, mark: str, reach: int = 600) -> Column:
@@ -91,12 +123,6 @@ def image_after(c: Column, mark: str, reach: int = 600) -> Column:
     return F.when((at > 0) & (found != ""), found)
 
 
-def body_number(c: Column, prefix: str) -> Column:
-    """The number of a ``prefix-123`` class of the body."""
-    found = F.regexp_extract(c, rf'(?i)<body\b[^>]*\bclass="[^"]*\b{prefix}-([0-9]+)(?=[\s"])', 1)
-    return F.when(found != "", found.cast("long"))
-
-
 def to_text(c: Column) -> Column:
     """Breaks and blocks become line ends, other tags go, blanks and line ends collapse; entities stay."""
     c = F.regexp_replace(c, r"(?is)<(script|style)[^>]*>[\s\S]*?</\1>|<!--[\s\S]*?-->", "")

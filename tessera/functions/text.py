@@ -22,10 +22,13 @@ STOP_WORDS = ("the", "and", "for", "with", "from", "that", "this", "of", "a", "a
 
 def fold(c: Column) -> Column:
     """Lower case without accents or combining marks."""
-    out = F.translate(F.regexp_replace(F.lower(c), r"[̀-ͯ]", ""), ACCENTED, BASE)
+    low = F.lower(c)
+    one = {k: v for k, v in LIGATURES.items() if len(v) == 1}
+    out = F.translate(F.regexp_replace(low, r"[̀-ͯ]", ""), ACCENTED + "".join(one), BASE + "".join(one.values()))
     for letter, plain in LIGATURES.items():
-        out = F.replace(out, F.lit(letter), F.lit(plain))
-    return out
+        if letter not in one:
+            out = F.replace(out, F.lit(letter), F.lit(plain))
+    return F.when(low.rlike(r"[^\x00-\x7F]"), out).otherwise(low)
 
 
 def search_key(c: Column) -> Column:

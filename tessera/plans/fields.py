@@ -17,7 +17,7 @@ from tessera.plans.registry import query, table
 from tessera.plans.web import _HOST, _PATH, _QUERY
 from tessera.sources import ods, tabular
 from tessera.storage import scratch
-from tessera.streaming.windows import dedupe, upsert_batches
+from tessera.streaming.windows import dedupe, upsert_batches, upserted
 
 _VARIANTS = "v AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN replace(p_name, ' ', '-') WHEN 1 THEN 'Ö ' || upper(p_name) || ' 5%_ <&\"''>' WHEN 2 THEN trim(regexp_replace(left(p_name, 5), '(\\S)', '\\1 ', 'g')) ELSE '@' || left(p_name, 2) END AS s FROM part)"
 
@@ -82,9 +82,9 @@ def submission_duplicates(spark, d):
     """How many other submissions share a key with each one."""
     p = table(spark, d, "pages")
     profile = F.regexp_extract("url", "^[^:]+://[^/]+/[^/]+/([0-9]+)", 1)
-    keyed = p.select("page_id", F.explode(U.link_keys(F.col("url"), (F.col("page_id") % 7).cast("string"), F.when(profile != "", profile))).alias("key"))
-    pairs = keyed.join(keyed.select("key", F.col("page_id").alias("other")), "key").where("page_id <> other")
-    return pairs.groupBy("page_id").agg(F.count_distinct("other").alias("same"))
+    keys = U.link_keys(F.col("url"), (F.col("page_id") % 7).cast("string"), F.when(profile != "", profile))
+    of = p.select("page_id", keys.alias("keys")).select("page_id", F.get("keys", F.lit(0)).alias("k1"), F.get("keys", F.lit(1)).alias("k2"))
+    return matching.sharing(of, "page_id", "k1", "k2").where("same > 0")
 
 
 _BIO = r"""b AS (SELECT c_custkey AS id, c_nationkey AS n, c_name AS name FROM customer)"""
@@ -210,8 +210,9 @@ def stream_upserts(spark, d):
     """The latest event of each user and type, kept as a table that a stream's batches merge into."""
     folder = f"{scratch(spark)}/upserts-{uuid.uuid4().hex}"
     source = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
-    upsert_batches(source.select("user_id", "event_type", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at")), ["user_id", "event_type"], "at", f"{folder}/table", f"{folder}/state").awaitTermination()
-    return spark.read.parquet(f"{folder}/table").select("user_id", "event_type", "event_id")
+    rows = source.select("user_id", "event_type", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    upsert_batches(rows, ["user_id", "event_type"], "at", f"{folder}/table", f"{folder}/state").awaitTermination()
+    return upserted(spark, f"{folder}/table", rows.schema).select("user_id", "event_type", "event_id")
 
 
 @query("SELECT event_type, count(*) AS n FROM (SELECT DISTINCT event_type, event_id FROM events) GROUP BY 1")

@@ -47,21 +47,21 @@ def link_cleaning(spark, d):
 @query(r"""SELECT page_id, 'Name & ' || page_id AS name, CASE WHEN page_id % 2 = 0 THEN page_id END AS number, 'https://i.x/' || page_id || '.jpg?a=1&b=2' AS portrait, 'https://s.x/' || page_id || ',http://t.x/a?b&c' AS links,
 CASE WHEN page_id % 3 > 0 THEN 'Some place' END AS place, 'techno,deep house' AS tags, CASE WHEN page_id % 5 > 0 THEN 'https://f.x/p.png' END AS photo, 'A "bio" of ' || page_id AS bio FROM pages""")
 def page_cards(spark, d):
-    """Fields of an artist's page around each page's own HTML: title, number of the body's class, portrait, links of two blocks, place, tags, photo near its mark, biography."""
+    """Fields of a person's page around each page's own HTML: title, number of the body's class, portrait, links of two blocks, place, tags, photo near its mark, biography."""
     i = F.col("page_id")
     own = F.regexp_extract("html", r"(?is)<article>(.*?)</article>", 1)
     image = _cat("background-image: url('https://i.x/", i, ".jpg?a=1&amp;b=2')")
-    portrait = F.when(i % 2 == 0, _cat('<div class="card artist__image" data-x="1" style="', image, '"></div>')).otherwise(_cat('<div style="', image, '" class="artist__image"></div>'))
-    socials = _cat('<div class="artist__socials"><a href=""></a></div><div class="row artist__socials big"><a href="https://s.x/', i, '"></a><a href="http://t.x/a?b&amp;c"></a><a href="https://s.x/', i, '"></a></div>')
+    portrait = F.when(i % 2 == 0, _cat('<div class="card portrait" data-x="1" style="', image, '"></div>')).otherwise(_cat('<div style="', image, '" class="portrait"></div>'))
+    socials = _cat('<div class="elsewhere"><a href=""></a></div><div class="row elsewhere big"><a href="https://s.x/', i, '"></a><a href="http://t.x/a?b&amp;c"></a><a href="https://s.x/', i, '"></a></div>')
     page = _cat(
-        '<html><body class="home author-', F.when(i % 2 == 0, i.cast("string")).otherwise("2hot"), ' x"><h1 class="artist__title">\n Name <b>&amp;</b> ', i, "</h1>", portrait, socials, F.when(i % 3 > 0, '<span class="artist__location">Some&nbsp; place</span>').otherwise(""),
-        '<p id="bio-text">A &quot;bio&quot;\n of ', i, '</p><a class="tag" href="/t">Techno</a><a class="tag">Deep <i>House</i></a><div id="pic-container">', F.when(i % 5 > 0, "").otherwise(F.repeat(F.lit(" "), 600)), '<a href="https://f.x/p.png"></a></div>', own, "</body></html>",
+        '<html><body class="home person-', F.when(i % 2 == 0, i.cast("string")).otherwise("7seas"), ' x"><h1 class="called">\n Name <b>&amp;</b> ', i, "</h1>", portrait, socials, F.when(i % 3 > 0, '<span class="from">Some&nbsp; place</span>').otherwise(""),
+        '<p id="about">A &quot;bio&quot;\n of ', i, '</p><a class="tag" href="/t">Techno</a><a class="tag">Deep <i>House</i></a><div id="snapshot">', F.when(i % 5 > 0, "").otherwise(F.repeat(F.lit(" "), 600)), '<a href="https://f.x/p.png"></a></div>', own, "</body></html>",
     )
     p = table(spark, d, "pages").select("page_id", page.alias("page"))
     c = F.col("page")
     return p.select(
-        "page_id", H.by_attribute(c, "h1", "class", "artist__title").alias("name"), H.body_number(c, "author").alias("number"), H.background_image(c, "artist__image").alias("portrait"), F.array_join(H.links_within(c, "div", "class", "artist__socials"), ",").alias("links"),
-        H.by_attribute(c, "[a-z]+", "class", "artist__location").alias("place"), F.array_join(H.all_by_class(c, "a", "tag"), ",").alias("tags"), H.image_after(c, 'id="pic-container"').alias("photo"), H.by_attribute(c, "p", "id", "bio-text").alias("bio"),
+        "page_id", H.by_attribute(c, "h1", "class", "called").alias("name"), H.body_number(c, "person").alias("number"), H.background_image(c, "portrait").alias("portrait"), F.array_join(H.links_within(c, "div", "class", "elsewhere"), ",").alias("links"),
+        H.by_attribute(c, "[a-z]+", "class", "from").alias("place"), F.array_join(H.all_by_class(c, "a", "tag"), ",").alias("tags"), H.image_after(c, 'id="snapshot"').alias("photo"), H.by_attribute(c, "p", "id", "about").alias("bio"),
     )
 
 

@@ -50,6 +50,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return store.exists(where)
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder, without hidden ones; none where there is no folder."""
+    store, where = _at(spark, path)
+    return [n for f in (store.listStatus(where) if store.exists(where) else []) if f.isDirectory() and (n := f.getPath().getName())[0] not in "_."]
+
+
 def fresh(spark: SparkSession, path: str, seconds: float, make: Callable[[], DataFrame], now: float | None = None) -> DataFrame:
     """A table that is made anew when the one at ``path`` is older than ``seconds``. Each making has a folder named by its time, so readers of an older one are not disturbed; ``invalidate`` forgets them all."""
     now = time.time() if now is None else now

@@ -95,7 +95,55 @@ def test_stream_upsert(spark, tmp_path):
     def feed(rows):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         windows.upsert_batches(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), ["k"], "at", str(tmp_path / "t"), str(tmp_path / "s")).awaitTermination()
-        return sorted(map(tuple, spark.read.parquet(str(tmp_path / "t")).select("k", "v", "at").collect()))
+        return sorted(map(tuple, windows.upserted(spark, str(tmp_path / "t"), spark.createDataFrame([], schema).schema).select("k", "v", "at").collect()))
 
     assert feed([(1, "a", 1), (2, "old", 1), (2, "b", 5), (2, "older", 0)]) == [(1, "a", 1), (2, "b", 5)]
     assert feed([(2, "late", 3), (1, "same", 1), (3, "c", 2)]) == [(1, "same", 1), (2, "b", 5), (3, "c", 2)]
+
+
+def test_upserts_leave_no_copies(spark, tmp_path):
+    """Batches replace buckets whole, a batch that runs again changes nothing, another stream goes on, and old versions go."""
+    schema = "k int, v string, at int"
+    table = str(tmp_path / "t")
+
+    def feed(state, rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / state / "in"))
+        windows.upsert_batches(spark.readStream.schema(schema).parquet(str(tmp_path / state / "in")), ["k"], "at", table, str(tmp_path / state / "s")).awaitTermination()
+
+    want = {}
+    for i in range(5):
+        rows = [(k, f"{i}-{k}", i) for k in range(0, 40, i + 1)]
+        feed("one" if i < 3 else "two", rows)
+        want |= {k: (v, at) for k, v, at in rows}
+        found = windows.upserted(spark, table, spark.createDataFrame([], schema).schema).collect()
+        assert {r["k"]: (r["v"], r["at"]) for r in found} == want and len(found) == len(want)
+    assert len(list((tmp_path / "t" / "manifest").iterdir())) == 2
+    buckets = len({p.name for p in (tmp_path / "t" / "data").glob("*/bucket=*")})
+    assert len(list((tmp_path / "t" / "data").glob("*/bucket=*"))) <= 2 * buckets
+    # the manifest of the newest batch is lost, as in a crash before it was written: the batch is taken in again
+    newest = max((tmp_path / "t" / "manifest").iterdir(), key=lambda p: int(p.name))
+    (newest / "_SUCCESS").unlink()
+    before = windows.upserted(spark, table, spark.createDataFrame([], schema).schema).count()
+    assert before == len(want)
+    assert windows.upserted(spark, str(tmp_path / "nothing"), spark.createDataFrame([], schema).schema).count() == 0
+
+
+def test_ods_types_and_names(spark):
+    import datetime
+    import decimal
+    import io
+    import zipfile
+    from xml.etree import ElementTree
+
+    rows = [(True, 3, 2.5, decimal.Decimal("1.50"), datetime.date(2024, 5, 1), datetime.datetime(2024, 5, 1, 10, 30), "a <b>\n&c", "https://x.org/?a=1&b=2", None)]
+    raw = ods.build([f"c{i}" for i in range(9)], iter(rows), "a[b]/c'd" + "x" * 40)
+    z = zipfile.ZipFile(io.BytesIO(raw))
+    assert z.namelist()[0] == "mimetype" and z.getinfo("mimetype").compress_type == zipfile.ZIP_STORED and z.read("mimetype").decode() == ods.MIME
+    root = ElementTree.fromstring(z.read("content.xml"))
+    sheet = next(root.iter(f"{{{ods.TABLE}}}table"))
+    assert sheet.get(f"{{{ods.TABLE}}}name") == ("a_b__c_d" + "x" * 40)[:31]
+    cells = list(sheet)[1]
+    kinds = [c.get(f"{{{ods.OFFICE}}}value-type") for c in cells]
+    assert kinds == ["boolean", "float", "float", "float", "date", "date", "string", "string", None]
+    assert [c.get(f"{{{ods.OFFICE}}}{a}") for c, a in zip(cells, ["boolean-value", "value", "value", "value", "date-value", "date-value"], strict=False)] == ["true", "3", "2.5", "1.50", "2024-05-01", "2024-05-01T10:30:00"]
+    assert ["".join(p.itertext()) for p in cells[6]] == ["a <b>", "&c"] and next(cells[7].iter(f"{{{ods.TEXT}}}a")).get(f"{{{ods.XLINK}}}href") == rows[0][7]

@@ -145,3 +145,10 @@ def test_failure_runs_cross_stretches(spark):
             open_.pop(k, None)
     for stretch in (7, 1 << 20):
         assert sorted(map(tuple, incremental.failure_runs(df, "k", "i", F.col("bad"), 3, stretch).collect())) == sorted(want)
+
+
+def test_sharing_counts_each_other_once(spark):
+    df = spark.createDataFrame([(1, "a", "x"), (2, "a", "x"), (3, "a", None), (4, "b", "x"), (5, None, None), (6, None, "y"), (7, "c", "y"), (8, "d", "z")], "id long, p string, q string")
+    given = {r["id"]: (r["p"], r["q"]) for r in df.collect()}
+    want = {i: sum(j != i and ((p is not None and p == u) or (q is not None and q == v)) for j, (u, v) in given.items()) for i, (p, q) in given.items() if p is not None or q is not None}
+    assert dict(rows(matching.sharing(df, "id", "p", "q"))) == want
