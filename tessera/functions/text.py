@@ -249,3 +249,59 @@ def collated(c: Column, collation: str = "UNICODE_CI_AI", numbers: bool = True)
         parts = F.regexp_extract_all(c, F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
         c = F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.concat(F.lpad(F.length(plain(p)).cast("string"), 6, "0"), plain(p))).otherwise(p)), "")
     return F.collate(c, collation)
+
+
+def escape_regex(c: Column) -> Column:
+    """A text as a pattern that matches just it."""
+    return F.regexp_replace(c, r"([^\w\s])", r"\\$1")
+
+
+def sql_text(c: Column) -> Column:
+    """A text as a literal of SQL; NULL for null."""
+    return F.coalesce(F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit("''")), F.lit("'")), F.lit("NULL"))
+
+
+def csv_field(c: Column) -> Column:
+    """Quoted where a comma, a quote or a line end stands in it; empty for null."""
+    quoted = F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.coalesce(F.when(c.rlike('[",\\r\\n]'), quoted).otherwise(c), F.lit(""))
+
+
+def preview(c: Column, most: int = 30) -> Column:
+    """One line of a text in quotes, cut after ``most`` characters; (none) for nothing."""
+    flat = F.trim(F.regexp_replace(c, r"\s+", " "))
+    shown = F.concat(F.lit('"'), F.left(flat, F.lit(most)), F.when(F.length(flat) > most, "…").otherwise(""), F.lit('"'))
+    return F.when(c.isNull() | (c == ""), "(none)").otherwise(shown)
+
+
+def status_label(c: Column, acronyms: tuple[str, ...] = ("sc", "mb")) -> Column:
+    """``not_eligible`` as people read it: Not eligible."""
+    words = F.split(c, "_")
+    said = F.transform(words, lambda w, i: F.when(w.isin(*acronyms), F.upper(w)).when(i == 0, F.concat(F.upper(F.left(w, F.lit(1))), F.substring(w, F.lit(2), F.length(w)))).otherwise(w))
+    return F.array_join(said, " ")
+
+
+def replace_each(c: Column, pattern: str, f, group: int = 0) -> Column:
+    """Each match of a pattern replaced by ``f`` (of the match's ``group``); where that is null the match stays."""
+    between, whole, part = F.split(c, pattern, -1), F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
+    put = F.transform(part, lambda x, i: F.concat(F.coalesce(f(x), F.get(whole, i)), F.get(between, i + 1)))
+    return F.concat(F.get(between, F.lit(0)), F.array_join(put, ""))
+
+
+def without_wrappers(c: Column, host: str) -> Column:
+    """Links of a click counter within a text become the links that they wrap in ``url=``; those that don't decode stay."""
+    pattern = rf'https?://{host}\?url=([^&\s"<>]+)(?:&[^\s"<>]*)*'
+    return replace_each(c, pattern, lambda x: F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B"))), 1)
+
+
+def number_entities(c: Column) -> Column:
+    """Numeric entities, decimal and hexadecimal, as their characters; numbers that are none become U+FFFD."""
+
+    def char(x: Column) -> Column:
+        hexed = x.rlike("^[xX]")
+        digits = F.regexp_replace(x, "^[xX]?0*", "")
+        n = F.when(F.length(digits).between(1, 7), F.when(hexed, F.conv(digits, 16, 10)).otherwise(digits)).cast("long")
+        real = (n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+        return F.when(real, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise("\ufffd")
+
+    return replace_each(c, "&#([xX][0-9a-fA-F]+|[0-9]+);", char, 1)

@@ -42,3 +42,18 @@ def blank_to_null(c: Column) -> Column:
 def rest_of_object(json: Column, known: tuple[str, ...]) -> Column:
     """A JSON object without the known keys."""
     return F.to_json(F.map_filter(F.from_json(json, "map<string,string>"), lambda k, _: ~k.isin(*known)))
+
+
+def date_key(c: Column) -> Column:
+    """The day of a time, as text."""
+    return F.date_format(c, "yyyy-MM-dd")
+
+
+def iso_stamp(c: Column) -> Column:
+    """A time of UTC with its zone, to the second."""
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def shown(c: Column) -> Column:
+    """A time of UTC as reports show it."""
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss 'UTC'")

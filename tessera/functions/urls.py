@@ -227,3 +227,59 @@ def clean_link(c: Column, platform: Column, rules: dict[str, LinkRule]) -> Colum
 def resolve_link(c: Column, platform: Column, wrappers: tuple[str, ...], rules: dict[str, LinkRule]) -> Column:
     """Out of its wrappers, cleaned, and without closing slashes."""
     return F.regexp_replace(let(unwrap(c, wrappers), lambda u: clean_link(u, platform, rules)), "/+$", "")
+
+
+# Parameters that two links to one thing may differ in.
+COMPARED = ("si", "nd", "context", "utm_source", "utm_medium", "utm_campaign", "utm_content", "utm_term", "igsh", "igshid", "fbclid", "gclid", "feature", "pp")
+
+
+def comparable(c: Column, params: tuple[str, ...] = COMPARED) -> Column:
+    """A link as it is compared with others: https, no www, no closing slash but the first, without ``params``; the fragment counts. What is no URL stays as it is."""
+    where = F.regexp_replace(path(c), "(?<=.)/$", "")
+    kept = F.array_join(F.filter(F.split(query_string(c), "&"), lambda kv: (kv != "") & ~F.regexp_extract(kv, "^([^=]*)", 1).isin(*params)), "&")
+    out = F.concat(F.lit("https://"), bare_host(c), F.when(where == "", "/").otherwise(where), F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""), F.regexp_extract(c, "(#.+)$", 1))
+    return F.coalesce(out, c)
+
+
+def same_link(a: Column, b: Column) -> Column:
+    return (a == b) | (comparable(a) == comparable(b))
+
+
+def _on(c: Column, site: str) -> Column:
+    return (host(c) == site) | host(c).endswith(f".{site}")
+
+
+def core_url(c: Column, site: str) -> Column:
+    """The front page of a link's host; null off the site."""
+    return F.when(_on(c, site), F.concat(F.lit("https://"), host(c)))
+
+
+def is_deep(c: Column, markers: tuple[str, ...]) -> Column:
+    """Whether a link leads to something within a profile: it holds one of the markers."""
+    low, out = F.lower(c), F.lit(False)
+    for m in markers:
+        out = out | low.contains(m)
+    return out
+
+
+def own_subdomain(c: Column, site: str) -> Column:
+    """Whether the host is a subdomain of the site; false for what is no URL."""
+    return F.coalesce(host(c).endswith(f".{site}"), F.lit(False))
+
+
+def landed_off(c: Column, site: str) -> Column:
+    """Whether a redirect ended elsewhere than on a subdomain of the site; true for what is no URL."""
+    return ~own_subdomain(c, site)
+
+
+def resized(c: Column, old: str, new: str) -> Column:
+    """An image link with another size suffix in place of ``-old``; null for none."""
+    return F.when(c != "", F.regexp_replace(c, rf"-{old}(?=(?:\.\w+)?$)", f"-{new}"))
+
+
+def is_placeholder(c: Column, patterns: tuple[str, ...] = (r"(?i)/default_avatar[_.]",)) -> Column:
+    """Whether an image link is a site's stand-in; false for none."""
+    out = F.lit(False)
+    for p in patterns:
+        out = out | c.rlike(p)
+    return F.coalesce(out, F.lit(False))

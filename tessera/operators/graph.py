@@ -54,9 +54,12 @@ def closure(seeds: DataFrame, edges: DataFrame, stops: DataFrame | None = None)
 
 def until_stable(state: DataFrame, step, rounds: int | None = None) -> tuple[DataFrame, int, bool]:
     """Apply ``step`` (frame to frame that only adds rows) until it adds none, or ``rounds`` times; the frame, the rounds used and whether it is stable."""
-    n, i = state.count(), 0
+    n, i, last = state.count(), 0, None
     while rounds is None or i < rounds:
         state, i = stored(step(state), "state"), i + 1
+        if last is not None:
+            release(last)
+        last = state
         m = state.count()
         if m == n:
             return state, i, True

@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.graph import closure
 from tessera.operators.relational import numbered, top_per_key
+from tessera.storage import stored
 
 
 def _same(a: str, b: str, keys: list[str]) -> Column:
@@ -91,3 +93,48 @@ def new_ids(df: DataFrame, start: DataFrame, id_: str, key: str) -> DataFrame:
     top = start.agg(F.coalesce(F.max(id_), F.lit(0)).alias("top")).first()["top"]
     fresh = df.select(key).distinct().join(start.select(key), key, "left_anti")
     return numbered(fresh, [key], "_n").select(key, (F.col("_n") + top).alias(id_))
+
+
+def refresh_count(stats: DataFrame, key: str, rows: DataFrame, step: int = 100) -> tuple[DataFrame, DataFrame]:
+    """(the table of counters (key, value, exact, updated) with the number of ``rows`` under ``key``, rounded down to ``step``; one row with that value, as the caller gets it)."""
+    exact = rows.agg(F.count("*").alias("exact"))
+    now = exact.select(F.lit(key).alias("key"), (F.floor(F.col("exact") / step) * step).alias("value"), "exact", F.current_timestamp().alias("updated"))
+    return stats.where(F.col("key") != key).unionByName(now.select(*[F.col(c).cast(stats.schema[c].dataType).alias(c) for c in stats.columns])), now.select("value")
+
+
+def delete_with_references(tables: dict[str, DataFrame], references: list[tuple[str, str, str, str]], gone: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables (each with id) after the rows of ``gone`` (table -> frame of ids) are deleted and all ``references`` (table, column,
+    target, action) kept: rows that point to a deleted one go too (``cascade``), lose the pointer (``set null``) or forbid the deletion
+    (``restrict``, an error). References form no cycle between tables."""
+    deleted = {name: stored(df.select("id").distinct(), "deleted") for name, df in gone.items()}
+    waiting, order = set(tables), []
+    while waiting:
+        ready = sorted(t for t in waiting if not any(child == t and target in waiting and target != t for child, _, target, _ in references))
+        if not ready:
+            raise ValueError("references form a cycle")
+        order += ready
+        waiting -= set(ready)
+    out = {}
+    for name in order:
+        df = tables[name]
+        mine = [(column, target, action) for child, column, target, action in references if child == name and (target in deleted or target == name)]
+        for column, target, action in mine:
+            if action == "cascade":
+                if target == name:  # a tree within one table: children of deleted rows, level by level
+                    edges = df.where(F.col(column).isNotNull()).select(F.col(column).alias("a"), F.col("id").alias("b"))
+                    more = closure(deleted[name], edges).select("id") if name in deleted else None
+                else:
+                    more = df.join(deleted[target].select(F.col("id").alias(column)), column, "left_semi").select("id")
+                if more is not None:
+                    deleted[name] = stored((more if name not in deleted else more.unionByName(deleted[name])).distinct(), "deleted")
+        if name in deleted:
+            df = df.join(deleted[name], "id", "left_anti")
+        for column, target, action in mine:
+            if action != "cascade" and target in deleted:
+                hit = deleted[target].select(F.col("id").alias(column), F.lit(True).alias("_hit"))
+                found = df.join(hit, column, "left")
+                if action == "restrict" and not found.where("_hit").isEmpty():
+                    raise ValueError(f"{name}.{column} still points to deleted rows of {target}")
+                df = found.select(*[F.when(F.col("_hit").isNull(), F.col(column)).alias(column) if c == column else F.col(c) for c in df.columns])
+        out[name] = df
+    return out

@@ -225,9 +225,9 @@ def stream_first_events(spark, d):
     return spark.read.parquet(f"{folder}/out").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("""WITH RECURSIVE r AS (SELECT 1::BIGINT AS n UNION SELECT unnest([n * 2, n * 3]) FROM r WHERE n < 200) SELECT n FROM r""")
+@query("""WITH RECURSIVE r AS (SELECT r_regionkey * 5 + 1 AS n FROM region UNION SELECT unnest([n * 2, n * 3]) FROM r WHERE n < 2000) SELECT CAST(n AS BIGINT) AS n FROM r""")
 def stable_rounds(spark, d):
     """A step that adds rows, again and again until it adds none."""
-    step = lambda df: df.unionByName(df.where("n < 200").select(F.explode(F.array(F.col("n") * 2, F.col("n") * 3)).alias("n"))).distinct()
-    state, _, stable = graph.until_stable(spark.createDataFrame([(1,)], "n long"), step)
+    step = lambda df: df.unionByName(df.where("n < 2000").select(F.explode(F.array(F.col("n") * 2, F.col("n") * 3)).alias("n"))).distinct()
+    state, _, stable = graph.until_stable(table(spark, d, "region").select((F.col("r_regionkey") * 5 + 1).cast("long").alias("n")), step)
     return state.where(F.lit(stable))
