@@ -200,7 +200,21 @@ def profile_links(spark, d):
     return p.select("page_id", U.mismatched(F.col("url"), F.lit("site"), {"site": ("example.com",)}).alias("mismatched"), U.profile_link(F.col("url"), "example.com")["warning"].alias("warning"))
 
 
-@query()
+_RESOLVED = """WITH p AS (SELECT p_name AS name, min(p_partkey) AS id, max(p_size) AS size, string_agg(DISTINCT p_type, ' ' ORDER BY p_type) AS types FROM part GROUP BY 1),
+t AS (SELECT *, split_part(name, ' ', 2) AS noun, list_distinct(string_split(name, ' ')) AS x, list_filter(list_distinct(string_split(lower(types), ' ')), lambda w: length(w) >= 2) AS place, list_filter(list_distinct(string_split(lower(types), ' ')), lambda w: length(w) >= 4) AS bio FROM p),
+m AS (SELECT a.id AS q, b.id, a.name AS ours, b.name AS name, a.x, b.x AS y, list_intersect(a.x, b.x) AS i, a.place AS pa, b.place AS pb, a.bio AS ba, b.bio AS bb, length(a.types) AS n, b.size * 2 AS pop FROM t a JOIN t b USING (noun)),
+s AS (SELECT *, coalesce(list_aggregate(list_sort(i), 'string_agg', ' '), '') AS sh, 2 * len(i) / (len(x) + len(y)) AS f1 FROM m),
+w AS (SELECT *, trim(sh || ' ' || coalesce(list_aggregate(list_sort(list_filter(x, lambda e: NOT list_contains(y, e))), 'string_agg', ' '), '')) AS l, trim(sh || ' ' || coalesce(list_aggregate(list_sort(list_filter(y, lambda e: NOT list_contains(x, e))), 'string_agg', ' '), '')) AS r FROM s),
+v AS (SELECT *, greatest((greatest(length(sh), length(l)) - levenshtein(sh, l)) / greatest(length(sh), length(l)), (greatest(length(sh), length(r)) - levenshtein(sh, r)) / greatest(length(sh), length(r)), (greatest(length(l), length(r)) - levenshtein(l, r)) / greatest(length(l), length(r))) * f1 AS s1,
+len(list_intersect(pa, pb)) / least(len(pa), len(pb)) AS s2, len(list_intersect(ba, bb)) / len(ba) AS s3, CASE WHEN pop >= 80 AND n < 100 THEN 0.5 ELSE greatest(1 - greatest(0, pop - 70) / 100, 0.3) END::DOUBLE AS s4 FROM w),
+c AS (SELECT q, id, ours, name, floor((0.6 * s1 + 0.15 * s2 + 0.15 * s3 + 0.1 * s4) / 1.0 * 10000 + 0.5) / 10000 AS score FROM v),
+u AS (SELECT *, name = ours AS exact, length(name) AS len FROM c QUALIFY score = max(score) OVER (PARTITION BY q)),
+k AS (SELECT *, count(*) OVER (PARTITION BY q) AS n, sum(exact::INT) OVER (PARTITION BY q) AS exacts, min(len) OVER (PARTITION BY q) AS shortest FROM u),
+z AS (SELECT *, count(*) FILTER (len = shortest) OVER (PARTITION BY q) AS shorts, row_number() OVER (PARTITION BY q ORDER BY exact DESC, len, id) AS r FROM k)
+SELECT q, n AS tied, id AS chosen, score, CASE WHEN score < 0.95 THEN 'below' WHEN n = 1 THEN 'best' WHEN exacts = 1 THEN 'exact' WHEN exacts = 0 AND shorts = 1 THEN 'shortest' ELSE 'tie' END AS status FROM z WHERE r = 1"""
+
+
+@query(_RESOLVED)
 def candidate_resolution(spark, d):
     part = table(spark, d, "part").groupBy("p_name").agg(F.min("p_partkey").alias("id"), F.max("p_size").alias("size"), F.array_join(F.sort_array(F.collect_set("p_type")), " ").alias("types"))
     asked = part.select(F.col("id").alias("q"), F.col("p_name").alias("name"), F.col("types").alias("place"), F.col("types").alias("bio"), F.split_part("p_name", F.lit(" "), F.lit(2)).alias("noun"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.operators import alike
 from tessera.operators import matching as M
 from tessera.operators.graph import components
 from tessera.operators.relational import top_per_key
@@ -45,10 +46,11 @@ c AS (SELECT DISTINCT x.name AS a, y.name AS b FROM b x JOIN b y USING (key) WHE
 _TRI = "list_distinct(list_transform(range(1, length(p) - 1), lambda i: substr(p, i, 3)))"
 
 
-@query(f"""WITH {_NAMES}, {_BLOCK}, k AS (SELECT name, '  ' || regexp_replace(name, '[^a-z0-9]', '', 'g') || ' ' AS p FROM n), g AS (SELECT name, {_TRI} AS g FROM k)
-SELECT a, b, {_R4.format("len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g)))")} AS similarity FROM c JOIN g x ON x.name = a JOIN g y ON y.name = b""")
+@query(f"""WITH {_NAMES}, k AS (SELECT name, '  ' || regexp_replace(name, '[^a-z0-9]', '', 'g') || ' ' AS p FROM n), g AS (SELECT name, {_TRI} AS g FROM k), s AS (SELECT x.name AS a, y.name AS b, len(list_intersect(x.g, y.g)) AS c, len(x.g) + len(y.g) AS n FROM g x JOIN g y ON x.name < y.name)
+SELECT a, b, {_R4.format("c / (n - c)")} AS similarity FROM s WHERE 10 * c >= 3 * (n - c)""")
 def trigram_similarity(spark, d):
-    return _name_pairs(spark, d).select("a", "b", X.round4(X.trigram_similarity(X.search_key(F.col("a")), X.search_key(F.col("b")))).alias("similarity"))
+    """All pairs of names of a similarity of 0.3 or more, without blocks."""
+    return alike.trigram_pairs(table(spark, d, "part"), "p_name", X.search_key(F.col("p_name")), 300).withColumn("similarity", X.round4(F.col("similarity")))
 
 
 @query(f"""WITH {_NAMES}, {_BLOCK}, w AS (SELECT a, b, list_sort(list_intersect(string_split(a, ' '), string_split(b, ' '))) AS s, string_split(a, ' ') AS x, string_split(b, ' ') AS y FROM c),
@@ -108,7 +110,9 @@ def tie_break_status(spark, d):
     names = table(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("id"))
     word = lambda c, i: F.split_part(F.col(c), F.lit(" "), F.lit(i))
     first = word("name", 1) == word("ours", 1)
-    found = names.join(F.broadcast(asked), first | (word("name", 2) == word("ours", 2))).withColumn("score", F.when(first, 0.96).otherwise(0.5))
+    # each word is a join of its own; a name that shares both words is found by the first
+    on = lambda i: names.withColumn("w", word("name", i)).join(asked.withColumn("w", word("ours", i)), "w").drop("w")
+    found = on(1).withColumn("score", F.lit(0.96)).unionByName(on(2).where(~first).withColumn("score", F.lit(0.5)))
     return M.break_ties(found, "q", "score", "name", "ours", "id")
 
 
