@@ -39,6 +39,8 @@ from tessera.llm.common import stored, text_or_empty
 
 #: Characters of texts that are aligned together, and at which longer ones are cut; bytes that a worker remembers of words, and the longest of them.
 SLICE, CACHE_BYTES, LONGEST = 1 << 19, 1 << 28, 256
+#: Words that A encodes as one text.
+TOGETHER = 64
 #: Pairs that travel to all tasks at most (17 bytes each), and distinct pairs that a task sums up before it passes them on.
 HOT, SUMS = 1 << 20, 1 << 21
 ALIGNED = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary"
@@ -64,9 +66,10 @@ class ByteLevel:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
 
-    def encode(self, words: list[str]) -> list[list[int]]:
-        """The tokens of words with a blank before each."""
-        return [e.ids for e in self.tokenizer.encode_batch_fast([f" {w}" for w in words], add_special_tokens=False)]
+    def encode(self, words: list[str], together: int = 1) -> list[list[int]]:
+        """The tokens of words with a blank before each; those of ``together`` words, which end with no blank, as one list."""
+        texts = [" " + " ".join(words[i : i + together]) for i in range(0, len(words), together)]
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 class WordPieces:
@@ -84,7 +87,7 @@ class WordPieces:
             raise ValueError(f"{path} does not keep texts and their words apart")
         self.bytes = {i: bytes([int(p[3:-1], 16)]) if self.model.is_byte(i) else b"" if self.model.is_control(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)}
 
-    def encode(self, words: list[str]) -> list[list[int]]:
+    def encode(self, words: list[str], together: int = 1) -> list[list[int]]:
         return self.model.encode(words, num_threads=1)
 
 
@@ -155,11 +158,16 @@ class Aligner:
             self.held = 0
         fresh = [w for w in words if w not in self.known]
         self.long = [w for w in fresh if len(w) > LONGEST]
+        open_ = [w for w in fresh if not w or w[-1].isspace()]  # a blank behind them is no cut
+        if open_:
+            fresh = [w for w in fresh if w and not w[-1].isspace()]
+        found = [t.encode(fresh, TOGETHER) + t.encode(open_) for t in (self.a, self.b)]
+        fresh += open_
         raw = [f" {w}".encode() for w in fresh]
-        found = [t.encode(fresh) for t in (self.a, self.b)]
         joined = b"".join(raw)
         if any(b"".join(map(t.bytes.__getitem__, chain.from_iterable(ids))) != joined for t, ids in zip((self.a, self.b), found, strict=True)):
             # some word doesn't come back: look at each
+            found = [t.encode(fresh) for t in (self.a, self.b)]
             back = [all(b"".join(map(t.bytes.__getitem__, ids[k])) == r for t, ids in zip((self.a, self.b), found, strict=True)) for k, r in enumerate(raw)]
             lost = [w for w, ok in zip(fresh, back, strict=True) if not ok]
             self.lost.update(lost)
