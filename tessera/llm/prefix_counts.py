@@ -72,7 +72,20 @@ def _simple(text: str, bpe: ByteBpe, size: int) -> bool:
 
 
 def _blocks(text: str, bpe: ByteBpe, size: int) -> Iterator[np.ndarray]:
-    """Deltas of the bytes of a text, stretch by stretch."""
+    """Deltas of the bytes of a text, in blocks of ``size`` or more."""
+    held, n = [], 0
+    for part in _parts(text, bpe, size):
+        held.append(part)
+        n += len(part)
+        if n >= size:
+            yield np.concatenate(held)
+            held, n = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
+def _parts(text: str, bpe: ByteBpe, size: int) -> Iterator[np.ndarray]:
+    """Deltas of the bytes of a text, up to each special string and stretch by stretch."""
     found = bpe.special.finditer(text) if bpe.special else ()
     at = 0
     for m in found:
