@@ -9,7 +9,7 @@ from tessera.operators import alike
 from tessera.operators import matching as M
 from tessera.operators.graph import components
 from tessera.operators.relational import top_per_key
-from tessera.operators.similarity import half_alike, jaccard_pairs
+from tessera.operators.similarity import half_alike
 from tessera.plans.registry import query, table
 
 _R4 = "floor(({}) * 10000 + 0.5) / 10000"
@@ -151,7 +151,8 @@ SELECT a, b FROM s JOIN n na ON na.id = a JOIN n nb ON nb.id = b WHERE shared >=
 def internal_duplicates(spark, d):
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.concat_ws("/", "c_mktsegment", F.col("c_nationkey").cast("string")).alias("item"))
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.concat_ws("/", "o_orderpriority", F.year("o_orderdate").cast("string")).alias("item"))
-    return jaccard_pairs(c.union(o), "id", "item").where("shared >= 2 and jaccard >= 0.4").select("a", "b")
+    sets = c.union(o).groupBy("id").agg(F.collect_set(F.xxhash64("item")).alias("items"))
+    return alike.set_pairs(sets, 400).where("shared >= 2").select("a", "b")
 
 
 @query("""SELECT n_name, p_name FROM (SELECT n_name, p_name, row_number() OVER (PARTITION BY n_name ORDER BY levenshtein(lower(n_name), p_name), p_name) AS r FROM nation, (SELECT DISTINCT p_name FROM part)) WHERE r = 1""")
