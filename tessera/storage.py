@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import time
 import uuid
@@ -45,6 +46,16 @@ def release(*frames: DataFrame) -> None:
         invalidate(df.sparkSession, df._stored_at)
 
 
+def sweep(spark: SparkSession, seconds: float, now: float | None = None) -> list[str]:
+    """Delete the tables of ``stored`` that are older than ``seconds``, which drivers that were killed have left; their names."""
+    now = time.time() if now is None else now
+    store, where = _at(spark, scratch(spark))
+    old = [f for f in (store.listStatus(where) if store.exists(where) else []) if re.search("-[0-9a-f]{32}$", f.getPath().getName()) and f.getModificationTime() < (now - seconds) * 1000]
+    for f in old:
+        store.delete(f.getPath(), True)
+    return sorted(f.getPath().getName() for f in old)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     store, where = _at(spark, path)
     return store.exists(where)

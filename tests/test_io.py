@@ -147,3 +147,15 @@ def test_ods_types_and_names(spark):
     assert kinds == ["boolean", "float", "float", "float", "date", "date", "string", "string", None]
     assert [c.get(f"{{{ods.OFFICE}}}{a}") for c, a in zip(cells, ["boolean-value", "value", "value", "value", "date-value", "date-value"], strict=False)] == ["true", "3", "2.5", "1.50", "2024-05-01", "2024-05-01T10:30:00"]
     assert ["".join(p.itertext()) for p in cells[6]] == ["a <b>", "&c"] and next(cells[7].iter(f"{{{ods.TEXT}}}a")).get(f"{{{ods.XLINK}}}href") == rows[0][7]
+
+
+def test_sweep_takes_old_tables_only(spark):
+    import time
+
+    from tessera import storage
+
+    kept = storage.stored(spark.range(3), "swept")
+    name = kept._stored_at.rsplit("/", 1)[1]
+    assert name not in storage.sweep(spark, 3600) and kept.count() == 3
+    assert name in storage.sweep(spark, 3600, time.time() + 7200)
+    assert not storage.exists(spark, kept._stored_at)
