@@ -138,6 +138,15 @@ def unescape(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
 
 
+def unescaped(c: Column) -> Column:
+    """The same, on the JVM where only the entities of markup itself occur; only other texts pass to Python."""
+    plain = c
+    for said, meant in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#039;", "'"), ("&apos;", "'"), ("&amp;", "&")):
+        plain = F.replace(plain, F.lit(said), F.lit(meant))
+    other = c.rlike("&(?!(?:lt|gt|quot|apos|amp|#0?39);)[A-Za-z#]")
+    return F.when(other, unescape(F.when(other, c))).otherwise(plain)
+
+
 def embedded_json(c: Column, script_id: str) -> Column:
     found = F.regexp_extract(c, rf'(?is)<script[^>]*id="{script_id}"[^>]*>([\s\S]*?)</script>', 1)
     return F.when(found != "", found)

@@ -55,6 +55,10 @@ def test_page_image_states(spark):
     pages = ['<meta property="og:image" content="http://i/a.jpg">', '<meta content="http://i/b.jpg" name="twitter:image">', '<meta property="og:image" content="">', "<p>", '<meta property="og:image" content="http://i/default.png">']
     assert [(r["url"], r["status"]) for r in run(spark, H.page_image, pages)] == [("http://i/a.jpg", "found"), ("http://i/b.jpg", "found"), (None, "empty tag"), (None, "no tag"), (None, "placeholder")]
     assert run(spark, H.unescape, ["&amp;&#233;&#x41;", None]) == ["&éA", None]
+    import html
+
+    mixed = ["&amp;lt;", "&lt;b&gt; &quot;x&quot; &#39;&#039;&apos;", "&eacute;&nbsp;&#38;lt;", "&amp &ampx", "a & b", "&", "&#150;&#0;", "&amp;#65;", ""]
+    assert run(spark, H.unescaped, [*mixed, None]) == [*map(html.unescape, mixed), None]
 
 
 def test_page_hooks(spark):
