@@ -34,6 +34,8 @@ RULES = (
     ("hex", r"[0-9a-f]{24,}+", 0, 24),
 )
 RULE_VERSION = hashlib.sha256(repr(RULES).encode()).hexdigest()[:16]
+#: Row numbers that are sent to all tasks at most.
+FEW = 1 << 20
 FINDINGS = "array<struct<start:int,kind_no:int,end:int>>"
 LEDGER = f"sha binary, findings {FINDINGS}, rule_version string"
 
@@ -75,10 +77,13 @@ def unseen_rows(docs: DataFrame, ledger: str) -> tuple[DataFrame, DataFrame]:
     return keys, stored(once.join(read_ledger(docs.sparkSession, ledger).select("sha"), "sha", "left_anti").select("row", "sha"), "op6-unseen")
 
 
-def texts_of(docs: DataFrame, unseen: DataFrame) -> DataFrame:
-    """row and text of the unseen blobs. Spark sends their row numbers to the texts while they are below its broadcast threshold, and shuffles both sides above it."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), text_or_empty().alias("text"))
-    return rows.join(stored(unseen.select("row"), "op6-rows"), "row", "left_semi")
+def texts_of(docs: DataFrame, unseen: DataFrame, rows: int) -> DataFrame:
+    """row and text of the unseen blobs, of ``rows`` rows. Where the ledger has nearly all, the few row numbers (FEW at most, 8 bytes each) are sent to the texts; else both sides are shuffled, at every size."""
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), text_or_empty().alias("text"))
+    wanted = stored(unseen.select("row"), "op6-rows")
+    n = wanted.count()
+    few = n <= FEW and 20 * n <= rows
+    return texts.join(F.broadcast(wanted) if few else wanted.hint("merge"), "row", "left_semi")
 
 
 def update(docs: DataFrame, ledger: str | None = None) -> DataFrame:
@@ -86,7 +91,7 @@ def update(docs: DataFrame, ledger: str | None = None) -> DataFrame:
     spark = docs.sparkSession
     ledger = ledger or f"{scratch(spark)}/op6-ledger-{uuid.uuid4().hex}"
     keys, unseen = unseen_rows(docs, ledger)
-    scan(texts_of(docs, unseen), unseen).write.mode("append").partitionBy("rule_version").parquet(ledger)
+    scan(texts_of(docs, unseen, keys.count()), unseen).write.mode("append").partitionBy("rule_version").parquet(ledger)
     current = read_ledger(spark, ledger).where(F.size("findings") > 0).select("sha", "findings")
     release(unseen)
     return keys.join(current, "sha", "left").select("doc_id", "sha", F.coalesce("findings", F.expr("array()").cast(FINDINGS)).alias("findings"))
