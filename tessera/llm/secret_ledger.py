@@ -77,12 +77,12 @@ def unseen_rows(docs: DataFrame, ledger: str) -> tuple[DataFrame, DataFrame]:
     return keys, stored(once.join(read_ledger(docs.sparkSession, ledger).select("sha"), "sha", "left_anti").select("row", "sha"), "op6-unseen")
 
 
-def texts_of(docs: DataFrame, unseen: DataFrame, rows: int) -> DataFrame:
-    """row and text of the unseen blobs, of ``rows`` rows. Where the ledger has nearly all, the few row numbers (FEW at most, 8 bytes each) are sent to the texts; else both sides are shuffled, at every size."""
+def texts_of(docs: DataFrame, unseen: DataFrame, rows: int | None = None) -> DataFrame:
+    """row and text of the unseen blobs; ``rows`` is the number of ``docs``, if known. Where the ledger has nearly all, the few row numbers (FEW at most, 8 bytes each) are sent to the texts; else both sides are shuffled, at every size."""
     texts = docs.select(F.monotonically_increasing_id().alias("row"), text_or_empty().alias("text"))
     wanted = stored(unseen.select("row"), "op6-rows")
     n = wanted.count()
-    few = n <= FEW and 20 * n <= rows
+    few = n <= FEW and 20 * n <= (docs.count() if rows is None else rows)
     return texts.join(F.broadcast(wanted) if few else wanted.hint("merge"), "row", "left_semi")
 
 

@@ -409,6 +409,9 @@ def test_an_unchanged_corpus_scans_nothing(spark, docs, tmp_path):
     assert "text" not in plan  # digests alone are shuffled
     plan = secret_ledger.texts_of(docs, unseen)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" in plan and "Exchange hashpartitioning" not in plan
+    _, every = secret_ledger.unseen_rows(docs, str(tmp_path / "none"))  # a first run shuffles, however small
+    plan = secret_ledger.texts_of(docs, every)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
 def test_line_quality(docs, rows, none):
