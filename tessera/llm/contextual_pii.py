@@ -8,8 +8,8 @@ kind that follow it, over the weight of all known values, half the rest, and one
 pattern is trusted from CONFIDENCE and SEEDS distinct known values on. Identifier-like
 strings that no rule takes and that follow a trusted pattern are discovered, and are
 seeds of the following rounds, lighter by DECAY a round, so that what is far from the
-rules soon convinces no pattern. Rounds end when nothing new is found, after ROUNDS at
-most. Unknown identifiers after trusted patterns become spans of the pattern's kind.
+rules soon convinces no pattern. Rounds end when nothing new is found; a limit on
+them, where one is given, warns when it is met before. Unknown identifiers after trusted patterns become spans of the pattern's kind.
 
 Offsets are code points, ends exclusive. Defined cases: null texts are empty and
 stay null in ``redact``; repeated rows get equal results each; spans of two
@@ -21,8 +21,10 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import re
+import warnings
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,7 +33,6 @@ from pyspark.sql import functions as F
 from tessera.llm.common import free_names, release, stored, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 6
 #: A pattern is trusted from this confidence and this many distinct known values on.
 CONFIDENCE = 0.6
 SEEDS = 5
@@ -143,14 +144,14 @@ def mentions(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, h1 long, h2 long, found array<struct<kind:int,start:int,end:int,value:string,patterns:array<string>>>")
 
 
-def trusted_patterns(found: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, seeds: int = SEEDS, decay: float = DECAY) -> DataFrame:
+def trusted_patterns(found: DataFrame, rounds: int | None = None, confidence: float = CONFIDENCE, seeds: int = SEEDS, decay: float = DECAY) -> DataFrame:
     """pattern, kind and confidence of the patterns that are trusted at last, scored over the pattern-instance graph of a mentions table."""
     each = found.select(F.explode("found").alias("m")).select(F.col("m.kind").alias("kind"), F.xxhash64("m.value").alias("value"), F.explode("m.patterns").alias("pattern"))
     edges = stored(each.groupBy("pattern", "value").agg(F.max("kind").alias("kind")), "op3-edges")
     known = stored(edges.where("kind >= 0").groupBy("value").agg(F.max("kind").alias("kind")).withColumn("weight", F.lit(1.0)), "op3-known")
     size = stored(edges.groupBy("pattern").agg(F.count("*").alias("n")), "op3-sizes")
-    patterns, pairs = None, edges.select("pattern", "value")
-    for round_ in range(1, rounds + 1):
+    pairs = edges.select("pattern", "value")
+    for round_ in count(1):
         own = pairs.join(known, "value").groupBy("pattern", "kind").agg(F.sum("weight").alias("own"), F.count("*").alias("seeds"))
         tallied = stored(own, "op3-tallied")
         every = tallied.groupBy("pattern").agg(F.sum("own").alias("every"))
@@ -160,9 +161,11 @@ def trusted_patterns(found: DataFrame, rounds: int = ROUNDS, confidence: float =
         new = stored(best.select("value", (-F.col("best.col2")).alias("kind"), F.lit(decay**round_).alias("weight")), "op3-new")
         release(tallied)
         if new.isEmpty():
-            break
+            return patterns
+        if round_ == rounds:
+            warnings.warn(f"identifiers are still found in round {rounds}, the last one allowed", stacklevel=2)
+            return patterns
         known = stored(known.unionByName(new), "op3-known")
-    return patterns
 
 
 def discovered(found: DataFrame, patterns: DataFrame) -> DataFrame:
