@@ -77,6 +77,11 @@ def seeded_sample(df: DataFrame, key: str, n: int, seed: str) -> DataFrame:
     return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(seed))), key).limit(max(n, 0))
 
 
+def small(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """``df`` to be sent to all tasks if it has ``rows`` rows at most, which are counted; else as it is."""
+    return F.broadcast(df) if len(df.select(F.lit(1)).head(rows + 1)) <= rows else df
+
+
 def first_seen(df: DataFrame, value: str, order: list[str]) -> DataFrame:
     """Distinct values with the place of their first row."""
     return df.groupBy(value).agg(F.min(F.struct(*order)).alias("first")).select(value, "first.*")

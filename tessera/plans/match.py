@@ -8,7 +8,7 @@ from tessera.functions import text as X
 from tessera.operators import alike
 from tessera.operators import matching as M
 from tessera.operators.graph import components
-from tessera.operators.relational import top_per_key
+from tessera.operators.relational import small, top_per_key
 from tessera.operators.similarity import half_alike
 from tessera.plans.registry import query, table
 
@@ -157,7 +157,7 @@ def internal_duplicates(spark, d):
 
 @query("""SELECT n_name, p_name FROM (SELECT n_name, p_name, row_number() OVER (PARTITION BY n_name ORDER BY levenshtein(lower(n_name), p_name), p_name) AS r FROM nation, (SELECT DISTINCT p_name FROM part)) WHERE r = 1""")
 def best_match(spark, d):
-    # 25 nations against the catalogue's distinct names: a fixed query set against all rows
+    # the nations are a query set against all distinct names of the catalogue; their number is checked
     nations, names = table(spark, d, "nation").select("n_name"), table(spark, d, "part").select("p_name").distinct()
-    scored = names.crossJoin(F.broadcast(nations)).withColumn("away", F.levenshtein(F.lower("n_name"), "p_name"))
+    scored = names.crossJoin(small(nations)).withColumn("away", F.levenshtein(F.lower("n_name"), "p_name"))
     return top_per_key(scored, ["n_name"], [F.col("away"), F.col("p_name")]).select("n_name", "p_name")
