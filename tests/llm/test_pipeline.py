@@ -97,5 +97,5 @@ def test_like_sql(spark, name):
     df = queries.QUERIES[name](spark, SF)
     want = c.sql(queries.ORACLE_SQL[name])
     assert sorted(df.columns) == sorted(want.columns)
-    pick = lambda rows, cols: sorted(tuple(r[cols.index(x)] for x in sorted(cols)) for r in rows)
+    pick = lambda rows, cols: sorted((tuple(r[cols.index(x)] for x in sorted(cols)) for r in rows), key=repr)
     assert pick(df.collect(), df.columns) == pick(want.fetchall(), want.columns)
