@@ -162,8 +162,8 @@ def files_by_key(spark, d):
     """Rows joined to a folder of JSON files, one for each key, by the last segment of their links, with a mark whether there is a file."""
     folder = f"{scratch(spark)}/files-{uuid.uuid4().hex}"
     pages = top_per_key(table(spark, d, "pages").withColumn("key", U.last_segment(F.col("url"))), ["key"], [F.col("page_id")])
-    pages.where("page_id % 3 = 0").select("key", F.length("html").alias("size")).write.partitionBy("key").json(f"{folder}/cache")
-    schema = T.StructType([T.StructField("size", T.IntegerType()), T.StructField("key", T.StringType())])
+    pages.where("page_id % 3 = 0").select("key", F.length("html").cast("long").alias("size")).write.partitionBy("key").json(f"{folder}/cache")
+    schema = T.StructType([T.StructField("size", T.LongType()), T.StructField("key", T.StringType())])
     cache = spark.read.schema(schema).json(f"{folder}/cache")
     return pages.join(cache.select("key", "size", F.lit("yes").alias("hit")), "key", "left").select("page_id", "key", F.coalesce("hit", F.lit("no")).alias("hit"), "size")
 
