@@ -108,9 +108,11 @@ def test_credits(spark):
 
 def test_patch_groups_are_bounded(spark):
     df = spark.range(5000).selectExpr("id", "if(id % 10 = 0, 'a', 'b') as status", "cast(null as int) as n")
-    found = C.patch_groups(df, "id", 100).collect()
-    assert {r["patch"] for r in found} == {'{"status":"a"}', '{"status":"b"}'} and max(len(r["ids"]) for r in found) < 200
-    assert sorted(i for r in found for i in r["ids"]) == list(range(5000))
+    alone = df.withColumn("sets", F.array(F.lit("status")))  # leaves n alone; without it n is set to null
+    for given, sets, rest in ((alone, "sets", ""), (df, None, ',"n":null')):
+        found = C.patch_groups(given, "id", 100, sets).collect()
+        assert {r["patch"] for r in found} == {f'{{"status":"{x}"{rest}}}' for x in "ab"} and max(len(r["ids"]) for r in found) < 200
+        assert sorted(i for r in found for i in r["ids"]) == list(range(5000))
 
 
 def test_decisions_contradicted_or_met(spark):
