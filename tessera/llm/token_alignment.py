@@ -6,8 +6,9 @@ the labels of such a span say how many tokens of A and of B it groups. Within a
 group each label is a link, the pair of tokens that cover the bytes before it.
 
 Texts are cut before each blank that follows another character: there a token of
-both ends, whatever comes. What a word's labels say is remembered, so a text is put
-together from the groups and links of its words.
+both ends, whatever comes. A blank that ends a text stays with the word before it,
+as B gives no token for a word of no characters. What a word's labels say is
+remembered, so a text is put together from the groups and links of its words.
 
 A document's pairs are kept packed, with how often each occurs. Their counts over
 the corpus are summed from each task's own sums. The most frequent pairs, HOT at
@@ -50,7 +51,7 @@ LABELS = np.frombuffer(b".ab|", np.uint8)
 ENDS_A, ENDS_B = 1 << 62, 1 << 61
 _PAIR = ENDS_B - 1
 _span = re.compile(rb"[^|]*\|")
-_cut, _blanks = re.compile(r"(?<=\S) "), re.compile(r"\s ")
+_cut, _blanks = re.compile(r"(?<=\S) (?!\Z)"), re.compile(r"\s ")
 _aligners: dict[tuple[str, str], Aligner] = {}
 
 
@@ -213,7 +214,7 @@ def aligner(path_a: str, path_b: str) -> Aligner:
 
 def words_of(text: str) -> list[str]:
     """The words of a text that a blank was put before, without the blank before each."""
-    if _blanks.search(text) is None:
+    if not text.endswith(" ") and _blanks.search(text) is None:
         return text[1:].split(" ")
     cuts = [0, *(m.start() for m in _cut.finditer(text)), len(text)]
     return [text[i + 1 : j] for i, j in zip(cuts, cuts[1:], strict=False)]

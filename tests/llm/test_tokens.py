@@ -213,3 +213,15 @@ def test_packed_pairs_and_sums(spark, monkeypatch):
     rows = [(token_alignment.pack(np.array(sorted(x)), np.array(sorted(x)) % 3, np.ones(len(x), int)),) for x in (rng.choice(50, 20, False).tolist() for _ in range(40))]
     df = spark.createDataFrame([*rows, (None,)], "pairs binary")
     assert Counter(map(tuple, token_alignment.pair_counts(df, 30).collect())) == Counter(map(tuple, token_alignment.pair_counts(df).collect()))
+
+
+def test_alignment_of_a_last_blank(spark, paths, tmp_path):
+    """A text that ends with one blank keeps its tokens, beside texts that don't come back too."""
+    texts = ["a ", "two words ", "more\nlines of text ", " ", "  ", "a", "a  ", "a\t ", "a▁b ", "a▁ ", "x" * 300 + " ", "中 ", "<|endoftext|> "]
+    spark.createDataFrame([*enumerate(texts)], SCHEMA).repartition(2).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    want = plain_alignment([*enumerate(texts)], paths)
+    assert [r[1] > 0 for r in want] == ["▁" not in t for t in texts]
+    assert sorted(map(tuple, token_alignment.align(docs).collect())) == sorted(want)
+    whole, parts = ({r["row"]: r for r in token_alignment.aligned(docs, *paths, size=n).collect()} for n in (1 << 19, 1))
+    assert whole == parts
