@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.operators import alike, curation, incremental, json_tree, matching, redirects
+from tessera.plans import match
 from tessera.streaming import ordered
 
 
@@ -55,6 +56,17 @@ def test_trigram_pairs_like_nested_loop(spark, sf, per_mille):
     assert {(r["a"], r["b"]) for r in alike.trigram_pairs(names, "p_name", key, per_mille).collect()} == {(r["a"], r["b"]) for r in loop.collect()}
 
 
+def test_trigram_similarity_of_every_pair(spark, tmp_path):
+    """No pair is left out, however little alike, and names without a key are compared too."""
+    names = ["hot ring", "hot rings", "blue gear", "old plate", "zz", "--", "中", "hot ring", None]
+    spark.createDataFrame([(n,) for n in names], "p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    found = {(r["a"], r["b"]): r["similarity"] for r in match.trigram_similarity(spark, str(tmp_path)).collect()}
+    key = lambda n: "  " + "".join(c for c in n if "a" <= c <= "z") + " "
+    sets = {n: {key(n)[i : i + 3] for i in range(len(key(n)) - 2)} for n in names if n}
+    assert found == {(a, b): pytest.approx(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), abs=6e-5) for a, b in combinations(sorted(sets), 2)}
+    assert len(found) == 21 and found["blue gear", "zz"] == 0
+
+
 def test_no_item_makes_all_pairs(spark):
     """An item that all sets hold brings only sets of like sizes together, and none where all are equal."""
     n = 400
