@@ -152,8 +152,9 @@ def worklist_failure_memory(spark, d):
 w AS (SELECT e.user_id, event_id, ms, opened, CAST(row_number() OVER (PARTITION BY e.user_id, opened ORDER BY ms, event_id) AS INT) AS count FROM e ASOF JOIN o ON e.user_id = o.user_id AND ms >= opened)
 SELECT user_id, event_id, count, count <= 5 AS allowed, CASE WHEN count > 5 THEN CAST(ceil((opened + 21600000 - ms) / 1000) AS BIGINT) END AS retry_after_s FROM w""")
 def fixed_window_rate_limit(spark, d):
-    ms = F.timestamp_diff("MILLISECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))
-    return I.rate_limit(table(spark, d, "events").select("user_id", "event_id", ms.alias("ms")), "user_id", "ms", "event_id", 5, 6 * 3600 * 1000)
+    us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))
+    ms = F.expr("sign(us) * ((abs(us) + 500) div 1000)").cast("long")  # to the nearest, half away from 1970, as SQL's epoch_ms
+    return I.rate_limit(table(spark, d, "events").select("user_id", "event_id", us.alias("us")).select("user_id", "event_id", ms.alias("ms")), "user_id", "ms", "event_id", 5, 6 * 3600 * 1000)
 
 
 @query("""WITH s AS (SELECT o_orderkey, l_suppkey, p_brand FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_suppkey IN (1, 2, 3)))
