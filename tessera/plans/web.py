@@ -74,7 +74,7 @@ _TO_TEXT = rf"SELECT page_id, regexp_replace({_ENTITIES.format(f'''trim(regexp_r
 
 @query(_TO_TEXT)
 def html_to_text(spark, d):
-    plain = H.unescaped(H.to_text(F.col("html")))
+    plain = H.unescaped_closed(H.to_text(F.col("html")))
     return table(spark, d, "pages").select("page_id", plain.alias("plain"))
 
 

@@ -25,3 +25,9 @@ def test_rate_limit_rounds_to_the_millisecond(spark, tmp_path):
     events = pa.table({"event_id": pa.array(range(len(at)), pa.int64()), "user_id": pa.array(user, pa.int64()), "ts": pa.array(at, pa.timestamp("us"))})
     got, want = both(spark, tmp_path, "fixed_window_rate_limit", events=events)
     assert got == want and len(got) == len(at)
+
+
+def test_text_keeps_open_entities(spark, tmp_path):
+    html = ["<p>token = &quot", "a &quot;b&quot; &copy; &middot; &amp;quot; &amp", "&quot x &ampquot; &ampx; &copy &amp;copy;", "\u00a0<p>x\u2003", "&quo &am &a & &", None]
+    got, want = both(spark, tmp_path, "html_to_text", pages={"page_id": list(range(len(html))), "html": html})
+    assert got == want and len(got) == len(html)
