@@ -1,9 +1,13 @@
 """What showed on larger tables only, on small ones made for it; DuckDB runs the SQL on the same rows."""
 
+import random
+
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
+from tessera.operators import products
 from tessera.plans import catalog
 
 
@@ -31,3 +35,35 @@ def test_text_keeps_open_entities(spark, tmp_path):
     html = ["<p>token = &quot", "a &quot;b&quot; &copy; &middot; &amp;quot; &amp", "&quot x &ampquot; &ampx; &copy &amp;copy;", "\u00a0<p>x\u2003", "&quo &am &a & &", None]
     got, want = both(spark, tmp_path, "html_to_text", pages={"page_id": list(range(len(html))), "html": html})
     assert got == want and len(got) == len(html)
+
+
+def brute_pairs(sets, least, per_mille):
+    n = {i: len(s) for i, s in sets.items()}
+    real = {i: {x for x in s if x is not None} for i, s in sets.items()}
+    shared = {(a, b): len(real[a] & real[b]) for a in sets for b in sets if a < b}
+    return sorted((a, b, k, k / (n[a] + n[b] - k)) for (a, b), k in shared.items() if k >= least and 1000 * k >= per_mille * (n[a] + n[b] - k))
+
+
+@pytest.mark.parametrize("least, per_mille, items, block", [(2, 0, 12, 64), (1, 400, 12, 64), (2, 400, 60, 500), (1, 1000, 6, 64), (2, 0, products.MOST * 3, 64), (1, 300, products.MOST * 3, 64)])
+def test_products_of_blocks(spark, least, per_mille, items, block):
+    r = random.Random(items)
+    few = range(12) if items > products.MOST else range(items)
+    sets = {i: {r.choice(few) for _ in range(r.randint(1, 9))} | ({None} if i % 7 == 0 else set()) for i in range(300)}
+    sets[299] = set(range(items)) if items > products.MOST else {0}
+    rows = spark.createDataFrame([(i, None if x is None else f"item {x}") for i, s in sets.items() for x in s], "id long, item string")
+    found = products.few_item_pairs(products.item_sets(rows), least, per_mille, block).collect()
+    assert sorted((x["a"], x["b"], x["shared"], x["jaccard"]) for x in found) == brute_pairs(sets, least, per_mille)
+
+
+def test_pairs_are_not_joined_by_item(spark, sf):
+    for name in ("internal_duplicates",):
+        plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "HashAggregate" not in plan
+
+
+def test_internal_duplicates_with_nulls(spark, tmp_path):
+    at = pa.array([0, 0, 400 * 86_400_000_000, 0, None, 0], pa.timestamp("us"))
+    customer = {"c_custkey": [1, 2, 3, None], "c_mktsegment": ["A", "A", None, "A"], "c_nationkey": pa.array([5, 5, 5, 5], pa.int32())}
+    orders = {"o_custkey": [1, 2, 2, 3, 3, None], "o_orderpriority": ["x", "x", "x", "x", "y", "x"], "o_orderdate": at}
+    got, want = both(spark, tmp_path, "internal_duplicates", customer=customer, orders=orders)
+    assert got == want == [(1, 2)]
