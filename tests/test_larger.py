@@ -56,7 +56,7 @@ def test_products_of_blocks(spark, least, per_mille, items, block):
 
 
 def test_pairs_are_not_joined_by_item(spark, sf):
-    for name in ("internal_duplicates",):
+    for name in ("internal_duplicates", "sim_jaccard_pairs"):
         plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "MapInArrow" in plan and "HashAggregate" not in plan
 
