@@ -6,8 +6,9 @@ import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
-from tessera.operators import products
+from tessera.operators import products, similarity
 from tessera.plans import catalog
 
 
@@ -67,3 +68,16 @@ def test_internal_duplicates_with_nulls(spark, tmp_path):
     orders = {"o_custkey": [1, 2, 2, 3, 3, None], "o_orderpriority": ["x", "x", "x", "x", "y", "x"], "o_orderdate": at}
     got, want = both(spark, tmp_path, "internal_duplicates", customer=customer, orders=orders)
     assert got == want == [(1, 2)]
+
+
+def test_cosines_of_blocks(spark):
+    r = random.Random(3)
+    vectors = {i: [r.uniform(-1, 1) for _ in range(6)] for i in range(90)} | {90: [0.0] * 6, 91: [1.0, None, 1.0, 1.0, 1.0, 1.0], 92: [1.0] * 5, 93: [2.0] * 5, 94: None, 95: []}
+    rows = spark.createDataFrame([(i, i % 2 if i < 90 else 0, v) for i, v in vectors.items()] + [(200, None, [1.0])], "id long, label int, v array<float>")
+    asked = rows.where("id % 10 = 0 or id >= 90")
+    keep = F.expr("a <> b")
+    old = asked.select("label", F.col("id").alias("a"), F.col("v").alias("u")).join(rows.select("label", F.col("id").alias("b"), "v"), "label").where(keep).select("a", "b", similarity.cosine(F.col("u"), F.col("v")).alias("cosine"))
+    shown = lambda df: sorted((x["a"], x["b"], None if x["cosine"] is None else round(x["cosine"], 9) + 0.0) for x in df.collect())
+    assert shown(products.cosines_within(asked, rows, "label", "id", "v", keep, 16)) == shown(old)
+    plan = catalog.QUERIES["embedding_cosine_pairs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "zip_with" not in plan
