@@ -114,3 +114,16 @@ def sample_function(spark: SparkSession, name: str, view: str, id_: str, columns
     returns, chosen = ", ".join(f"{c} {kinds[c]}" for c in columns), ", ".join(columns)
     order = f"md5(concat(cast({id_} as string), '{seed}')), {id_}"
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(n INT) RETURNS TABLE ({returns}) RETURN SELECT {chosen} FROM (SELECT {chosen}, row_number() OVER (ORDER BY {order}) AS place FROM {view}) WHERE place <= {name}.n")
+
+
+def many_to_many(rows: DataFrame, few: DataFrame, key: str, value: str, longest: int = 4096) -> DataFrame:
+    """``rows`` with each ``value`` of ``few`` that has their key, for keys that many rows of both have: values of a key are lists of about ``longest``, and rows are
+    dealt to tasks regardless of their key, so neither a row nor a task holds all of a key's pairs."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = few.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    cut = few.join(counted, key).withColumn("_cut", F.pmod(F.xxhash64(value, F.lit(7)), F.ceil(F.col("_n") / longest)))
+    lists = cut.groupBy(key, "_cut").agg(F.collect_list(F.struct(value)).alias("_list")).drop("_cut")
+    dealt = rows.where(F.col(key).isNotNull()).withColumn("_deal", F.pmod(F.xxhash64(*rows.columns), F.lit(tasks)).cast("int")).repartition(tasks, "_deal", key)
+    # a given number and no broadcast, as few bytes make many pairs
+    spread = lists.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1)))).repartition(tasks, "_deal", key).hint("shuffle_hash")
+    return dealt.join(spread, ["_deal", key]).select(*rows.columns, F.explode("_list").alias("_one")).select(*rows.columns, F.col(f"_one.{value}").alias(value))

@@ -11,7 +11,7 @@ from tessera.functions import scores as S
 from tessera.functions import text as X
 from tessera.functions import urls as U
 from tessera.operators import curation as C
-from tessera.operators.relational import numbered
+from tessera.operators.relational import many_to_many, numbered
 from tessera.operators.stages import run_stages
 from tessera.plans.match import _R4
 from tessera.plans.registry import query, table
@@ -164,8 +164,9 @@ def biographies(spark, d):
 def provider_answers(spark, d):
     """Two providers asked for the same names."""
     part = table(spark, d, "part")
-    by_part = lambda r: r.join(part, part["p_name"] == r["text"]).select("q", F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name"))
-    by_brand = lambda r: r.join(part, part["p_name"] == r["text"]).groupBy("q", F.col("p_brand").alias("id")).agg(F.min("p_name").alias("name"))
+    by_part = lambda r: many_to_many(part.select("p_name", F.col("p_partkey").cast("string").alias("id")), r.select(F.col("text").alias("p_name"), "q"), "p_name", "q").select("q", "id", F.col("p_name").alias("name"))
+    brands = part.groupBy("p_name", F.col("p_brand").alias("id")).agg(F.first("p_name").alias("name"))
+    by_brand = lambda r: r.join(brands, brands["p_name"] == r["text"]).groupBy("q", "id").agg(F.min("name").alias("name"))
     return providers.ask(part.where("p_size = 1").select(F.col("p_partkey").alias("q"), F.col("p_name").alias("text")), ["parts", "brands"], {"parts": by_part, "brands": by_brand})
 
 

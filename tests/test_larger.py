@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import products, similarity
+from tessera.operators.relational import many_to_many
 from tessera.plans import catalog
 
 
@@ -81,3 +82,14 @@ def test_cosines_of_blocks(spark):
     assert shown(products.cosines_within(asked, rows, "label", "id", "v", keep, 16)) == shown(old)
     plan = catalog.QUERIES["embedding_cosine_pairs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "zip_with" not in plan
+
+
+def test_answers_of_one_name_are_dealt_to_tasks(spark, tmp_path):
+    n = 2000
+    part = {"p_partkey": list(range(n + 3)), "p_name": ["red bolt"] * n + ["blue gear", None, "lone"], "p_brand": [f"b{i % 3}" for i in range(n + 3)], "p_size": pa.array([int(i % 40 == 0 or i > n) for i in range(n + 3)], pa.int32())}
+    got, want = both(spark, tmp_path, "provider_answers", part=part)
+    assert got == want and len(got) == n * n // 40 + n // 40 * 3 + 4
+    each = [r["n"] for r in catalog.QUERIES["provider_answers"](spark, str(tmp_path)).groupBy(F.spark_partition_id().alias("t")).agg(F.count("*").alias("n")).collect()]
+    assert max(each) < 0.75 * sum(each)
+    rows, few = spark.createDataFrame([(k, i) for k in "abc" for i in range(50)] + [(None, 1)], "k string, i int"), spark.createDataFrame([(k, j) for k in "bcd" for j in range(90)] + [(None, 1)], "k string, j long")
+    assert sorted(many_to_many(rows, few, "k", "j", 7).collect()) == sorted(rows.join(few, "k").collect())
