@@ -3,13 +3,15 @@
 import random
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import text
 from tessera.operators import products, similarity
-from tessera.operators.relational import many_to_many
+from tessera.operators.relational import many_to_many, top_per_key
 from tessera.plans import catalog
 
 
@@ -93,3 +95,33 @@ def test_answers_of_one_name_are_dealt_to_tasks(spark, tmp_path):
     assert max(each) < 0.75 * sum(each)
     rows, few = spark.createDataFrame([(k, i) for k in "abc" for i in range(50)] + [(None, 1)], "k string, i int"), spark.createDataFrame([(k, j) for k in "bcd" for j in range(90)] + [(None, 1)], "k string, j long")
     assert sorted(many_to_many(rows, few, "k", "j", 7).collect()) == sorted(rows.join(few, "k").collect())
+
+
+def test_chosen_together(spark, monkeypatch):
+    r = random.Random(5)
+    edges = spark.createDataFrame([(r.randint(0, 400), min(int(r.paretovariate(0.6)), 90)) for _ in range(6000)] + [(None, 1), (1, None)], "c long, s long").distinct()
+    pairs = similarity.cooccurrence(edges, "c", "s")
+    shown = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in x) for x in df.collect())
+    for block in (700, 1 << 24):
+        assert shown(products.chosen_together(edges, "c", "s", block=block)) == shown(pairs)
+    want = similarity.recommendations(pairs.withColumn("cosine", text.round4(F.col("cosine"))), "cosine", 3)
+    best = top_per_key(products.chosen_together(edges, "c", "s", 3, 700), ["source"], [F.col("cosine").desc(), F.col("recommended")], 3, "rank")
+    assert shown(best) == shown(want)
+    # tiles of a few pairs: places that fill one, and one that is counted in pieces
+    sides = []
+    for of in (range(0, 7), range(7, 12)):
+        rows = sorted((s, c) for s in of for c in range(50) if s in (0, 7) or r.random() < 0.2)
+        ids, counts = np.unique([s for s, _ in rows], return_counts=True)
+        sides.append(products._Side([(0, ids.astype(np.int64).tobytes(), counts.astype(np.uint32).tobytes(), np.array([c for _, c in rows], np.uint16).tobytes())]))
+    for x, y, same in ((*sides, False), (sides[0], sides[0], True)):
+        whole = {(int(i), int(j)): int(n) for t in products._counted(x, y, same) for i, j, n in zip(*t, strict=True)}
+        with monkeypatch.context() as m:
+            m.setattr(products, "PAIRS", 20)
+            tiles = list(products._counted(x, y, same))
+        assert len(tiles) > 1 and {(int(i), int(j)): int(n) for t in tiles for i, j, n in zip(*t, strict=True)} == whole
+
+
+def test_pairs_of_targets_are_not_shuffled(spark, sf):
+    for name in ("sim_copurchase_pairs",):
+        plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "Join" not in plan
