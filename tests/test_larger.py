@@ -122,6 +122,6 @@ def test_chosen_together(spark, monkeypatch):
 
 
 def test_pairs_of_targets_are_not_shuffled(spark, sf):
-    for name in ("sim_copurchase_pairs",):
+    for name in ("sim_copurchase_pairs", "sim_copurchase_topn"):
         plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "MapInArrow" in plan and "Join" not in plan
