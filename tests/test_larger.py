@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import products, similarity
+from tessera.operators import alike, products, similarity
 from tessera.operators.relational import many_to_many, top_per_key
 from tessera.plans import catalog
 
@@ -125,3 +125,17 @@ def test_pairs_of_targets_are_not_shuffled(spark, sf):
     for name in ("sim_copurchase_pairs", "sim_copurchase_topn"):
         plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "MapInArrow" in plan and "Join" not in plan
+
+
+def test_pairs_of_sets_are_counted_in_blocks(spark, sf):
+    r = random.Random(9)
+    sets = {i: sorted(r.sample(range(40), r.randint(0, 12))) for i in range(200)}
+    rows = spark.createDataFrame([(i, [x * (1 << 40) - 5 for x in s], len(s) + i % 3) for i, s in sets.items()], "id long, items array<long>, n int")
+    pairs = [(r.randrange(200), r.randrange(200)) for _ in range(3000)] + [(0, i) for i in range(200)]
+    asked = spark.createDataFrame(pairs, "x long, y long").distinct()
+    n = {i: len(s) + i % 3 for i, s in sets.items()}
+    want = sorted((x, y, k, n[x] + n[y]) for x, y in set(pairs) if 1300 * (k := len(set(sets[x]) & set(sets[y]))) >= 300 * (n[x] + n[y]))
+    for block in (150, 1 << 24):
+        assert sorted(map(tuple, alike.shared_of(asked, rows, 300, block).collect())) == want and len(want) > 20
+    plan = catalog.QUERIES["token_jaccard_blocked"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroups" in plan and "array_intersect" not in plan
